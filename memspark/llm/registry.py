@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from memspark.llm import mixing, sketch, token_files
 from memspark.llm.simhash import near_duplicates
 from memspark.session import table
 
+
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,9 +25,24 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_bottom_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def op7_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op8_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_table(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op5_bottom_k_sketch": op5_bottom_k_sketch,
+        "op7_subset_sum_mixing": op7_subset_sum_mixing,
+        "op8_token_id_files": op8_token_id_files,
     }
 
 
