@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memspark.llm import mixing, sketch, token_files
+from memspark.llm import mixing, sketch, token_files, toxicity
 from memspark.llm.simhash import near_duplicates
 from memspark.session import table
 
@@ -25,6 +25,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bottom_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_pairs(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op8_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op3_toxicity": op3_toxicity,
         "op5_bottom_k_sketch": op5_bottom_k_sketch,
         "op7_subset_sum_mixing": op7_subset_sum_mixing,
         "op8_token_id_files": op8_token_id_files,
