@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memspark.llm import mixing, sketch, token_files, toxicity
+from memspark.llm import langid, mixing, pieces, sketch, token_files, toxicity
 from memspark.llm.simhash import near_duplicates
 from memspark.session import table
 
@@ -29,10 +29,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.token_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_bottom_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -45,7 +53,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op3_toxicity": op3_toxicity,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_bottom_k_sketch": op5_bottom_k_sketch,
+        "op6_language_id": op6_language_id,
         "op7_subset_sum_mixing": op7_subset_sum_mixing,
         "op8_token_id_files": op8_token_id_files,
     }
