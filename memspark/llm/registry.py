@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memspark.llm import langid, mixing, pieces, sketch, token_files, toxicity
+from memspark.llm import langid, mixing, pieces, repeats, sketch, token_files, toxicity
 from memspark.llm.simhash import near_duplicates
 from memspark.session import table
 
@@ -49,6 +49,10 @@ def op8_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -58,6 +62,7 @@ def queries() -> dict[str, Query]:
         "op6_language_id": op6_language_id,
         "op7_subset_sum_mixing": op7_subset_sum_mixing,
         "op8_token_id_files": op8_token_id_files,
+        "op10_prefix_free_parsing": op10_prefix_free_parsing,
     }
 
 
