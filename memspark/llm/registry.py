@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memspark.llm import langid, mixing, pieces, repeats, sketch, token_files, toxicity
+from memspark.llm import langid, mixing, neighbours, pieces, repeats, sketch, token_files, toxicity
 from memspark.llm.simhash import near_duplicates
 from memspark.session import table
 
@@ -25,6 +25,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ def op10_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op2_adaptive_dimension_scan": op2_adaptive_dimension_scan,
         "op3_toxicity": op3_toxicity,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_bottom_k_sketch": op5_bottom_k_sketch,
