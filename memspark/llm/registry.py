@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memspark.llm import langid, mixing, neighbours, pieces, repeats, sketch, token_files, toxicity
+from memspark.llm import langid, mixing, neighbours, pieces, quality, repeats, sketch, token_files, toxicity
 from memspark.llm.simhash import near_duplicates
 from memspark.session import table
 
@@ -53,6 +53,10 @@ def op8_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents")).select("doc_id", "quality_score", "quality_ok")
+
+
 def op10_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op6_language_id": op6_language_id,
         "op7_subset_sum_mixing": op7_subset_sum_mixing,
         "op8_token_id_files": op8_token_id_files,
+        "op9_weak_label_quality": op9_weak_label_quality,
         "op10_prefix_free_parsing": op10_prefix_free_parsing,
     }
 

@@ -26,7 +26,9 @@ SEQUENCE = 2048
 ROWS_PER_BATCH = 256
 END_ID = 2
 #: Words that a worker remembers with their ids; a full memory is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
+_CLOSING = ".,!?;:#$%&*|"
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _CODERS: dict[str, WordCoder] = {}
 
 
@@ -48,29 +50,47 @@ class WordCoder:
         self.mark = self.coder.token_to_id(self.SEPARATOR)
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
+    def _ask(self, words: list[str]) -> None:
+        """Ids of words from the tokenizer, many at a call with its own mark between them."""
         plain = [w for w in words if "<|" not in w]
         for i in range(0, len(plain), 4096):
             part = plain[i : i + 4096]
             ids = np.array(self.coder.encode(f" {self.SEPARATOR} ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
+            raw, size = ids.tobytes(), self.dtype.itemsize
             cuts = np.flatnonzero(ids == self.mark)
-            for w, x in zip(part, np.split(ids, cuts), strict=True):
-                self.known[w] = x[1:].tobytes() if len(x) and x[0] == self.mark else x.tobytes()
+            starts, ends = np.append(0, cuts + 1) * size, np.append(cuts, len(ids)) * size
+            self.known.update(zip(part, (raw[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True))
         for w in words:
             if "<|" in w:
                 self.known[w] = np.array(self.coder.encode(w, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
+    def _learn(self, words: set[str]) -> None:
+        """Learn words; letters and the closing marks after them are separate tokens, and case is lost."""
+        whole, cut = [], {}
+        for w in words:
+            core = w.rstrip(_CLOSING)
+            if core and core[-1].isalpha() and "<|" not in w:
+                low = core.translate(_LOWER)
+                if low != w:
+                    cut[w] = (low, w[len(core) :])
+                    continue
+            whole.append(w)
+        parts = set().union(whole, *cut.values())
+        self._ask(sorted(parts.difference(self.known)))
+        known = self.known
+        known.update([(w, known[a] + known[z]) for w, (a, z) in cut.items()])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian."""
         out = []
-        for i in range(0, len(texts), 256):
-            split = [t.replace("\n", " ").split(" ") for t in texts[i : i + 256]]
+        for i in range(0, len(texts), 512):
+            split = [t.replace("\n", " ").split(" ") for t in texts[i : i + 512]]
             every = set().union(*split)
             new = every.difference(self.known)
             if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
                 new = every
-            self._learn(sorted(new))
+            self._learn(new)
             out += [b"".join(map(self.known.__getitem__, w)) for w in split]
         return out
 
