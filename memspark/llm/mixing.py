@@ -100,9 +100,9 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """
     taken = mix(docs, id_col, text_col, source_col, **how).groupBy(F.col(id_col).alias("_id")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
     rows = docs.join(taken, docs[id_col].eqNullSafe(F.col("_id")))
-    place = F.row_number().over(Window.partitionBy("_id").orderBy(text_col))
-    each = F.when(F.col("_rows") == 1, F.col("_copies")).otherwise(F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.when(F.col("_rows") > 1, place).otherwise(0) <= F.col("_copies") % F.col("_rows"), 1).otherwise(0))
-    return rows.withColumn("_n", F.explode(F.array_repeat(F.lit(0), each.cast("int")))).drop("_id", "_copies", "_rows", "_n")
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_id").orderBy(F.length(text_col))))
+    each = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_place") <= F.col("_copies") % F.col("_rows")).cast("int")
+    return rows.withColumn("_n", F.explode(F.array_repeat(F.lit(0), each.cast("int")))).drop("_id", "_copies", "_rows", "_place", "_n")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
