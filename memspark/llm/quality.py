@@ -125,14 +125,16 @@ class LabelModel:
         return right / np.maximum(right + wrong, 1e-12)
 
 
-def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.5, penalty: float = 1e-4) -> np.ndarray:
-    """Weights (the last is the constant) of P(bad) for rows of features and soft labels."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w, velocity = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+def fit_scorer(row: np.ndarray, place: np.ndarray, value: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.5, penalty: float = 1e-4) -> np.ndarray:
+    """Weights (the last is the constant) of P(bad) for sparse rows of features and soft labels."""
+    n = len(y)
+    w, velocity = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     weight = np.where(y > 0.5, 0.5 / max((y > 0.5).mean(), 1e-3), 0.5 / max((y <= 0.5).mean(), 1e-3))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        velocity = 0.9 * velocity - rate * (x.T @ (weight * (p - y)) / len(x) + penalty * w)
+        z = np.bincount(row, weights=w[place] * value, minlength=n) + w[-1]
+        r = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        slope = np.append(np.bincount(place, weights=value * r[row], minlength=DIMENSIONS), r.sum())
+        velocity = 0.9 * velocity - rate * (slope + penalty * w)
         w += velocity
     return w
 
@@ -158,21 +160,17 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tupl
     chance = F.create_map(*(F.lit(x) for kv in rate.items() for x in kv))
     ids = voted.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < chance[F.col("votes")]).select("id", "votes").dropDuplicates(["id"])
 
-    @F.pandas_udf(T.BinaryType())
-    def hashed(texts: pd.Series) -> pd.Series:
-        rows = []
-        for t in texts:
-            row = np.zeros(DIMENSIONS, dtype=np.float32)
-            place, value = features(t, statistics(t))
-            np.add.at(row, place, value)
-            rows.append(row.tobytes())
-        return pd.Series(rows, dtype="object")
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(ids), "id").select("id", "votes", hashed("t").alias("x")).orderBy("id", "x").toPandas()
+    @F.pandas_udf(T.StructType([T.StructField("place", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.FloatType()))]))
+    def hashed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in texts:
+            rows = [features(t, statistics(t)) for t in s]
+            yield pd.DataFrame({"place": [p.astype(np.int32) for p, _ in rows], "value": [v.astype(np.float32) for _, v in rows]})
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(ids), "id").select("id", "votes", hashed("t").alias("x")).select("id", "votes", "x.place", "x.value").orderBy("id", "votes").toPandas()
     if not len(rows):
         return model, np.zeros(DIMENSIONS + 1)
-    x = np.stack([np.frombuffer(b, np.float32) for b in rows["x"]]).astype(np.float64)
-    weights = fit_scorer(x, rows["votes"].map(model.posterior).to_numpy())
+    sizes = rows["place"].map(len).to_numpy()
+    weights = fit_scorer(np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows["place"].to_numpy()), np.concatenate(rows["value"].to_numpy()).astype(np.float64), rows["votes"].map(model.posterior).to_numpy())
     weights[-1] += np.log(model.share / (1 - model.share))  # the fit saw both classes as equally large
     return model, weights
 
