@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from memspark.jobs import catalog
+from memspark.jobs import catalog, more  # noqa: F401  registers its queries
 
 SF = "/root/testdata/sf0.001"
 
