@@ -61,7 +61,8 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, bound: int
         return took
     if budget >= total:
         return counts.copy()
-    took = np.array([int(c) * budget // total for c in counts], dtype=np.int64)
+    even = max(0, budget - bound // 4)  # the rest is the knapsack's
+    took = np.array([int(c) * even // total for c in counts], dtype=np.int64)
     gap = budget - int((lengths * took).sum())
     for i in np.argsort(-lengths, kind="stable"):  # whole lengths, longest first, down to the bound
         if lengths[i] > 0 and gap > bound:
@@ -69,22 +70,23 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, bound: int
             took[i] += more
             gap -= more * int(lengths[i])
     # Bounded knapsack: bit b of a state is set if b words can be reached with the parts so far.
-    mask, states, parts = (1 << (gap + 1)) - 1, [1], []
+    # Sums up to twice the gap are followed, as the nearest one may lie above it.
+    most = 2 * gap
+    mask, states, parts = (1 << (most + 1)) - 1, [1], []
     for i in np.argsort(lengths, kind="stable"):
         size, free = int(lengths[i]), int(counts[i] - took[i])
-        if size <= 0 or size > gap or free <= 0:
+        if size <= 0 or size > most or free <= 0:
             continue
-        free, step = min(free, gap // size), 1
+        free, step = min(free, most // size), 1
         while free > 0 and not states[-1] >> gap & 1:
             use = min(step, free)
             states.append((states[-1] | states[-1] << (use * size)) & mask)
             parts.append((i, use))
             free, step = free - use, step * 2
-    at = states[-1].bit_length() - 1
-    over = [int(lengths[i]) for i in range(len(lengths)) if counts[i] > took[i] and lengths[i] > gap]
-    if over and min(over) - gap < gap - at:  # one document above the budget comes nearer
-        took[list(lengths).index(min(over))] += 1
-        return took
+    at = (states[-1] & ((1 << (gap + 1)) - 1)).bit_length() - 1
+    above = states[-1] >> (gap + 1)
+    if above and (over := (above & -above).bit_length()) < gap - at:
+        at = gap + over
     for k in range(len(parts) - 1, -1, -1):
         if not states[k] >> at & 1:
             i, use = parts[k]
