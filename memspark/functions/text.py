@@ -167,15 +167,20 @@ def module_of_path(path: Column, roster: list[str], roots: list[str], state_suff
     return F.when(under, F.coalesce(state, F.try_element_at(hit, F.lit(1))))
 
 
+def section_lines(docs: DataFrame, id_col: str, text_col: str, heading: str = r"^\s*#{2,3} ") -> DataFrame:
+    """(id_col, n, line, section): the lines of texts with the number of headings up to each."""
+    lines = docs.select(id_col, F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("n", "line"))
+    at = Window.partitionBy(id_col).orderBy("n")
+    return lines.withColumn("section", F.sum(F.col("line").rlike(heading).cast("int")).over(at))
+
+
 def split_sections(docs: DataFrame, id_col: str, text_col: str, heading: str = r"^\s*#{2,3} ", window: int = 6000) -> DataFrame:
     """(id_col, section, part, text, line_start, line_end): pieces that begin at headings, cut into windows.
 
     A row for each line; sections and their bounds come from windows over a document's lines.
     Lines are 1-based; a part's bounds are the lines its characters stand on. Blank pieces go.
     """
-    lines = docs.select(id_col, F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("n", "line"))
-    at = Window.partitionBy(id_col).orderBy("n")
-    lines = lines.withColumn("section", F.sum(F.col("line").rlike(heading).cast("int")).over(at))
+    lines = section_lines(docs, id_col, text_col, heading)
     whole = lines.groupBy(id_col, "section").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
     joined = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
     whole = whole.select(id_col, "section", joined.alias("raw"), F.element_at("l", 1)["n"].alias("first"))

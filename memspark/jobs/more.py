@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memspark.functions import classify, text as tx
+from memspark.functions import classify, embed, text as tx
+from memspark.functions.stem import stemmed
 from memspark.jobs.catalog import _STATE, CORRECTIONS, DECISIONS, _any, _docs, _legs, _messages, _outcomes, query
 from memspark.operators import capture, health, search, telemetry
 from memspark.session import scratch_path, table
@@ -215,3 +216,104 @@ def l7_windowed_stream(spark: SparkSession, sf: str) -> DataFrame:
 def k12_flag_totals(spark: SparkSession, sf: str) -> DataFrame:
     m = _messages(spark, sf)
     return m.agg(F.count_if(classify.is_decision(F.col("text"), DECISIONS)).alias("decisions"), F.count_if(classify.is_correction(F.col("text"), F.col("role"), CORRECTIONS)).alias("corrections"), F.count("*").alias("n"))
+
+
+_SECTIONS = """l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+s AS (SELECT doc_id, i, line, sum(CASE WHEN regexp_matches(line, '^\\s*(The|Of|In) ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM l)"""
+
+
+@query(f"WITH {_SECTIONS} SELECT doc_id, section, count(*) AS n_lines FROM s GROUP BY doc_id, section ORDER BY n_lines DESC, doc_id, section LIMIT 5")
+def e16_largest_sections(spark: SparkSession, sf: str) -> DataFrame:
+    lines = tx.section_lines(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", r"^\s*(The|Of|In) ")
+    return lines.groupBy("doc_id", "section").agg(F.count("*").alias("n_lines")).orderBy(F.desc("n_lines"), "doc_id", "section").limit(5)
+
+
+@query(f"WITH {_SECTIONS} SELECT doc_id, count(*) FILTER (WHERE moved) AS moved, count(*) FILTER (WHERE NOT moved) AS kept FROM (SELECT doc_id, section, bool_or(contains(line, 'that')) AS moved FROM s GROUP BY doc_id, section) GROUP BY doc_id")
+def j11_archive_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections with a mark are moved to an archive, the others stay: one flag for each section."""
+    lines = tx.section_lines(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", r"^\s*(The|Of|In) ")
+    flagged = lines.groupBy("doc_id", "section").agg(F.bool_or(F.contains("line", F.lit("that"))).alias("moved"))
+    return flagged.groupBy("doc_id").agg(F.count_if("moved").alias("moved"), F.count_if(~F.col("moved")).alias("kept"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AND NOT starts_with(p_name, '_')")
+def f10_orphans(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that no index links to; names that begin with an underscore don't count."""
+    p = table(spark, sf, "part").where(~F.col("p_name").startswith("_"))
+    return p.select("p_partkey").join(table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS id, o_orderdate::DATE::VARCHAR AS date, {_STATE} AS state FROM orders),
+r AS (SELECT state, id, row_number() OVER (PARTITION BY state ORDER BY date DESC, id) AS place FROM o)
+SELECT state, id, place FROM r WHERE (state = 'confirmed' AND place <= 20) OR (state = 'pending' AND place <= 15)""")
+def k18_digest(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    o = _outcomes(spark, sf).withColumn("date", F.substring("date", 1, 10))
+    place = F.row_number().over(Window.partitionBy("state").orderBy(F.desc("date"), "id"))
+    few = o.select("state", "id", place.alias("place"))
+    return few.where(((F.col("state") == "confirmed") & (F.col("place") <= 20)) | ((F.col("state") == "pending") & (F.col("place") <= 15)))
+
+
+@query("SELECT CASE WHEN age > 172800 THEN 'stale' WHEN NOT ok THEN 'errored' ELSE 'ok' END AS line FROM (SELECT arg_max(event_type <> 'error', event_id) AS ok, epoch((SELECT max(ts) FROM events)) - epoch(arg_max(ts, event_id)) AS age FROM events)")
+def k21_health_line(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    now = F.lit(e.agg(F.max("ts")).first()[0])
+    last = e.agg(F.max_by(F.col("event_type") != "error", "event_id").alias("ok"), F.max_by("ts", "event_id").alias("ts"))
+    return last.select(F.when(health.seconds_since(F.col("ts"), now) > 172800, "stale").when(~F.col("ok"), "errored").otherwise("ok").alias("line"))
+
+
+@query("""WITH d AS (SELECT doc_id, regexp_extract_all(text, '([a-z]+tion[a-z]+)', 1) AS a FROM documents WHERE source IN ('src1', 'src2') OR contains(text, '###'))
+SELECT doc_id, len(list_distinct(a)) AS n_symbols FROM d WHERE len(a) > 0""")
+def k5_stale_claims(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").where(classify.is_narrative(F.col("source"), F.col("text"), ["src1", "src2"], ["###"]))
+    return d.select("doc_id", F.size(tx.extract_symbols(F.col("text"), ["([a-z]+tion[a-z]+)"])).cast("bigint").alias("n_symbols")).where("n_symbols > 0")
+
+
+@query()
+def k5_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """Narrative rows with their first five symbols and how many more there are."""
+    d = table(spark, sf, "documents").where(classify.is_narrative(F.col("source"), F.col("text"), ["src1"], []))
+    s = d.select("doc_id", tx.extract_symbols(F.col("text"), ["([a-z]+tion[a-z]+)"]).alias("s")).where(F.size("s") > 0)
+    more = F.when(F.size("s") > 5, F.format_string(" (+%d more)", F.size("s") - 5)).otherwise("")
+    return s.select("doc_id", F.concat(F.array_join(F.slice("s", 1, 5), ", "), more).alias("citation"))
+
+
+@query()
+def k14_lineage_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    """Each thread's outcomes as lines, oldest first, and newest first as the fallback."""
+    line = F.format_string("%s [%s] %d", "date", "state", "id")
+    o = _outcomes(spark, sf).withColumn("date", F.substring("date", 1, 10)).withColumn("line", line)
+    told = F.array_sort(F.collect_list(F.struct("date", "id", "line")))
+    return o.groupBy("thread_id").agg(F.array_join(F.transform(told, lambda x: x["line"]), "\n").alias("oldest_first"), F.array_join(F.reverse(F.transform(told, lambda x: x["line"])), "\n").alias("newest_first"))
+
+
+@query()
+def d3_bm25_stemmed_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Document frequencies of Porter stems."""
+    d = table(spark, sf, "conversations").select("conv_id", F.explode(F.array_distinct(stemmed(search.tokens(F.col("text"))))).alias("stem"))
+    return d.groupBy("stem").agg(F.count("*").alias("df"))
+
+
+@query()
+def m1_embed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = embed.with_embedding(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "text", embed.HashEmbedder(32))
+    return rows.select("conv_id", "turn", "embedding", "embed_error")
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS total, count(*) AS embedded, 0 AS failed, (SELECT count(*) FROM documents) - count(*) AS skipped FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def l8_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"))
+    return embed.backfill_summary(chunks, embed.backfill(chunks, vectors, "text", embed.HashEmbedder()))
+
+
+@query("SELECT p_partkey, p_brand, count(*) AS n, sum(l_quantity)::DOUBLE AS q FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ROLLUP (p_brand, p_partkey) HAVING p_partkey IS NULL")
+def e18_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    j = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    return j.rollup("p_brand", "p_partkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("double").alias("q")).where("p_partkey is null")
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, text, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) SELECT count(*) AS n FROM m WHERE role = 'user' AND p = 'assistant'""")
+def f9_adjacent_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return capture.correction_events(_messages(spark, sf), [""], skip_harness=False).agg(F.count("*").alias("n"))

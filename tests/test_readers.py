@@ -103,3 +103,61 @@ def test_gate_small_corpus(spark):
     items = spark.createDataFrame([(7, "some filler words"), (8, "filler")], "item_id int, item_text string")
     idfs = relevance.token_idf(docs, prompts.select(F.explode(tx.prompt_tokens(F.col("prompt"))).alias("term")), "content")
     assert {(r.item_id, r.passed) for r in relevance.lineage_gate(prompts, items, idfs).collect()} == {(7, True), (8, False)}
+
+
+def test_stems():
+    from memspark.functions.stem import stem
+
+    # Examples of the paper.
+    for word, want in {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "digitizer": "digit", "triplicate": "triplic", "hopeful": "hope", "revival": "reviv", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "rate": "rate", "controll": "control", "roll": "roll"}.items():
+        assert stem(word) == want, word
+
+
+def test_embedding_failures_are_rows(spark):
+    from memspark.functions import embed
+
+    class Narrow(embed.HashEmbedder):
+        def embed(self, text):
+            if "bad" in text:
+                raise RuntimeError("no")
+            if len(text) > 2_000:
+                raise embed.TooLong
+            return super().embed(text)
+
+    rows = spark.createDataFrame([(1, "fine"), (2, "bad"), (3, "x " * 20_000)], "id int, text string")
+    got = {r.id: r for r in embed.with_embedding(rows, "text", Narrow(8)).collect()}
+    assert got[2].embedding is None and got[2].embed_error.startswith("RuntimeError")
+    assert len(got[1].embedding) == 8 and got[3].embed_error is None
+
+
+def test_appended_lines(spark, tmp_path):
+    from memspark.sources.appended import AppendedReader
+
+    log = tmp_path / "s1.jsonl"
+    log.write_bytes(b"one\ntwo\npar")
+    reader = AppendedReader({"path": f"file://{tmp_path}", "from": "start"})
+
+    def lines(start, end):
+        return [x for p in reader.partitions(start, end) for x in reader.read(p)]
+
+    a = reader.latestOffset()
+    assert [(f, v) for f, _, v in lines(reader.initialOffset(), a)] == [("s1", "one"), ("s1", "two")]
+    with log.open("ab") as f:
+        f.write(b"tial\nlast\n")
+    b = reader.latestOffset()
+    assert [(e, v) for _, e, v in lines(a, b)] == [(16, "partial"), (21, "last")]
+    assert lines(b, b) == []
+    assert AppendedReader({"path": f"file://{tmp_path}"}).initialOffset() == b
+
+
+def test_stream_of_appended_lines(spark, tmp_path):
+    from memspark.sources.appended import AppendedLines
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "s.jsonl").write_text("a\nb\n")
+    spark.dataSource.register(AppendedLines)
+    stream = spark.readStream.format("appended_lines").option("from", "start").load(f"file://{tmp_path}/in")
+    q = stream.writeStream.format("memory").queryName("appended").option("checkpointLocation", f"file://{tmp_path}/c").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.value for r in spark.table("appended").collect()) == ["a", "b"]
