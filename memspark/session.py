@@ -58,8 +58,16 @@ def drop_scratch(df: DataFrame) -> None:
 _SHIPPED: set[str] = set()
 
 
+#: Rows that Python workers get at once: whole texts are long, and Spark's default of 10,000 rows
+#: of a few KB, held as Arrow and as Python strings, fills a small executor.
+ROWS_PER_BATCH = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
+    """Send this package to the executors, once for each application; lower the default Arrow batch."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(ROWS_PER_BATCH))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
