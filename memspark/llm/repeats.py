@@ -11,7 +11,8 @@ a repetitive corpus without looking at strings. Strings of different phrases can
 the phrases have the same trigger, so only dictionary phrases whose trigger has several phrases
 are taken apart: their suffixes, cut at ``WINDOW`` bytes, are grouped as a suffix array of the
 dictionary would group them (by a hash of those bytes, as only equality and the earliest in corpus
-order matter), and each but the earliest repeats.
+order matter), and each but the earliest repeats. The phrases of one trigger meet as bytes; those
+of a trigger with more than ``HOT`` rows are dealt out as single strings instead.
 
 Every task first settles what repeats among its own rows, so a passage that very many documents
 share reaches the shuffle once for each batch of rows. A trigger with many different phrases in
@@ -33,6 +34,10 @@ WINDOW = 100
 GRAM = 32
 #: Phrases of one trigger in one batch beyond which they are dealt out by phrase.
 MANY = 16
+#: Rows of one trigger beyond which its phrases are taken apart before they meet.
+HOT = 2_000
+#: Phrases that a task takes apart at once.
+BLOCK = 20_000
 _POSITION = 20
 _CHUNK = 1 << _POSITION
 _U = np.uint64
@@ -116,23 +121,18 @@ def _phrases(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> np.n
     return np.concatenate(found, axis=1) if found else np.zeros((5, 0), dtype=np.uint64)
 
 
-def _strings(texts: list[bytes], spans: list[np.ndarray], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, start, hash) of all strings that start within packed spans of the texts, in order."""
-    owner, start, value = [], [], []
-    for k, (t, sp) in enumerate(zip(texts, spans, strict=True)):
-        lo, n = np.sort(sp) >> 24, np.sort(sp) & 0xFFFFFF
-        for piece in np.unique(lo // (_CHUNK // 2)):
-            at = int(piece) * (_CHUNK // 2)
-            own = lo // (_CHUNK // 2) == piece
-            s, q = _sums(t[at : at + _CHUNK]), _powers()[1]
-            a, c = lo[own] - at, n[own]
-            p = np.unique(np.arange(int(c.sum())) + np.repeat(a - (np.cumsum(c) - c), c))
-            owner.append(np.full(len(p), k))
-            start.append(p + at)
-            value.append((s[p + window] - s[p]) * q[p])
-    if not owner:
+def _strings(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, start, hash) of all strings of texts, in order."""
+    parts = []
+    for buffer, starts, lengths, owners, offsets in _pieces(texts, window):
+        s, q = _sums(buffer), _powers()[1]
+        count = lengths - window + 1
+        own = np.repeat(np.arange(len(count)), count)
+        p = np.arange(len(own)) + np.repeat(starts - (np.cumsum(count) - count), count)
+        parts.append((owners[own], p - starts[own] + offsets[own], (s[p + window] - s[p]) * q[p]))
+    if not parts:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate(owner), np.concatenate(start), np.concatenate(value)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _packed(owner: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,14 +180,15 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(owner):
             continue
         owner, lo, n = owner.astype(np.int64), lo.astype(np.int64), n.astype(np.int64)
+        trigger = trigger >> _U(24)  # 40 bits deal out well; the phrase hash tells phrases apart
         first = _earliest(phrase)
         own, span = _packed(owner[~first], lo[~first], n[~first])
         if len(own):
-            yield _rows(_mixed(span.astype(np.uint64) ^ d[own].astype(np.uint64)), np.zeros(len(own), np.int64), d[own], tie[own], span, np.full(len(own), _REPEATS))
+            yield _rows(_mixed(span.astype(np.uint64) ^ d[own].astype(np.uint64)) >> _U(24), np.zeros(len(own), np.int64), d[own], tie[own], span, np.full(len(own), _REPEATS))
         owner, lo, n, trigger, phrase = owner[first], lo[first], n[first], trigger[first], phrase[first]
         _, at, count = np.unique(trigger, return_inverse=True, return_counts=True)
         many = count[at] > MANY
-        key = np.where(many, _mixed(trigger ^ phrase), trigger)
+        key = np.where(many, _mixed(trigger ^ phrase) >> _U(24), trigger)
         yield _rows(key, phrase, d[owner], tie[owner], lo << 24 | n, np.where(many, _SPREAD, _PHRASE))
         if many.any():
             noted = np.unique(trigger[many])
@@ -195,44 +196,113 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(noted, zero, zero, zero, zero, np.full(len(noted), _NOTE))
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings of the asked phrases of a batch, less those that repeat an earlier one of the batch."""
-    for b in batches:
-        for i in range(0, b.num_rows, 1000):
-            part = b.slice(i, 1000)
-            d, tie, texts, order = _ordered(part)
-            asked = part.column(3).take(pa.array(order)).to_numpy(zero_copy_only=False)
-            owner, start, value = _strings(texts, [np.asarray(x, dtype=np.int64) for x in asked])
-            if not len(owner):
-                continue
-            first = _earliest(value)
-            own, span = _packed(owner[~first], start[~first], np.ones((~first).sum(), np.int64))
-            if len(own):
-                yield _rows(_mixed(span.astype(np.uint64) ^ d[own].astype(np.uint64)), np.zeros(len(own), np.int64), d[own], tie[own], span, np.full(len(own), _REPEATS))
-            owner, start, value = owner[first], start[first], value[first]
-            yield _rows(value, np.zeros(len(value), np.int64), d[owner], tie[owner], start << 24 | 1, np.full(len(owner), _PHRASE))
+_PART = "key bigint, d bigint, tie bigint, span bigint, bytes binary"
+#: The key of strings that are settled already.
+_SETTLED = -1
+
 
+def _parts(key: np.ndarray, d: np.ndarray, tie: np.ndarray, span: np.ndarray, data: list | None) -> pa.RecordBatch:
+    arrays = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)) for x in (key, d, tie, span)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(data if data is not None else [None] * len(key), pa.binary())], names=["key", "d", "tie", "span", "bytes"])
 
-def _is_later(rows: DataFrame, *group: str):
-    """True where an earlier row of the group exists; identical rows are one."""
-    own = F.struct("d", "tie", "span")
-    return F.when(F.col("kind") == _NOTE, F.lit(False)).otherwise(own > F.min(F.when(F.col("kind") != _NOTE, own)).over(Window.partitionBy(*group)))
 
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The asked phrases of a batch's documents as bytes; those of hot triggers as single strings.
 
-def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(d, tie, text) -> (d, tie, spans): packed spans of the string starts that repeat."""
-    parsed = texts.mapInArrow(_parse, _ROW).repartition("key")
+    Of a hot trigger's strings, those that repeat an earlier one of the batch come back settled.
+    """
+    for b in batches:
+        d, tie, texts, order = _ordered(b)
+        asked = b.column(3).take(pa.array(order)).to_pylist()
+        cold, hot = ([], [], []), ([], [], [])
+        for k, (text, phrases) in enumerate(zip(texts, asked, strict=True)):
+            for x in sorted(phrases, key=lambda x: x["span"]):
+                lo, n = x["span"] >> 24, x["span"] & 0xFFFFFF
+                to = hot if x["hot"] else cold
+                to[0].append(k)
+                to[1].append(x["span"] if x["hot"] else (x["key"], x["span"]))
+                to[2].append(text[lo : lo + n - 1 + WINDOW])
+        if cold[0]:
+            at, ks = np.array(cold[0]), np.array(cold[1], dtype=np.int64)
+            yield _parts(ks[:, 0], d[at], tie[at], ks[:, 1], cold[2])
+        if hot[0]:
+            at, lo = np.array(hot[0]), np.array(hot[1], dtype=np.int64) >> 24
+            own, start, value = _strings(hot[2])
+            doc, start, value = at[own], lo[own] + start, value & _U(2**63 - 1)
+            first = _earliest(value)
+            who, span = _packed(doc[~first], start[~first], np.ones(int((~first).sum()), np.int64))
+            yield _parts(np.full(len(who), _SETTLED), d[who], tie[who], span, None)
+            yield _parts(value[first], d[doc[first]], tie[doc[first]], start[first] << 24 | 1, None)
+
+
+def _later(rows: pa.Table) -> pa.RecordBatch | None:
+    """Of rows that hold all of their keys: spans of strings that repeat an earlier one."""
+    key, d, tie, span = (rows.column(i).to_numpy() for i in range(4))
+    order = np.lexsort((key, span, tie, d))
+    twice = np.all([np.diff(x[order]) == 0 for x in (key, d, tie, span)], axis=0)
+    order = order[np.concatenate(([True], ~twice))]
+    key, d, tie, span = key[order], d[order], tie[order], span[order]
+    doc = np.concatenate(([0], np.cumsum((np.diff(d) != 0) | (np.diff(tie) != 0))))
+    data = rows.column(4).take(pa.array(order)).to_pylist()
+    lone = np.flatnonzero([x is None for x in data])  # single strings: the key is their hash
+    own, start, value = _strings([x or b"" for x in data])
+    own, start = np.concatenate([own, lone]), np.concatenate([start, np.zeros(len(lone), np.int64)])
+    value = np.concatenate([value & _U(2**63 - 1), key[lone].astype(np.uint64)])
+    start = (span >> 24)[own] + start
+    place = np.lexsort((start, doc[own]))
+    own, start, value = own[place], start[place], value[place]
+    again = ~_earliest(value)
+    if not again.any():
+        return None
+    who, packed = _packed(doc[own[again]], start[again], np.ones(int(again.sum()), np.int64))
+    at = np.searchsorted(doc, who)
+    return pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(tie[at]), pa.array(packed)], names=["d", "tie", "span"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key: settled ones pass, whole keys of others are taken a bounded block at a time."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        done = int((b.column(0).to_numpy() == _SETTLED).sum())  # they sort first
+        if done:
+            yield pa.RecordBatch.from_arrays([b.column(i).slice(0, done) for i in (1, 2, 3)], names=["d", "tie", "span"])
+        if done < b.num_rows:
+            held.append(b.slice(done))
+            n += b.num_rows - done
+        if n < BLOCK:
+            continue
+        rows = pa.Table.from_batches(held)
+        key = rows.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+        if cut and (out := _later(rows.slice(0, cut).combine_chunks())) is not None:
+            yield out
+        rest = rows.slice(cut)
+        held, n = rest.to_batches(), rest.num_rows
+    if n and (out := _later(pa.Table.from_batches(held).combine_chunks())) is not None:
+        yield out
+
+
+def repeated_spans(own: DataFrame) -> DataFrame:
+    """(d, tie, text, ...) -> (d, tie, spans): packed spans of the string starts that repeat."""
+    parsed = own.select("d", "tie", "text").mapInArrow(_parse, _ROW).repartition("key")
+    place, note = F.struct("d", "tie", "span"), F.col("kind") == _NOTE
+    earliest = F.min(F.when(~note, place)).over(Window.partitionBy("key", "phrase"))
     several = Window.partitionBy("key")
-    parsed = parsed.withColumn("later", _is_later(parsed, "key", "phrase"))
-    parsed = parsed.withColumn("asks", (F.min("phrase").over(several) != F.max("phrase").over(several)) | (F.max((F.col("kind") == _NOTE).cast("int")).over(several) == 1))
+    noted = F.max(note.cast("int")).over(several) == 1
+    parsed = parsed.withColumn("later", ~note & (place > earliest))
+    parsed = parsed.withColumn("asks", noted | (F.min("phrase").over(several) != F.max("phrase").over(several)))
+    parsed = parsed.withColumn("hot", noted | (F.count("*").over(several) > HOT) | (F.col("kind") == _SPREAD))
     repeats = (F.col("kind") == _REPEATS) | F.col("later")
     asks = (F.col("kind") == _SPREAD) | ((F.col("kind") == _PHRASE) & F.col("asks"))
-    settled = parsed.select("d", "tie", "span", F.when(repeats, F.lit(False)).when(asks, F.lit(True)).alias("ask")).where("ask is not null")
+    settled = parsed.select("d", "tie", "span", F.when(repeats, F.lit(False)).when(asks, F.lit(True)).alias("ask"), F.when(~repeats, F.col("key")).alias("key"), "hot").where("ask is not null")
     settled = materialize(settled, "phrases")
-    asked = settled.where("ask").groupBy("d", "tie").agg(F.collect_list("span").alias("asked"))
-    strings = texts.join(asked, ["d", "tie"]).select("d", "tie", "text", "asked").mapInArrow(_suffixes, _ROW)
-    strings = strings.withColumn("later", _is_later(strings, "key"))
-    again = strings.where((F.col("kind") == _REPEATS) | F.col("later")).select("d", "tie", "span")
+    asked = settled.where("ask").groupBy("d", "tie").agg(F.collect_list(F.struct("span", "key", "hot")).alias("asked"))
+    # All columns of the documents go along, so that the last join reads the same exchange again.
+    rest = [c for c in own.columns if c not in ("d", "tie", "text")]
+    parts = own.join(asked, ["d", "tie"]).select("d", "tie", "text", "asked", *rest).mapInArrow(_suffixes, _PART)
+    dealt = F.when(F.col("key") == _SETTLED, F.xxhash64("d", "span")).otherwise(F.col("key"))
+    again = parts.repartition(dealt).sortWithinPartitions("key").mapInArrow(_meet, "d bigint, tie bigint, span bigint")
     return settled.where("not ask").select("d", "tie", "span").union(again).groupBy("d", "tie").agg(F.collect_list("span").alias("spans"))
 
 
@@ -289,10 +359,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     ship_package(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("d"), F.xxhash64(text).alias("tie"), text.alias("text"), F.struct(F.col(id_col).alias("id"), *(F.col(c) for c in keep)).alias("row"))
-    spans = repeated_spans(own.select("d", "tie", "text"))
+    # Ties only matter where an id has several rows.
+    several = docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1")
+    tie = F.lit(0).cast("bigint") if several.isEmpty() else F.xxhash64(text)
+    own = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("d"), tie.alias("tie"), text.alias("text"), F.col(id_col).alias("_id"), *(F.col(c).alias(f"_{c}") for c in keep))
+    spans = repeated_spans(own)
     types = docs.schema
-    flat = own.join(spans, ["d", "tie"], "left").select("text", "spans", F.col("row.id").alias(id_col), *(F.col(f"row.{c}").alias(c) for c in keep))
+    flat = own.join(spans, ["d", "tie"], "left").select("text", "spans", F.col("_id").alias(id_col), *(F.col(f"_{c}").alias(c) for c in keep))
     schema = T.StructType([types[id_col], *(types[c] for c in keep)])
     for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())):
         schema = schema.add(name, kind)
