@@ -13,30 +13,35 @@ words seen before are answered from a bounded memory.
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from memspark.session import ship_package
 
 BLANK = "▁"
-#: Characters and ids of the words that a worker remembers; a full memory is emptied.
-REMEMBERED = 6_000_000
+#: Words that a worker remembers (a long one counts for more); a full memory is emptied.
+REMEMBERED = 400_000
+#: In the search, characters without a piece are numbered from here.
+_LACKING = 1 << 20
+_NEVER = float("-inf")
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _CODERS: dict[str, PieceCoder] = {}
 
 
-class PieceCoder:
-    """One model's pieces, with streaming encoding and decoding."""
+class PieceCoder(dict):
+    """One model's pieces, with streaming encoding and decoding.
+
+    As a dict it remembers words (without the blank before them) with their ids, as bytes.
+    """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -44,105 +49,153 @@ class PieceCoder:
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         special = {i for i in range(n) if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)}
         self.score = {p: model.get_score(i) for i, p in enumerate(self.pieces) if i not in special}
-        self.id_of = {p: i for i, p in enumerate(self.pieces) if i not in special}
         self.byte_id = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.bytes_of = [b"" if model.is_control(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
         for b, i in enumerate(self.byte_id):
             self.bytes_of[i] = bytes([b])
-        self.longest = max(map(len, self.id_of))
-        self.stable = lru_cache(maxsize=1 << 18)(self._stable)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.longest = max(map(len, self.score))
+        # Pieces that merging their own characters gives; others never appear.
+        self.id_of = {p: i for i, p in enumerate(self.pieces) if i not in special and self.merge(p) == [p]}
+        # Every ending of a piece, with the piece's id where it is a piece itself.
+        self.tails = {p[i:]: -1 for p in self.id_of for i in range(len(p))} | self.id_of
+        self.stable: dict[int, bool] = {}
         self.weight = 0
 
-    def merge(self, text: str) -> list[str]:
-        """Byte-pair merges of a short text, best score first, leftmost among equals."""
-        part, after, before = list(text), list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
-        heap: list[tuple[float, int, int, str]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(part) and (s := self.score.get(part[i] + part[j])) is not None:
-                heapq.heappush(heap, (-s, i, j, part[i] + part[j]))
-
-        for i in range(len(part) - 1):
-            offer(i)
-        while heap:
-            _, i, j, both = heapq.heappop(heap)
-            if not part[i] or not part[j] or part[i] + part[j] != both or after[i] != j:
-                continue
-            part[i], part[j] = both, ""
-            after[i] = after[j]
-            if after[i] < len(part):
-                before[after[i]] = i
-                offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [p for p in part if p]
+    def merge(self, text: str, apart: int = 0) -> list[str] | None:
+        """Byte-pair merges of a short text, best score first, leftmost among equals.
+
+        None as soon as a merge goes over the place ``apart``.
+        """
+        score = self.score.get
+        part = list(text)
+        gain = [score(a + b, _NEVER) for a, b in zip(part, part[1:], strict=False)]
+        while gain and (best := max(gain)) > _NEVER:
+            i = gain.index(best)
+            if apart and sum(map(len, part[: i + 1])) == apart:
+                return None
+            part[i : i + 2] = [part[i] + part[i + 1]]
+            del gain[i]
+            if i < len(gain):
+                gain[i] = score(part[i] + part[i + 1], _NEVER)
+            if i:
+                gain[i - 1] = score(part[i - 1] + part[i], _NEVER)
+        return part
 
     def _stable(self, left: str, right: str) -> bool:
-        return self.merge(left + right) == [left, right]
+        """Whether merging the characters of two pieces afresh gives the same two."""
+        return self.merge(left + right, len(left)) is not None
 
-    def stream(self, text: str) -> Iterator[str]:
-        """The pieces of a text, in order, each as soon as it is certain."""
+    def stream(self, text: str) -> Iterator[int]:
+        """The ids of a text, in order, each as soon as it is certain.
+
+        A character that the vocabulary lacks is a piece of its own, numbered beyond the
+        vocabulary in the search and written as the ids of its bytes.
+        """
+        longest, n = self.longest, len(text)
         done = 0  # all before it is committed
-        last: dict[int, str] = {}  # position -> the surviving path's last piece, from the window on
-        back: dict[int, int] = {}
-        held = ""  # the last committed piece
-        for end in range(1, len(text) + 1):
-            for start in range(max(done, end - self.longest), end):
-                piece = text[start:end]
-                if end - start > 1 and piece not in self.score or start != done and start not in last:
-                    continue
-                if end - start > 1 and self.merge_whole(piece) is False:
-                    continue
-                left = last[start] if start != done else held
-                if not left or self.stable(left, piece):
-                    last[end], back[end] = piece, start
-                    break
-            # Paths of the positions that can still be extended, traced to where they meet.
-            if end - done >= 2 * self.longest or end == len(text):
-                front = {p for p in range(max(done + 1, end - self.longest + 1), end + 1)} if end < len(text) else {end}
+        last = [-1] * (n + 1)  # position -> the surviving path's last piece
+        back = [0] * (n + 1)
+        for end in range(1, n + 1):
+            last[end], back[end] = self._extend(text, end, max(done, end - longest), last)
+            if end == n or end - done >= 2 * longest:
+                # Paths of the positions that can still be extended, traced to where they meet.
+                front = {end} if end == n else set(range(max(done + 1, end - longest + 1), end + 1))
                 while len(front) > 1:
-                    front.add(back.get(p := max(front), done))
+                    p = max(front)
                     front.discard(p)
+                    front.add(max(back[p], done))
                 meet = front.pop()
                 out, p = [], meet
                 while p > done:
                     out.append(last[p])
                     p = back[p]
-                if out:
-                    yield from reversed(out)
-                    done, held = meet, out[0]
-                    for p in [p for p in last if p <= done]:
-                        del last[p], back[p]
-
-    @lru_cache(maxsize=1 << 17)  # noqa: B019
-    def merge_whole(self, piece: str) -> bool:
-        """Whether merging a piece's characters gives the piece."""
-        return self.merge(piece) == [piece]
-
-    def ids(self, piece: str) -> list[int]:
-        """A piece's id, or its bytes' ids where the vocabulary lacks the character."""
-        i = self.id_of.get(piece)
-        return [i] if i is not None else [self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass")]
-
-    def _learn(self, words: list[str]) -> None:
-        for w in words:
-            found = tuple(i for p in self.stream(w) for i in self.ids(p))
-            self.weight += len(w) + len(found)
-            self.known[w] = found
+                for piece in reversed(out):
+                    yield from self._ids(piece)
+                done = meet
+
+    def _ids(self, piece: int) -> tuple[int, ...]:
+        if piece < _LACKING:
+            return (piece,)
+        return tuple(self.byte_id[b] for b in chr(piece - _LACKING).encode("utf-8", "surrogatepass"))
+
+    def _extend(self, text: str, end: int, first: int, last: list[int]) -> tuple[int, int]:
+        """The surviving path's last piece at ``end`` and where it starts, from those before."""
+        tails, stable = self.tails.get, self.stable
+        for start in range(end - 1, first - 1, -1):
+            piece = tails(text[start:end])
+            if piece is None:
+                if start < end - 1:
+                    break
+                piece = _LACKING + ord(text[start])
+            elif piece < 0:
+                continue
+            if not start:
+                return piece, start
+            left = last[start]
+            pair = left << 22 | piece
+            ok = stable.get(pair)
+            if ok is None:
+                if len(stable) > 400_000:
+                    stable.clear()
+                ok = stable[pair] = left >= _LACKING or piece >= _LACKING or self._stable(self.pieces[left], self.pieces[piece])
+            if ok:
+                return piece, start
+        raise ValueError(f"no path reaches position {end}")
+
+    def learn(self, words: list[str]) -> None:
+        """Remember words; a word continues from the survivors of the prefix that it shares with the one before."""
+        if self.weight + len(words) > REMEMBERED:
+            self.clear()
+            self.weight = 0
+        self.weight += len(words)
+        text, last, back, longest = "", [-1], [0], self.longest
+        for word in sorted(words):
+            if len(word) > 64:
+                self[word] = np.fromiter(self.stream(BLANK + word), dtype=np.int32).tobytes()
+                self.weight += len(word) // 64
+                continue
+            was, text = text, BLANK + word
+            k, most = 0, min(len(was), len(text))
+            while k < most and was[k] == text[k]:
+                k += 1
+            del last[k + 1 :], back[k + 1 :]
+            for end in range(k + 1, len(text) + 1):
+                piece, start = self._extend(text, end, max(0, end - longest), last)
+                last.append(piece)
+                back.append(start)
+            out, p = [], len(text)
+            while p:
+                out.append(last[p])
+                p = back[p]
+            out.reverse()
+            if max(out) >= _LACKING:
+                out = [i for piece in out for i in self._ids(piece)]
+            self[word] = np.array(out, dtype=np.int32).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        self.learn([word])
+        return self[word]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of whole texts; new words are learnt together."""
+        out = []
+        for i in range(0, len(texts), 512):
+            part = texts[i : i + 512]
+            new = set().union(*(t.split(" ") for t in part if BLANK not in t)).difference(self)
+            self.learn(list(new))
+            out += [self.encode(t) for t in part]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
         if not text:
             return np.empty(0, dtype=np.int32)
-        words = _WORDS.findall(BLANK + text.replace(" ", BLANK))
-        if self.weight > REMEMBERED:
-            self.known.clear()
-            self.weight = 0
-        every = set(words)
-        self._learn(sorted(every.difference(self.known)))
-        return np.array(list(chain.from_iterable(map(self.known.__getitem__, words))), dtype=np.int32)
+        if BLANK in text:
+            text = text.replace(BLANK, " ")
+        if "  " in text or text[0] == " " or text[-1] == " ":  # runs of blanks have pieces of their own
+            runs = _WORDS.findall(BLANK + text.replace(" ", BLANK))
+            return np.frombuffer(b"".join(self[w[1:]] for w in runs), dtype=np.int32)
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split(" "))), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; blanks come back as spaces and the leading one goes."""
@@ -161,11 +214,17 @@ def encode_documents(docs: DataFrame, model: str, text_col: str = "text", out: s
     """Add the ids of every whole text; null and empty texts have none. Other columns pass through."""
     ship_package(docs.sparkSession)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = coder(model)
-        for s in texts:
-            yield pd.Series([own.encode(t or "") for t in s], dtype="object")
+        for column in texts:
+            parts, sizes = [], [0]
+            for i in range(0, len(column), 512):
+                for ids in own.encode_all([t or "" for t in column.slice(i, 512).to_pylist()]):
+                    parts.append(ids)
+                    sizes.append(len(ids))
+            flat = np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(flat))
 
     return docs.withColumn(out, encode(F.col(text_col)))
 
@@ -197,9 +256,10 @@ def token_digest(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         own = coder(model)
         for s in texts:
             rows = []
-            for t in s:
-                ids = own.encode(t or "")
-                rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), own.decode(ids) == (t or "").replace(BLANK, " ")))
+            for i in range(0, len(s), 512):
+                texts = [t or "" for t in s.iloc[i : i + 512]]
+                for t, ids in zip(texts, own.encode_all(texts), strict=True):
+                    rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), own.decode(ids) == t.replace(BLANK, " ")))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "decoded_equal"])
 
     return docs.select(F.col(id_col), digest(F.col(text_col)).alias("d")).select(id_col, "d.n_tokens", "d.ids_crc32", "d.decoded_equal")
