@@ -203,26 +203,27 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are linked if the Jaccard similarity of their sets of five-word shingles (A-Z
     lower-cased) is at least ``similarity``; candidates come from the byte-position index over
     512-bit fingerprints and are verified on the whole sets. Equal fingerprints are one node.
-    Null and empty texts are equal texts. Null ids count as larger than all others; of rows that
-    repeat an id within a group one stays.
+    Null and empty texts are equal texts. Null ids count as larger than all others; of rows of a
+    group that repeat its smallest id, the one with the smallest hash of its text stays. Rows are
+    told apart by id and text, so different texts under one id, or under none, are judged each.
     """
     ship_package(docs.sparkSession)
-    last = F.lit(2**63 - 1)
-    own = docs.select(F.coalesce(F.col(id_col).cast("bigint"), last).alias("id"), wide_simhash(F.col(text_col)).alias("fp"))
-    own = materialize(own.select("id", "fp", F.xxhash64("fp").alias("node")), "wide_fingerprints")
-    nodes = materialize(own.groupBy("node").agg(F.min("id").alias("id"), F.min("fp").alias("fp")), "wide_nodes")
+    keys = ["_unnamed", "_id", "_text"]
+    row = [F.col(id_col).isNull().alias("_unnamed"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("_id"), F.xxhash64(text_col).alias("_text")]
+    own = docs.select(*row, wide_simhash(F.col(text_col)).alias("fp"))
+    own = materialize(own.select(*keys, "fp", F.xxhash64("fp").alias("node")), "wide_fingerprints")
+    nodes = materialize(own.groupBy("node").agg(F.min(F.struct(*keys)).alias("row"), F.min("fp").alias("fp")), "wide_nodes")
     pairs = materialize(_similar_nodes(nodes.select("node", "fp")), "candidates")
     paired = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    of_id = docs.select(F.coalesce(F.col(id_col).cast("bigint"), last).alias("id"), F.col(text_col).alias("text"))
-    wanted = nodes.join(paired, "node", "left_semi").select("node", "id")
-    sets = materialize(of_id.join(wanted, "id").select("node", shingle_set("text").alias("s")).groupBy("node").agg(F.first("s").alias("s")), "shingle_sets")
+    wanted = nodes.join(paired, "node", "left_semi").select("node", "row.*")
+    texts = docs.select(*row, F.col(text_col).alias("text")).join(wanted, keys)
+    sets = materialize(texts.select("node", shingle_set("text").alias("s")).groupBy("node").agg(F.first("s").alias("s")), "shingle_sets")
     both = pairs.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
     shared = F.size(F.array_intersect("su", "sv"))
     union = F.size("su") + F.size("sv") - shared
     linked = both.where((union == 0) | (shared >= F.lit(similarity) * union)).select("u", "v")
     comp = connected_components(linked).withColumnRenamed("root", "group")
-    grouped = nodes.select("node", "id").join(comp, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    stays = materialize(grouped.groupBy("group").agg(F.min("id").alias("id")).select("id").distinct(), "stays")
-    key = F.coalesce(F.col(id_col).cast("bigint"), last)
-    kept = docs.withColumn("_key", key).join(stays.withColumnRenamed("id", "_key"), "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).drop("_key")
+    grouped = nodes.select("node", "row").join(comp, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    stays = materialize(grouped.groupBy("group").agg(F.min("row").alias("row")).select("row.*"), "stays")
+    kept = docs.select("*", *row).join(stays, keys, "left_semi")
+    return kept.dropDuplicates(keys).drop(*keys)

@@ -126,6 +126,16 @@ def test_keep_one_of_each(spark, odd, none):
     assert simhash.keep_one_of_each(none).count() == 0
 
 
+def test_keep_one_of_each_tells_rows_apart_by_id_and_text(spark, odd):
+    assert sorted(r.doc_id or -1 for r in simhash.keep_one_of_each(odd).collect()) == [-1, 1, 2, 6, 6]
+    rng = random.Random(6)
+    many = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(99)) for _ in range(60)) for _ in range(8)]
+    rows = [(None, t) for t in many[:5]] + [(None, many[0]), (7, many[1] + " more"), (7, many[5]), (7, many[6]), (7, many[6]), (2**63 - 1, many[4]), (0, many[7])]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    want = [(None, many[0]), (7, many[1] + " more"), (None, many[2]), (None, many[3]), (2**63 - 1, many[4]), (7, many[5]), (7, many[6]), (0, many[7])]
+    assert sorted(map(str, (tuple(r) for r in kept))) == sorted(map(str, want))
+
+
 # 2 Neighbours
 
 
