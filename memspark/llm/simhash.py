@@ -20,7 +20,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from memspark.llm.components import connected_components
 from memspark.session import materialize, ship_package
@@ -179,22 +179,66 @@ def _differing_bits(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.bitwise_count(x).reshape(len(a), -1).sum(1).astype(np.int32))
 
 
-def _similar_nodes(nodes: DataFrame) -> DataFrame:
-    """(node, fp) -> candidate pairs (u, v) that meet in the index and differ in WIDE_BITS at most.
-
-    Lists of up to MAX_POSTING meet in pairs; in a longer list each meets the smallest and the
-    largest node, and the other keys' lists, which hold other members, join what belongs together.
-    """
+def _similar_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, fp) -> candidate pairs (u, v) of lists up to MAX_POSTING that differ in WIDE_BITS at most, and the nodes of longer lists."""
     index = nodes.select("node", F.explode(_wide_keys("fp")).alias("key"))
-    lists = index.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
+    lists = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     posted = materialize(index.join(lists, "key"), "wide_postings")
     cold = posted.where(F.col("n") <= MAX_POSTING).select("key", "node")
-    pairs = cold.withColumnRenamed("node", "u").join(cold.withColumnRenamed("node", "v"), "key").where("u > v").select("u", "v")
-    hot = posted.where(F.col("n") > MAX_POSTING)
-    stars = hot.select(F.col("node").alias("u"), F.explode(F.array("low", "high")).alias("v")).where("u <> v")
-    pairs = pairs.union(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).distinct()
+    pairs = cold.withColumnRenamed("node", "u").join(cold.withColumnRenamed("node", "v"), "key").where("u > v").select("u", "v").distinct()
     left, right = nodes.toDF("u", "fu"), nodes.toDF("v", "fv")
-    return pairs.join(left, "u").join(right, "v").where(_differing_bits("fu", "fv") <= WIDE_BITS).select("u", "v")
+    pairs = pairs.join(left, "u").join(right, "v").where(_differing_bits("fu", "fv") <= WIDE_BITS).select("u", "v")
+    return pairs, posted.where(F.col("n") > MAX_POSTING).select("node").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose whole shingle sets (node, s) have the similarity."""
+    both = pairs.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
+    shared = F.size(F.array_intersect("su", "sv"))
+    union = F.size("su") + F.size("sv") - shared
+    return both.where((union == 0) | (shared >= F.lit(similarity) * union)).select("u", "v")
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, s) -> (shingle, node, m, n): each set's rarest shingles, its size, and the length of the shingle's list.
+
+    Two sets of similarity t share at least t times the larger one's size, so in any common order
+    they meet in the first m - ceil(t m) + 1 of each: none is lost.
+    """
+    each = sets.select("node", F.size("s").alias("m"), F.explode("s").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+    first = F.col("m") - F.ceil(F.lit(similarity) * F.col("m") - 1e-6) + 1
+    prefix = each.join(often, "shingle").withColumn("rank", rank).where(F.col("rank") <= first).where("often > 1").select("shingle", "node", "m")
+    prefix = materialize(prefix, "prefixes")
+    return prefix.join(prefix.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shingle")
+
+
+def _exact_links(sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) that, with the known ones, join all sets (node, s) of the similarity or more.
+
+    Lists of the prefix index up to MAX_POSTING meet in pairs. In a longer list all first meet its
+    smallest and largest node. Then every two of the list that are in different components yet
+    meet too, so no pair that could join two components goes unverified. A group that the first
+    links join costs no square; members that stay apart yet share rare shingles do.
+    """
+    near = F.least("m", "mv") >= F.lit(similarity) * F.greatest("m", "mv") - 1e-6
+    lists = materialize(_prefixes(sets, similarity), "prefix_lists")
+    short, long = lists.where(F.col("n") <= MAX_POSTING), lists.where(F.col("n") > MAX_POSTING)
+    met = short.select("shingle", F.col("node").alias("u"), "m").join(short.select("shingle", F.col("node").alias("v"), F.col("m").alias("mv")), "shingle").where("u > v").where(near).select("u", "v")
+    ends = long.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    stars = long.join(ends, "shingle").select(F.col("node").alias("u"), F.explode(F.array("low", "high")).alias("v")).where("u <> v")
+    first = materialize(met.union(stars.select(F.greatest("u", "v"), F.least("u", "v"))).distinct(), "prefix_pairs")
+    found = materialize(_verified(first, sets, similarity), "prefix_links")
+    comp = connected_components(known.union(found)).toDF("node", "part")
+    parts = materialize(long.join(comp, "node", "left").select("shingle", "node", "m", F.coalesce("part", "node").alias("part")), "parts")
+    sizes = parts.groupBy("shingle", "part").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("part", F.struct("c", "part")).alias("most"), F.count("*").alias("k")).where("k > 1")
+    split = parts.join(sizes.select("shingle", "most"), "shingle")
+    apart = split.where("part <> most").select("shingle", F.col("node").alias("u"), "m", "part")
+    every = split.select("shingle", F.col("node").alias("v"), F.col("m").alias("mv"), F.col("part").alias("other"))
+    rest = apart.join(every, "shingle").where("part <> other").where(near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    rest = materialize(rest.join(first, ["u", "v"], "left_anti"), "rest_pairs")
+    return found.union(_verified(rest, sets, similarity))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -202,7 +246,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are linked if the Jaccard similarity of their sets of five-word shingles (A-Z
     lower-cased) is at least ``similarity``; candidates come from the byte-position index over
-    512-bit fingerprints and are verified on the whole sets. Equal fingerprints are one node.
+    512-bit fingerprints and are verified on the whole sets. Nodes of an index list longer than
+    MAX_POSTING are joined exactly, by the rarest shingles of their sets. Equal fingerprints are one node.
     Null and empty texts are equal texts. Null ids count as larger than all others; of rows of a
     group that repeat its smallest id, the one with the smallest hash of its text stays. Rows are
     told apart by id and text, so different texts under one id, or under none, are judged each.
@@ -213,15 +258,14 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = docs.select(*row, wide_simhash(F.col(text_col)).alias("fp"))
     own = materialize(own.select(*keys, "fp", F.xxhash64("fp").alias("node")), "wide_fingerprints")
     nodes = materialize(own.groupBy("node").agg(F.min(F.struct(*keys)).alias("row"), F.min("fp").alias("fp")), "wide_nodes")
-    pairs = materialize(_similar_nodes(nodes.select("node", "fp")), "candidates")
-    paired = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    pairs, crowded = _similar_nodes(nodes.select("node", "fp"))
+    pairs, crowded = materialize(pairs, "candidates"), materialize(crowded, "crowded")
+    paired = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(crowded).distinct()
     wanted = nodes.join(paired, "node", "left_semi").select("node", "row.*")
     texts = docs.select(*row, F.col(text_col).alias("text")).join(wanted, keys)
     sets = materialize(texts.select("node", shingle_set("text").alias("s")).groupBy("node").agg(F.first("s").alias("s")), "shingle_sets")
-    both = pairs.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
-    shared = F.size(F.array_intersect("su", "sv"))
-    union = F.size("su") + F.size("sv") - shared
-    linked = both.where((union == 0) | (shared >= F.lit(similarity) * union)).select("u", "v")
+    linked = materialize(_verified(pairs, sets, similarity), "links")
+    linked = linked.union(_exact_links(sets.join(crowded, "node", "left_semi"), linked, similarity))
     comp = connected_components(linked).withColumnRenamed("root", "group")
     grouped = nodes.select("node", "row").join(comp, "node", "left").withColumn("group", F.coalesce("group", "node"))
     stays = materialize(grouped.groupBy("group").agg(F.min("row").alias("row")).select("row.*"), "stays")

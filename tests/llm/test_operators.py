@@ -10,6 +10,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -136,6 +137,26 @@ def test_keep_one_of_each_tells_rows_apart_by_id_and_text(spark, odd):
     assert sorted(map(str, (tuple(r) for r in kept))) == sorted(map(str, want))
 
 
+def test_keep_one_of_each_finds_all_copies_in_long_lists(spark, monkeypatch):
+    # Every node is under the same few keys, as if the corpus were very large.
+    same = F.pandas_udf(lambda s: pd.Series([[0, 1]] * len(s)), "array<bigint>")
+    monkeypatch.setattr(simhash, "_wide_keys", same)
+    rng = random.Random(8)
+    stock = [f"s{i}" for i in range(90)]
+    rows, want = [], set()
+    for i in range(120):  # 120 different texts with shared boilerplate, each with a near copy
+        body = [f"b{rng.randrange(5000)}" for _ in range(110)]
+        rows.append((i, " ".join(stock + body)))
+        rows.append((1000 + i, " ".join(stock + body[:50] + ["changed"] + body[51:])))
+        want.add(i)
+    base = [f"c{i}" for i in range(150)]
+    for i in range(60):  # a group of near copies that a chain of small changes holds together
+        rows.append((2000 + i, " ".join([f"x{k}" for k in range(i)] + base[i:])))
+    want.add(2000)
+    got = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert {r.doc_id for r in got.collect()} == want
+
+
 # 2 Neighbours
 
 
