@@ -19,11 +19,13 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from memspark.llm.components import connected_components
-from memspark.session import materialize, ship_package
+from memspark.llm.names import fresh
+from memspark.session import drop_scratch, materialize, ship_package
 
 MAX_BITS = 2
 MIN_SHARED_BYTES = 8 - MAX_BITS
@@ -123,20 +125,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-# Near copies of word-shingle similarity 0.8 or more, with wide fingerprints.
+# Near copies of word-shingle similarity 0.8 or more: wide fingerprints, then a prefix filter.
 
 WIDE_WORDS = 5
 SIMILARITY = 0.8
 #: 512 bits, 64 positional bytes.
 WIDE_BYTES = 64
-#: Keys of three positional bytes each, drawn with a seed. A pair of similarity 0.8 shares a byte
-#: with probability 0.27, so it meets under at least one of the keys in about 95 % of cases, one
-#: of 0.85 in over 99 %.
-WIDE_KEYS = 160
-#: A pair of similarity 0.8 differs in 78 of 512 bits on average (standard deviation 8).
-WIDE_BITS = 105
+#: Keys of four positional bytes each, drawn with a seed: long enough that unrelated texts of ten
+#: billion seldom meet. A pair of similarity 0.9 shares a byte with probability 0.43 and meets under
+#: some key in four cases of five; the pairs that never meet are left to the prefix filter.
+WIDE_KEYS, KEY_BYTES = 48, 4
+#: A pair of similarity 0.8 shares 17 of 64 bytes on average (standard deviation 3.5).
+WIDE_SHARED = 8
+#: Nodes whose shingles are counted and ordered together.
+TOGETHER = 1024
+#: Words whose hash a worker remembers; a full memory is emptied.
+_REMEMBERED = 500_000
+_U = np.uint64
 _SCALE = np.array([int(x) | 1 for x in np.random.default_rng(SEED).integers(1, 1 << 63, 8)], dtype=np.uint64)
-_TRIPLES = [sorted(np.random.default_rng((SEED, k)).choice(WIDE_BYTES, 3, replace=False).tolist()) for k in range(WIDE_KEYS)]
+_AT = np.array([sorted(np.random.default_rng((SEED, k)).choice(WIDE_BYTES, KEY_BYTES, replace=False).tolist()) for k in range(WIDE_KEYS)])
+_WORDS: dict[bytes, int] = {}
+
+
+def _word_hash(word: bytes) -> int:
+    if len(_WORDS) > _REMEMBERED:
+        _WORDS.clear()
+    h = _WORDS[word] = xxhash.xxh64_intdigest(word, SEED)
+    return h
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Distinct five-word shingles of a text (A-Z lower-cased), as 64-bit hashes of their words' hashes, ascending.
+
+    A text of fewer words is one shingle; one without words has none.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    known = _WORDS.get
+    h = np.fromiter((known(w) or _word_hash(w) for w in words), dtype=np.uint64, count=len(words))
+    wide = min(WIDE_WORDS, len(words))
+    out = np.full(len(words) - wide + 1, wide, dtype=np.uint64)
+    for k in range(wide):
+        out = (out ^ h[k : len(h) - wide + 1 + k]) * _U(0xD6E8FEB86659FD93)
+        out ^= out >> _U(32)
+    return np.unique(out)
 
 
 def wide_majority(h: np.ndarray) -> bytes:
@@ -144,51 +177,61 @@ def wide_majority(h: np.ndarray) -> bytes:
     ones = np.zeros(WIDE_BYTES * 8, dtype=np.int64)
     for i in range(0, len(h), 4096):
         x = h[i : i + 4096, None] * _SCALE
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> _U(32)
+        x *= _U(0xD6E8FEB86659FD93)
         ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits(ones * 2 > max(len(h), 1), bitorder="little").tobytes()
 
 
-@F.pandas_udf(T.BinaryType())
-def wide_simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield pd.Series([wide_majority(np.unique(shingle_hashes(t or "", WIDE_WORDS))) for t in s], dtype="object")
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def shingle_set(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Distinct shingles of a text, as 32-bit hashes."""
-    for s in texts:
-        yield pd.Series([np.unique((shingle_hashes(t or "", WIDE_WORDS) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in s], dtype="object")
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Row keys and text -> row keys, node (a hash of the shingle set), and for a node's first row in the batch its set (32 bits of each shingle) and fingerprint."""
+    for b in batches:
+        nodes, sets, prints, seen = [], [], [], set()
+        for text in b.column(b.num_columns - 1).to_pylist():
+            h = shingle_set(text)
+            node = xxhash.xxh64_intdigest(h.tobytes(), SEED) >> 1
+            nodes.append(node)
+            sets.append(None if node in seen else np.unique((h >> _U(32)).astype(np.uint32).view(np.int32)))
+            prints.append(None if node in seen else wide_majority(h))
+            seen.add(node)
+        made = [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int32())), pa.array(prints, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], "node", "s", "fp"])
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _wide_keys(prints: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The index keys of a wide fingerprint: number of the key and its three positional bytes."""
-    at = np.array(_TRIPLES)
-    head = np.arange(WIDE_KEYS, dtype=np.int64) << 24
+    """The index keys of a wide fingerprint: number of the key and its positional bytes."""
+    head = np.arange(WIDE_KEYS, dtype=np.int64) << 8 * KEY_BYTES
     for s in prints:
         b = np.frombuffer(b"".join(s), dtype=np.uint8).reshape(-1, WIDE_BYTES).astype(np.int64)
-        yield pd.Series(list(head | b[:, at[:, 0]] << 16 | b[:, at[:, 1]] << 8 | b[:, at[:, 2]]))
+        keys = head
+        for k in range(KEY_BYTES):
+            keys = keys | b[:, _AT[:, k]] << 8 * k
+        yield pd.Series(list(keys))
 
 
 @F.pandas_udf(T.IntegerType())
-def _differing_bits(a: pd.Series, b: pd.Series) -> pd.Series:
-    x = np.frombuffer(b"".join(a), dtype=np.uint64) ^ np.frombuffer(b"".join(b), dtype=np.uint64)
-    return pd.Series(np.bitwise_count(x).reshape(len(a), -1).sum(1).astype(np.int32))
+def _tally(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How many positional bytes two wide fingerprints share."""
+    x = np.frombuffer(b"".join(a), dtype=np.uint8) == np.frombuffer(b"".join(b), dtype=np.uint8)
+    return pd.Series(x.reshape(len(a), -1).sum(1).astype(np.int32))
+
 
+def _index_pairs(nodes: DataFrame) -> DataFrame:
+    """(node, fp) -> pairs (u, v), u > v, that meet in the byte-position index and share WIDE_SHARED bytes.
 
-def _similar_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, fp) -> candidate pairs (u, v) of lists up to MAX_POSTING that differ in WIDE_BITS at most, and the nodes of longer lists."""
-    index = nodes.select("node", F.explode(_wide_keys("fp")).alias("key"))
-    lists = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    All of a list up to MAX_POSTING meet; in a longer one all meet its smallest node, and what that
+    leaves out is found by the prefix filter.
+    """
+    index = materialize(nodes.select("node", F.explode(_wide_keys("fp")).alias("key")), "wide_index")
+    lists = index.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
     posted = materialize(index.join(lists, "key"), "wide_postings")
+    drop_scratch(index)
     cold = posted.where(F.col("n") <= MAX_POSTING).select("key", "node")
-    pairs = cold.withColumnRenamed("node", "u").join(cold.withColumnRenamed("node", "v"), "key").where("u > v").select("u", "v").distinct()
+    pairs = cold.withColumnRenamed("node", "u").join(cold.withColumnRenamed("node", "v"), "key").where("u > v").select("u", "v")
+    stars = posted.where(F.col("n") > MAX_POSTING).select(F.col("node").alias("u"), F.col("low").alias("v")).where("u > v")
     left, right = nodes.toDF("u", "fu"), nodes.toDF("v", "fv")
-    pairs = pairs.join(left, "u").join(right, "v").where(_differing_bits("fu", "fv") <= WIDE_BITS).select("u", "v")
-    return pairs, posted.where(F.col("n") > MAX_POSTING).select("node").distinct()
+    return pairs.union(stars).distinct().join(left, "u").join(right, "v").where(_tally("fu", "fv") >= WIDE_SHARED).select("u", "v")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -199,75 +242,121 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where((union == 0) | (shared >= F.lit(similarity) * union)).select("u", "v")
 
 
+def _count_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, s) -> (shingle, place): each shingle of a batch with its part, and its count there in the low bits."""
+    for b in batches:
+        parts = b.column(0).to_numpy()
+        for part in np.unique(parts):
+            own = b.column(1).filter(pa.array(parts == part))
+            shingle, n = np.unique(own.flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle, pa.int32()), pa.array(part << 6 | np.minimum(n, 63))], names=["shingle", "place"])
+
+
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, s) -> (shingle, node, m, n): each set's rarest shingles, its size, and the length of the shingle's list.
+    """(node, part, s) -> (shingle, node, m, i): the shared ones of each set's rarest shingles, with its size and their place in it.
 
-    Two sets of similarity t share at least t times the larger one's size, so in any common order
-    they meet in the first m - ceil(t m) + 1 of each: none is lost.
+    Shingles are ordered by how many sets have them, then by hash. Two sets of similarity t share at
+    least t times the larger one's size, so they meet in the first m - ceil(t m) + 1 of each. Counts
+    are summed by batch before they are shuffled, so a frequent shingle is a row for each batch.
     """
-    each = sets.select("node", F.size("s").alias("m"), F.explode("s").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
-    first = F.col("m") - F.ceil(F.lit(similarity) * F.col("m") - 1e-6) + 1
-    prefix = each.join(often, "shingle").withColumn("rank", rank).where(F.col("rank") <= first).where("often > 1").select("shingle", "node", "m")
-    prefix = materialize(prefix, "prefixes")
-    return prefix.join(prefix.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shingle")
-
-
-def _exact_links(sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) that, with the known ones, join all sets (node, s) of the similarity or more.
-
-    Lists of the prefix index up to MAX_POSTING meet in pairs. In a longer list all first meet its
-    smallest and largest node. Then every two of the list that are in different components yet
-    meet too, so no pair that could join two components goes unverified. A group that the first
-    links join costs no square; members that stay apart yet share rare shingles do.
+    counted = sets.select("part", "s").mapInArrow(_count_together, "shingle int, place bigint")
+    often = F.sum(F.col("place").bitwiseAND(F.lit(63))).over(Window.partitionBy("shingle"))
+    shared = counted.select(F.shiftright("place", 6).alias("part"), "shingle", often.alias("often")).where("often > 1")
+
+    def order(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.groupby("shingle", as_index=False)["often"].first()  # ascending by shingle
+        shingle, often = known["shingle"].to_numpy(), known["often"].to_numpy()
+        out = []
+        for node, s in zip(own["node"], own["s"], strict=True):
+            at = np.searchsorted(shingle, s)
+            at = at[(at < len(shingle)) & (shingle[np.minimum(at, len(shingle) - 1)] == s)] if len(shingle) else at[:0]
+            m, alone = len(s), len(s) - len(at)  # what no other set has comes first
+            length = m - int(np.ceil(similarity * m - 1e-6)) + 1 - alone
+            if length > 0 and len(at):
+                at = at[np.lexsort((shingle[at], often[at]))[:length]]
+                out.append(pd.DataFrame({"shingle": shingle[at], "node": node, "m": m, "i": np.arange(len(at)) + alone + 1}))
+        return pd.concat(out) if out else pd.DataFrame({"shingle": [], "node": [], "m": [], "i": []})
+
+    return sets.groupBy("part").cogroup(shared.groupBy("part")).applyInPandas(order, "shingle int, node bigint, m int, i int")
+
+
+def _may_link(u: str, v: str, similarity: float) -> Column:
+    """Whether two sets that meet at a shingle can still share enough: by their sizes and by what follows the shingle in each."""
+    mu, iu, mv, iv = (F.col(f"{x}.{c}") for x in (u, v) for c in ("m", "i"))
+    sizes = F.least(mu, mv) >= F.lit(similarity) * F.greatest(mu, mv) - 1e-6
+    left = F.least(mu - iu, mv - iv) + 1
+    return sizes & (left >= F.lit(similarity / (1 + similarity)) * (mu + mv) - 1e-6)
+
+
+def _apart(lists: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Lists (shingle, x: node, m, i) with each node's part, less the lists that one part holds."""
+    named = lists.withColumn("part", F.col("x.node")) if parts is None else lists.withColumn("node", F.col("x.node")).join(parts, "node", "left").select("shingle", "x", F.coalesce("root", "node").alias("part"))
+    kinds = named.groupBy("shingle").agg(F.count("*").alias("n"), F.min_by("x", F.struct(F.col("x.i") / F.col("x.m"), F.col("x.node"))).alias("low"), F.min("part").alias("p"), F.max("part").alias("q"))
+    return named.join(kinds.where("p <> q").select("shingle", "n", "low"), "shingle")
+
+
+def _completed(sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Verified links (u, v) that, with the known ones, join all sets (node, part, s) of the similarity or more.
+
+    Sets meet under the shared shingles of their prefixes, and only where they are in different
+    components yet. Lists up to MAX_POSTING meet in pairs. In a longer one all first meet the set
+    with the fewest shingles before it; then those that are in different components still meet in
+    pairs. A pair goes to verification only if sizes and places leave room for the similarity.
     """
-    near = F.least("m", "mv") >= F.lit(similarity) * F.greatest("m", "mv") - 1e-6
-    lists = materialize(_prefixes(sets, similarity), "prefix_lists")
+    plain = sets.select("node", "s")
+    prefix = materialize(_prefixes(sets, similarity).select("shingle", F.struct("node", "m", "i").alias("x")), "prefixes")
+    comp = materialize(connected_components(known), "components")
+    lists = materialize(_apart(prefix, comp), "prefix_lists")
+    drop_scratch(prefix)
     short, long = lists.where(F.col("n") <= MAX_POSTING), lists.where(F.col("n") > MAX_POSTING)
-    met = short.select("shingle", F.col("node").alias("u"), "m").join(short.select("shingle", F.col("node").alias("v"), F.col("m").alias("mv")), "shingle").where("u > v").where(near).select("u", "v")
-    ends = long.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    stars = long.join(ends, "shingle").select(F.col("node").alias("u"), F.explode(F.array("low", "high")).alias("v")).where("u <> v")
-    first = materialize(met.union(stars.select(F.greatest("u", "v"), F.least("u", "v"))).distinct(), "prefix_pairs")
-    found = materialize(_verified(first, sets, similarity), "prefix_links")
-    comp = connected_components(known.union(found)).toDF("node", "part")
-    parts = materialize(long.join(comp, "node", "left").select("shingle", "node", "m", F.coalesce("part", "node").alias("part")), "parts")
-    sizes = parts.groupBy("shingle", "part").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("part", F.struct("c", "part")).alias("most"), F.count("*").alias("k")).where("k > 1")
-    split = parts.join(sizes.select("shingle", "most"), "shingle")
-    apart = split.where("part <> most").select("shingle", F.col("node").alias("u"), "m", "part")
-    every = split.select("shingle", F.col("node").alias("v"), F.col("m").alias("mv"), F.col("part").alias("other"))
-    rest = apart.join(every, "shingle").where("part <> other").where(near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    rest = materialize(rest.join(first, ["u", "v"], "left_anti"), "rest_pairs")
-    return found.union(_verified(rest, sets, similarity))
+    pair = (F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"))
+    a, b = (short.select("shingle", F.col("x").alias(c), F.col("part").alias(f"p{c}")) for c in "ab")
+    met = a.join(b, "shingle").where("pa < pb").where(_may_link("a", "b", similarity)).select(*pair)
+    stars = long.select(F.col("x").alias("a"), F.col("low").alias("b")).where("a.node <> b.node").where(_may_link("a", "b", similarity)).select(*pair)
+    first = materialize(met.union(stars).distinct(), "prefix_pairs")
+    found = materialize(_verified(first, plain, similarity), "prefix_links")
+    comp = materialize(connected_components(known.union(found)), "components")
+    rest = materialize(_apart(long.select("shingle", "x"), comp), "prefix_lists")
+    sizes = rest.groupBy("shingle", "part").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("part", F.struct("c", "part")).alias("most"))
+    split = rest.join(sizes, "shingle")
+    # Pairs of two small parts meet once; those of a small part and the largest one meet from the small one.
+    a = split.where("part <> most").select("shingle", F.col("x").alias("a"), F.col("part").alias("pa"))
+    b = split.select("shingle", F.col("x").alias("b"), F.col("part").alias("pb"), (F.col("part") == F.col("most")).alias("largest"))
+    last = a.join(b, "shingle").where("largest or pa < pb").where(_may_link("a", "b", similarity)).select(*pair).distinct()
+    last = materialize(last.join(first, ["u", "v"], "left_anti"), "rest_pairs")
+    return found.union(_verified(last, plain, similarity))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` less near copies: of each group the row with the smallest id stays.
 
     Texts are linked if the Jaccard similarity of their sets of five-word shingles (A-Z
-    lower-cased) is at least ``similarity``; candidates come from the byte-position index over
-    512-bit fingerprints and are verified on the whole sets. Nodes of an index list longer than
-    MAX_POSTING are joined exactly, by the rarest shingles of their sets. Equal fingerprints are one node.
+    lower-cased) is at least ``similarity``, and groups are what links connect. Candidates come from
+    the byte-position index over 512-bit fingerprints, by count of shared bytes, and are verified on
+    the whole sets; links between groups that the index doesn't show are found by a prefix filter
+    over the sets, which is exact. Equal sets are one node.
     Null and empty texts are equal texts. Null ids count as larger than all others; of rows of a
     group that repeat its smallest id, the one with the smallest hash of its text stays. Rows are
-    told apart by id and text, so different texts under one id, or under none, are judged each.
+    told apart by id and text, so different texts under one id, or under none, are judged each, and
+    of rows that repeat both one stays. All columns are kept, whatever their names.
     """
     ship_package(docs.sparkSession)
-    keys = ["_unnamed", "_id", "_text"]
-    row = [F.col(id_col).isNull().alias("_unnamed"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("_id"), F.xxhash64(text_col).alias("_text")]
-    own = docs.select(*row, wide_simhash(F.col(text_col)).alias("fp"))
-    own = materialize(own.select(*keys, "fp", F.xxhash64("fp").alias("node")), "wide_fingerprints")
-    nodes = materialize(own.groupBy("node").agg(F.min(F.struct(*keys)).alias("row"), F.min("fp").alias("fp")), "wide_nodes")
-    pairs, crowded = _similar_nodes(nodes.select("node", "fp"))
-    pairs, crowded = materialize(pairs, "candidates"), materialize(crowded, "crowded")
-    paired = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(crowded).distinct()
-    wanted = nodes.join(paired, "node", "left_semi").select("node", "row.*")
-    texts = docs.select(*row, F.col(text_col).alias("text")).join(wanted, keys)
-    sets = materialize(texts.select("node", shingle_set("text").alias("s")).groupBy("node").agg(F.first("s").alias("s")), "shingle_sets")
-    linked = materialize(_verified(pairs, sets, similarity), "links")
-    linked = linked.union(_exact_links(sets.join(crowded, "node", "left_semi"), linked, similarity))
+    row = [F.col(id_col).isNull().alias("unnamed"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("id"), F.xxhash64(text_col).alias("hash")]
+    own = docs.select(*row, F.col(text_col).alias("text")).mapInArrow(_sets, "unnamed boolean, id bigint, hash bigint, node bigint, s array<int>, fp binary")
+    own = materialize(own, "shingle_sets")
+    least = materialize(own.groupBy("node").agg(F.min(F.struct("unnamed", "id", "hash")).alias("row")), "nodes")
+    sets = own.where("s is not null").groupBy("node").agg(F.first("s").alias("s"), F.first("fp").alias("fp"))
+    part = F.pmod(F.xxhash64(F.shiftright(F.monotonically_increasing_id(), TOGETHER.bit_length() - 1)), F.lit(1 << 40))
+    sets = materialize(sets.withColumn("part", part), "sets")
+    drop_scratch(own)
+    pairs = materialize(_index_pairs(sets.select("node", "fp")), "index_pairs")
+    linked = materialize(_verified(pairs, sets.select("node", "s"), similarity), "links")
+    linked = materialize(linked.union(_completed(sets.select("node", "part", "s"), linked, similarity)), "links")
     comp = connected_components(linked).withColumnRenamed("root", "group")
-    grouped = nodes.select("node", "row").join(comp, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    grouped = least.join(comp, "node", "left").withColumn("group", F.coalesce("group", "node"))
     stays = materialize(grouped.groupBy("group").agg(F.min("row").alias("row")).select("row.*"), "stays")
-    kept = docs.select("*", *row).join(stays, keys, "left_semi")
+    for done in (sets, least, linked):
+        drop_scratch(done)
+    keys = fresh(docs, "unnamed", "id", "hash")
+    kept = docs.select("*", *(c.alias(k) for c, k in zip(row, keys, strict=True))).join(stays.toDF(*keys), keys, "left_semi")
     return kept.dropDuplicates(keys).drop(*keys)
