@@ -8,8 +8,10 @@ abandoned as soon as the estimate exceeds the query's bound by more than a facto
 1 + EPSILON/sqrt(d): the hypothesis that it still belongs among the nearest is rejected. Survivors
 are compared by exact cosines of the original vectors.
 
+Lists grow in number with the rows, so that their length stays the same up to SAMPLE / 8 lists.
 Vectors that many rows share enter once, with as many of their smallest ids as a result can show.
-Long lists are split into segments, which take the same queries, so no group is unbounded.
+Long lists are split into segments and the queries of a list into blocks, which meet each other, so
+no group is unbounded. A query that finds fewer vectors than asked for probes all lists.
 """
 
 from __future__ import annotations
@@ -18,17 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from memspark.session import materialize, ship_package
 
 SAMPLE = 20_000
-MAX_LISTS = 512
+#: Rows for each list, while the sample admits so many lists.
+LIST_ROWS = 200
 #: A query probes as many lists as hold this share of the sample's own nearest neighbours.
 HELD, MIN_PROBED = 0.98, 8
-SEGMENT = 20_000
+SEGMENT, QUERIES = 20_000, 2_000
 BLOCK = 16
 EPSILON = 2.1
+#: Of the pairs of a tile, the share alive below which the scan goes on pair by pair.
+SPARSE = 0.1
 SEED = 42
 
 
@@ -44,13 +50,6 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda x: x != 0)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays in double precision, terms added in order."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = [F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))) for v in (a, b)]
-    return dot / (norm[0] * norm[1])
-
-
 def fit_centroids(x: np.ndarray, k: int, seed: int = SEED, rounds: int = 12) -> np.ndarray:
     """Unit centroids of unit rows."""
     rng = np.random.default_rng(seed)
@@ -75,30 +74,60 @@ def lists_to_probe(x: np.ndarray, c: np.ndarray, k: int, share: float = HELD, tr
     return int(np.quantile(np.take_along_axis(place, own[near], axis=1), share, method="higher")) + 1
 
 
-def scan(query: np.ndarray, blocks: list[np.ndarray], want: int, first: int = 256) -> np.ndarray:
-    """Rows of a list that survive the adaptive scan for one rotated query.
+def scan(queries: np.ndarray, rows: np.ndarray, want: int, tile: tuple[int, int] = (256, 4096)) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) that survive the adaptive scan of rotated unit vectors.
 
-    The bound is the want-th smallest full distance among the rows seen so far.
+    A query's bound is the want-th smallest whole distance among the rows seen so far. While most
+    pairs of a tile are alive, a block's distances come from one product; then from the pairs alone.
     """
-    dims = len(query)
-    n, kept, bound = len(blocks[0]), [], np.inf
-    best = np.empty(0)
-    for at in range(0, n, first):
-        alive = np.arange(at, min(n, at + first))
-        dist, d = np.zeros(len(alive)), 0
-        for block in blocks:
-            diff = block[alive] - query[d : d + block.shape[1]]
-            dist += np.einsum("ij,ij->i", diff, diff)
-            d += block.shape[1]
-            limit = bound * (1 + EPSILON / d**0.5) ** 2 * d / dims if d < dims else bound + 1e-9
-            ok = dist <= limit
-            alive, dist = alive[ok], dist[ok]
-        kept.append(np.stack([alive, dist]))
-        best = np.sort(np.concatenate([best, dist]))[:want]
-        if len(best) == want:
-            bound = best[-1] + 1e-9
-    rows = np.concatenate(kept, axis=1)
-    return rows[0][rows[1] <= bound].astype(np.int64)
+    dims, out = queries.shape[1], []
+    cuts = list(range(0, dims, BLOCK))
+    for q0 in range(0, len(queries), tile[0]):
+        q = queries[q0 : q0 + tile[0]]
+        bound = np.full(len(q), np.inf)
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        for x0 in range(0, len(rows), tile[1]):
+            x = rows[x0 : x0 + tile[1]]
+            dist, pairs = np.zeros((len(q), len(x)), np.float32), None
+            for d in cuts:
+                qd, xd = q[:, d : d + BLOCK], x[:, d : d + BLOCK]
+                if pairs is None:
+                    dist += (qd * qd).sum(1)[:, None] + (xd * xd).sum(1)[None] - 2 * (qd @ xd.T)
+                else:
+                    diff = qd[pairs[0]] - xd[pairs[1]]
+                    dist = dist + np.einsum("ij,ij->i", diff, diff)
+                seen = min(d + BLOCK, dims)
+                limit = bound * (1 + EPSILON / seen**0.5) ** 2 * seen / dims + 1e-5 if seen < dims else bound + 1e-5
+                if pairs is None:
+                    alive = dist <= limit[:, None]
+                    if seen == dims or alive.sum() <= SPARSE * alive.size:
+                        pairs = np.nonzero(alive)
+                        dist = dist[pairs]
+                else:
+                    alive = dist <= limit[pairs[0]]
+                    pairs, dist = (pairs[0][alive], pairs[1][alive]), dist[alive]
+            at, by, far = (np.concatenate(z) for z in zip(best, (pairs[0], pairs[1] + x0, dist), strict=True))
+            order = np.lexsort((far, at))
+            at, by, far = at[order], by[order], far[order]
+            first = np.searchsorted(at, np.arange(len(q)))
+            place = np.arange(len(at)) - first[at]
+            full = np.bincount(at, minlength=len(q)) >= want
+            bound[full] = far[first[full] + want - 1]
+            keep = (place < want) | (far <= bound[at] + 1e-5)
+            best = at[keep], by[keep], far[keep]
+        out.append((best[0] + q0, best[1]))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
+    """A column of equally long lists of numbers as rows of doubles."""
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    flat = [p.flatten().to_numpy(zero_copy_only=False).astype(np.float64) for p in parts]
+    return (np.concatenate(flat) if flat else np.empty(0)).reshape(-1, dims)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -112,65 +141,82 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     ship_package(spark)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"), queries.alias("q")).where(valid(F.col("v")) & F.col("id").isNotNull())
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    result = f"query_id bigint, rank int, `{id_col}` bigint, score double"
     if sizes is None:
-        return spark.createDataFrame([], result)
+        return spark.createDataFrame([], f"query_id bigint, rank int, `{id_col}` bigint, score double")
     dims = sizes.d
     rows = rows.where(F.size("v") == dims).withColumn("h", F.xxhash64("v"))
     # Equal vectors enter once, with the k + 1 smallest ids: more of them never show in a result.
     place = F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))
-    few = rows.select("id", "v", "h").groupBy("h", "id").agg(F.min("v").alias("v")).withColumn("place", place).where(F.col("place") <= k + 1)
-    distinct = materialize(few.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
+    few = rows.select("id", "v", "h").groupBy("h", "id", "v").agg(F.lit(1).alias("x")).withColumn("place", place).where(F.col("place") <= k + 1)
+    # A vector is known by its hash and its smallest id: no two distinct ones have both alike.
+    distinct = few.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("one", F.element_at("ids", 1))
+    distinct = materialize(distinct, "vectors")
     total = distinct.count()
     draw = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(total, 1)) * (1 << 30))
-    sample = np.array(distinct.where(draw).orderBy("h").select("v").toPandas()["v"].tolist() or [[1.0] * dims], dtype=np.float64)
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    lists = int(max(1, min(MAX_LISTS, total**0.5, len(sample) // 8)))
+    sample = np.array(distinct.where(draw).orderBy("h", "one").select("v").toPandas()["v"].tolist() or [[1.0] * dims], dtype=np.float64)
+    sample = _units(sample).astype(np.float32)
+    lists = int(max(1, min(total // LIST_ROWS, len(sample) // 8)))
     centroids, turn = fit_centroids(sample, lists).astype(np.float32), rotation(dims)
-    probes = min(lists, max(MIN_PROBED, lists_to_probe(sample.astype(np.float32), centroids, k)))
-
-    def units(v: pd.Series) -> np.ndarray:
-        x = np.array(v.tolist(), dtype=np.float64).reshape(-1, dims)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
+    probes = min(lists, max(MIN_PROBED, lists_to_probe(sample, centroids, k)))
 
-    @F.pandas_udf("int")
-    def own_list(vs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("int")
+    def own_list(vs: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for v in vs:
-            yield pd.Series((units(v) @ centroids.T).argmax(1), dtype="int32")
+            yield pa.array((_units(_matrix(v, dims)).astype(np.float32) @ centroids.T).argmax(1).astype(np.int32))
 
-    @F.pandas_udf("array<int>")
-    def probed(vs: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for v in vs:
-            near = np.argsort(-(units(v) @ centroids.T), axis=1, kind="stable")[:, :probes]
-            yield pd.Series(list(near.astype(np.int32)))
+    def nearest_lists(most: int):
+        @F.arrow_udf("array<int>")
+        def probed(vs: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for v in vs:
+                near = np.argsort(-(_units(_matrix(v, dims)).astype(np.float32) @ centroids.T), axis=1, kind="stable")[:, :most].astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel()))
+
+        return probed
 
-    index = materialize(distinct.select("h", "v", own_list("v").alias("list")), "index")
-    # One row for each list, MAX_LISTS at most.
+    index = materialize(distinct.select("h", "one", "v", own_list("v").alias("list")), "index")
+    # One row for each list, SAMPLE / 8 at most.
     segments = {r.list: -(-r.n // SEGMENT) for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}
     count = F.create_map(*(F.lit(int(x)) for kv in segments.items() for x in kv))
     index = index.withColumn("segment", F.pmod("h", count[F.col("list")]).cast("int"))
-    asked = materialize(rows.where("q").select("h", "v", "id").groupBy("h", "v").agg(F.min("id").alias("one")), "queries")
-    probing = asked.select("h", "v", F.explode(probed("v")).alias("list")).where(F.col("list").isin(list(segments)))
-    probing = probing.withColumn("segment", F.explode(F.sequence(F.lit(0), (count[F.col("list")] - 1).cast("int"))))
-
-    def within(candidates: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if not len(candidates) or not len(wanted):
-            return pd.DataFrame({"qh": [], "qv": [], "h": [], "v": []})
-        x = (units(candidates["v"]) @ turn).astype(np.float32)
-        blocks = [np.ascontiguousarray(x[:, d : d + BLOCK]) for d in range(0, dims, BLOCK)]
-        found = [scan(q, blocks, k + 1) for q in (units(wanted["v"]) @ turn).astype(np.float32)]
-        at, by = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
-        return pd.DataFrame({"qh": wanted["h"].to_numpy()[by], "qv": wanted["v"].to_numpy()[by], "h": candidates["h"].to_numpy()[at], "v": candidates["v"].to_numpy()[at]})
-
-    kind = rows.schema["v"].dataType.simpleString()
-    met = index.groupBy("list", "segment").cogroup(probing.groupBy("list", "segment")).applyInPandas(within, f"qh bigint, qv {kind}, h bigint, v {kind}")
-    scored = met.select("qh", "qv", "h", "v", cosine(F.col("qv"), F.col("v")).alias("score"))
-    # The k + 1 best vectors of each distinct query, then the ids behind them.
-    best = scored.withColumn("r", F.rank().over(Window.partitionBy("qh", "qv").orderBy(F.desc("score")))).where(F.col("r") <= k + 1)
-    named = best.join(distinct, ["h", "v"]).select("qh", "qv", "score", F.explode("ids").alias("id"))
-    pick = Window.partitionBy("qh", "qv").orderBy(F.desc("score"), "id")
-    named = named.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= k + 1).groupBy("qh", "qv").agg(F.collect_list(F.struct("score", "id")).alias("near"))
-    each = rows.where("q").select(F.col("id").alias("query_id"), F.col("h").alias("qh"), F.col("v").alias("qv")).distinct()
-    flat = each.join(named, ["qh", "qv"]).select("query_id", F.explode("near").alias("x")).select("query_id", "x.score", "x.id").where("id <> query_id")
-    ranked = flat.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    each = rows.where("q").select(F.col("id").alias("query_id"), "h", "v").distinct()
+    asked = materialize(distinct.join(each.select("h", "v").distinct(), ["h", "v"]).select("h", "one", "v"), "queries")
+    blocks = -(-asked.count() // QUERIES)
+
+    def within(candidates: pa.Table, wanted: pa.Table) -> pa.Table:
+        found = np.empty(0, np.int64), np.empty(0, np.int64)
+        if candidates.num_rows and wanted.num_rows:
+            x, q = _matrix(candidates.column("v"), dims), _matrix(wanted.column("v"), dims)
+            found = scan((_units(q) @ turn).astype(np.float32), (_units(x) @ turn).astype(np.float32), k + 1)
+            a, b = q[found[0]], x[found[1]]
+            score = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
+        else:
+            score = np.empty(0)
+        of, to = pa.array(found[0]), pa.array(found[1])
+        return pa.table({"qh": wanted.column("h").take(of), "qone": wanted.column("one").take(of), "h": candidates.column("h").take(to), "one": candidates.column("one").take(to), "score": pa.array(score)})
+
+    def meet(some: DataFrame, most: int) -> DataFrame:
+        """The k + 1 best vectors of each of some queries in its ``most`` nearest lists."""
+        probing = some.select("h", "one", "v", F.pmod(F.xxhash64("one", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), F.explode(nearest_lists(most)("v")).alias("list")).where(F.col("list").isin(list(segments)))
+        probing = probing.withColumn("segment", F.explode(F.sequence(F.lit(0), (count[F.col("list")] - 1).cast("int"))))
+        present = materialize(probing, "probing")
+        dealt = index.join(present.select("list", "segment", "block").distinct(), ["list", "segment"])
+        pairs = dealt.groupBy("list", "segment", "block").cogroup(present.groupBy("list", "segment", "block")).applyInArrow(within, "qh bigint, qone bigint, h bigint, one bigint, score double")
+        best = F.row_number().over(Window.partitionBy("qh", "qone").orderBy(F.desc("score"), "one", "h"))
+        return pairs.withColumn("r", best).where(F.col("r") <= k + 1).drop("r")
+
+    found = materialize(meet(asked, probes), "found")
+    if probes < lists:
+        enough = found.groupBy("qh", "qone").agg(F.count("*").alias("n")).where(F.col("n") > k).select(F.col("qh").alias("h"), F.col("qone").alias("one"))
+        short = materialize(asked.join(enough, ["h", "one"], "left_anti"), "short")
+        if not short.isEmpty():
+            keys = short.select(F.col("h").alias("qh"), F.col("one").alias("qone"))
+            found = found.join(keys, ["qh", "qone"], "left_anti").unionByName(meet(short, lists))
+    # The ids behind the vectors; each query row leaves out its own.
+    named = found.join(distinct.select("h", "one", "ids"), ["h", "one"]).select("qh", "qone", "score", F.explode("ids").alias("id"))
+    pick = Window.partitionBy("qh", "qone").orderBy(F.desc("score"), "id")
+    named = named.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= k + 1).groupBy("qh", "qone").agg(F.collect_list(F.struct("score", "id")).alias("near"))
+    keyed = asked.join(named, [asked["h"] == named["qh"], asked["one"] == named["qone"]]).select("h", "v", "near")
+    flat = each.join(keyed, ["h", "v"]).select("query_id", F.explode("near").alias("x")).select("query_id", "x.score", "x.id").where("id <> query_id")
+    best = flat.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

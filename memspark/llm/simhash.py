@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from memspark.llm.components import connected_components
@@ -133,12 +134,13 @@ SIMILARITY = 0.8
 WIDE_BYTES = 64
 #: Keys of four positional bytes each, drawn with a seed: long enough that unrelated texts of ten
 #: billion seldom meet. A pair of similarity 0.9 shares a byte with probability 0.43 and meets under
-#: some key in four cases of five; the pairs that never meet are left to the prefix filter.
-WIDE_KEYS, KEY_BYTES = 48, 4
+#: some key in two cases of three; the pairs that never meet are left to the prefix filter.
+WIDE_KEYS, KEY_BYTES = 32, 4
 #: A pair of similarity 0.8 shares 17 of 64 bytes on average (standard deviation 3.5).
 WIDE_SHARED = 8
-#: Nodes whose shingles are counted and ordered together.
-TOGETHER = 1024
+#: Texts whose shingles are counted and ordered together (their number takes 10 bits), and how many shingles those may have.
+_INDEX = 10
+TOGETHER, TOGETHER_SHINGLES = 1 << _INDEX, 1 << 20
 #: Words whose hash a worker remembers; a full memory is emptied.
 _REMEMBERED = 500_000
 _U = np.uint64
@@ -184,18 +186,30 @@ def wide_majority(h: np.ndarray) -> bytes:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Row keys and text -> row keys, node (a hash of the shingle set), and for a node's first row in the batch its set (32 bits of each shingle) and fingerprint."""
+    """Row keys and text -> row keys, node (a hash of the shingle set), and for a node's first row in the batch its place, set and fingerprint.
+
+    A place is a part and a number in it; a set is 32 bits of each shingle, ascending.
+    """
+    part, held, size = TaskContext.get().partitionId() << 20, 0, 0
     for b in batches:
-        nodes, sets, prints, seen = [], [], [], set()
+        nodes, places, sets, prints, seen = [], [], [], [], set()
         for text in b.column(b.num_columns - 1).to_pylist():
             h = shingle_set(text)
             node = xxhash.xxh64_intdigest(h.tobytes(), SEED) >> 1
             nodes.append(node)
-            sets.append(None if node in seen else np.unique((h >> _U(32)).astype(np.uint32).view(np.int32)))
-            prints.append(None if node in seen else wide_majority(h))
+            if node in seen:
+                for column in (places, sets, prints):
+                    column.append(None)
+                continue
             seen.add(node)
-        made = [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int32())), pa.array(prints, pa.binary())]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], "node", "s", "fp"])
+            if held == TOGETHER or size + len(h) > TOGETHER_SHINGLES:
+                part, held, size = part + 1, 0, 0
+            places.append(part << _INDEX | held)
+            sets.append(np.unique((h >> _U(32)).astype(np.uint32).view(np.int32)))
+            prints.append(wide_majority(h))
+            held, size = held + 1, size + len(h)
+        made = [pa.array(nodes, pa.int64()), pa.array(places, pa.int64()), pa.array(sets, pa.list_(pa.int32())), pa.array(prints, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], "node", "place", "s", "fp"])
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -235,49 +249,76 @@ def _index_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose whole shingle sets (node, s) have the similarity."""
-    both = pairs.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
+    """The pairs (u, v) whose whole shingle sets (node, m: their sizes, s: the shingles that others have too) have the similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("m").alias("mu"), F.col("s").alias("su")), "u")
+    both = both.join(sets.select(F.col("node").alias("v"), F.col("m").alias("mv"), F.col("s").alias("sv")), "v")
     shared = F.size(F.array_intersect("su", "sv"))
-    union = F.size("su") + F.size("sv") - shared
-    return both.where((union == 0) | (shared >= F.lit(similarity) * union)).select("u", "v")
+    return both.where(shared >= F.lit(similarity) * (F.col("mu") + F.col("mv") - shared)).select("u", "v")
 
 
 def _count_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, s) -> (shingle, place): each shingle of a batch with its part, and its count there in the low bits."""
+    """(place, s) -> (shingle, place, more): each shingle of a part once, with the first place that has it and the numbers of further ones."""
     for b in batches:
-        parts = b.column(0).to_numpy()
-        for part in np.unique(parts):
-            own = b.column(1).filter(pa.array(parts == part))
-            shingle, n = np.unique(own.flatten().to_numpy(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(shingle, pa.int32()), pa.array(part << 6 | np.minimum(n, 63))], names=["shingle", "place"])
+        place = b.column(0).to_numpy()
+        for part in np.unique(place >> _INDEX):
+            own = np.flatnonzero(place >> _INDEX == part)
+            sets = b.column(1).take(pa.array(own))
+            shingle = sets.flatten().to_numpy()
+            number = np.repeat(place[own], np.diff(sets.offsets.to_numpy()))
+            order = np.argsort(shingle, kind="stable")
+            shingle, number = shingle[order], number[order]
+            first = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1]))) if len(shingle) else np.empty(0, np.int64)
+            n = np.diff(np.append(first, len(shingle)))
+            more: list[bytes | None] = [None] * len(first)
+            low = (number & TOGETHER - 1).astype(np.uint16)
+            for k in np.flatnonzero(n > 1).tolist():
+                more[k] = low[first[k] + 1 : first[k] + n[k]].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[first], pa.int32()), pa.array(number[first]), pa.array(more, pa.binary())], names=["shingle", "place", "more"])
+
+
+def _ordered(texts: pa.Table, shared: pa.Table) -> pa.Table:
+    """A part's nodes (place, node, m) with their shared shingles (place, shingle, often, more), the rarest first."""
+    place, shingle, often = (shared.column(c).to_numpy() for c in ("place", "shingle", "often"))
+    more = shared.column("more").to_pylist()
+    extra = np.array([len(x) // 2 if x else 0 for x in more], dtype=np.int64)
+    further = np.frombuffer(b"".join(x for x in more if x), dtype=np.uint16)
+    at = np.concatenate([place & TOGETHER - 1, further.astype(np.int64)])
+    shingle, often = np.concatenate([shingle, np.repeat(shingle, extra)]), np.concatenate([often, np.repeat(often, extra)])
+    order = np.lexsort((shingle, often, at))
+    shingle = shingle[order]
+    begin = np.searchsorted(at[order], np.arange(TOGETHER + 1))
+    number = texts.column("place").to_numpy() & TOGETHER - 1
+    sets = [shingle[begin[k] : begin[k + 1]] for k in number.tolist()]
+    some = pa.array([len(x) > 0 for x in sets], pa.bool_())
+    table = pa.table({"node": texts.column("node"), "m": texts.column("m"), "s": pa.array(sets, pa.list_(pa.int32()))})
+    return table.filter(some)
+
+
+def _shared_sets(own: DataFrame) -> DataFrame:
+    """(node, m, s): the sizes of shingle sets and those of their shingles that others have too, rarest first.
+
+    Shingles are ordered by how many sets have them, then by hash. A part's sets are counted before
+    they are shuffled, so a frequent shingle is a row for each part.
+    """
+    counted = own.select("place", "s").mapInArrow(_count_together, "shingle int, place bigint, more binary")
+    often = F.sum(1 + F.coalesce(F.octet_length("more") / 2, F.lit(0)).cast("bigint")).over(Window.partitionBy("shingle"))
+    shared = counted.withColumn("often", often).where("often > 1")
+    part = F.shiftright("place", _INDEX).alias("part")
+    texts = own.select(part, "place", "node", F.size("s").alias("m"))
+    found = texts.groupBy("part").cogroup(shared.select(part, "place", "shingle", "often", "more").groupBy("part")).applyInArrow(lambda a, b: _ordered(a, b), "node bigint, m int, s array<int>")
+    return found.dropDuplicates(["node"])
 
 
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, part, s) -> (shingle, node, m, i): the shared ones of each set's rarest shingles, with its size and their place in it.
+    """(node, m, s) -> (shingle, x: node, m, i): each set's rarest shingles as far as others have them, with their places.
 
-    Shingles are ordered by how many sets have them, then by hash. Two sets of similarity t share at
-    least t times the larger one's size, so they meet in the first m - ceil(t m) + 1 of each. Counts
-    are summed by batch before they are shuffled, so a frequent shingle is a row for each batch.
+    Two sets of similarity t share at least t times the larger one's size, so they meet in the
+    first m - ceil(t m) + 1 of each, of which those that no other set has come first.
     """
-    counted = sets.select("part", "s").mapInArrow(_count_together, "shingle int, place bigint")
-    often = F.sum(F.col("place").bitwiseAND(F.lit(63))).over(Window.partitionBy("shingle"))
-    shared = counted.select(F.shiftright("place", 6).alias("part"), "shingle", often.alias("often")).where("often > 1")
-
-    def order(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        known = known.groupby("shingle", as_index=False)["often"].first()  # ascending by shingle
-        shingle, often = known["shingle"].to_numpy(), known["often"].to_numpy()
-        out = []
-        for node, s in zip(own["node"], own["s"], strict=True):
-            at = np.searchsorted(shingle, s)
-            at = at[(at < len(shingle)) & (shingle[np.minimum(at, len(shingle) - 1)] == s)] if len(shingle) else at[:0]
-            m, alone = len(s), len(s) - len(at)  # what no other set has comes first
-            length = m - int(np.ceil(similarity * m - 1e-6)) + 1 - alone
-            if length > 0 and len(at):
-                at = at[np.lexsort((shingle[at], often[at]))[:length]]
-                out.append(pd.DataFrame({"shingle": shingle[at], "node": node, "m": m, "i": np.arange(len(at)) + alone + 1}))
-        return pd.concat(out) if out else pd.DataFrame({"shingle": [], "node": [], "m": [], "i": []})
-
-    return sets.groupBy("part").cogroup(shared.groupBy("part")).applyInPandas(order, "shingle int, node bigint, m int, i int")
+    alone = F.col("m") - F.size("s")
+    length = F.col("m") - F.ceil(F.lit(similarity) * F.col("m") - 1e-6) + 1 - alone
+    each = sets.where(length > 0).select("node", "m", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), length.cast("int"))).alias("i", "shingle"))
+    return each.select("shingle", F.struct("node", "m", (F.col("i") + F.col("alone") + 1).alias("i")).alias("x"))
 
 
 def _may_link(u: str, v: str, similarity: float) -> Column:
@@ -296,25 +337,23 @@ def _apart(lists: DataFrame, parts: DataFrame | None) -> DataFrame:
 
 
 def _completed(sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Verified links (u, v) that, with the known ones, join all sets (node, part, s) of the similarity or more.
+    """Verified links (u, v) that, with the known ones, join all sets (node, m, s) of the similarity or more.
 
     Sets meet under the shared shingles of their prefixes, and only where they are in different
     components yet. Lists up to MAX_POSTING meet in pairs. In a longer one all first meet the set
     with the fewest shingles before it; then those that are in different components still meet in
     pairs. A pair goes to verification only if sizes and places leave room for the similarity.
     """
-    plain = sets.select("node", "s")
-    prefix = materialize(_prefixes(sets, similarity).select("shingle", F.struct("node", "m", "i").alias("x")), "prefixes")
+    prefix = _prefixes(sets, similarity)
     comp = materialize(connected_components(known), "components")
     lists = materialize(_apart(prefix, comp), "prefix_lists")
-    drop_scratch(prefix)
     short, long = lists.where(F.col("n") <= MAX_POSTING), lists.where(F.col("n") > MAX_POSTING)
     pair = (F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"))
     a, b = (short.select("shingle", F.col("x").alias(c), F.col("part").alias(f"p{c}")) for c in "ab")
     met = a.join(b, "shingle").where("pa < pb").where(_may_link("a", "b", similarity)).select(*pair)
     stars = long.select(F.col("x").alias("a"), F.col("low").alias("b")).where("a.node <> b.node").where(_may_link("a", "b", similarity)).select(*pair)
     first = materialize(met.union(stars).distinct(), "prefix_pairs")
-    found = materialize(_verified(first, plain, similarity), "prefix_links")
+    found = materialize(_verified(first, sets, similarity), "prefix_links")
     comp = materialize(connected_components(known.union(found)), "components")
     rest = materialize(_apart(long.select("shingle", "x"), comp), "prefix_lists")
     sizes = rest.groupBy("shingle", "part").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("part", F.struct("c", "part")).alias("most"))
@@ -324,7 +363,7 @@ def _completed(sets: DataFrame, known: DataFrame, similarity: float) -> DataFram
     b = split.select("shingle", F.col("x").alias("b"), F.col("part").alias("pb"), (F.col("part") == F.col("most")).alias("largest"))
     last = a.join(b, "shingle").where("largest or pa < pb").where(_may_link("a", "b", similarity)).select(*pair).distinct()
     last = materialize(last.join(first, ["u", "v"], "left_anti"), "rest_pairs")
-    return found.union(_verified(last, plain, similarity))
+    return found.union(_verified(last, sets, similarity))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -342,18 +381,16 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     ship_package(docs.sparkSession)
     row = [F.col(id_col).isNull().alias("unnamed"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("id"), F.xxhash64(text_col).alias("hash")]
-    own = docs.select(*row, F.col(text_col).alias("text")).mapInArrow(_sets, "unnamed boolean, id bigint, hash bigint, node bigint, s array<int>, fp binary")
+    own = docs.select(*row, F.col(text_col).alias("text")).mapInArrow(_sets, "unnamed boolean, id bigint, hash bigint, node bigint, place bigint, s array<int>, fp binary")
     own = materialize(own, "shingle_sets")
-    least = materialize(own.groupBy("node").agg(F.min(F.struct("unnamed", "id", "hash")).alias("row")), "nodes")
-    sets = own.where("s is not null").groupBy("node").agg(F.first("s").alias("s"), F.first("fp").alias("fp"))
-    part = F.pmod(F.xxhash64(F.shiftright(F.monotonically_increasing_id(), TOGETHER.bit_length() - 1)), F.lit(1 << 40))
-    sets = materialize(sets.withColumn("part", part), "sets")
+    least = materialize(own.groupBy("node").agg(F.min(F.struct("unnamed", "id", "hash")).alias("row"), F.max("fp").alias("fp")), "nodes")
+    sets = materialize(_shared_sets(own.where("s is not null")), "shared_sets")
     drop_scratch(own)
-    pairs = materialize(_index_pairs(sets.select("node", "fp")), "index_pairs")
-    linked = materialize(_verified(pairs, sets.select("node", "s"), similarity), "links")
-    linked = materialize(linked.union(_completed(sets.select("node", "part", "s"), linked, similarity)), "links")
+    pairs = materialize(_index_pairs(least.select("node", "fp")), "index_pairs")
+    linked = materialize(_verified(pairs, sets, similarity), "links")
+    linked = materialize(linked.union(_completed(sets, linked, similarity)), "links")
     comp = connected_components(linked).withColumnRenamed("root", "group")
-    grouped = least.join(comp, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    grouped = least.select("node", "row").join(comp, "node", "left").withColumn("group", F.coalesce("group", "node"))
     stays = materialize(grouped.groupBy("group").agg(F.min("row").alias("row")).select("row.*"), "stays")
     for done in (sets, least, linked):
         drop_scratch(done)
