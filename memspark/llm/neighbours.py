@@ -199,8 +199,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
         probing = some.select("h", "one", "v", F.pmod(F.xxhash64("one", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), F.explode(nearest_lists(most)("v")).alias("list")).where(F.col("list").isin(list(segments)))
         probing = probing.withColumn("segment", F.explode(F.sequence(F.lit(0), (count[F.col("list")] - 1).cast("int"))))
         present = materialize(probing, "probing")
-        dealt = index.join(present.select("list", "segment", "block").distinct(), ["list", "segment"])
-        pairs = dealt.groupBy("list", "segment", "block").cogroup(present.groupBy("list", "segment", "block")).applyInArrow(within, "qh bigint, qone bigint, h bigint, one bigint, score double")
+        groups = present.select("list", "segment", "block").distinct().toDF("_list", "_segment", "_block")
+        dealt = index.join(groups, [index["list"] == groups["_list"], index["segment"] == groups["_segment"]])
+        pairs = dealt.groupBy("_list", "_segment", "_block").cogroup(present.groupBy("list", "segment", "block")).applyInArrow(within, "qh bigint, qone bigint, h bigint, one bigint, score double")
         best = F.row_number().over(Window.partitionBy("qh", "qone").orderBy(F.desc("score"), "one", "h"))
         return pairs.withColumn("r", best).where(F.col("r") <= k + 1).drop("r")
 
