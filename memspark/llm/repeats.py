@@ -9,10 +9,10 @@ order, the *dictionary* holds each distinct phrase with its earliest document.
 An occurrence of a phrase after its earliest one repeats in all its strings; that settles most of
 a repetitive corpus without looking at strings. Strings of different phrases can only be equal if
 the phrases have the same trigger, so only dictionary phrases whose trigger has several phrases
-are taken apart: their suffixes, cut at ``WINDOW`` bytes, are grouped as a suffix array of the
-dictionary would group them (by a hash of those bytes, as only equality and the earliest in corpus
-order matter), and each but the earliest repeats. The phrases of one trigger meet as bytes; those
-of a trigger with more than ``HOT`` rows are dealt out as single strings instead.
+are taken apart. The phrases of one trigger meet as bytes, and a suffix array of such a block of the
+dictionary, cut at ``WINDOW`` bytes and with equal suffixes in the corpus order that the parse gives
+them, shows which strings repeat: in a run of equal ones each but the first. Phrases of a trigger
+with more than ``HOT`` rows are dealt out as single strings, by two hashes of 127 bits, instead.
 
 Every task first settles what repeats among its own rows, so a passage that very many documents
 share reaches the shuffle once for each batch of rows. A trigger with many different phrases in
@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from memspark.session import materialize, ship_package
@@ -121,6 +123,29 @@ def _phrases(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> np.n
     return np.concatenate(found, axis=1) if found else np.zeros((5, 0), dtype=np.uint64)
 
 
+def suffix_ranks(buffer: bytes, window: int = WINDOW) -> np.ndarray:
+    """The rank of each whole ``window``-byte string of a buffer among all of them, equal ones alike.
+
+    Ranks of 8 bytes come from the bytes as big-endian numbers; ranks of two adjoining or overlapping
+    halves give those of the whole.
+    """
+    n = len(buffer) - window + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    raw = np.frombuffer(buffer, dtype=np.uint8)
+    wide = min(8, window)
+    value = np.zeros(len(raw) - wide + 1, dtype=np.uint64)
+    for k in range(wide):
+        value = value << _U(8) | raw[k : len(raw) - wide + 1 + k]
+    rank = np.unique(value, return_inverse=True)[1].astype(np.int64)
+    while wide < window:
+        step = min(wide, window - wide)
+        value = rank[: len(rank) - step] * (int(rank.max()) + 1) + rank[step:]
+        rank = np.unique(value, return_inverse=True)[1].astype(np.int64)
+        wide += step
+    return rank
+
+
 def _strings(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, start, hash) of all strings of texts, in order."""
     parts = []
@@ -228,15 +253,20 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if hot[0]:
             at, lo = np.array(hot[0]), np.array(hot[1], dtype=np.int64) >> 24
             own, start, value = _strings(hot[2])
-            doc, start, value = at[own], lo[own] + start, value & _U(2**63 - 1)
+            doc, value = at[own], value & _U(2**63 - 1)
             first = _earliest(value)
+            check = [xxhash.xxh64_digest(hot[2][o][p : p + WINDOW]) for o, p in zip(own[first].tolist(), start[first].tolist(), strict=True)]
+            start = lo[own] + start
             who, span = _packed(doc[~first], start[~first], np.ones(int((~first).sum()), np.int64))
             yield _parts(np.full(len(who), _SETTLED), d[who], tie[who], span, None)
-            yield _parts(value[first], d[doc[first]], tie[doc[first]], start[first] << 24 | 1, None)
+            yield _parts(value[first], d[doc[first]], tie[doc[first]], start[first] << 24 | 1, check)
 
 
 def _later(rows: pa.Table) -> pa.RecordBatch | None:
-    """Of rows that hold all of their keys: spans of strings that repeat an earlier one."""
+    """Of rows that hold all of their keys: spans of strings that repeat an earlier one.
+
+    Rows hold a phrase's bytes, or for a single string a second hash of 8 bytes.
+    """
     key, d, tie, span = (rows.column(i).to_numpy() for i in range(4))
     order = np.lexsort((key, span, tie, d))
     twice = np.all([np.diff(x[order]) == 0 for x in (key, d, tie, span)], axis=0)
@@ -244,17 +274,28 @@ def _later(rows: pa.Table) -> pa.RecordBatch | None:
     key, d, tie, span = key[order], d[order], tie[order], span[order]
     doc = np.concatenate(([0], np.cumsum((np.diff(d) != 0) | (np.diff(tie) != 0))))
     data = rows.column(4).take(pa.array(order)).to_pylist()
-    lone = np.flatnonzero([x is None for x in data])  # single strings: the key is their hash
-    own, start, value = _strings([x or b"" for x in data])
-    own, start = np.concatenate([own, lone]), np.concatenate([start, np.zeros(len(lone), np.int64)])
-    value = np.concatenate([value & _U(2**63 - 1), key[lone].astype(np.uint64)])
-    start = (span >> 24)[own] + start
-    place = np.lexsort((start, doc[own]))
-    own, start, value = own[place], start[place], value[place]
-    again = ~_earliest(value)
-    if not again.any():
+    size = np.array([len(x) for x in data], dtype=np.int64)
+    lone, phrase = np.flatnonzero(size < WINDOW), np.flatnonzero(size >= WINDOW)
+    pairs = np.stack([key[lone], np.frombuffer(b"".join(data[i] for i in lone.tolist()), dtype="<i8")])
+    single = np.unique(pairs, axis=1, return_inverse=True)[1].ravel() if len(lone) else np.empty(0, np.int64)
+    # All whole strings of the phrases, laid end to end; those over a phrase's end are left out.
+    rank = suffix_ranks(b"".join(data[i] for i in phrase.tolist()))
+    beyond = len(rank)
+    count = size[phrase] - WINDOW + 1
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    rank = rank[nth + np.repeat(np.cumsum(size[phrase]) - size[phrase], count)]
+    own = np.concatenate([np.repeat(phrase, count), lone])
+    start = (span >> 24)[own] + np.concatenate([nth, np.zeros(len(lone), np.int64)])
+    value = np.concatenate([rank, single + beyond])  # phrases and single strings never share a key
+    order = np.lexsort((start, doc[own], value))  # the suffix array, equal suffixes in corpus order
+    repeat = order[1:][value[order[1:]] == value[order[:-1]]]
+    if not len(repeat):
         return None
-    who, packed = _packed(doc[own[again]], start[again], np.ones(int(again.sum()), np.int64))
+    repeat = repeat[np.lexsort((start[repeat], doc[own[repeat]]))]
+    again = np.ones(len(repeat), bool)  # a string that two phrases of one document hold is one
+    again[1:] = (doc[own[repeat[1:]]] != doc[own[repeat[:-1]]]) | (start[repeat[1:]] != start[repeat[:-1]])
+    repeat = repeat[again]
+    who, packed = _packed(doc[own[repeat]], start[repeat], np.ones(len(repeat), np.int64))
     at = np.searchsorted(doc, who)
     return pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(tie[at]), pa.array(packed)], names=["d", "tie", "span"])
 
@@ -335,7 +376,7 @@ def whole_characters(text: bytes, runs: np.ndarray) -> np.ndarray:
     return np.array(out, dtype=np.int64).reshape(-1, 2)
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finish(kept_names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for text, spans in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), strict=True):
@@ -345,7 +386,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((len(text), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(kept).hexdigest(), whole.decode("utf-8", "replace")))
         names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
         made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())]
-        yield pa.RecordBatch.from_arrays([*b.columns[2:], *made], names=[*b.schema.names[2:], *names])
+        yield pa.RecordBatch.from_arrays([*b.columns[2:], *made], names=[*kept_names, *names])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -362,11 +403,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Ties only matter where an id has several rows.
     several = docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1")
     tie = F.lit(0).cast("bigint") if several.isEmpty() else F.xxhash64(text)
-    own = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("d"), tie.alias("tie"), text.alias("text"), F.col(id_col).alias("_id"), *(F.col(c).alias(f"_{c}") for c in keep))
+    own = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("d"), tie.alias("tie"), text.alias("text"), F.col(id_col).alias("_id"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)))
     spans = repeated_spans(own)
     types = docs.schema
-    flat = own.join(spans, ["d", "tie"], "left").select("text", "spans", F.col("_id").alias(id_col), *(F.col(f"_{c}").alias(c) for c in keep))
+    flat = own.join(spans, ["d", "tie"], "left").select("text", "spans", "_id", *(f"_keep{i}" for i in range(len(keep))))
     schema = T.StructType([types[id_col], *(types[c] for c in keep)])
     for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())):
         schema = schema.add(name, kind)
-    return flat.mapInArrow(_finish, schema)
+    return flat.mapInArrow(partial(_finish, [id_col, *keep]), schema)
