@@ -9,9 +9,8 @@ every word of the text is scored, and an insult in a long text isn't averaged aw
 curve fitted on training rows that the models haven't seen turns the evidence into a score.
 
 The models are fitted on a sample of labelled rows, about ``MAX_ROWS`` of each class at most,
-chosen by a hash of the id, and counted by Spark. If there are more than ``MAX_ENTRIES`` different
-character sequences, one stays only if its count is at least 2 and at least a MAX_ENTRIES-th of
-all, so what reaches driver and tasks is bounded.
+chosen by a hash of the id, and counted by Spark. All counts of the sample enter the models; what
+reaches driver and tasks is bounded by the sample.
 """
 
 from __future__ import annotations
@@ -28,7 +27,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from memspark.session import materialize, ship_package
 
 MAX_ROWS = 20_000
-MAX_ENTRIES = 1_000_000
 ORDER = 6
 SHARED = 2
 PAD = 6.0
@@ -176,15 +174,10 @@ class Model:
         return self.__dict__ | {"known": {}}
 
 
-def fit_counts(sample: DataFrame, max_entries: int = MAX_ENTRIES) -> Model:
-    """Count the sample's sequences in Spark and build the models from what the bound admits."""
+def fit_counts(sample: DataFrame) -> Model:
+    """Count the sample's sequences in Spark and build the models from all of them."""
     grams = sample.select("text", "y").mapInArrow(_count_sequences, "key bigint, n0 bigint, n1 bigint").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    grams = materialize(grams, "sequences")
-    both = F.col("n0") + F.col("n1")
-    kinds, total = grams.agg(F.count("*"), F.sum(both)).first()
-    if kinds > max_entries:
-        grams = grams.where(both >= max(2, -(-total // max_entries)))
-    got = grams.toPandas()
+    got = materialize(grams, "sequences").toPandas()
     return Model(got["key"].to_numpy(np.int64).view(np.uint64), got[["n0", "n1"]].to_numpy(np.int64))
 
 
