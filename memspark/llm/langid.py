@@ -8,7 +8,8 @@ texts of that centroid is marked as rejected; its best language stays in ``lang_
 ``und`` is kept for texts without a letter, and its score is halved.
 
 Document frequencies are counted over all training documents. Centroids are fitted on a sample
-(``MAX_ROWS`` of each language at most, about), in one task for each language.
+(``MAX_ROWS`` of each language at most, about), in one task for each language. The model holds
+CENTROIDS vectors for each language that is tagged, of which there are a few thousand in the world.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from memspark.session import materialize, ship_package
 DIMENSIONS = 4096
 CENTROIDS = 4
 MAX_ROWS = 1_000
-MAX_LANGUAGES = 500
 FOLDS, HELD_OUT = 4, 2
 #: The share of a centroid's training texts that lie within its distance.
 WITHIN = 0.995
@@ -38,7 +38,8 @@ _CHUNK = 1 << 20
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    """Whether a character of the text is a letter; numerals such as fractions aren't."""
+    return text is not None and any(m.group().isalpha() for m in _LETTER.finditer(text))
 
 
 def ngram_counts(text: str) -> np.ndarray:
@@ -118,7 +119,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", max_rows: int = MAX_ROWS, centr
     seen = rows[rows["at"] >= 0]
     df[seen["at"].to_numpy()] = seen["n"].to_numpy()
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + 0.1
-    counts = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model(idf, [], np.zeros((0, DIMENSIONS)), np.zeros(0))
     rate = F.create_map(*(x for lang, m in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, max_rows / m) * (1 << 30))))))
