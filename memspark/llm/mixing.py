@@ -11,10 +11,13 @@ many, are ranked in 256 slices whose offsets come from counts.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from memspark.llm.names import fresh
 from memspark.session import materialize, ship_package
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -62,8 +65,14 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, bound: int
     if budget >= total:
         return counts.copy()
     even = max(0, budget - bound // 4)  # the rest is the knapsack's
-    took = np.array([int(c) * even // total for c in counts], dtype=np.int64)
+    shares = [n * even // total for n in accumulate(map(int, counts))]  # what one length loses to rounding the next one gets
+    took = np.diff(np.array([0, *shares], dtype=np.int64))
     gap = budget - int((lengths * took).sum())
+    for i in np.argsort(-lengths, kind="stable"):
+        if gap < 0 < took[i] and lengths[i] > 0:
+            less = min(int(took[i]), -(gap // int(lengths[i])))
+            took[i] -= less
+            gap += less * int(lengths[i])
     for i in np.argsort(-lengths, kind="stable"):  # whole lengths, longest first, down to the bound
         if lengths[i] > 0 and gap > bound:
             more = min(int(counts[i] - took[i]), (gap - bound) // int(lengths[i]))
@@ -100,11 +109,12 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     Rows that repeat an id share the copies of all of them.
     """
-    taken = mix(docs, id_col, text_col, source_col, **how).groupBy(F.col(id_col).alias("_id")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    rows = docs.join(taken, docs[id_col].eqNullSafe(F.col("_id")))
-    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_id").orderBy(F.length(text_col))))
-    each = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_place") <= F.col("_copies") % F.col("_rows")).cast("int")
-    return rows.withColumn("_n", F.explode(F.array_repeat(F.lit(0), each.cast("int")))).drop("_id", "_copies", "_rows", "_place", "_n")
+    key, copies, rows, place, n = fresh(docs, "key", "copies", "rows", "place", "n")
+    taken = mix(docs, id_col, text_col, source_col, **how).groupBy(F.col(id_col).alias(key)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0)
+    met = docs.join(taken, docs[id_col].eqNullSafe(F.col(key)))
+    met = met.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.length(text_col))))
+    each = F.floor(F.col(copies) / F.col(rows)) + (F.col(place) <= F.col(copies) % F.col(rows)).cast("int")
+    return met.withColumn(n, F.explode(F.array_repeat(F.lit(0), each.cast("int")))).select(docs.columns)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
