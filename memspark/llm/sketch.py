@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from memspark.llm.names import fresh
+
 K = 128
 SHINGLE_WORDS = 5
 _SPACE = " \t\n\x0b\f\r"
@@ -34,7 +36,8 @@ def sketch_of(hashes: str, k: int = K, words: int = SHINGLE_WORDS) -> Column:
 
 def with_sketch(df: DataFrame, text: str, out: str, k: int = K) -> DataFrame:
     """Add the sketch of one text column; null counts as empty."""
-    return with_word_hashes(df, text, "_hashes").withColumn(out, sketch_of("_hashes", k)).drop("_hashes")
+    (hashes,) = fresh(df, "hashes")
+    return with_word_hashes(df, text, hashes).withColumn(out, sketch_of(hashes, k)).drop(hashes)
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
@@ -61,9 +64,10 @@ def merge_sketches(df: DataFrame, keys: list[str], sketch: str, k: int = K) -> D
 
     The rank is limited before the shuffle, so a hot group sends k rows for each task at most.
     """
-    rows = df.select(*keys, F.explode(sketch).alias("_h")).distinct()
-    low = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))).where(F.col("_r") <= k)
-    return low.groupBy(*keys).agg(F.sort_array(F.collect_list("_h")).alias(sketch))
+    h, r = fresh(df, "h", "r")
+    rows = df.select(*keys, F.explode(sketch).alias(h)).distinct()
+    low = rows.withColumn(r, F.row_number().over(Window.partitionBy(*keys).orderBy(h))).where(F.col(r) <= k)
+    return low.groupBy(*keys).agg(F.sort_array(F.collect_list(h)).alias(sketch))
 
 
 def as_text(a: Column) -> Column:

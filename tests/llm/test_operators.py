@@ -222,6 +222,35 @@ def test_neighbours_odd_rows(spark):
     assert neighbours.nearest(e.where("vec_id = 3"), F.lit(True)).count() == 0
 
 
+def test_neighbours_scaled_copies_and_short_lists(spark, monkeypatch):
+    """Many vectors of one direction tie, and queries whose lists are too short go on to the others."""
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 4)
+    monkeypatch.setattr(neighbours, "MIN_PROBED", 1)
+    monkeypatch.setattr(neighbours, "HELD", 0.0)
+    rng = np.random.default_rng(3)
+    copies = [(i, [2.0 ** (i % 7), 0.0, 2.0 ** (i % 7), 0.0]) for i in range(0, 120, 2)]
+    others = [(i, rng.normal(size=4).tolist()) for i in range(1, 120, 2)]
+    e = spark.createDataFrame(copies + others, "vec_id bigint, embedding array<double>").repartition(3)
+    got: dict[int, list] = {}
+    for r in neighbours.nearest(e, F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r)
+    assert set(got) == set(range(0, 120, 10)) and all([r.rank for r in rs] == [1, 2, 3, 4, 5] for rs in got.values())
+    assert [r.vec_id for r in got[0]] == [2, 4, 6, 8, 10] and [r.vec_id for r in got[50]] == [0, 2, 4, 6, 8]
+    alone = neighbours.nearest(e.where("vec_id in (0, 1, 3)"), F.col("vec_id") == 0).collect()
+    assert sorted(r.vec_id for r in alone) == [1, 3]
+
+
+def test_scan_keeps_what_the_bound_allows():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = x[:20] + 0.02 * rng.normal(size=(20, 64))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    at, by = neighbours.scan(q.astype(np.float32), x.astype(np.float32), 6, tile=(7, 500))
+    hit = sum(len(set(by[at == i]) & set(np.argsort(-(x @ q[i]))[:6])) for i in range(20))
+    assert hit >= 0.95 * 120 and len(at) < 0.05 * 20 * 3000
+
+
 # 3 Toxicity
 
 
@@ -248,6 +277,55 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score_documents(none, lab).count() == 0
 
 
+def test_kneser_ney_against_brute_force():
+    """The models' difference for each character, computed from plain dictionaries of sequences."""
+    rng = random.Random(9)
+    words = [["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 7))) for _ in range(30)] for _ in range(2)]
+    order, shared, d, bits = toxicity.ORDER, toxicity.SHARED, toxicity.DISCOUNT, toxicity._BITS
+    full: list[dict] = [{}, {}]
+    for y in (0, 1):
+        for w in words[y]:
+            t = "\x01" * (order - 1) + w + "\x02"
+            for i in range(len(w) + 1):
+                full[y][t[i : i + order]] = full[y].get(t[i : i + order], 0) + 1
+    tables = {order: full}
+    for k in range(order - 1, 0, -1):
+        lower = []
+        for y in (0, 1):
+            kinds: dict = {}
+            for g, n in tables[k + 1][y].items():
+                if n > 0:
+                    kinds[g[1:]] = kinds.get(g[1:], 0) + 1
+            lower.append(kinds)
+        if k == shared:
+            both = {g: lower[0].get(g, 0) + lower[1].get(g, 0) for g in {**lower[0], **lower[1]}}
+            lower = [both, both]
+        tables[k] = lower
+
+    def p(g: str, y: int, k: int) -> float:
+        if not k:
+            return 1 / (1 << bits)
+        g = g[-k:]
+        here = {x: n for x, n in tables[k][y].items() if x[:-1] == g[:-1]}
+        total = sum(here.values())
+        low = p(g, y, k - 1)
+        return max(here.get(g, 0) - d, 0) / total + d * len(here) / total * low if total else low
+
+    keys = [toxicity.sequence_keys(w)[0] for w in words]
+    every = np.concatenate(keys)
+    counts = np.zeros((len(every), 2), np.int64)
+    counts[: len(keys[0]), 0] = 1
+    counts[len(keys[0]) :, 1] = 1
+    model = toxicity.Model(every, counts)
+    asked = ["abca", "dd", "abcdab", "c"]
+    got = model.difference(toxicity.sequence_keys(asked)[0])
+    want = []
+    for w in asked:
+        t = "\x01" * (order - 1) + w + "\x02"
+        want += [np.log(p(t[i : i + order], 1, order) / p(t[i : i + order], 0, order)) for i in range(len(w) + 1)]
+    assert np.allclose(got, want, atol=1e-4)
+
+
 # 4 Pieces
 
 
@@ -333,6 +411,26 @@ def test_language(spark, odd, none):
     assert langid.identify(none).count() == 0
 
 
+def test_language_is_und_without_a_letter(spark):
+    rows = [(i, t, lang) for i in range(40) for t, lang in ((f"the house and river {i}", "en"), (f"das haus und der fluss {i}", "de"))]
+    rows = [(k, t, lang) for k, (_, t, lang) in enumerate(rows)]
+    odd = [(1000, "½ ² Ⅷ 12", None), (1001, "٣ 9_9 !", "en"), (1002, "½a", None), (1003, "", None), (1004, None, "de"), (1005, "日本", None)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows + odd, "doc_id bigint, text string, lang string")).collect()}
+    assert [got[i].lang_pred == "und" for i in range(1000, 1006)] == [True, True, False, True, True, False]
+    assert all(got[k].lang_pred == lang for k, _, lang in rows)
+
+
+def test_language_takes_the_nearest_centroid():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefg ") for _ in range(60)) for _ in range(12)]
+    idf = np.ones(langid.DIMENSIONS, np.float32)
+    units = [langid.unit(langid.ngram_counts(t), idf) for t in texts]
+    model = langid.Model(idf, ["x", "x", "y", "y"], np.stack(units[:4]), np.zeros(4))
+    for t, (lang, score, _) in zip(texts[4:], model.predict(texts[4:]), strict=True):
+        cos = [float(langid.unit(langid.ngram_counts(t), idf) @ u) for u in units[:4]]
+        assert lang == "xxyy"[int(np.argmax(cos))] and abs(score - max(cos)) < 1e-5
+
+
 # 7 Mixing
 
 
@@ -476,6 +574,40 @@ def test_repeats(spark, monkeypatch, hot, many):
     assert last.n_removed >= 2_200_000 - 1 and last.n_spans in (1, 2)
 
 
+def test_suffix_ranks_are_the_order_of_strings():
+    rng = random.Random(1)
+    for window in (3, 8, 9, 20, 100):
+        text = bytes(rng.choice(b"ab") for _ in range(400))
+        strings = [text[i : i + window] for i in range(len(text) - window + 1)]
+        place = {x: i for i, x in enumerate(sorted(set(strings)))}
+        assert repeats.suffix_ranks(text, window).tolist() == [place[x] for x in strings]
+
+
+#: Names that operators might use themselves.
+CLASHES = ("_n", "_id", "_key", "_place", "_hashes", "hashes", "id", "fp", "rank", "embedding", "key", "copies", "rows", "place", "n", "row", "hash", "unnamed", "node", "h", "tie", "d", "spans", "size", "score", "text2")
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(i, f"some words of text number {i} " * 3, "en", f"s{i % 2}", 9) for i in range(12)], SCHEMA)
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.lit("mine"))
+    for kept in (simhash.keep_one_of_each(docs), mixing.mix_rows(docs)):
+        assert kept.columns == docs.columns and {r[c] for r in kept.collect() for c in CLASHES} == {"mine"}
+    got = repeats.remove_repeats(docs, keep=("id", "_id", "d", "tie", "spans", "_keep0")[:5]).collect()
+    assert len(got) == 12 and {r["_id"] for r in got} == {"mine"}
+    for frame, most in ((sketch.with_sketch(docs, "text", "s"), 12), (pieces.encode_documents(docs, tokenizer_path("piece_bpe_32k.model")), 12)):
+        assert {r["_hashes"] for r in frame.collect()} == {"mine"} and frame.count() == most
+    assert simhash.near_duplicates(docs).count() == 12
+    assert quality.assess(docs).count() == 12
+    assert langid.identify(docs).count() == 12
+    assert toxicity.score_documents(docs, spark.createDataFrame([(1, 0)], "doc_id bigint, toxic int")).count() == 12
+    assert sketch.edited_pairs(docs).count() == 12
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)], "vec_id bigint, embedding array<double>")
+    for c in ("h", "one", "list", "segment", "block", "score", "rank", "ids", "q"):
+        vectors = vectors.withColumn(c, F.lit("mine"))
+    assert neighbours.nearest(vectors, F.col("vec_id") == 0).count() == 5
+
+
 def test_repeats_odd_rows(spark, odd, none):
     got = repeats.remove_repeats(odd, keep=("lang", "source")).collect()
     assert len(got) == len(ODD)
