@@ -89,37 +89,39 @@ class PieceCoder(dict):
         """The ids of a text, in order, each as soon as it is certain.
 
         A character that the vocabulary lacks is a piece of its own, numbered beyond the
-        vocabulary in the search and written as the ids of its bytes.
+        vocabulary in the search and written as the ids of its bytes. No more than twice the
+        longest piece is held: of each position after the last commit its piece and backpointer.
         """
         longest, n = self.longest, len(text)
-        done = 0  # all before it is committed
-        last = [-1] * (n + 1)  # position -> the surviving path's last piece
-        back = [0] * (n + 1)
+        done, last, back = 0, [-1], [0]  # of position done + i: the surviving path's last piece, and how far back it starts
         for end in range(1, n + 1):
-            last[end], back[end] = self._extend(text, end, max(done, end - longest), last)
+            piece, start = self._extend(text, end, max(done, end - longest), last, done)
+            last.append(piece)
+            back.append(start - done)
             if end == n or end - done >= 2 * longest:
                 # Paths of the positions that can still be extended, traced to where they meet.
-                front = {end} if end == n else set(range(max(done + 1, end - longest + 1), end + 1))
+                width = end - done
+                front = {width} if end == n else set(range(max(1, width - longest + 1), width + 1))
                 while len(front) > 1:
                     p = max(front)
                     front.discard(p)
-                    front.add(max(back[p], done))
+                    front.add(max(back[p], 0))
                 meet = front.pop()
                 out, p = [], meet
-                while p > done:
+                while p > 0:
                     out.append(last[p])
                     p = back[p]
                 for piece in reversed(out):
                     yield from self._ids(piece)
-                done = meet
+                done, last, back = done + meet, last[meet:], [x - meet for x in back[meet:]]
 
     def _ids(self, piece: int) -> tuple[int, ...]:
         if piece < _LACKING:
             return (piece,)
         return tuple(self.byte_id[b] for b in chr(piece - _LACKING).encode("utf-8", "surrogatepass"))
 
-    def _extend(self, text: str, end: int, first: int, last: list[int]) -> tuple[int, int]:
-        """The surviving path's last piece at ``end`` and where it starts, from those before."""
+    def _extend(self, text: str, end: int, first: int, last: list[int], done: int = 0) -> tuple[int, int]:
+        """The surviving path's last piece at ``end`` and where it starts, from those of the positions after ``done``."""
         tails, stable = self.tails.get, self.stable
         for start in range(end - 1, first - 1, -1):
             piece = tails(text[start:end])
@@ -131,7 +133,7 @@ class PieceCoder(dict):
                 continue
             if not start:
                 return piece, start
-            left = last[start]
+            left = last[start - done]
             pair = left << 22 | piece
             ok = stable.get(pair)
             if ok is None:
@@ -143,16 +145,20 @@ class PieceCoder(dict):
         raise ValueError(f"no path reaches position {end}")
 
     def learn(self, words: list[str]) -> None:
-        """Remember words; a word continues from the survivors of the prefix that it shares with the one before."""
+        """Remember words; a word continues from the survivors of the prefix that it shares with the one before.
+
+        A word shorter than the window is the streaming search with its commit at the word's end,
+        where paths always meet; a longer one goes through the window.
+        """
         if self.weight + len(words) > REMEMBERED:
             self.clear()
             self.weight = 0
         self.weight += len(words)
         text, last, back, longest = "", [-1], [0], self.longest
         for word in sorted(words):
-            if len(word) > 64:
+            if len(word) + 1 > 2 * longest:
                 self[word] = np.fromiter(self.stream(BLANK + word), dtype=np.int32).tobytes()
-                self.weight += len(word) // 64
+                self.weight += len(word) // (2 * longest)
                 continue
             was, text = text, BLANK + word
             k, most = 0, min(len(was), len(text))
