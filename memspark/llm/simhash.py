@@ -15,6 +15,7 @@ word (65 at most) are linked to the smallest. No list of pairs grows with the sq
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations, repeat
 
 import numpy as np
@@ -141,6 +142,8 @@ WIDE_SHARED = 8
 #: Texts whose shingles are counted and ordered together (their number takes 10 bits), and how many shingles those may have.
 _INDEX = 10
 TOGETHER, TOGETHER_SHINGLES = 1 << _INDEX, 1 << 20
+#: Texts of a part beyond which a shingle travels as a count; shingles that are counted together.
+FEW, RANGE = 8, 1 << 20
 #: Words whose hash a worker remembers; a full memory is emptied.
 _REMEMBERED = 500_000
 _U = np.uint64
@@ -256,56 +259,118 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(shared >= F.lit(similarity) * (F.col("mu") + F.col("mv") - shared)).select("u", "v")
 
 
-def _count_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(place, s) -> (shingle, place, more): each shingle of a part once, with the first place that has it and the numbers of further ones."""
+def _coded(shingle: np.ndarray, number: np.ndarray) -> bytes:
+    """Ascending shingles as gaps, low and high halves apart, and a 16-bit number for each."""
+    gap = np.diff(shingle, prepend=np.uint32(0)).astype(np.uint32)
+    return gap.astype(np.uint16).tobytes() + (gap >> np.uint32(16)).astype(np.uint16).tobytes() + number.astype(np.uint16).tobytes()
+
+
+def _decoded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(data, dtype=np.uint16).reshape(3, -1)
+    return np.cumsum(x[0].astype(np.uint32) | x[1].astype(np.uint32) << np.uint32(16), dtype=np.uint32), x[2].astype(np.int64)
+
+
+_COUNTED = "bucket bigint, part bigint, data binary, often binary, nodes binary"
+
+
+def _rows_of(bucket: list, part: list, data: list, often: list | None = None, nodes: list | None = None) -> pa.RecordBatch:
+    none = [None] * len(bucket)
+    arrays = [pa.array(bucket, pa.int64()), pa.array(part, pa.int64()), *(pa.array(none if x is None else x, pa.binary()) for x in (data, often, nodes))]
+    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "part", "data", "often", "nodes"])
+
+
+def _by_bucket(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, node, s) -> for each part a row for each range of shingles, and one of its own with its nodes.
+
+    A row lists shingles with the number of the text that has each; of a shingle that over FEW texts
+    have it holds the count, above the numbers, and the texts stand in the part's own row.
+    """
     for b in batches:
-        place = b.column(0).to_numpy()
-        for part in np.unique(place >> _INDEX):
+        place, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+        for part in np.unique(place >> _INDEX).tolist():
             own = np.flatnonzero(place >> _INDEX == part)
-            sets = b.column(1).take(pa.array(own))
-            shingle = sets.flatten().to_numpy()
-            number = np.repeat(place[own], np.diff(sets.offsets.to_numpy()))
+            sets = b.column(2).take(pa.array(own))
+            size = np.diff(sets.offsets.to_numpy())
+            shingle = sets.flatten().to_numpy().view(np.uint32)
+            number = np.repeat(place[own] & TOGETHER - 1, size)
             order = np.argsort(shingle, kind="stable")
             shingle, number = shingle[order], number[order]
             first = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1]))) if len(shingle) else np.empty(0, np.int64)
             n = np.diff(np.append(first, len(shingle)))
-            more: list[bytes | None] = [None] * len(first)
-            low = (number & TOGETHER - 1).astype(np.uint16)
-            for k in np.flatnonzero(n > 1).tolist():
-                more[k] = low[first[k] + 1 : first[k] + n[k]].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(shingle[first], pa.int32()), pa.array(number[first]), pa.array(more, pa.binary())], names=["shingle", "place", "more"])
-
-
-def _ordered(texts: pa.Table, shared: pa.Table) -> pa.Table:
-    """A part's nodes (place, node, m) with their shared shingles (place, shingle, often, more), the rarest first."""
-    place, shingle, often = (shared.column(c).to_numpy() for c in ("place", "shingle", "often"))
-    more = shared.column("more").to_pylist()
-    extra = np.array([len(x) // 2 if x else 0 for x in more], dtype=np.int64)
-    further = np.frombuffer(b"".join(x for x in more if x), dtype=np.uint16)
-    at = np.concatenate([place & TOGETHER - 1, further.astype(np.int64)])
-    shingle, often = np.concatenate([shingle, np.repeat(shingle, extra)]), np.concatenate([often, np.repeat(often, extra)])
-    order = np.lexsort((shingle, often, at))
-    shingle = shingle[order]
-    begin = np.searchsorted(at[order], np.arange(TOGETHER + 1))
-    number = texts.column("place").to_numpy() & TOGETHER - 1
-    sets = [shingle[begin[k] : begin[k + 1]] for k in number.tolist()]
-    some = pa.array([len(x) > 0 for x in sets], pa.bool_())
-    table = pa.table({"node": texts.column("node"), "m": texts.column("m"), "s": pa.array(sets, pa.list_(pa.int32()))})
-    return table.filter(some)
+            many = np.repeat(n > FEW, n)
+            apart = _coded(shingle[many], number[many])
+            keep = ~many
+            keep[first[n > FEW]] = True
+            number[first[n > FEW]] = TOGETHER - 1 + n[n > FEW]
+            shingle, number = shingle[keep], number[keep]
+            bucket = shingle.astype(np.int64) >> 32 - bits
+            cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.empty(0, np.int64)
+            ends = np.append(cut[1:], len(bucket))
+            names = np.stack([place[own], node[own], size]).astype(np.int64).tobytes()
+            yield _rows_of([-1 - part], [part], [apart], None, [names])
+            if len(cut):
+                yield _rows_of(bucket[cut].tolist(), [part] * len(cut), [_coded(shingle[i:j], number[i:j]) for i, j in zip(cut, ends, strict=True)])
+
+
+def _shared_of_bucket(rows: pa.Table) -> pa.Table:
+    """A range's rows -> the shingles that several texts have, with their count; a part's own row passes."""
+    if rows.column("bucket")[0].as_py() < 0:
+        return rows
+    found = [_decoded(x) for x in rows.column("data").to_pylist()]
+    shingle, number = (np.concatenate(x) for x in zip(*found, strict=True))
+    of = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+    order = np.argsort(shingle, kind="stable")
+    ranked = shingle[order]
+    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    weight = np.where(number < TOGETHER, 1, number - TOGETHER + 1)[order]
+    often = np.empty(len(order), np.int64)
+    often[order] = np.repeat(np.add.reduceat(weight, first), np.diff(np.append(first, len(order))))
+    some = often > 1
+    shingle, number, often, of = shingle[some], number[some], np.minimum(often[some], 0xFFFFFFFF).astype(np.uint32), of[some]
+    at = np.searchsorted(of, np.arange(len(found) + 1))
+    held = [k for k in range(len(found)) if at[k + 1] > at[k]]
+    part = rows.column("part").to_pylist()
+    out = _rows_of([0] * len(held), [part[k] for k in held], [_coded(shingle[at[k] : at[k + 1]], number[at[k] : at[k + 1]]) for k in held], [often[at[k] : at[k + 1]].tobytes() for k in held])
+    return pa.Table.from_batches([out])
+
+
+def _ordered(rows: pa.Table) -> pa.Table:
+    """A part's rows -> its nodes with the sizes of their sets and their shared shingles, the rarest first."""
+    found = [(*_decoded(d), np.frombuffer(o, dtype=np.uint32).astype(np.int64)) for d, o in zip(rows.column("data").to_pylist(), rows.column("often").to_pylist(), strict=True) if o is not None]
+    own = [x for x in zip(rows.column("nodes").to_pylist(), rows.column("data").to_pylist(), strict=True) if x[0] is not None]
+    names = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(3, -1) for x, _ in own], axis=1)
+    apart = [_decoded(x) for _, x in own]
+    empty = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+    shingle, number, often = (np.concatenate(x) for x in zip(empty, *found, strict=True))
+    single = number < TOGETHER
+    # Frequent shingles of the part: every text that has one, with the count that came back.
+    by = np.argsort(shingle[~single], kind="stable")
+    known, count = shingle[~single][by], often[~single][by]
+    more, texts = (np.concatenate(x) for x in zip(empty[:2], *apart, strict=True))
+    at = np.searchsorted(known, more)
+    shingle = np.concatenate([shingle[single], more])
+    number = np.concatenate([number[single], texts])
+    often = np.concatenate([often[single], count[at]])
+    order = np.lexsort((shingle, often, number))
+    shingle = shingle[order].view(np.int32)
+    begin = np.searchsorted(number[order], np.arange(TOGETHER + 1))
+    sets = [shingle[begin[k] : begin[k + 1]] for k in (names[0] & TOGETHER - 1).tolist()]
+    table = pa.table({"node": pa.array(names[1]), "m": pa.array(names[2].astype(np.int32)), "s": pa.array(sets, pa.list_(pa.int32()))})
+    return table.filter(pa.array([len(x) > 0 for x in sets], pa.bool_()))
 
 
 def _shared_sets(own: DataFrame) -> DataFrame:
-    """(node, m, s): the sizes of shingle sets and those of their shingles that others have too, rarest first.
+    """(place, node, s) -> (node, m, s): sizes of shingle sets and those of their shingles that others have too, rarest first.
 
-    Shingles are ordered by how many sets have them, then by hash. A part's sets are counted before
-    they are shuffled, so a frequent shingle is a row for each part.
+    Shingles are ordered by how many sets have them, then by hash. They are counted in ranges of
+    about RANGE shingles, whose number grows with the data; a part lists a range's shingles in one
+    row, and a frequent one as a count, so it is a few bytes for each part.
     """
-    counted = own.select("place", "s").mapInArrow(_count_together, "shingle int, place bigint, more binary")
-    often = F.sum(1 + F.coalesce(F.octet_length("more") / 2, F.lit(0)).cast("bigint")).over(Window.partitionBy("shingle"))
-    shared = counted.withColumn("often", often).where("often > 1")
-    part = F.shiftright("place", _INDEX).alias("part")
-    texts = own.select(part, "place", "node", F.size("s").alias("m"))
-    found = texts.groupBy("part").cogroup(shared.select(part, "place", "shingle", "often", "more").groupBy("part")).applyInArrow(lambda a, b: _ordered(a, b), "node bigint, m int, s array<int>")
+    total = own.agg(F.sum(F.size("s").cast("bigint"))).first()[0] or 0
+    bits = min(32, max(1, (total // RANGE).bit_length()))
+    counted = own.select("place", "node", "s").mapInArrow(partial(_by_bucket, bits), _COUNTED)
+    shared = counted.groupBy("bucket").applyInArrow(lambda t: _shared_of_bucket(t), _COUNTED)
+    found = shared.groupBy("part").applyInArrow(lambda t: _ordered(t), "node bigint, m int, s array<int>")
     return found.dropDuplicates(["node"])
 
 
