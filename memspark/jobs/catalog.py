@@ -74,11 +74,11 @@ tf AS (SELECT id, dl, term, count(*) AS tf FROM ex WHERE term IN (SELECT term FR
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 w AS (SELECT term, CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END AS idf FROM df, st),
 bm AS (SELECT query_id, id, round(sum(times * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len))), 9) AS score FROM tf JOIN w USING (term) JOIN q USING (term), st GROUP BY query_id, id)
-SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) - 1 AS rank FROM bm) WHERE rank < 5""")
+SELECT query_id, id, score, rank FROM (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) - 1 AS rank FROM bm) WHERE rank < 5""")
 def d3_bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    own = search.bm25(_docs(spark, sf), q, 50).withColumn("score", F.round("score", 6)).drop("rank")
-    return search.top_k(own, 5).select("query_id", "id", "rank")
+    scores = search.bm25_scores(_docs(spark, sf), q).withColumn("score", F.round("score", 6))
+    return search.top_k(scores, 5).select("query_id", "id", "score", "rank")
 
 
 @query("SELECT item_id AS query_id, list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: trim(x, '.,!?;:()[]{}<>')), lambda x: x <> '') AS terms FROM benchmark")
@@ -96,51 +96,92 @@ def d2_query_cap(spark: SparkSession, sf: str) -> DataFrame:
 _VEC = "SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings"
 
 
-@query(f"""WITH e AS ({_VEC}), q AS (SELECT vec_id AS query_id, v AS qv FROM e WHERE vec_id IN (0, 7, 42)),
-s AS (SELECT query_id, vec_id, round(list_distance(v, qv), 9) AS distance FROM e, q)
-SELECT query_id, vec_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) - 1 AS rank FROM s) WHERE rank < 10""")
+#: Queries of the searches: every vector whose id is divisible by 50, with the tokens of that document.
+_ASKED = f"""e AS ({_VEC}),
+toks AS (SELECT doc_id AS id, {TOK.format(c='text')} AS t FROM documents),
+st AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_len FROM toks),
+qw AS (SELECT id AS query_id, len(t) AS n, unnest(t) AS term, unnest(range(len(t))) AS nth FROM toks JOIN e ON vec_id = id WHERE id % 50 = 0),
+q AS (SELECT query_id, term, times FROM (SELECT query_id, term, max(n) AS n, CASE WHEN max(n) > 256 THEN 1 ELSE count(*) END AS times, row_number() OVER (PARTITION BY query_id ORDER BY min(nth)) AS place FROM qw WHERE n <= 256 OR length(term) <= 64 GROUP BY query_id, term) WHERE n <= 256 OR place <= 256),
+ex AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM toks),
+tf AS (SELECT id, dl, term, count(*) AS tf FROM ex WHERE term IN (SELECT term FROM q) GROUP BY id, dl, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END AS idf FROM df, st),
+bm AS (SELECT query_id, id, round(sum(times * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len))), 9) AS score FROM tf JOIN w USING (term) JOIN q USING (term), st GROUP BY query_id, id),
+d AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_distance(a.v, b.v), 9) AS distance FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id IN (SELECT doc_id FROM documents))"""
+
+
+def _asked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, vectors and queries (query_id, query, vector) of the searches."""
+    docs, e = _docs(spark, sf), table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    own = docs.where("id % 50 = 0").select("id", F.array_join(search.tokens(F.col("content")), " ").alias("query"))
+    q = e.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return docs, e, q.join(own, q["query_id"] == own["id"]).select("query_id", "query", "vector")
+
+
+@query(f"""WITH e AS ({_VEC}), s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_distance(a.v, b.v), 9) AS distance FROM e a, e b WHERE a.vec_id % 50 = 0)
+SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) - 1 AS rank FROM s) WHERE rank < 10""")
 def d4_knn_l2(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    q = e.where(F.col("vec_id").isin(0, 7, 42)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return search.knn(e.withColumnRenamed("vec_id", "chunk_id"), q, 10).select("query_id", F.col("chunk_id").alias("vec_id"), "distance", "rank")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return search.knn(e.withColumnRenamed("vec_id", "chunk_id"), q, 10).select("query_id", F.col("chunk_id").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
 
 
 def _legs(spark: SparkSession, sf: str, k: int) -> tuple[DataFrame, DataFrame]:
-    q = spark.createDataFrame([(0, BM25_QUERY)], "query_id int, query string")
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    v = e.where("chunk_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("vector"))
-    return search.bm25(_docs(spark, sf), q, k), search.knn(e, v, k).withColumnRenamed("chunk_id", "id")
+    docs, e, q = _asked(spark, sf)
+    return search.bm25(docs, q, k), search.knn(e, q, k).withColumnRenamed("chunk_id", "id")
 
 
-_FUSED = f"""{_BM25},
-a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM bm QUALIFY r < 30),
-e AS ({_VEC}), d AS (SELECT vec_id AS id, round(list_distance(v, (SELECT v FROM e WHERE vec_id = 0)), 9) AS distance FROM e),
-b AS (SELECT id, row_number() OVER (ORDER BY distance, id) - 1 AS r FROM d QUALIFY r < 30),
-fu AS (SELECT coalesce(a.id, b.id) AS id, round(coalesce(1.0::DOUBLE / (61 + a.r), 0) + coalesce(1.0::DOUBLE / (61 + b.r), 0), 12) AS fusion_score FROM a FULL JOIN b ON a.id = b.id)"""
+_FUSED = f"""{_ASKED},
+a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS r FROM bm QUALIFY r < 30),
+b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS r FROM d QUALIFY r < 30),
+fu AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, round(coalesce(1.0::DOUBLE / (61 + a.r), 0) + coalesce(1.0::DOUBLE / (61 + b.r), 0), 12) AS fusion_score FROM a FULL JOIN b ON a.id = b.id AND a.query_id = b.query_id)"""
 
 
-@query(f"WITH {_FUSED} SELECT id, fusion_score FROM fu")
+@query(f"WITH {_FUSED} SELECT query_id, id, fusion_score FROM fu")
 def d5_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    return search.fuse(*_legs(spark, sf, 30)).select("id", "fusion_score")
+    return search.fuse(*_legs(spark, sf, 30)).select("query_id", "id", "fusion_score")
 
 
 _VET = "coalesce(l.quality = 0, false) OR coalesce(l.toxic = 1, false) OR d.n_chars % 100 >= 50"
+_FINAL = "round(fusion_score * (1 + CASE WHEN d.n_chars % 100 = 0 THEN 10 ELSE d.n_chars % 100 END / 100.0::DOUBLE), 12) AS final_score"
 
 
-@query(f"""WITH {_FUSED}, r AS (SELECT fu.id, fusion_score, round(fusion_score * (1 + CASE WHEN d.n_chars % 100 = 0 THEN 10 ELSE d.n_chars % 100 END / 100.0::DOUBLE), 12) AS final_score
-FROM fu JOIN documents d ON d.doc_id = fu.id LEFT JOIN labels l ON l.doc_id = fu.id WHERE {_VET})
-SELECT id, final_score, rank FROM (SELECT *, row_number() OVER (ORDER BY final_score DESC, id) - 1 AS rank FROM r) WHERE rank < 10""")
+@query(f"""WITH {_FUSED}, r AS (SELECT query_id, fu.id, {_FINAL} FROM fu JOIN documents d ON d.doc_id = fu.id LEFT JOIN labels l ON l.doc_id = fu.id WHERE {_VET})
+SELECT query_id, id, final_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) - 1 AS rank FROM r) WHERE rank < 10""")
 def d7_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    q = e.where("chunk_id = 0").select(F.lit(0).alias("query_id"), F.lit(BM25_QUERY).alias("query"), F.col("embedding").alias("vector"))
-    docs = _docs(spark, sf).join(table(spark, sf, "labels").withColumnRenamed("doc_id", "id"), "id", "left")
+    docs, e, q = _asked(spark, sf)
+    docs = docs.join(table(spark, sf, "labels").withColumnRenamed("doc_id", "id"), "id", "left")
     vetted = classify.vetted(F.lit(False), F.col("toxic") == 1, F.col("quality") == 0, F.col("signal_weight"))
-    return search.hybrid(docs, e, q, 10, vetted, ("signal_weight", "toxic", "quality")).select("id", "final_score", "rank")
+    return search.hybrid(docs, e, q, 10, vetted, ("signal_weight", "toxic", "quality")).select("query_id", "id", "final_score", "rank")
 
 
-@query(f"WITH {_FUSED} SELECT fu.id, round(fusion_score * (1 + CASE WHEN d.n_chars % 100 = 0 THEN 10 ELSE d.n_chars % 100 END / 100.0::DOUBLE), 12) AS final_score FROM fu JOIN documents d ON d.doc_id = fu.id")
+@query(f"WITH {_FUSED} SELECT query_id, fu.id, {_FINAL} FROM fu JOIN documents d ON d.doc_id = fu.id")
 def d6_boost(spark: SparkSession, sf: str) -> DataFrame:
-    return search.boost(search.fuse(*_legs(spark, sf, 30)).join(_docs(spark, sf), "id")).select("id", "final_score")
+    return search.boost(search.fuse(*_legs(spark, sf, 30)).join(_docs(spark, sf), "id")).select("query_id", "id", "final_score")
+
+
+@query(f"""WITH {_FUSED}, r AS (SELECT query_id, fu.id, d.source AS origin_project, {_FINAL} FROM fu JOIN documents d ON d.doc_id = fu.id)
+SELECT query_id, id, origin_project, final_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) - 1 AS rank FROM r) WHERE rank < 10""")
+def d10_cross_project(spark: SparkSession, sf: str) -> DataFrame:
+    """Each source is a project with chunks of its own."""
+    docs, e, q = _asked(spark, sf)
+    return search.cross_project(docs.withColumnRenamed("source", "origin_project"), e, q).select("query_id", "id", "origin_project", "final_score", "rank")
+
+
+@query(f"WITH {_ASKED}, a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS r FROM bm QUALIFY r < 30) SELECT query_id, id, round(1.0::DOUBLE / (61 + r), 12) AS fusion_score FROM a")
+def d9_text_leg_only(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries whose embedding failed are answered by the text leg; each leaves a degradation row."""
+    docs, e, q = _asked(spark, sf)
+    asked, _ = search.without_vectors(q, q.select("query_id", F.lit("endpoint is down").alias("reason")), F.current_timestamp())
+    near = search.knn(e, asked, 30).withColumnRenamed("chunk_id", "id")
+    return search.fuse(search.bm25(docs, asked, 30), near).select("query_id", "id", "fusion_score")
+
+
+@query("SELECT 'search' AS component, vec_id AS query_id, 'endpoint is down' AS detail FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0 AND vec_id % 100 = 0")
+def d9_degradations(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, q = _asked(spark, sf)
+    failed = q.where("query_id % 100 = 0").select("query_id", F.lit("endpoint is down").alias("reason"))
+    return search.without_vectors(q, failed, F.current_timestamp())[1].drop("ts")
 
 
 @query(f"SELECT d.doc_id AS id, ({_VET}) AS vetted FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -177,12 +218,18 @@ def b5_cue_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", tx.sentences_with_cue(F.col("text"), ["that", "und "]).alias("sentences"))
 
 
-@query("""WITH t AS (SELECT doc_id, lower(text) AS t FROM documents),
-m AS (SELECT doc_id, [CASE WHEN regexp_matches(t, '(^|[^a-z0-9])the($|[^a-z0-9])') THEN 'definite article' END, CASE WHEN regexp_matches(t, '(^|[^a-z0-9])und($|[^a-z0-9])') THEN 'german and' END, CASE WHEN regexp_matches(t, '(^|[^a-z0-9])of the($|[^a-z0-9])') THEN 'oft' END] AS a FROM t)
-SELECT doc_id, array_to_string(list_sort(list_filter(a, lambda x: x IS NOT NULL)), ' | ') AS aliases FROM m""")
+_FORMS = [("the", "definite article"), ("und", "german and"), ("oft", "of the"), ("ing", "the tion")]
+
+
+def _whole(c: str, token: str) -> str:
+    return f"regexp_matches({c}, '(^|[^a-z0-9]){token}($|[^a-z0-9])')"
+
+
+@query("WITH t AS (SELECT doc_id, lower(text) AS t FROM documents), m AS (SELECT doc_id, [" + ", ".join(f"CASE WHEN {_whole('t', s)} THEN '{f}' END, CASE WHEN {_whole('t', f)} THEN '{s}' END" for s, f in _FORMS) + """] AS a FROM t)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(a, lambda x: x IS NOT NULL))), ' | ') AS aliases FROM m""")
 def b6_aliases(spark: SparkSession, sf: str) -> DataFrame:
-    forms = [("the", ["definite article"], []), ("und", ["german and"], []), ("oft", ["of the"], [])]
-    return table(spark, sf, "documents").where(~F.lower("text").rlike("definite article|german and|(?<![a-z0-9])oft(?![a-z0-9])") | F.lit(True)).select("doc_id", tx.derive_aliases(F.col("text"), forms).alias("aliases")).select("doc_id", F.array_join(F.filter(F.split("aliases", r" \| "), lambda x: x != "of the"), " | ").alias("aliases"))
+    forms = [(s, [f], []) for s, f in _FORMS]
+    return table(spark, sf, "documents").select("doc_id", tx.derive_aliases(F.col("text"), forms).alias("aliases"))
 
 
 @query("""WITH t AS (SELECT doc_id, lower(text) AS t FROM documents), p AS (SELECT doc_id, i, name, length(regexp_extract(t, '(?s)^(.*?(?:^|[^a-z0-9]))' || name || '(?:$|[^a-z0-9])', 1)) AS pos
@@ -295,11 +342,15 @@ def e3_idf(spark: SparkSession, sf: str) -> DataFrame:
     return relevance.document_frequency(docs, "doc_id", "text").crossJoin(F.broadcast(n)).select("term", F.round(relevance.idf(F.col("n"), F.col("df")), 9).alias("idf"))
 
 
+_IN_ORDER = f"list_filter({_SIG}, lambda t: NOT list_contains({_META}, t))"
 _GATE = f"""WITH d AS ({_DF}), n AS (SELECT count(*) AS n FROM documents),
-p AS (SELECT item_id AS prompt_id, list_filter(list_distinct({_SIG}), lambda t: NOT list_contains({_META}, t)) AS ts FROM benchmark),
+p AS (SELECT item_id AS prompt_id, list_filter({_IN_ORDER}, lambda t, i: list_position({_IN_ORDER}, t) = i)[1:32] AS ts FROM benchmark),
 pt AS (SELECT prompt_id, unnest(ts) AS term FROM p),
-i AS (SELECT pt.prompt_id, pt.term, greatest(ln((n + 1) / (coalesce(df, 0) + 1)::DOUBLE), 0) AS idf FROM pt LEFT JOIN d USING (term), n),
-m AS (SELECT prompt_id, conv_id * 1000 + turn AS item_id, term, idf FROM i, conversations WHERE regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])' || term || '($|[^\\p{{L}}\\p{{N}}\\p{{M}}_])'))"""
+i AS (SELECT pt.prompt_id, pt.term, n, greatest(ln((n + 1) / (coalesce(df, 0) + 1)::DOUBLE), 0) AS idf FROM pt LEFT JOIN d USING (term), n),
+w AS (SELECT conv_id * 1000 + turn AS item_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'))) AS term FROM conversations),
+m AS (SELECT prompt_id, item_id, term, idf, n FROM i JOIN w USING (term)),
+g AS (SELECT prompt_id, item_id, count(*) AS n_matched, round(sum(idf), 9) AS idf_sum, round(max(idf), 9) AS max_idf, count(*) FILTER (WHERE idf >= 3) AS n_distinctive, max(n) AS n FROM m GROUP BY prompt_id, item_id),
+k1 AS (SELECT *, n_matched >= 2 AND (n < 50 OR (idf_sum >= 7 AND max_idf >= 3)) AS passed FROM g)"""
 
 
 def _gate_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -309,19 +360,20 @@ def _gate_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Da
     return prompts, items, relevance.token_idf(table(spark, sf, "documents"), wanted, "text")
 
 
-@query()
+@query(f"{_GATE} SELECT prompt_id, item_id, n_matched, round(idf_sum, 6) AS idf_sum, round(max_idf, 6) AS max_idf, passed FROM k1")
 def k1_lineage_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return relevance.lineage_gate(*_gate_inputs(spark, sf))
+    gated = relevance.lineage_gate(*_gate_inputs(spark, sf))
+    return gated.select("prompt_id", "item_id", "n_matched", F.round("idf_sum", 6).alias("idf_sum"), F.round("max_idf", 6).alias("max_idf"), "passed")
 
 
-@query()
+@query(f"{_GATE} SELECT prompt_id, item_id, n_matched, n_distinctive, CASE WHEN n < 50 THEN n_matched ELSE n_distinctive END >= 2 AS passed FROM g")
 def k2_item_gate(spark: SparkSession, sf: str) -> DataFrame:
     return relevance.item_gate(*_gate_inputs(spark, sf))
 
 
-@query()
+@query(f"{_GATE} SELECT prompt_id, item_id, place, round(idf_sum, 6) AS idf_sum FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY idf_sum DESC, n_matched DESC, item_id) AS place FROM k1 WHERE passed) WHERE place <= 2")
 def h7_thread_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return relevance.thread_hits(relevance.lineage_gate(*_gate_inputs(spark, sf))).select("prompt_id", "item_id", "place", "idf_sum")
+    return relevance.thread_hits(relevance.lineage_gate(*_gate_inputs(spark, sf))).select("prompt_id", "item_id", "place", F.round("idf_sum", 6).alias("idf_sum"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memspark.functions import classify, embed, text as tx
 from memspark.functions.stem import stemmed
-from memspark.jobs.catalog import _STATE, CORRECTIONS, DECISIONS, _any, _docs, _legs, _messages, _outcomes, query
+from memspark.jobs.catalog import _STATE, CORRECTIONS, DECISIONS, _any, _docs, _messages, _outcomes, query
 from memspark.operators import capture, health, search, telemetry
 from memspark.session import scratch_path, table
 from memspark.sources import readers
@@ -124,13 +124,6 @@ def d8_access_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").where("event_type = 'view'").groupBy("user_id").agg(F.count("*").alias("access_count"), F.max("ts").alias("last_accessed"))
 
 
-@query()
-def d9_text_leg_only(spark: SparkSession, sf: str) -> DataFrame:
-    """Without a query vector the hybrid search falls back to its text leg."""
-    text, near = _legs(spark, sf, 30)
-    return search.fuse(text, near.where(F.lit(False))).select("id", "fusion_score")
-
-
 @query("""SELECT doc_id AS id, n_chars % 100 AS signal_weight FROM documents ORDER BY signal_weight DESC, doc_id DESC LIMIT 25""")
 def h5_backfill_order(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("id", "signal_weight").orderBy(F.desc("signal_weight"), F.desc("id")).limit(25)

@@ -1,14 +1,19 @@
 """Ranked retrieval: BM25 with phrases, vector neighbours, reciprocal-rank fusion, filters and boosts.
 
-Everything is batched over a frame of queries. Only query terms and query vectors are broadcast:
-both are bounded by the queries, not by the corpus. Postings are filtered to query terms before
-anything is shuffled.
+Everything is batched over a frame of queries. Query terms are written to a small table first, so
+that Spark knows its size and broadcasts it only below its threshold. A corpus is tokenised once:
+postings of the query terms and a row for each document's length are written together, and counts,
+lengths and frequencies come from there.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from memspark.session import materialize
+
 K1, B = 1.2, 0.75
 RRF = 60
 MAX_TERMS, MAX_TERM_CHARS = 256, 64
@@ -39,30 +44,42 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_c
     frequencies and lengths count over all text columns; phrases don't span columns. A negative
     idf counts as 1e-6; a word that a query repeats counts again. Ties go to the smaller id.
     """
+    return top_k(bm25_scores(docs, queries, id_col, text_cols), k).withColumnRenamed("id", id_col)
+
+
+def _placed(tokens_col: Column, i: int) -> Column:
+    return F.transform(tokens_col, lambda t, pos: F.struct(F.lit(i).alias("col"), pos.alias("pos"), t.alias("term")))
+
+
+def _postings(docs: DataFrame, terms: DataFrame, id_col: str, text_cols: tuple[str, ...]) -> DataFrame:
+    """(id, len, col, pos, p, m, at): where terms (p, m, at, term) stand, and a row with m = 0 for each document."""
+    own = docs.select(F.col(id_col).alias("id"), *(tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(text_cols)))
+    length = sum((F.size(f"t{i}") for i in range(1, len(text_cols))), F.size("t0"))
+    own = own.withColumn("len", length)
+    # Index tokens are never empty: the empty one at the end of the first column stands for the document.
+    cols = [_placed(F.concat("t0", F.array(F.lit(""))) if not i else F.col(f"t{i}"), i) for i in range(len(text_cols))]
+    each = own.select("id", "len", F.explode(F.concat(*cols) if len(cols) > 1 else cols[0]).alias("x")).select("id", "len", "x.*")
+    return each.join(terms, "term").select("id", "len", "col", "pos", "p", "m", "at")
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_cols: tuple[str, ...] = ("content",)) -> DataFrame:
+    """(query_id, id, score) of every document that has a word of the query."""
     each = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("word"))
-    parts = each.groupBy("query_id", "word").agg(F.count("*").alias("times")).withColumn("p", tokens(F.col("word"))).where(F.size("p") > 0)
-    phrases = parts.select("query_id", "p", "times")
-    wanted = phrases.select("p").distinct()
-    terms = wanted.select("p", F.size("p").alias("m"), F.posexplode("p").alias("at", "term"))
-    cols = [tokens(F.col(c)) for c in text_cols]
-    own = docs.select(F.col(id_col).alias("id"), *(c.alias(f"t{i}") for i, c in enumerate(cols)))
-    length = sum((F.size(f"t{i}") for i in range(1, len(cols))), F.size("t0"))
-    stats = own.agg(F.count("*").alias("n_docs"), F.avg(length).alias("avg_len"))
-    found = None
-    for i in range(len(cols)):
-        posted = own.select("id", length.alias("len"), F.lit(i).alias("col"), F.posexplode(f"t{i}").alias("pos", "term"))
-        found = posted if found is None else found.union(posted)
-    hits = found.join(F.broadcast(terms), "term")
+    phrases = each.groupBy("query_id", "word").agg(F.count("*").alias("times")).withColumn("p", tokens(F.col("word"))).where(F.size("p") > 0).select("query_id", "p", "times")
+    phrases = materialize(phrases, "phrases")
+    terms = phrases.select("p").distinct().select("p", F.size("p").alias("m"), F.posexplode("p").alias("at", "term"))
+    document = terms.sparkSession.createDataFrame([([""], 0, 0, "")], terms.schema)
+    hits = materialize(_postings(docs, materialize(terms.union(document), "terms"), id_col, text_cols), "postings")
+    stats = hits.where("m = 0").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     single = hits.where("m = 1").select("id", "len", "p")
     several = hits.where("m > 1").groupBy("id", "len", "col", "p", "m", (F.col("pos") - F.col("at")).alias("start")).count().where("count = m").select("id", "len", "p")
-    tf = single.union(several).groupBy("id", "len", "p").agg(F.count("*").alias("tf"))
+    tf = single.union(several).groupBy("p", "id", "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("p").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = df.crossJoin(F.broadcast(stats)).select("p", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "avg_len")
-    asked = phrases.join(F.broadcast(weight), "p")
+    weight = df.crossJoin(stats).select("p", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "avg_len")
+    asked = phrases.join(weight, "p")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-    scored = tf.join(F.broadcast(asked), "p").groupBy("query_id", "id").agg(F.round(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm), 9).alias("score"))
-    return top_k(scored, k).withColumnRenamed("id", id_col)
+    return tf.join(asked, "p").groupBy("query_id", "id").agg(F.round(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm), 9).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score", descending: bool = True) -> DataFrame:
@@ -85,10 +102,15 @@ def distance(a: Column, b: Column, metric: str = "l2") -> Column:
 def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "embedding", metric: str = "l2") -> DataFrame:
     """(query_id, id_col, distance, rank) of the k nearest vectors of each query (query_id, vector).
 
-    The queries, a stated set, are broadcast; each task keeps the k best before the shuffle.
+    Every query meets every vector of its length. Vectors are dealt into as many segments as a
+    shuffle has partitions, and each segment's pairs are cut to k before they are shuffled.
     """
-    own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("v").isNotNull())
-    met = own.join(F.broadcast(queries.select("query_id", F.col("vector").alias("q"))), F.size("q") == F.size("v"))
+    spark = vectors.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("v").isNotNull()).withColumn("segment", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    asked = materialize(queries.select("query_id", F.col("vector").alias("q")).where("q is not null"), "query_vectors")
+    asked = asked.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = own.join(asked, (own["segment"] == asked["segment"]) & (F.size("q") == F.size("v")))
     scored = met.select("query_id", "id", F.round(distance(F.col("v"), F.col("q"), metric), 9).alias("distance"))
     return top_k(scored, k, "distance", descending=False).withColumnRenamed("id", id_col)
 
@@ -113,14 +135,40 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10,
     ``queries``: (query_id, query, vector); a null vector (a failed embedding) leaves the text leg.
     """
     text = bm25(docs, queries, 3 * k, "id", text_cols)
-    near = knn(vectors, queries.where("vector is not null"), 3 * k, metric=metric).withColumnRenamed("chunk_id", "id")
-    fused = F.broadcast(fuse(text, near))  # 6k rows for each query at most
+    near = knn(vectors, queries, 3 * k, metric=metric).withColumnRenamed("chunk_id", "id")
+    fused = materialize(fuse(text, near), "fused")  # 6k rows for each query at most
     rows = docs.select("id", *keep).join(fused, "id")
     if where is not None:
         rows = rows.where(where)
     return top_k(boost(rows), k, "final_score")
 
 
+def without_vectors(queries: DataFrame, failed: DataFrame, ts: Column) -> tuple[DataFrame, DataFrame]:
+    """Queries whose embedding failed (query_id, reason) lose their vector, and a degradation row is made of each.
+
+    Such a query is answered by its text leg alone.
+    """
+    out = queries.join(failed.select("query_id", "reason").dropDuplicates(["query_id"]), "query_id", "left")
+    rows = out.where("reason is not null").select(ts.alias("ts"), F.lit("search").alias("component"), F.col("query_id"), F.substring("reason", 1, 500).alias("detail"))
+    return out.withColumn("vector", F.when(F.col("reason").isNull(), F.col("vector"))).drop("reason"), rows
+
+
+def union_of_projects(projects: dict[str, DataFrame]) -> DataFrame:
+    """The projects' frames as one, with the project's name in origin_project."""
+    named = [d.withColumn("origin_project", F.lit(n)) for n, d in sorted(projects.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
+def cross_project(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, keep: tuple[str, ...] = ("signal_weight",)) -> DataFrame:
+    """The hybrid search over the chunks and vectors of all projects; rows carry origin_project.
+
+    Equal ids are one chunk: that of the first project by name, mirrored once.
+    """
+    first = docs.groupBy("id").agg(F.min("origin_project").alias("origin_project"))
+    own = docs.join(first, ["id", "origin_project"]).dropDuplicates(["id"])
+    return hybrid(own, vectors.dropDuplicates(["chunk_id"]), queries, k, where, (*keep, "origin_project"))
+
+
 def result_line(score: Column, source: Column, module: Column, content: Column) -> Column:
     from memspark.functions.text import clip
 
