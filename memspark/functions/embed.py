@@ -41,6 +41,10 @@ class HashEmbedder:
         return (v / n if n else v).tolist()
 
 
+#: Texts in one call to a provider that takes several.
+EMBED_BATCH = 64
+
+
 def embed_one(provider: Embedder, text: str) -> list[float]:
     """One text's vector, its head if it is too long; another width than promised is an error."""
     size = len(text)
@@ -58,21 +62,36 @@ def embed_one(provider: Embedder, text: str) -> list[float]:
 
 
 def with_embedding(rows: DataFrame, text: str, provider: Embedder) -> DataFrame:
-    """Rows with ``embedding`` (null on failure) and ``embed_error`` (null on success)."""
+    """Rows with ``embedding`` (null on failure) and ``embed_error`` (null on success), in the place of such columns."""
     ship_package(rows.sparkSession)
 
+    def one(t: str) -> tuple[list[float] | None, str | None]:
+        try:
+            return embed_one(provider, t), None
+        except Exception as e:  # a row's failure is data, not the job's
+            return None, f"{type(e).__name__}: {e}"[:500]
+
+    def many(part: list[str]) -> list[tuple[list[float] | None, str | None]]:
+        """One call for the batch where the provider has ``embed_batch``; if it fails, a call for each text."""
+        call = getattr(provider, "embed_batch", None)
+        if call is not None:
+            try:
+                found = call(part)
+                if len(found) == len(part) and all(len(v) == provider.dim for v in found):
+                    return [(list(v), None) for v in found]
+            except Exception:  # noqa: S110  told row by row below
+                pass
+        return [one(t) for t in part]
+
     @F.pandas_udf(T.StructType([T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("embed_error", T.StringType())]))
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
-            out = []
-            for t in s:
-                try:
-                    out.append((embed_one(provider, t or ""), None))
-                except Exception as e:  # a row's failure is data, not the job's
-                    out.append((None, f"{type(e).__name__}: {e}"[:500]))
+            own = [t or "" for t in s]
+            out = [x for i in range(0, len(own), EMBED_BATCH) for x in many(own[i : i + EMBED_BATCH])]
             yield pd.DataFrame(out, columns=["embedding", "embed_error"])
 
-    return rows.withColumn("_e", run(F.col(text))).select(*rows.columns, "_e.embedding", "_e.embed_error")
+    kept = [c for c in rows.columns if c not in ("embedding", "embed_error")]
+    return rows.withColumn("_e", run(F.col(text))).select(*kept, "_e.embedding", "_e.embed_error")
 
 
 def backfill(chunks: DataFrame, vectors: DataFrame, text: str, provider: Embedder) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from memspark.functions import lexicon
 
@@ -102,11 +102,18 @@ def word_match(token: Column, haystack: Column) -> Column:
 
 
 def extract_topic(c: Column, patterns: list[str] = lexicon.TOPIC_PATTERNS, stopwords: list[str] = lexicon.TOPIC_STOPWORDS) -> Column:
-    """The first symbol by the most specific pattern that matches, else the first longer word, else ''."""
-    low = F.lower(c)
-    symbols = [F.nullif(F.regexp_extract(low, p, 1), F.lit("")) for p in patterns]
-    words = F.filter(F.regexp_extract_all(low, F.lit(r"\b([a-z]{4,})\b")), lambda w: ~w.isin(stopwords))
-    return F.coalesce(*symbols, F.try_element_at(words, F.lit(1)), F.lit(""))
+    """The first symbol by the most specific pattern that matches, else the first longer word, else ''.
+
+    Patterns stand between word boundaries, so each is held against whole words.
+    """
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"))
+
+    def first(pattern: str) -> Column:
+        return F.try_element_at(F.filter(words, lambda w: w.rlike(f"^{pattern}$")), F.lit(1))
+
+    symbols = [first(p.removeprefix(r"\b").removesuffix(r"\b")) for p in patterns]
+    plain = F.filter(words, lambda w: w.rlike("^[a-z]{4,}$") & ~w.isin(stopwords))
+    return F.coalesce(*symbols, F.try_element_at(plain, F.lit(1)), F.lit(""))
 
 
 def extract_symbols(c: Column, patterns: list[str] = lexicon.SYMBOL_PATTERNS) -> Column:
@@ -167,30 +174,44 @@ def module_of_path(path: Column, roster: list[str], roots: list[str], state_suff
     return F.when(under, F.coalesce(state, F.try_element_at(hit, F.lit(1))))
 
 
-def section_lines(docs: DataFrame, id_col: str, text_col: str, heading: str = r"^\s*#{2,3} ") -> DataFrame:
-    """(id_col, n, line, section): the lines of texts with the number of headings up to each."""
-    lines = docs.select(id_col, F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("n", "line"))
-    at = Window.partitionBy(id_col).orderBy("n")
-    return lines.withColumn("section", F.sum(F.col("line").rlike(heading).cast("int")).over(at))
+def nested_strings(payload: Column, most: int = 16384) -> Column:
+    """All string values of a JSON payload at any depth, in order, by lines; names, numbers and flags are left out.
+
+    A JSON string stands after a colon, a comma or a bracket and isn't followed by a colon.
+    """
+    each = F.regexp_extract_all(payload, F.lit(r'("(?:[^"\\]|\\.)*")(?=\s*(?:[,\]}]|$))'))
+    plain = F.transform(each, lambda x: F.get_json_object(F.concat(F.lit('{"v":'), x, F.lit("}")), "$.v"))
+    return F.substring(F.array_join(F.filter(plain, lambda x: x.isNotNull() & (x != "")), "\n"), 1, most)
+
 
+def sections(docs: DataFrame, id_col: str, text_col: str, heading: str = r"[^\S\n]*#{2,3} ") -> DataFrame:
+    """(id_col, section, raw, first): texts cut before lines that begin with a heading, and the number of each piece's first line.
 
-def split_sections(docs: DataFrame, id_col: str, text_col: str, heading: str = r"^\s*#{2,3} ", window: int = 6000) -> DataFrame:
+    A text is cut by itself: nothing is shuffled. ``heading`` must not match a line end. Sections
+    count headings, so what stands before the first one is section 0; lines count from 0.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    pieces = F.split(text, rf"\n(?={heading})")
+    lines = F.transform("_p", lambda x: _breaks(x) + 1)
+    firsts = F.aggregate(lines, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    rows = docs.select(id_col, pieces.alias("_p"), text.rlike(rf"\A{heading}").cast("int").alias("_h"))
+    rows = rows.select(id_col, "_h", F.posexplode(F.arrays_zip(F.col("_p").alias("raw"), F.slice(firsts, F.lit(1), F.size("_p")).alias("first"))).alias("_i", "_x"))
+    return rows.select(id_col, (F.col("_i") + F.col("_h")).alias("section"), "_x.raw", "_x.first")
+
+
+def _breaks(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+
+
+def split_sections(docs: DataFrame, id_col: str, text_col: str, heading: str = r"[^\S\n]*#{2,3} ", window: int = 6000) -> DataFrame:
     """(id_col, section, part, text, line_start, line_end): pieces that begin at headings, cut into windows.
 
-    A row for each line; sections and their bounds come from windows over a document's lines.
     Lines are 1-based; a part's bounds are the lines its characters stand on. Blank pieces go.
     """
-    lines = section_lines(docs, id_col, text_col, heading)
-    whole = lines.groupBy(id_col, "section").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
-    joined = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
-    whole = whole.select(id_col, "section", joined.alias("raw"), F.element_at("l", 1)["n"].alias("first"))
-    lead = F.length("raw") - F.length(F.ltrim(F.regexp_replace("raw", r"^\s+", "")))
+    whole = sections(docs, id_col, text_col, heading)
+    lead = F.length("raw") - F.length(F.regexp_replace("raw", r"^\s+", ""))
     whole = whole.withColumn("lead", lead).withColumn("body", F.regexp_replace("raw", r"^\s+|\s+$", "")).where("body <> ''")
     parts = whole.select("*", F.explode(F.sequence(F.lit(0), F.length("body") - 1, F.lit(window))).alias("from"))
     text = F.substring(F.col("body"), F.col("from") + 1, F.lit(window))
-
-    def breaks(c: Column) -> Column:
-        return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-
-    start = F.col("first") + 1 + breaks(F.substring(F.col("raw"), F.lit(1), F.col("lead") + F.col("from")))
-    return parts.select(id_col, "section", (F.col("from") / window).cast("int").alias("part"), text.alias("text"), start.cast("int").alias("line_start"), (start + breaks(text)).cast("int").alias("line_end"))
+    start = F.col("first") + 1 + _breaks(F.substring(F.col("raw"), F.lit(1), F.col("lead") + F.col("from")))
+    return parts.select(id_col, "section", (F.col("from") / window).cast("int").alias("part"), text.alias("text"), start.cast("int").alias("line_start"), (start + _breaks(text)).cast("int").alias("line_end"))

@@ -32,6 +32,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _clip(t: str, n: int) -> str:
+    """Collapsed text ``t`` clipped to ``n`` characters."""
+    h = f"substring({t}, 1, {n - 1})"
+    return f"CASE WHEN length({t}) <= {n} THEN {t} ELSE rtrim(CASE WHEN substring({t}, {n}, 1) <> ' ' AND contains({h}, ' ') AND length({h}) - instr(reverse({h}), ' ') > 0 THEN substring({h}, 1, length({h}) - instr(reverse({h}), ' ')) ELSE {h} END) || '…' END"
+
+
 def _any(col: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(lower({col}), '{w}')" for w in words) + ")"
 
@@ -93,6 +99,7 @@ def d2_query_cap(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("id", F.size(search.query_terms(F.col("content"))).cast("bigint").alias("n_terms"))
 
 
+_ECHO = r"(?i)^\s*(?:" + "|".join(tx.lexicon.STATUS_ECHO).replace("'", "''") + r")\s*[.!]*\s*$"
 _VEC = "SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings"
 
 
@@ -261,7 +268,17 @@ def b10_word_match(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"), words).select("doc_id", "term", tx.word_match(F.col("term"), F.col("t")).alias("hit"))
 
 
-@query()
+_TOPIC_WORDS = "regexp_extract_all(lower({c}), '([\\p{{L}}\\p{{N}}_]+)', 1)"
+_TOPIC_STOP = "['" + "','".join(w.replace("'", "''") for w in tx.lexicon.TOPIC_STOPWORDS) + "']"
+
+
+def _topic(c: str) -> str:
+    words = _TOPIC_WORDS.format(c=c)
+    symbols = [f"list_filter({words}, lambda w: regexp_full_match(w, '{p[2:-2]}'))[1]" for p in tx.lexicon.TOPIC_PATTERNS]
+    return f"coalesce({', '.join(symbols)}, list_filter({words}, lambda w: regexp_full_match(w, '[a-z]{{4,}}') AND NOT list_contains({_TOPIC_STOP}, w))[1], '')"
+
+
+@query(f"SELECT conv_id, turn, {_topic('text')} AS topic FROM conversations")
 def b11_topic(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", tx.extract_topic(F.col("text")).alias("topic"))
 
@@ -396,21 +413,25 @@ def g2_corrections(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH s AS (SELECT conv_id AS session_id, turn AS pos, string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM conversations),
 x AS (SELECT session_id, pos, i AS s, ss[i] AS t FROM (SELECT session_id, pos, ss, unnest(range(1, len(ss) + 1)) AS i FROM s)),
 k AS (SELECT session_id, pos, s, t, 'decision' AS kind FROM x WHERE {_any('t', DECISIONS)} UNION ALL SELECT session_id, pos, s, t, 'dead_end' AS kind FROM x WHERE {_any('t', CORRECTIONS)}),
-g AS (SELECT * FROM k WHERE length(t) >= 40),
+g AS (SELECT session_id, pos, s, kind, {_clip('t', 200)} AS t FROM k WHERE length({_clip('t', 200)}) >= 40 AND NOT regexp_matches({_clip('t', 200)}, '{_ECHO}')),
 f AS (SELECT *, row_number() OVER (PARTITION BY session_id, kind, t ORDER BY pos, s) AS r FROM g),
 c AS (SELECT session_id, kind, t AS title, pos, row_number() OVER (PARTITION BY session_id, kind ORDER BY pos, s) AS place FROM f WHERE r = 1)
 SELECT * FROM c WHERE place <= 25""")
 def k9_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    found = capture.candidates(_messages(spark, sf), DECISIONS, CORRECTIONS, title_chars=1_000_000)
+    found = capture.candidates(_messages(spark, sf), DECISIONS, CORRECTIONS)
     return found.select("session_id", "kind", "title", "pos", "place")
 
 
-@query()
+@query(f"""WITH s AS (SELECT unnest(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS t FROM conversations),
+c AS (SELECT {_clip('t', 200)} AS c FROM s WHERE {_any('t', DECISIONS)}),
+w AS (SELECT regexp_matches(c, '{_ECHO}') AS echo, length(c) < 40 AS short FROM c)
+SELECT 0 AS harness, 0 AS maintenance, count(*) FILTER (WHERE echo) AS status_echo, count(*) FILTER (WHERE NOT echo AND short) AS too_short, count(*) FILTER (WHERE NOT echo AND NOT short) AS kept FROM w""")
 def k9_scan_skips(spark: SparkSession, sf: str) -> DataFrame:
     return capture.scan_skips(_messages(spark, sf), DECISIONS)
 
 
-@query()
+@query(f"""SELECT session_id, pos, {_topic("text || ' ' || assistant_message")} AS topic FROM (SELECT conv_id AS session_id, turn AS pos, text, role, lag(role) OVER w AS pr, lag(text) OVER w AS assistant_message FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+WHERE role = 'user' AND pr = 'assistant' AND {_any('text', CORRECTIONS)}""")
 def k10_topics(spark: SparkSession, sf: str) -> DataFrame:
     return capture.correction_events(_messages(spark, sf), CORRECTIONS).select("session_id", "pos", "topic")
 
@@ -418,8 +439,7 @@ def k10_topics(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT count(*) AS invocations, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE value > 50) AS slow, count(*) FILTER (WHERE event_type = 'purchase') AS purchases FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY""")
 def e4_weekly(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    now = F.lit(e.agg(F.max("ts")).first()[0])
-    return telemetry.weekly_summary(e, now, {"errors": F.col("event_type") == "error", "slow": F.col("value") > 50, "purchases": F.col("event_type") == "purchase"})
+    return telemetry.weekly_summary(e.crossJoin(e.agg(F.max("ts").alias("now"))), F.col("now"), {"errors": F.col("event_type") == "error", "slow": F.col("value") > 50, "purchases": F.col("event_type") == "purchase"})
 
 
 @query("""WITH v AS (SELECT event_type, list_sort(list(value)) AS l, count(*) AS n FROM events WHERE value <> 0 GROUP BY event_type) SELECT event_type, n, l[n // 2 + 1] AS p50, l[least(n - 1, floor(n * 0.95)::BIGINT) + 1] AS p95 FROM v""")
@@ -460,9 +480,10 @@ def g6_recent_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return telemetry.recent_sessions(table(spark, sf, "events"), "user_id", "event_id")
 
 
-@query("SELECT sha256(string_agg(n_name || '=' || n_regionkey, chr(10) ORDER BY n_name || '=' || n_regionkey) || chr(10) || count(*)) AS signature FROM nation")
+@query("""WITH h AS (SELECT sha256(event_id || '=' || event_type) AS h FROM events), b AS (SELECT h[1:3] AS b, sha256(string_agg(h, '' ORDER BY h)) AS s, count(*) AS n FROM h GROUP BY h[1:3])
+SELECT sha256(string_agg(s, '' ORDER BY b) || chr(10) || sum(n)) AS signature FROM b""")
 def e13_signature(spark: SparkSession, sf: str) -> DataFrame:
-    return telemetry.corpus_signature(table(spark, sf, "nation"), "n_name", "n_regionkey")
+    return telemetry.corpus_signature(table(spark, sf, "events"), "event_id", "event_type")
 
 
 _STATE = "CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'confirmed' ELSE 'rejected' END"

@@ -13,6 +13,10 @@ from memspark.sources import readers
 from memspark.streaming import jobs
 
 
+#: A line that begins with one of these words stands for a heading.
+HEADING = r"[^\S\n]*(The|Of|In) "
+
+
 def _session_files(spark: SparkSession, sf: str) -> str:
     """conversations written as session JSONL, a block list for every other message."""
     path = scratch_path(spark, "sessions")
@@ -101,7 +105,7 @@ s AS (SELECT doc_id, i, line, sum(CASE WHEN regexp_matches(line, '^\\s*(The|Of|I
 g AS (SELECT doc_id, section, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS body FROM s GROUP BY doc_id, section)
 SELECT doc_id, section, count(*) AS parts, sum(length(body[f + 1:f + 500])) AS chars, max(md5(body)) AS body FROM (SELECT *, unnest(range(0, length(body), 500)) AS f FROM g WHERE body <> '') GROUP BY doc_id, section""")
 def b1_sections(spark: SparkSession, sf: str) -> DataFrame:
-    parts = tx.split_sections(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", r"^\s*(The|Of|In) ", 500)
+    parts = tx.split_sections(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", HEADING, 500)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "")
     return parts.groupBy("doc_id", "section").agg(F.count("*").alias("parts"), F.sum(F.length("text")).alias("chars"), F.md5(whole).alias("body"))
 
@@ -141,17 +145,16 @@ def j1_replace_by_file(spark: SparkSession, sf: str) -> DataFrame:
     return readers.replace_by_file(d, d.where("v % 50 = 0")).groupBy("file_path").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
 
 
-@query("""WITH f AS (SELECT url AS path, page_id % 17 AS mtime FROM pages), s AS (SELECT list(path) AS seen FROM f WHERE mtime = 8 AND contains(path, '1'))
-SELECT path, mtime FROM f, s WHERE mtime > 8 OR (mtime = 8 AND NOT list_contains(coalesce(seen, []), path))""")
+@query("""WITH f AS (SELECT url || '#' || page_id AS path, page_id % 17 AS mtime FROM pages)
+SELECT path, mtime FROM f WHERE mtime > 8 OR (mtime = 8 AND NOT contains(path, '1'))""")
 def l1_changed_files(spark: SparkSession, sf: str) -> DataFrame:
-    f = table(spark, sf, "pages").select(F.col("url").alias("path"), (F.col("page_id") % 17).alias("mtime"))
-    seen = f.where("mtime = 8 and path like '%1%'").agg(F.lit(8).cast("bigint").alias("mtime"), F.collect_list("path").alias("at_boundary"))
-    return readers.changed_files(f, seen)
+    f = table(spark, sf, "pages").select(F.concat_ws("#", "url", "page_id").alias("path"), (F.col("page_id") % 17).alias("mtime"))
+    return readers.changed_files(f, f.where("mtime = 8 and path like '%1%'").select("mtime", "path"))
 
 
-@query("""WITH f AS (SELECT url AS path, page_id % 17 AS mtime FROM pages) SELECT mtime, list_sort(list(path)) AS at_boundary FROM f WHERE mtime = (SELECT max(mtime) FROM f) GROUP BY mtime""")
+@query("""WITH f AS (SELECT url || '#' || page_id AS path, page_id % 17 AS mtime FROM pages) SELECT mtime, path FROM f WHERE mtime = (SELECT max(mtime) FROM f)""")
 def l1_next_watermark(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.next_watermark(table(spark, sf, "pages").select(F.col("url").alias("path"), (F.col("page_id") % 17).alias("mtime")))
+    return readers.next_watermark(table(spark, sf, "pages").select(F.concat_ws("#", "url", "page_id").alias("path"), (F.col("page_id") % 17).alias("mtime")))
 
 
 @query(f"""WITH p AS (SELECT count(*) FILTER (WHERE s = 'pending') AS n FROM (SELECT {_STATE} AS s FROM orders)),
@@ -167,17 +170,32 @@ def k19_health_gate(spark: SparkSession, sf: str) -> DataFrame:
     return health.gate([health.pending_queue(o), health.vector_coverage(chunks, vectors), health.stale_lineage(threads)])
 
 
-@query()
+_BEATS = """b AS (SELECT user_id, event_type, arg_max(value > 1.0, event_id)::INT AS ok, floor(epoch(max(ts) FILTER (WHERE value > 1.0))) AS t FROM events GROUP BY user_id, event_type),
+p AS (SELECT user_id, max(ok) FILTER (WHERE event_type = 'click') AS o0, max(t) FILTER (WHERE event_type = 'click') AS t0, max(ok) FILTER (WHERE event_type = 'view') AS o1, max(t) FILTER (WHERE event_type = 'view') AS t1,
+max(ok) FILTER (WHERE event_type = 'signup') AS os, max(t) FILTER (WHERE event_type = 'signup') AS ts, max(ok) FILTER (WHERE event_type = 'purchase') AS oe, max(t) FILTER (WHERE event_type = 'purchase') AS te,
+max(ok) FILTER (WHERE event_type = 'error') AS oc, max(t) FILTER (WHERE event_type = 'error') AS tc, (SELECT floor(epoch(max(ts))) FROM events) AS now FROM b GROUP BY user_id),
+x AS (SELECT *, CASE WHEN t0 IS NULL THEN t1 WHEN t1 IS NULL THEN t0 ELSE greatest(t0, t1) END AS turn FROM p)"""
+_PROBLEMS = """[CASE WHEN o0 IS NULL THEN 'click:no-rows' WHEN o0 <> 1 THEN 'click:latest-errored' WHEN t0 IS NULL THEN 'click:bad-ts' WHEN now - t0 > 172800 THEN 'click:stale' END,
+CASE WHEN o1 IS NULL THEN 'view:no-rows' WHEN o1 <> 1 THEN 'view:latest-errored' WHEN t1 IS NULL THEN 'view:bad-ts' WHEN now - t1 > 172800 THEN 'view:stale' END,
+CASE WHEN os <> 1 THEN 'signup:latest-errored' WHEN turn - coalesce(ts, -1e12) > 172800 AND te - coalesce(ts, -1e12) > 600 AND turn > te AND now - te > 600 THEN 'signup:boundary-cycle-without-start' END,
+CASE WHEN oc <> 1 THEN 'error:latest-errored' WHEN te - coalesce(tc, -1e12) > 3600 AND now - te > 3600 THEN 'error:missed-boundary' END,
+CASE WHEN oe <> 1 THEN 'purchase:latest-errored' WHEN tc - coalesce(te, -1e12) > 3600 AND now - tc > 3600 THEN 'purchase:missed-boundary' END]"""
+
+
+@query(f"WITH {_BEATS} SELECT user_id, len(f) = 0 AS ok, CASE WHEN len(f) = 0 THEN 'all 5 hooks consistent' ELSE array_to_string(f, ', ') END AS detail FROM (SELECT user_id, list_filter({_PROBLEMS}, lambda y: y IS NOT NULL) AS f FROM x)")
 def k19_3_heartbeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's events are the heartbeats of a project's five hooks."""
     e = table(spark, sf, "events")
-    latest = telemetry.latest_heartbeat(e, "event_type", F.col("value") > 1, "ts", "event_id").withColumnRenamed("event_type", "hook")
-    return health.heartbeats(latest, F.lit(e.agg(F.max("ts")).first()[0]), ["click"], "view", ["purchase", "error"])
+    flag = e.withColumn("ok", F.col("value") > 1)
+    latest = flag.groupBy("user_id", F.col("event_type").alias("hook")).agg(F.max_by("ok", "event_id").alias("last_ok"), F.max(F.when(F.col("ok"), F.col("ts"))).alias("newest_success"))
+    rows = health.heartbeats(latest, e.agg(F.max("ts").alias("now")), ["click", "view"], "signup", "purchase", ["error"], "user_id")
+    return rows.select("user_id", "ok", "detail")
 
 
-@query("""WITH r AS (SELECT event_id AS id, event_type AS hash, user_id AS session_id, floor(value)::BIGINT AS corpus_sig, user_id % 3 AS project FROM events)
+@query("""WITH r AS (SELECT event_id AS id, event_type AS hash, event_id % 7 AS session_id, floor(value)::BIGINT AS corpus_sig, user_id AS project FROM events)
 SELECT id, coalesce(lag(hash) OVER w = hash AND lag(session_id) OVER w <> session_id AND lag(corpus_sig) OVER w <> corpus_sig, false) AS flag FROM r WINDOW w AS (PARTITION BY project ORDER BY id)""")
 def k17_repeated_renders(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("hash"), F.col("user_id").alias("session_id"), F.floor("value").alias("corpus_sig"), (F.col("user_id") % 3).alias("project"))
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("hash"), (F.col("event_id") % 7).alias("session_id"), F.floor("value").alias("corpus_sig"), F.col("user_id").alias("project"))
     return health.repeated_renders(e).select("id", "flag")
 
 
@@ -205,28 +223,24 @@ def l7_windowed_stream(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query(f"""SELECT count(*) FILTER (WHERE {_any('text', DECISIONS)}) AS decisions, count(*) FILTER (WHERE role = 'user' AND {_any('text', CORRECTIONS)}) AS corrections, count(*) AS n FROM conversations""")
-def k12_flag_totals(spark: SparkSession, sf: str) -> DataFrame:
-    m = _messages(spark, sf)
-    return m.agg(F.count_if(classify.is_decision(F.col("text"), DECISIONS)).alias("decisions"), F.count_if(classify.is_correction(F.col("text"), F.col("role"), CORRECTIONS)).alias("corrections"), F.count("*").alias("n"))
-
-
 _SECTIONS = """l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
 s AS (SELECT doc_id, i, line, sum(CASE WHEN regexp_matches(line, '^\\s*(The|Of|In) ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM l)"""
 
 
 @query(f"WITH {_SECTIONS} SELECT doc_id, section, count(*) AS n_lines FROM s GROUP BY doc_id, section ORDER BY n_lines DESC, doc_id, section LIMIT 5")
 def e16_largest_sections(spark: SparkSession, sf: str) -> DataFrame:
-    lines = tx.section_lines(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", r"^\s*(The|Of|In) ")
-    return lines.groupBy("doc_id", "section").agg(F.count("*").alias("n_lines")).orderBy(F.desc("n_lines"), "doc_id", "section").limit(5)
+    rows = tx.sections(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", HEADING)
+    lines = F.length("raw") - F.length(F.replace(F.col("raw"), F.lit("\n"), F.lit(""))) + 1
+    return rows.select("doc_id", "section", lines.cast("bigint").alias("n_lines")).orderBy(F.desc("n_lines"), "doc_id", "section").limit(5)
 
 
-@query(f"WITH {_SECTIONS} SELECT doc_id, count(*) FILTER (WHERE moved) AS moved, count(*) FILTER (WHERE NOT moved) AS kept FROM (SELECT doc_id, section, bool_or(contains(line, 'that')) AS moved FROM s GROUP BY doc_id, section) GROUP BY doc_id")
+@query(f"""WITH {_SECTIONS}, g AS (SELECT doc_id, section, string_agg(line, chr(10) ORDER BY i) AS raw, section > 0 AND bool_or(contains(line, 'that')) AS moved FROM s GROUP BY doc_id, section)
+SELECT doc_id, section, md5(raw) AS raw, moved, CASE WHEN moved THEN row_number() OVER (PARTITION BY doc_id, moved ORDER BY section DESC) END AS place FROM g""")
 def j11_archive_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """Sections with a mark are moved to an archive, the others stay: one flag for each section."""
-    lines = tx.section_lines(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", r"^\s*(The|Of|In) ")
-    flagged = lines.groupBy("doc_id", "section").agg(F.bool_or(F.contains("line", F.lit("that"))).alias("moved"))
-    return flagged.groupBy("doc_id").agg(F.count_if("moved").alias("moved"), F.count_if(~F.col("moved")).alias("kept"))
+    """Sections with a mark move to an archive, the last first; the others stay."""
+    kept, moved = capture.archive_sections(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", F.contains("raw", F.lit("that")), HEADING)
+    rows = kept.withColumn("moved", F.lit(False)).withColumn("place", F.lit(None).cast("int")).unionByName(moved.withColumn("moved", F.lit(True)))
+    return rows.select("doc_id", "section", F.md5("raw").alias("raw"), "moved", "place")
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AND NOT starts_with(p_name, '_')")
@@ -244,16 +258,15 @@ def k18_digest(spark: SparkSession, sf: str) -> DataFrame:
 
     o = _outcomes(spark, sf).withColumn("date", F.substring("date", 1, 10))
     place = F.row_number().over(Window.partitionBy("state").orderBy(F.desc("date"), "id"))
-    few = o.select("state", "id", place.alias("place"))
+    few = o.select("state", "id", place.alias("place")).where("place <= 20")
     return few.where(((F.col("state") == "confirmed") & (F.col("place") <= 20)) | ((F.col("state") == "pending") & (F.col("place") <= 15)))
 
 
 @query("SELECT CASE WHEN age > 172800 THEN 'stale' WHEN NOT ok THEN 'errored' ELSE 'ok' END AS line FROM (SELECT arg_max(event_type <> 'error', event_id) AS ok, epoch((SELECT max(ts) FROM events)) - epoch(arg_max(ts, event_id)) AS age FROM events)")
 def k21_health_line(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    now = F.lit(e.agg(F.max("ts")).first()[0])
-    last = e.agg(F.max_by(F.col("event_type") != "error", "event_id").alias("ok"), F.max_by("ts", "event_id").alias("ts"))
-    return last.select(F.when(health.seconds_since(F.col("ts"), now) > 172800, "stale").when(~F.col("ok"), "errored").otherwise("ok").alias("line"))
+    last = e.agg(F.max_by(F.col("event_type") != "error", "event_id").alias("ok"), F.max_by("ts", "event_id").alias("ts"), F.max("ts").alias("now"))
+    return last.select(F.when(health.seconds_since(F.col("ts"), F.col("now")) > 172800, "stale").when(~F.col("ok"), "errored").otherwise("ok").alias("line"))
 
 
 @query("""WITH d AS (SELECT doc_id, regexp_extract_all(text, '([a-z]+tion[a-z]+)', 1) AS a FROM documents WHERE source IN ('src1', 'src2') OR contains(text, '###'))
@@ -263,7 +276,9 @@ def k5_stale_claims(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.size(tx.extract_symbols(F.col("text"), ["([a-z]+tion[a-z]+)"])).cast("bigint").alias("n_symbols")).where("n_symbols > 0")
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, regexp_extract_all(text, '([a-z]+tion[a-z]+)', 1) AS a FROM documents WHERE source = 'src1'),
+s AS (SELECT doc_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS s FROM d WHERE len(a) > 0)
+SELECT doc_id, array_to_string(s[1:5], ', ') || CASE WHEN len(s) > 5 THEN ' (+' || (len(s) - 5) || ' more)' ELSE '' END AS citation FROM s""")
 def k5_citations(spark: SparkSession, sf: str) -> DataFrame:
     """Narrative rows with their first five symbols and how many more there are."""
     d = table(spark, sf, "documents").where(classify.is_narrative(F.col("source"), F.col("text"), ["src1"], []))
@@ -272,7 +287,8 @@ def k5_citations(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("doc_id", F.concat(F.array_join(F.slice("s", 1, 5), ", "), more).alias("citation"))
 
 
-@query()
+@query(f"""WITH o AS (SELECT o_custkey AS thread_id, o_orderkey AS id, o_orderdate::DATE::VARCHAR AS date, {_STATE} AS state FROM orders)
+SELECT thread_id, string_agg(date || ' [' || state || '] ' || id, chr(10) ORDER BY date, id) AS oldest_first, string_agg(date || ' [' || state || '] ' || id, chr(10) ORDER BY date DESC, id DESC) AS newest_first FROM o GROUP BY thread_id""")
 def k14_lineage_prompt(spark: SparkSession, sf: str) -> DataFrame:
     """Each thread's outcomes as lines, oldest first, and newest first as the fallback."""
     line = F.format_string("%s [%s] %d", "date", "state", "id")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from memspark.functions import classify, lexicon
-from memspark.functions.text import clip, content_id, extract_topic, phrase_any, sentences, short_id
+from memspark.functions.text import clip, content_id, derive_aliases, extract_topic, first_sentence, phrase_any, sections, sentences, short_id
 
 
 def first_by_content(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
@@ -69,12 +69,13 @@ def scan_skips(messages: DataFrame, cues: list[str], text: str = "text", shortes
 def topic_boost(chunks: DataFrame, topics: DataFrame, text: str, weight: str, step: int = 20, most: int = 100, exempt: Column | None = None) -> DataFrame:
     """Weights raised by ``step`` for each topic that a chunk contains (LIKE, any case), at most ``most``.
 
-    ``topics`` (topic) are a stated set; ``_`` in a topic matches any character.
+    ``topics`` (topic), with repeats; ``_`` in a topic matches any character.
     """
     hit = F.like(F.lower(text), F.concat(F.lit("%"), F.lower("topic"), F.lit("%")))
     raised = F.least(F.lit(most), F.col(weight) + step * F.col("n_boosts"))
     ids = chunks.select("id", text, weight, *([exempt.alias("_x")] if exempt is not None else []))
-    met = ids.join(F.broadcast(topics.where("topic <> ''").select("topic")), hit & (~F.col("_x") if exempt is not None else F.lit(True))).groupBy("id").agg(F.count("*").alias("n_boosts"))
+    asked = topics.where("topic <> ''").groupBy("topic").agg(F.count("*").alias("times"))  # a topic may come several times
+    met = ids.join(asked, hit & (~F.col("_x") if exempt is not None else F.lit(True))).groupBy("id").agg(F.sum("times").alias("n_boosts"))
     out = chunks.join(met, "id", "left").withColumn("n_boosts", F.coalesce("n_boosts", F.lit(0)))
     return out.withColumn("boosted", F.when(F.col("n_boosts") > 0, raised).otherwise(F.col(weight)))
 
@@ -94,11 +95,17 @@ def counters(events: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.count("*").alias("delivery_count"), F.max(ts).alias("last_delivered"))
 
 
-def thread_lineage(threads: DataFrame, outcomes: DataFrame, thread_id: str, order: list[str], title: str) -> DataFrame:
-    """Each thread with the number of its outcomes and their titles, oldest first; threads without any stay."""
+def thread_lineage(threads: DataFrame, outcomes: DataFrame, thread_id: str, order: list[str], title: str, most: int = 1000) -> DataFrame:
+    """Each thread with the number of its outcomes and the titles of its ``most`` newest, oldest first; threads without any stay.
+
+    The limit is applied before titles are gathered, so a thread with very many outcomes is no long row.
+    """
+    newest = F.row_number().over(Window.partitionBy(thread_id).orderBy(*(F.desc(c) for c in order)))
+    few = outcomes.select(thread_id, *order, title).withColumn("_r", newest).where(F.col("_r") <= most)
     told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, title))), lambda x: x[title]), " | ")
-    per = outcomes.groupBy(thread_id).agg(F.count("*").alias("n_outcomes"), told.alias("titles"))
-    return threads.join(per, thread_id, "left").withColumn("n_outcomes", F.coalesce("n_outcomes", F.lit(0)))
+    per = few.groupBy(thread_id).agg(told.alias("titles"))
+    counts = outcomes.groupBy(thread_id).agg(F.count("*").alias("n_outcomes"))
+    return threads.join(counts, thread_id, "left").join(per, thread_id, "left").withColumn("n_outcomes", F.coalesce("n_outcomes", F.lit(0)))
 
 
 def stale_lineage(threads: DataFrame, key: str, updated: str) -> DataFrame:
@@ -149,3 +156,140 @@ def prune_candidates(chunks: DataFrame, now: Column, min_age_days: int = 30, k:
 
 def outcome_id(date: Column, title: Column) -> Column:
     return short_id(date, title)
+
+
+def resume_corrections(window: DataFrame, carried: DataFrame, phrases: list[str] = lexicon.CORRECTION_PHRASES) -> tuple[DataFrame, DataFrame]:
+    """(events, carried for the next window) of newly appended messages (session_id, tick, role, text).
+
+    ``tick`` is the byte offset of a record. ``carried`` has the last message with text of each
+    session so far; it only gives context and fires nothing, so windows give what one pass gives.
+    """
+    own = window.select("session_id", "tick", "role", "text", F.lit(True).alias("fresh"))
+    both = own.unionByName(carried.select("session_id", "tick", "role", "text").withColumn("fresh", F.lit(False))).where("text is not null")
+    w = Window.partitionBy("session_id").orderBy("tick")
+    rows = both.withColumn("_role", F.lag("role").over(w)).withColumn("_text", F.lag("text").over(w))
+    fires = F.col("fresh") & (F.col("role") == "user") & (F.col("_role") == "assistant") & phrase_any(F.col("text"), phrases) & classify.harness_reason(F.col("text")).isNull()
+    events = rows.where(fires).select("session_id", "tick", extract_topic(F.concat_ws(" ", "text", "_text")).alias("topic"), F.col("text").alias("user_correction"), F.col("_text").alias("assistant_message"))
+    last = both.groupBy("session_id").agg(F.max_by(F.struct("tick", "role", "text"), "tick").alias("x")).select("session_id", "x.*")
+    return events, last
+
+
+def apply_corrections(chunks: DataFrame, events: DataFrame, acronyms: list = lexicon.ACRONYMS, step: int = 20) -> DataFrame:
+    """Chunks (id, content, source, role, session_id, module, aliases, signal_weight, is_correction) with the events' own.
+
+    Each event's correction becomes a chunk of weight 100 under its topic, unless its content is
+    stored, and each event with a topic raises the chunks that contain it, other corrections aside.
+    """
+    own = F.col("source") == "correction_event"
+    boosted = topic_boost(chunks, events.select("topic"), "content", "signal_weight", step, exempt=own)
+    kept = boosted.withColumn("signal_weight", F.col("boosted")).drop("boosted", "n_boosts")
+    new = events.select(F.col("user_correction").alias("content"), F.lit("correction_event").alias("source"), F.lit("user").alias("role"), "session_id", F.nullif("topic", F.lit("")).alias("module"), derive_aliases(F.col("user_correction"), acronyms).alias("aliases"), F.lit(100).alias("signal_weight"), F.lit(True).alias("is_correction"), "tick")
+    new = first_by_content(new, "content", ["session_id", "tick"]).drop("tick")
+    return kept.unionByName(not_stored(new, chunks), allowMissingColumns=True)
+
+
+def insert_chunks(stored: DataFrame, rows: DataFrame, order: list[str], embedded: DataFrame | None = None, ts: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new, log): rows (content, ...) that aren't stored yet, the first of each content, and a log row for each.
+
+    With ``embedded`` (id, embedding, embed_error) new rows get their vector and a failed one is
+    logged as ``embed_fail``; it is stored all the same.
+    """
+    new = not_stored(first_by_content(rows, "content", order), stored)
+    if embedded is not None:
+        new = new.join(embedded.select("id", "embedding", "embed_error"), "id", "left")
+    error = F.col("embed_error") if embedded is not None else F.lit(None).cast("string")
+    log = new.select((ts if ts is not None else F.current_timestamp()).alias("ts"), "id", F.when(error.isNotNull(), "embed_fail").alias("action"), F.substring(error, 1, 500).alias("detail"))
+    return new, log
+
+
+def backfill_decisions(chunks: DataFrame, limit: int, sources: tuple[str, ...] = ("doc", "memory")) -> tuple[DataFrame, DataFrame]:
+    """(pending decisions, counts) from chunks that are tagged as decisions, the heaviest and newest first.
+
+    Decisions (id, title, date, rationale, state); of equal ids one. Counts (matched, dropped).
+    """
+    own = chunks.where(F.col("is_decision") & F.col("source").isin(*sources))
+    counts = own.agg(F.count("*").alias("matched"), F.greatest(F.count("*") - limit, F.lit(0)).alias("dropped"))
+    few = own.orderBy(F.desc("signal_weight"), F.desc("ingested_at"), "id").limit(limit)
+    title = clip(F.coalesce("content", F.lit("")), 200)
+    rows = few.select("date", title.alias("title"), clip(first_sentence(F.coalesce("content", F.lit(""))), 600).alias("rationale")).where("title <> ''")
+    return rows.select(outcome_id(F.coalesce("date", F.lit("")), F.col("title")).alias("id"), "title", "date", "rationale", F.lit("pending").alias("state")).dropDuplicates(["id"]), counts
+
+
+def outcomes_now(rows: DataFrame, changes: DataFrame, threads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, threads) after appended changes (seq, id, op, value, thread_id).
+
+    Ops: confirm, reject, attach (to an existing thread; with a value the title too), retitle,
+    supersede. The latest change of each kind wins. Attaching and superseding move the thread's
+    last_updated to the latest such change (``ts``). Changes of unknown ids, and attachments to
+    unknown threads, change nothing.
+    """
+    known = changes.join(rows.select("id").distinct(), "id", "left_semi")
+    there = threads.select("thread_id").distinct().withColumn("there", F.lit(True))
+    known = known.join(there, "thread_id", "left").where("op <> 'attach' or there").drop("there")
+
+    def last(ops: list[str], what: str) -> Column:
+        hit = F.col("op").isin(ops) & F.col(what).isNotNull() if what != "op" else F.col("op").isin(ops)
+        return F.max_by(F.when(hit, F.col(what)), F.when(hit, F.col("seq")))
+
+    now = known.groupBy("id").agg(last(["confirm", "reject"], "op").alias("verdict"), last(["attach"], "thread_id").alias("to"), last(["attach", "retitle"], "value").alias("name"), last(["supersede"], "value").alias("by"))
+    out = rows.join(now, "id", "left")
+    state = F.when(F.col("verdict") == "confirm", "confirmed").when(F.col("verdict") == "reject", "rejected").otherwise(F.col("state"))
+    out = out.select("id", F.coalesce("to", "thread_id").alias("thread_id"), F.coalesce("name", "title").alias("title"), state.alias("state"), F.col("by").alias("superseded_by"))
+    moved = known.where("op = 'attach'").select("thread_id", "ts").unionByName(known.where("op = 'supersede'").select("id", "ts").join(out.select("id", "thread_id").where("thread_id is not null"), "id").select("thread_id", "ts"))
+    bumped = moved.groupBy("thread_id").agg(F.max("ts").alias("bumped"))
+    return out, threads.join(bumped, "thread_id", "left").withColumn("last_updated", F.greatest("last_updated", "bumped")).drop("bumped")
+
+
+def retag_corrections(chunks: DataFrame, prefixes: list[str] = lexicon.CURATED_PREFIXES) -> tuple[DataFrame, DataFrame]:
+    """(chunks, counts): memory chunks of curated files are corrections; (scanned, matched, retagged, already_tagged)."""
+    scanned = F.coalesce(F.col("source") == "memory", F.lit(False))
+    matched = scanned & F.coalesce(classify.is_curated_correction(F.col("file_path"), prefixes), F.lit(False))
+    tagged = F.coalesce("is_correction", F.lit(False))
+    counts = chunks.agg(F.count_if(scanned).alias("scanned"), F.count_if(matched).alias("matched"), F.count_if(matched & ~tagged).alias("retagged"), F.count_if(matched & tagged).alias("already_tagged"))
+    return chunks.withColumn("is_correction", tagged | matched), counts
+
+
+def migrate(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Rows with the columns (name: type) that an older table lacks, as nulls; existing ones keep type and values."""
+    return rows.select("*", *(F.lit(None).cast(t).alias(c) for c, t in columns.items() if c not in rows.columns))
+
+
+def archive_sections(docs: DataFrame, id_col: str, text_col: str, mark: Column, heading: str) -> tuple[DataFrame, DataFrame]:
+    """(kept, moved): sections (id, section, raw) below headings whose mark holds go to the archive, newest (last) first."""
+    rows = sections(docs, id_col, text_col, heading).withColumn("_moved", F.coalesce(mark, F.lit(False)) & (F.col("section") > 0))
+    kept = rows.where("not _moved").drop("_moved", "first")
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("section")))
+    return kept, rows.where("_moved").withColumn("place", place).drop("_moved", "first")
+
+
+def session_start(invariants: DataFrame, corrections: DataFrame, decisions: DataFrame, debt: DataFrame, health: DataFrame, most: int = 25, chars: int = 120) -> DataFrame:
+    """(place, line): what a session is shown first, as ordered lines, the first ``most``.
+
+    ``invariants`` (place, title), ``corrections`` (place, content), ``decisions`` (place, date,
+    title), ``debt`` (decisions, dead_ends) pending, ``health`` (line): all of them short lists. A
+    list without rows says so; no debt, no line.
+    """
+    spark = invariants.sparkSession
+    parts = [
+        ("INVARIANTS", invariants.select("place", F.concat(F.lit("- "), "title").alias("line"))),
+        ("RECENT CORRECTIONS", corrections.select("place", F.concat(F.lit("- "), clip(F.col("content"), chars)).alias("line"))),
+        ("RECENT DECISIONS", decisions.select("place", F.concat(F.lit("- ["), F.col("date"), F.lit("] "), F.col("title")).alias("line"))),
+    ]
+    out = None
+    for i, (title, rows) in enumerate(parts):
+        head = spark.createDataFrame([(i, -1, f"## {title}")], "part int, place int, line string")
+        empty = rows.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(i).alias("part"), F.lit(0).alias("place"), F.lit("- (none recorded)").alias("line"))
+        body = head.unionByName(rows.select(F.lit(i).alias("part"), F.col("place").cast("int").alias("place"), "line")).unionByName(empty)
+        out = body if out is None else out.unionByName(body)
+    owed = debt.where("decisions > 0 or dead_ends > 0").select(F.lit(3).alias("part"), F.lit(0).alias("place"), F.format_string("triage owed: %d decisions, %d dead ends", "decisions", "dead_ends").alias("line"))
+    out = out.unionByName(owed).unionByName(health.select(F.lit(4).alias("part"), F.lit(0).alias("place"), "line"))
+    ranked = out.where(F.trim("line") != "").withColumn("n", F.row_number().over(Window.orderBy("part", "place", "line")))
+    return ranked.where(F.col("n") <= most).select(F.col("n").alias("place"), "line")
+
+
+def truncate_lines(lines: DataFrame, by: str, most: int = 150) -> DataFrame:
+    """(by, place, line): the first ``most`` lines of each text, and a note of how many more there are."""
+    few = lines.where(F.col("place") <= most)
+    more = lines.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    note = more.select(by, F.lit(most + 1).alias("place"), F.format_string("(%d more lines)", F.col("n") - most).alias("line"))
+    return few.select(by, F.col("place").cast("int").alias("place"), "line").unionByName(note)

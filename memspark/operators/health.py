@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def _row(name: str, frame: DataFrame, ok: Column, detail: Column) -> DataFrame:
@@ -38,37 +39,114 @@ def stale_lineage(threads: DataFrame) -> DataFrame:
     return _row("stale_lineage", n, F.col("n") == 0, F.format_string("%d stale", "n"))
 
 
-def heartbeats(latest: DataFrame, now: Column, per_turn: list[str], starts: str, ends: list[str], max_age_s: int = 172800, grace_s: int = 600, window_s: int = 3600) -> DataFrame:
-    """Consistency of hooks' heartbeats: (hook, last_ok, last_ts, newest_success) of each hook.
+def heartbeats(latest: DataFrame, now: DataFrame, per_turn: list[str], start: str, end: str, captures: list[str], by: str | None = None, max_age_s: int = 172800, grace_s: int = 600, window_s: int = 3600) -> DataFrame:
+    """Consistency of hooks' heartbeats, one row (for each value of ``by``): (name, ok, detail, notes).
 
-    Red if a latest flag is an error, if a per-turn hook is older than its age, if turns went on
-    after a start that never succeeded within the grace, or if the ends differ by over the window.
+    ``latest`` (by, hook, last_ok, newest_success), ``now`` one row (now). Red are: a latest row with
+    an error, for any hook; a per-turn hook without rows, or whose success is older than max_age_s;
+    a start that lacks although a session ended after it (beyond the grace) and turns older than
+    max_age_s went on after that end, unless the end is within the grace (pending); a capture hook
+    that an end didn't bring within the window, or an end that the newest capture didn't, unless the
+    event itself is within the window (pending). An old start without such evidence is a long
+    session, and hooks that never fired at a boundary are no fault.
     """
-
-    def newest(hooks: list[str]) -> Column:
-        return F.max(F.when(F.col("hook").isin(hooks), F.col("newest_success")))
-
-    one = latest.agg(
-        F.count_if(~F.col("last_ok")).alias("errors"),
-        newest(per_turn).alias("turn"),
-        newest([starts]).alias("start"),
-        *(newest([e]).alias(f"end{i}") for i, e in enumerate(ends)),
-    )
-    old = seconds_since(F.col("turn"), now) > max_age_s
-    silent = F.col("turn").isNotNull() & (F.col("start").isNull() | (F.unix_timestamp("turn") - F.unix_timestamp("start") > max_age_s + grace_s))
-    apart = F.lit(False)
-    for i in range(1, len(ends)):
-        apart = apart | (F.abs(F.unix_timestamp("end0") - F.unix_timestamp(f"end{i}")) > window_s) | (F.col("end0").isNull() != F.col(f"end{i}").isNull())
-    why = F.concat_ws(", ", F.when(F.col("errors") > 0, "latest error"), F.when(F.coalesce(old, F.lit(True)), "per-turn hook is old"), F.when(silent, "start hook is silent"), F.when(F.coalesce(apart, F.lit(False)), "end hooks differ"))
-    return _row("heartbeats", one, why == "", F.when(why == "", "consistent").otherwise(why))
-
-
-def novelty(renders: DataFrame, distinct_sessions: int = 3) -> DataFrame:
-    """Red if the latest renders of so many different sessions have one hash while the corpus moved."""
-    last = renders.where("session_id is not null").groupBy("session_id").agg(F.max_by(F.struct("hash", "corpus_sig"), "id").alias("r"), F.max("id").alias("id"))
-    few = last.orderBy(F.desc("id")).limit(distinct_sessions).agg(F.count("*").alias("n"), F.count_distinct("r.hash").alias("hashes"), F.count_distinct("r.corpus_sig").alias("sigs"))
-    stuck = (F.col("n") >= distinct_sessions) & (F.col("hashes") == 1) & (F.col("sigs") > 1)
-    return _row("novelty", few, ~stuck, F.when(stuck, "same block in different sessions").otherwise("moves"))
+    hooks = [*per_turn, start, end, *captures]
+    flags = [F.max(F.when(F.col("hook") == h, F.col("last_ok").cast("int"))).alias(f"ok{i}") for i, h in enumerate(hooks)]
+    times = [F.max(F.when(F.col("hook") == h, F.unix_timestamp("newest_success"))).alias(f"t{i}") for i, h in enumerate(hooks)]
+    one = (latest.groupBy(by) if by else latest).agg(*flags, *times).crossJoin(now.select(F.unix_timestamp("now").alias("now")))
+    place = {h: i for i, h in enumerate(hooks)}
+    ok, t, at = (lambda h: F.col(f"ok{place[h]}")), (lambda h: F.col(f"t{place[h]}")), F.col("now")
+    never = F.lit(-(10**12))
+    problems, notes = [], []
+    for h in per_turn:
+        old = at - t(h) > max_age_s
+        problems.append(F.when(ok(h).isNull(), f"{h}:no-rows").when(ok(h) != 1, f"{h}:latest-errored").when(t(h).isNull(), f"{h}:bad-ts").when(old, f"{h}:stale"))
+    turn = F.greatest(*(t(h) for h in per_turn)) if len(per_turn) > 1 else t(per_turn[0])
+    began = F.coalesce(t(start), never)
+    lacks = F.coalesce((turn - began > max_age_s) & (t(end) - began > grace_s) & (turn > t(end)), F.lit(False))
+    errored = F.coalesce(ok(start) != 1, F.lit(False))
+    recent = at - t(end) <= grace_s
+    problems.append(F.when(errored, f"{start}:latest-errored").when(lacks & ~recent, f"{start}:boundary-cycle-without-start"))
+    notes.append(F.when(errored, None).when(lacks & recent, f"{start}:pending").when(~lacks & (turn - t(start) > max_age_s), "long-lived session").when(~lacks & t(start).isNull(), f"{start}:none-yet"))
+    for h in captures:
+        missed = F.coalesce(t(end) - F.coalesce(t(h), never) > window_s, F.lit(False))
+        bad = F.coalesce(ok(h) != 1, F.lit(False))
+        problems.append(F.when(bad, f"{h}:latest-errored").when(missed & (at - t(end) > window_s), f"{h}:missed-boundary"))
+        notes.append(F.when(~bad & missed & (at - t(end) <= window_s), f"{h}:pending"))
+    last = F.greatest(*(t(h) for h in captures)) if len(captures) > 1 else t(captures[0])
+    missed = F.coalesce(last - F.coalesce(t(end), never) > window_s, F.lit(False))
+    bad = F.coalesce(ok(end) != 1, F.lit(False))
+    problems.append(F.when(bad, f"{end}:latest-errored").when(missed & (at - last > window_s), f"{end}:missed-boundary"))
+    notes.append(F.when(~bad & missed & (at - last <= window_s), f"{end}:pending").when(t(end).isNull() & last.isNull(), "no session boundary observed yet"))
+    out = one.withColumn("problems", F.array_compact(F.array(*problems))).withColumn("notes", F.array_join(F.array_compact(F.array(*notes)), "; "))
+    detail = F.when(F.size("problems") == 0, f"all {len(hooks)} hooks consistent").otherwise(F.array_join("problems", ", "))
+    return out.select(*([by] if by else []), F.lit("heartbeats").alias("name"), (F.size("problems") == 0).alias("ok"), detail.alias("detail"), "notes")
+
+
+def module_states(files: DataFrame, stamp: DataFrame, now: Column, days: float = 14) -> DataFrame:
+    """State files (path) and the generator's stamp (text: JSON with generated_at): red without either, or when it is old."""
+    n = files.agg(F.count("*").alias("n"))
+    made = stamp.agg(F.max(F.unix_timestamp(F.try_to_timestamp(F.get_json_object("text", "$.generated_at")))).alias("made"))
+    age = (F.unix_timestamp(now) - F.col("made")) / 86400
+    why = F.when(F.col("n") == 0, "no state files").when(F.col("made").isNull(), "no readable stamp").otherwise(F.format_string("verified %.1f days ago", age))
+    return _row("module_states", n.crossJoin(made), (F.col("n") > 0) & (age <= days), why)
+
+
+def corpus_age(files: DataFrame, now: Column, wired: bool, days: float = 21) -> DataFrame:
+    """The newest file (mtime) of an optional corpus; green while it isn't wired, red if it is and lacks files."""
+    newest = files.agg(F.max("mtime").alias("m"))
+    age = (F.unix_timestamp(now) - F.unix_timestamp("m")) / 86400
+    if not wired:
+        return _row("corpus_age", newest, F.lit(True), F.lit("not wired"))
+    return _row("corpus_age", newest, age <= days, F.coalesce(F.format_string("newest file %.1f days old", age), F.lit("no files")))
+
+
+def index_health(index: DataFrame, files: DataFrame, now: Column, header: str, most_lines: int = 280, most_bytes: int = 90_000, days: float = 7) -> DataFrame:
+    """The index file (text) by its lines and bytes, and the age of the first file (name, mtime) linked after the header.
+
+    ``header`` is the pattern of the line below which the anchor stands. An index that is missing,
+    an anchor that is missing, unknown or old, and too many lines or bytes are red.
+    """
+    text = F.col("text")
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + F.when(text.endswith("\n") | (text == ""), 0).otherwise(1)
+    below = F.regexp_extract(text, rf"(?ms)^{header}.*", 0)
+    link = F.nullif(F.regexp_extract(below, r"\]\(([^)\s]+\.md)\)", 1), F.lit(""))
+    one = index.select(lines.alias("n"), F.octet_length(text).alias("b"), F.element_at(F.split(link, "/"), -1).alias("anchor"))
+    one = one.join(files.select(F.col("name").alias("anchor"), "mtime"), "anchor", "left").agg(F.max("n").alias("n"), F.max("b").alias("b"), F.max("anchor").alias("anchor"), F.max("mtime").alias("m"))
+    age = (F.unix_timestamp(now) - F.unix_timestamp("m")) / 86400
+    problems = F.array_compact(F.array(
+        F.when(F.col("n").isNull(), "missing"), F.when(F.col("n") > most_lines, "too many lines"), F.when(F.col("b") > most_bytes, "too many bytes"),
+        F.when(F.col("n").isNotNull() & F.col("anchor").isNull(), "no anchor").when(F.col("anchor").isNotNull() & F.col("m").isNull(), "anchor missing").when(age > days, "anchor old"),
+    ))
+    return _row("index_health", one, F.size(problems) == 0, F.when(F.size(problems) == 0, F.format_string("%d lines, %d bytes", "n", "b")).otherwise(F.array_join(problems, ", ")))
+
+
+def novelty(renders: DataFrame, by: str | None = None, others: int = 2, disarmed: int = 3) -> DataFrame:
+    """(by, name, ok, detail): whether the newest render (id, session_id, hash, corpus_sig) still follows the corpus.
+
+    Red if the latest observations of ``others`` other sessions have its hash while the corpus has
+    moved since the older of them, or if none of the last ``disarmed`` observations before a newest
+    one without a session has a session.
+    """
+    keys = [by] if by else []
+    rows = renders.withColumn("session_id", F.nullif(F.col("session_id").cast("string"), F.lit("")))
+    if not by:
+        rows = rows.withColumn("_all", F.lit(0))
+        keys = ["_all"]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct("id", "session_id", "hash", "corpus_sig"), "id").alias("now"), F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("id")))
+    before = rows.withColumn("place", place).where(F.col("place") <= disarmed + 1).where("place > 1").groupBy(*keys).agg(F.count("*").alias("recent"), F.count("session_id").alias("named"))
+    each = rows.where("session_id is not null").groupBy(*keys, "session_id").agg(F.max_by(F.struct("hash", "corpus_sig"), "id").alias("r"), F.max("id").alias("id"))
+    each = each.join(newest.select(*keys, F.col("now.session_id").alias("current")), keys).where("current is not null and session_id <> current")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("id")))
+    last = each.withColumn("place", nth).where(F.col("place") <= others).groupBy(*keys).agg(F.count("*").alias("k"), F.min("r.hash").alias("low"), F.max("r.hash").alias("high"), F.min_by("r.corpus_sig", "id").alias("sig"))
+    one = newest.join(before, keys, "left").join(last, keys, "left")
+    unknown = F.col("now.session_id").isNull()
+    off = unknown & (F.coalesce("recent", F.lit(0)) >= disarmed) & (F.coalesce("named", F.lit(0)) == 0)
+    same = F.coalesce((F.col("k") >= others) & (F.col("low") == F.col("high")) & (F.col("low") == F.col("now.hash")), F.lit(False))
+    frozen = same & F.coalesce(F.col("sig") != F.col("now.corpus_sig"), F.lit(False))
+    why = F.when(F.col("n") == 1, "first observation").when(off, "guard disarmed").when(unknown, "session unknown").when(F.coalesce("k", F.lit(0)) < others, "too few sessions").when(frozen, "render frozen").when(same, "corpus idle").otherwise("render follows corpus")
+    return one.select(*([by] if by else []), F.lit("novelty").alias("name"), (~off & ~frozen).alias("ok"), why.alias("detail"))
 
 
 def repeated_renders(renders: DataFrame) -> DataFrame:
@@ -84,15 +162,24 @@ def deprecated_tokens(texts: DataFrame, column: str, tokens: list[str]) -> DataF
     return texts.agg(found.alias("f")).select(F.lit("deprecated_tokens").alias("name"), (F.size("f") == 0).alias("ok"), F.array_join("f", ", ").alias("detail"))
 
 
-def index_size(lines: DataFrame, column: str, most_lines: int = 280, most_bytes: int = 90_000) -> DataFrame:
-    one = lines.agg(F.count("*").alias("n"), F.sum(F.octet_length(column) + 1).alias("b"))
-    return _row("index_size", one, (F.col("n") <= most_lines) & (F.col("b") <= most_bytes), F.format_string("%d lines, %d bytes", "n", "b"))
-
-
 def gate(checks: list[DataFrame]) -> DataFrame:
     """All checks, with the number of red ones on each row."""
     rows = reduce(DataFrame.unionByName, checks)
-    return rows.crossJoin(F.broadcast(rows.agg(F.count_if(~F.col("ok")).alias("n_red"))))
+    return rows.crossJoin(rows.agg(F.count_if(~F.col("ok")).alias("n_red")))
+
+
+def run_gate(spark: SparkSession, checks: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """The gate with each check run by itself: one that fails is a red row that says why, not a failed gate.
+
+    A check is one row, so a row for each check is all that the driver holds.
+    """
+    rows = []
+    for name, check in checks.items():
+        try:
+            rows += [(r["name"], r["ok"], r["detail"]) for r in check().select("name", "ok", "detail").collect()]
+        except Exception as e:  # whatever a check dies of is its result
+            rows.append((name, False, f"check failed: {type(e).__name__}"))
+    return gate([spark.createDataFrame(rows, "name string, ok boolean, detail string")])
 
 
 def duplicate_links(lines: DataFrame, column: str) -> DataFrame:

@@ -60,13 +60,24 @@ def lineage_gate(prompts: DataFrame, items: DataFrame, idfs: DataFrame) -> DataF
     return pairs.withColumn("passed", (F.col("n_matched") >= MIN_MATCHES) & (F.col("small") | full)).drop("small")
 
 
-def item_gate(prompts: DataFrame, items: DataFrame, idfs: DataFrame) -> DataFrame:
-    """(prompt_id, item_id, n_matched, n_distinctive, passed): at least two distinctive tokens match."""
-    pairs = _matches(prompts, items, idfs).groupBy("prompt_id", "item_id").agg(F.count("*").alias("n_matched"), F.count_if(F.col("idf") >= DISTINCTIVE_IDF).alias("n_distinctive"), _small().alias("small"))
+def _item_passes(matches: DataFrame) -> DataFrame:
+    pairs = matches.groupBy("prompt_id", "item_id").agg(F.count("*").alias("n_matched"), F.count_if(F.col("idf") >= DISTINCTIVE_IDF).alias("n_distinctive"), _small().alias("small"))
     enough = F.when(F.col("small"), F.col("n_matched")).otherwise(F.col("n_distinctive"))
     return pairs.withColumn("passed", enough >= MIN_MATCHES).drop("small")
 
 
+def item_gate(prompts: DataFrame, items: DataFrame, idfs: DataFrame) -> DataFrame:
+    """(prompt_id, item_id, n_matched, n_distinctive, passed): at least two distinctive tokens match."""
+    return _item_passes(_matches(prompts, items, idfs))
+
+
+def item_pairs(prompts: DataFrame, pairs: DataFrame, items: DataFrame, idfs: DataFrame) -> DataFrame:
+    """The item gate for given pairs (prompt_id, id) only."""
+    each = prompts.select("prompt_id", F.explode(F.slice(prompt_tokens(F.col("prompt")), 1, MAX_TOKENS)).alias("term")).join(idfs, "term")
+    words = items.select("item_id", F.explode(word_runs(F.col("item_text"))).alias("term"))
+    return _item_passes(pairs.select("prompt_id", F.col("id").alias("item_id")).join(each, "prompt_id").join(words, ["item_id", "term"]))
+
+
 def thread_hits(gated: DataFrame, most: int = 2) -> DataFrame:
     """The best ``most`` passing items of each prompt by idf sum, then matches, then id."""
     order = Window.partitionBy("prompt_id").orderBy(F.desc("idf_sum"), F.desc("n_matched"), "item_id")

@@ -5,13 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """The value at place floor(n * share) (0-based, at most the last) of the sorted non-zero values."""
-    v = F.array_sort(F.collect_list(F.when(values != 0, values)))
-    n = F.size(v)
-    return F.try_element_at(v, F.least(n, F.floor(n * F.lit(share)).cast("int") + 1))
-
-
 def grouped_nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """The same percentiles for groups of any size: counts by value, a running sum, no gathered list."""
     counts = rows.where((F.col(value) != 0) & F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
@@ -46,9 +39,11 @@ def latest_heartbeat(rows: DataFrame, hook: str, ok: Column, ts: str, order: str
 
 
 def damped(rows: DataFrame, keys: list[str], order: list[str], cap: int) -> DataFrame:
-    """The first ``cap`` deliveries of each key; rows with a null first key have no cap."""
+    """The first ``cap`` deliveries of each key; rows with a null first key have no cap and no number."""
+    known = rows.where(F.col(keys[0]).isNotNull())
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("delivery", place).where((F.col("delivery") <= cap) | F.col(keys[0]).isNull())
+    counted = known.withColumn("delivery", place).where(F.col("delivery") <= cap)
+    return counted.unionByName(rows.where(F.col(keys[0]).isNull()).withColumn("delivery", F.lit(None).cast("int")))
 
 
 def first_novel(rows: DataFrame, delivered: DataFrame, session: str, item: str, order: list[str]) -> DataFrame:
@@ -64,6 +59,44 @@ def recent_sessions(rows: DataFrame, session: str, order: str, most: int = 2) ->
 
 
 def corpus_signature(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """SHA-256 over sorted key=value pairs of watermark rows and their count."""
-    pairs = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", key, value))), "\n")
-    return rows.agg(F.sha2(F.concat_ws("\n", pairs, F.count("*").cast("string")), 256).alias("signature"))
+    """SHA-256 over the sorted hashes of key=value pairs, in two steps, and their count.
+
+    Pairs are hashed, dealt into 4,096 buckets by hash and hashed again bucket by bucket, so no row
+    holds all pairs; equal sets of pairs have equal signatures in any order.
+    """
+    each = rows.select(F.sha2(F.concat_ws("=", key, value), 256).alias("h"))
+    buckets = each.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("s"), F.count("*").alias("n"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "s"))), lambda x: x["s"]), "")
+    return buckets.agg(F.sha2(F.concat_ws("\n", whole, F.coalesce(F.sum("n"), F.lit(0)).cast("string")), 256).alias("signature"))
+
+
+def invocation_rows(events: DataFrame, ts: Column, most: int = 200) -> DataFrame:
+    """One telemetry row for each prompt event: hash and head of the prompt, lists and maps as JSON."""
+    lists = [F.to_json(F.col(c)).alias(f"{c}_json") for c, t in events.dtypes if t.startswith(("array", "map"))]
+    plain = [c for c, t in events.dtypes if not t.startswith(("array", "map")) and c != "prompt"]
+    return events.select(ts.alias("ts"), *plain, F.sha2("prompt", 256).alias("prompt_hash"), F.substring("prompt", 1, most).alias("prompt_truncated"), *lists)
+
+
+def heartbeat_rows(runs: DataFrame, ts: Column, hook: str = "hook", error: str = "error", most: int = 500) -> DataFrame:
+    """(ts, hook, ok, detail) of each run of a hook: ok where no error was raised."""
+    return runs.select(ts.alias("ts"), F.col(hook).alias("hook"), F.col(error).isNull().cast("int").alias("ok"), F.substring(error, 1, most).alias("detail"))
+
+
+def component_rows(probes: DataFrame, ts: Column, slow_ms: int = 2000) -> DataFrame:
+    """(ts, component, status, latency_ms, detail) of probes (component, latency_ms, error): FAIL, WARN if slow, else OK."""
+    status = F.when(F.col("error").isNotNull(), "FAIL").when(F.col("latency_ms") > slow_ms, "WARN").otherwise("OK")
+    return probes.select(ts.alias("ts"), "component", status.alias("status"), "latency_ms", F.substring("error", 1, 500).alias("detail"))
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Rows are added to a telemetry table; its files are never rewritten."""
+    rows.write.mode("append").parquet(path)
+
+
+def report_lines(summary: DataFrame, topics: DataFrame, statuses: DataFrame) -> DataFrame:
+    """(section, place, line): a weekly report as ordered Markdown lines, from its small aggregates."""
+    names = summary.columns
+    head = summary.select(F.posexplode(F.array(*(F.concat(F.lit(f"- {n}: "), F.col(n).cast("string")) for n in names))).alias("place", "line")).select(F.lit(0).alias("section"), "place", "line")
+    second = topics.select(F.lit(1).alias("section"), F.row_number().over(Window.orderBy(F.desc("n"), "first_seen", "topic")).alias("place"), F.concat(F.lit("- "), "topic", F.lit(": "), F.col("n").cast("string")).alias("line"))
+    third = statuses.select(F.lit(2).alias("section"), F.row_number().over(Window.orderBy("component")).alias("place"), F.concat(F.lit("- "), F.col("component").cast("string"), F.when(F.col("warn"), " WARN").otherwise("")).alias("line"))
+    return head.unionByName(second).unionByName(third)

@@ -12,6 +12,10 @@ import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 
+#: What one task reads at most; a line belongs to the span that its end lies in.
+SPAN_BYTES = 64 << 20
+
+
 class Span(InputPartition):
     """Bytes [start, end) of one file."""
 
@@ -35,7 +39,10 @@ class AppendedReader(DataSourceStreamReader):
         return self._sizes()
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
-        return [Span(p, start.get(p, 0), n) for p, n in sorted(end.items()) if n > start.get(p, 0)]
+        spans = []
+        for p, n in sorted(end.items()):
+            spans += [Span(p, at, min(at + SPAN_BYTES, n)) for at in range(start.get(p, 0), n, SPAN_BYTES)]
+        return spans
 
     def read(self, partition: Span) -> Iterator[tuple]:
         fs, _ = pafs.FileSystem.from_uri(self.uri)
@@ -52,9 +59,9 @@ class AppendedReader(DataSourceStreamReader):
             f.seek(at)
             data = f.read(partition.end - at)
         name = partition.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-        for line in data[: data.rfind(b"\n") + 1].splitlines(keepends=True):
-            at += len(line)
-            yield name, at, line.rstrip(b"\r\n").decode("utf-8", "replace")
+        for line in data[: data.rfind(b"\n") + 1].split(b"\n")[:-1]:
+            at += len(line) + 1
+            yield name, at, line.rstrip(b"\r").decode("utf-8", "replace")
 
     def commit(self, end: dict) -> None:
         pass

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from memspark.functions.text import WS, split_sections
@@ -60,10 +62,9 @@ def markdown_sections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def memory_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, meta, section, part, text, line_start, line_end): front matter as a map, sections of the body."""
-    files = whole_files(spark, path)
-    parts = split_sections(files.select("path", body(F.col("text")).alias("text")), "path", "text")
-    return files.select("path", front_matter(F.col("text")).alias("meta")).join(parts, "path")
+    """(path, meta, section, part, text, line_start, line_end): front matter as a map, sections of the body. Files are read once."""
+    files = whole_files(spark, path).select(F.struct("path", front_matter(F.col("text")).alias("meta")).alias("file"), body(F.col("text")).alias("text"))
+    return split_sections(files, "file", "text").select("file.path", "file.meta", "section", "part", "text", "line_start", "line_end")
 
 
 def progress(spark: SparkSession, path: str) -> DataFrame:
@@ -104,17 +105,40 @@ def invariants(spark: SparkSession, path: str) -> DataFrame:
 
 
 def changed_files(files: DataFrame, watermark: DataFrame) -> DataFrame:
-    """Files (path, mtime) newer than the watermark (mtime, at_boundary), or as new and not among those seen."""
-    w = watermark.select(F.col("mtime").alias("_m"), F.col("at_boundary").alias("_seen"))
-    rows = files.join(F.broadcast(w), how="left")
-    fresh = F.col("_m").isNull() | (F.col("mtime") > F.col("_m")) | ((F.col("mtime") == F.col("_m")) & ~F.array_contains(F.coalesce("_seen", F.array().cast("array<string>")), F.col("path")))
-    return rows.where(fresh).drop("_m", "_seen")
+    """Files (path, mtime) newer than the watermark, or as new and not among those seen.
+
+    A watermark is rows (mtime, path): the files that had the newest time, or one row with a null
+    path where only the time is known. Without rows every file is new.
+    """
+    newest = watermark.agg(F.max("mtime").alias("_m"))
+    rows = files.crossJoin(newest).where(F.col("_m").isNull() | (F.col("mtime") >= F.col("_m"))).drop("_m")
+    return rows.join(watermark.where("path is not null").select("path", "mtime"), ["path", "mtime"], "left_anti").select(files.columns)
 
 
 def next_watermark(files: DataFrame) -> DataFrame:
-    """(mtime, at_boundary): the newest time and the files that have it."""
-    newest = files.agg(F.max("mtime").alias("mtime"))
-    return files.join(F.broadcast(newest), "mtime").groupBy("mtime").agg(F.array_sort(F.collect_list("path")).alias("at_boundary"))
+    """(mtime, path): the newest time and the files that have it, a row for each."""
+    return files.join(files.agg(F.max("mtime").alias("mtime")), "mtime").select("mtime", "path")
+
+
+def in_order(sources: list[tuple[str, DataFrame]], budget_s: float, clock: Callable[[], float], ingest: Callable[[str, DataFrame], None]) -> list[str]:
+    """Ingest sources one after the other under one deadline; the names of those that were left for the next run."""
+    began, left = clock(), []
+    for name, rows in sources:
+        if clock() - began >= budget_s:
+            left.append(name)
+        else:
+            ingest(name, rows)
+    return left
+
+
+def read_failures(listed: DataFrame, read: DataFrame, ts: Column) -> DataFrame:
+    """A ``read_fail`` row (ts, action, path, detail) of each listed file that gave no text; its watermark must not move.
+
+    ``read`` (path, text, error).
+    """
+    missing = listed.select("path").join(read.where("text is not null").select("path"), "path", "left_anti")
+    why = missing.join(read.select("path", "error"), "path", "left")
+    return why.select(ts.alias("ts"), F.lit("read_fail").alias("action"), "path", F.substring(F.coalesce("error", F.lit("not read")), 1, 500).alias("detail"))
 
 
 def replace_by_file(stored: DataFrame, fresh: DataFrame, path: str = "file_path") -> DataFrame:

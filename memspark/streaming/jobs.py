@@ -39,7 +39,8 @@ def windowed_counts(rows: DataFrame, ts: str, key: str, size: str = "1 day", lat
 def damped_stream(rows: DataFrame, keys: list[str], order: str, cap: int) -> DataFrame:
     """At most ``cap`` deliveries of each key, counted in keyed state; only deliveries count.
 
-    Within a micro-batch a key's rows are taken in the given order.
+    Within a micro-batch a key's rows are taken in the given order. Rows with a null first key have
+    no cap and no number, and don't meet the state.
     """
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -68,4 +69,5 @@ def damped_stream(rows: DataFrame, keys: list[str], order: str, cap: int) -> Dat
     spark = rows.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     schema = T.StructType([*rows.schema.fields, T.StructField("delivery", T.IntegerType())])
-    return rows.groupBy(*keys).transformWithStateInPandas(Cap(), schema, "append", "none")
+    capped = rows.where(F.col(keys[0]).isNotNull()).groupBy(*keys).transformWithStateInPandas(Cap(), schema, "append", "none")
+    return capped.unionByName(rows.where(F.col(keys[0]).isNull()).withColumn("delivery", F.lit(None).cast("int")))
