@@ -67,7 +67,7 @@ def derive_aliases(c: Column, acronyms: list[tuple[str, list[str], list[str]]] =
         for f in forms:
             has_form = has_form | low.rlike(f"(?<![a-z0-9]){_quoted(f)}(?![a-z0-9])")
         parts.append(F.when(has_form, strings([short])).otherwise(strings([])))
-    return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.array(*parts)))), " | ")
+    return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.array(*parts)))), " | ") if parts else F.lit("")
 
 
 def detect_module(c: Column, roster: list[str]) -> Column:

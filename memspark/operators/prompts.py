@@ -16,6 +16,7 @@ from memspark.functions import classify, lexicon
 from memspark.functions.text import clip, extract_symbols, scrub
 from memspark.operators import relevance, search
 from memspark.operators.telemetry import damped
+from memspark.session import materialize
 
 THREAD_CAP, REBUILD_CAP, STALE_CAP = 2, 3, 3
 RETRIEVED, RETRIEVED_CORRECTIONS, NUDGED, SHOWN = 10, 5, 5, 3
@@ -47,8 +48,9 @@ def _retrieved(chunks: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataF
     queries = asked.select(F.col("prompt_id").alias("query_id"), F.col("prompt").alias("query"), "vector")
     vetted = classify.vetted(F.col("do_not_rebuild"), F.col("is_correction"), F.col("is_decision"), F.col("signal_weight"))
     flags = ("signal_weight", "do_not_rebuild", "is_correction", "is_decision")
-    subs = search.hybrid(chunks, vectors, queries, RETRIEVED, vetted, flags).select("query_id", "id", F.lit(0).alias("leg"), "rank")
-    corrections = search.hybrid(chunks, vectors, queries, RETRIEVED_CORRECTIONS, F.coalesce(F.col("is_correction"), F.lit(False)), flags).select("query_id", "id", F.lit(1).alias("leg"), "rank")
+    text, near = search.legs(chunks, vectors, queries, max(RETRIEVED, RETRIEVED_CORRECTIONS))
+    subs = search.combined(chunks, text, near, RETRIEVED, vetted, flags).select("query_id", "id", F.lit(0).alias("leg"), "rank")
+    corrections = search.combined(chunks, text, near, RETRIEVED_CORRECTIONS, F.coalesce(F.col("is_correction"), F.lit(False)), flags).select("query_id", "id", F.lit(1).alias("leg"), "rank")
     return subs.unionByName(corrections).withColumnRenamed("query_id", "prompt_id")
 
 
@@ -69,7 +71,7 @@ def prompt_pipeline(turned: DataFrame, chunks: DataFrame, vectors: DataFrame, th
     sees it no more; a null session has no cap. The two best threads are chosen before the cap.
     """
     asked = turned.where(F.col("build") | F.col("investigate") | F.col("decide"))
-    found = _retrieved(chunks, vectors, asked)
+    found = materialize(_retrieved(chunks, vectors, asked), "retrieved")
     gate = relevance.item_pairs(asked.select("prompt_id", "prompt"), found.select("prompt_id", "id").distinct(), _item_words(chunks, found), idfs)
     wanted = found.join(gate.where("passed").select("prompt_id", F.col("item_id").alias("id")), ["prompt_id", "id"])
     shown = wanted.join(chunks.select("id", "content", "source", "module", "file_path"), "id")
@@ -78,7 +80,7 @@ def prompt_pipeline(turned: DataFrame, chunks: DataFrame, vectors: DataFrame, th
     line = item_line(F.col("module"), F.col("content"), F.col("file_path"), F.col("source"))
     # 15 rows for each prompt at most.
     told = F.array_sort(F.collect_list(F.struct("leg", "rank", line.alias("line"), "module", cited.alias("cited"))))
-    per = shown.groupBy("prompt_id").agg(told.alias("items"))
+    per = materialize(shown.groupBy("prompt_id").agg(told.alias("items")), "shown")
     per = per.withColumn("topics", F.array_distinct(F.filter(F.transform("items", lambda x: x["module"]), lambda m: m.isNotNull() & (m != ""))))
     per = per.withColumn("cited", F.array_distinct(F.flatten(F.filter(F.transform("items", lambda x: x["cited"]), lambda c: c.isNotNull()))))
     where = turned.select("prompt_id", "session_id", "pos")
@@ -86,6 +88,7 @@ def prompt_pipeline(turned: DataFrame, chunks: DataFrame, vectors: DataFrame, th
     stale = damped(rebuild.where(F.size("cited") > 0).drop("delivery").withColumn("item", F.lit("stale")), ["session_id", "item"], ["pos", "prompt_id"], STALE_CAP)
     hits = relevance.thread_hits(relevance.lineage_gate(asked.where("build or decide").select("prompt_id", "prompt"), thread_words.withColumnRenamed("thread_id", "item_id"), idfs))
     hits = hits.withColumn("item", F.concat(F.lit("thread:"), F.col("item_id").cast("string"))).join(where, "prompt_id")
+    hits = materialize(hits, "thread_hits")
     lineage = damped(hits, ["session_id", "item"], ["pos", "prompt_id"], THREAD_CAP)
     bodies = threads.select(F.col("thread_id").alias("item_id"), "lineage")
     blocks = (

@@ -134,9 +134,19 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10,
 
     ``queries``: (query_id, query, vector); a null vector (a failed embedding) leaves the text leg.
     """
-    text = bm25(docs, queries, 3 * k, "id", text_cols)
-    near = knn(vectors, queries, 3 * k, metric=metric).withColumnRenamed("chunk_id", "id")
-    fused = materialize(fuse(text, near), "fused")  # 6k rows for each query at most
+    return combined(docs, *legs(docs, vectors, queries, k, text_cols, metric), k, where, keep)
+
+
+def legs(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, text_cols: tuple[str, ...] = ("content",), metric: str = "l2") -> tuple[DataFrame, DataFrame]:
+    """The 3k best of either leg (query_id, id, rank), written once; a search for fewer takes the first ranks of them."""
+    text = bm25(docs, queries, 3 * k, "id", text_cols).select("query_id", "id", "rank")
+    near = knn(vectors, queries, 3 * k, metric=metric).select("query_id", F.col("chunk_id").alias("id"), "rank")
+    return materialize(text, "text_leg"), materialize(near, "vector_leg")
+
+
+def combined(docs: DataFrame, text: DataFrame, near: DataFrame, k: int, where: Column | None = None, keep: tuple[str, ...] = ("signal_weight",)) -> DataFrame:
+    """The k best of both legs' first 3k: fused, filtered, boosted."""
+    fused = fuse(text.where(F.col("rank") < 3 * k), near.where(F.col("rank") < 3 * k))
     rows = docs.select("id", *keep).join(fused, "id")
     if where is not None:
         rows = rows.where(where)
