@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def grouped_nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """The same percentiles for groups of any size: counts by value, a running sum, no gathered list."""
+def grouped_nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], ranges: int = 64) -> DataFrame:
+    """(keys, n, a column for each share): the value at place floor(n * share), 0-based, at most the last, of the sorted non-zero values.
+
+    Exact for groups of any size: values are counted, a group's counts are cut into ranges at
+    approximate quantiles, and only the range that holds a place is sorted.
+    """
     counts = rows.where((F.col(value) != 0) & F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    run = Window.partitionBy(*keys).orderBy(value)
-    placed = counts.withColumn("upto", F.sum("n").over(run)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
-    aggs = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("total") * F.lit(s)), F.col("total") - 1), F.col(value))).alias(name) for name, s in shares.items()]
-    return placed.groupBy(*keys).agg(F.max("total").alias("n"), *aggs)
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("cuts"), F.sum("n").alias("total"))
+    placed = counts.join(cuts, keys).select(*keys, value, "n", "total", F.size(F.filter("cuts", lambda c: c < F.col(value))).alias("range"))
+    per = placed.groupBy(*keys, "range").agg(F.sum("n").alias("m"), F.max("total").alias("total"))
+    per = per.withColumn("upto", F.sum("m").over(Window.partitionBy(*keys).orderBy("range")))  # ``ranges`` rows for each group at most
+    place = [F.struct(F.lit(name).alias("name"), F.least(F.floor(F.col("total") * F.lit(s)), F.col("total") - 1).alias("at")) for name, s in shares.items()]
+    wanted = per.select(*keys, "range", "total", (F.col("upto") - F.col("m")).alias("before"), "upto", F.explode(F.array(*place)).alias("p")).where((F.col("p.at") >= F.col("before")) & (F.col("p.at") < F.col("upto")))
+    inner = placed.drop("total").join(wanted, [*keys, "range"])
+    run = F.sum("n").over(Window.partitionBy(*keys, "range", "p.name").orderBy(value))
+    found = inner.withColumn("run", run + F.col("before")).where(F.col("run") > F.col("p.at"))
+    return found.groupBy(*keys).agg(F.max("total").alias("n"), *(F.min(F.when(F.col("p.name") == name, F.col(value))).alias(name) for name in shares))
 
 
 def weekly_summary(rows: DataFrame, now: Column, flags: dict[str, Column], days: int = 7, ts: str = "ts") -> DataFrame:
