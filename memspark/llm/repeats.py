@@ -27,6 +27,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -38,8 +39,8 @@ GRAM = 32
 MANY = 16
 #: Rows of one trigger beyond which its phrases are taken apart before they meet.
 HOT = 2_000
-#: Phrases that a task takes apart at once.
-BLOCK = 20_000
+#: Phrases, and bytes of them, that a task takes apart at once; a key's phrases stay together.
+BLOCK, BLOCK_BYTES = 20_000, 1 << 20
 _POSITION = 20
 _CHUNK = 1 << _POSITION
 _U = np.uint64
@@ -137,11 +138,10 @@ def suffix_ranks(buffer: bytes, window: int = WINDOW) -> np.ndarray:
     value = np.zeros(len(raw) - wide + 1, dtype=np.uint64)
     for k in range(wide):
         value = value << _U(8) | raw[k : len(raw) - wide + 1 + k]
-    rank = np.unique(value, return_inverse=True)[1].astype(np.int64)
+    rank = np.unique(value, return_inverse=True)[1]
     while wide < window:
         step = min(wide, window - wide)
-        value = rank[: len(rank) - step] * (int(rank.max()) + 1) + rank[step:]
-        rank = np.unique(value, return_inverse=True)[1].astype(np.int64)
+        rank = np.unique(rank[: len(rank) - step] * (int(rank.max()) + 1) + rank[step:], return_inverse=True)[1]
         wide += step
     return rank
 
@@ -303,23 +303,26 @@ def _later(rows: pa.Table) -> pa.RecordBatch | None:
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key: settled ones pass, whole keys of others are taken a bounded block at a time."""
     held: list[pa.RecordBatch] = []
-    n = 0
+    n = size = 0
     for b in batches:
         done = int((b.column(0).to_numpy() == _SETTLED).sum())  # they sort first
         if done:
             yield pa.RecordBatch.from_arrays([b.column(i).slice(0, done) for i in (1, 2, 3)], names=["d", "tie", "span"])
-        if done < b.num_rows:
-            held.append(b.slice(done))
-            n += b.num_rows - done
-        if n < BLOCK:
-            continue
-        rows = pa.Table.from_batches(held)
-        key = rows.column(0).to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
-        if cut and (out := _later(rows.slice(0, cut).combine_chunks())) is not None:
-            yield out
-        rest = rows.slice(cut)
-        held, n = rest.to_batches(), rest.num_rows
+        for at in range(done, b.num_rows, 256):
+            part = b.slice(at, 256)
+            held.append(part)
+            n += part.num_rows
+            size += pc.sum(pc.binary_length(part.column(4))).as_py() or 0
+            if n < BLOCK and size < BLOCK_BYTES:
+                continue
+            rows = pa.Table.from_batches(held)
+            key = rows.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if cut and (out := _later(rows.slice(0, cut).combine_chunks())) is not None:
+                yield out
+            rest = rows.slice(cut)
+            held, n = rest.to_batches(), rest.num_rows
+            size = pc.sum(pc.binary_length(rest.column(4))).as_py() or 0
     if n and (out := _later(pa.Table.from_batches(held).combine_chunks())) is not None:
         yield out
 

@@ -145,7 +145,7 @@ TOGETHER, TOGETHER_SHINGLES = 1 << _INDEX, 1 << 20
 #: Texts of a part beyond which a shingle travels as a count; shingles that are counted together.
 FEW, RANGE = 8, 1 << 20
 #: Words whose hash a worker remembers; a full memory is emptied.
-_REMEMBERED = 500_000
+_REMEMBERED = 150_000
 _U = np.uint64
 _SCALE = np.array([int(x) | 1 for x in np.random.default_rng(SEED).integers(1, 1 << 63, 8)], dtype=np.uint64)
 _AT = np.array([sorted(np.random.default_rng((SEED, k)).choice(WIDE_BYTES, KEY_BYTES, replace=False).tolist()) for k in range(WIDE_KEYS)])
