@@ -143,3 +143,50 @@ def test_ages_and_paths(spark):
     paths = spark.createDataFrame([("docs/Gate/notes.md",), ("docs/x/loop.md",), ("src/gate/a.md",), ("docs/states/kernel.state.yaml",)], "p string")
     got = [r.m for r in paths.select(tx.module_of_path(F.col("p"), ["gate", "loop"], ["docs/"]).alias("m")).collect()]
     assert got == ["gate", "loop", None, "kernel"]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stemmed_terms_query_against_plain_python(spark):
+    import regex
+
+    from memspark.functions.stem import stem
+    from memspark.jobs import more
+    from memspark.session import table
+
+    want: dict[str, int] = {}
+    for r in table(spark, SF, "conversations").collect():
+        for s in {stem(t) for t in regex.split(r"[^\p{L}\p{N}\p{Co}\p{M}]+", r.text.lower()) if t}:
+            want[s] = want.get(s, 0) + 1
+    assert {r.stem: r.df for r in more.d3_bm25_stemmed_terms(spark, SF).collect()} == want
+
+
+def test_embed_query_against_the_provider(spark):
+    from memspark.jobs import more
+    from memspark.session import table
+
+    texts = {(r.conv_id, r.turn): r.text for r in table(spark, SF, "conversations").collect()}
+    provider = embed.HashEmbedder(32)
+    got = more.m1_embed(spark, SF).collect()
+    assert len(got) == len(texts) and all(r.embed_error is None for r in got)
+    for r in got[:20]:
+        assert max(abs(a - b) for a, b in zip(r.embedding, embed.embed_one(provider, texts[r.conv_id, r.turn]), strict=True)) < 1e-6
+
+
+def test_post_nudge_query_against_a_loop(spark):
+    from memspark.jobs import flows
+
+    calls = {r.call_id: (r.session_id, r.pos) for r in flows._calls(spark, SF).collect()}
+    near: dict = {}
+    for r in flows._nudge_hits(spark, SF).orderBy("call_id", "rank").collect():
+        near.setdefault(r.call_id, []).append(r.id)
+    seen = {(calls[c][0], x) for c, xs in near.items() for x in xs if x % 10 == 0}
+    want = set()
+    for c in sorted(near, key=lambda c: calls[c][1]):
+        new = next((x for x in near[c] if (calls[c][0], x) not in seen), None)
+        if new is not None:
+            seen.add((calls[c][0], new))
+            want.add((calls[c][0], c, new))
+    got = {tuple(r) for r in flows.k8_post_nudges(spark, SF).collect()}
+    assert got == want
