@@ -89,3 +89,22 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF), "stage")
         assert docs.count() == 0
+
+
+def test_arithmetic_of_sketches_and_mixing_against_sql(spark):
+    """What SQL can say of the two queries: sizes, edited texts, sources' totals and targets."""
+    import duckdb
+
+    from memspark import llm
+    from memspark.llm.mixing import targets
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    want = con.sql("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id), '') AS n FROM documents)
+        SELECT doc_id, length(t), sha256(substring(t, 1, length(t) - length(t) // 4) || substring(n, 1, length(t) // 4)) FROM d""").fetchall()
+    got = llm.queries()["op5_bottom_k_sketch"](spark, SF).select("doc_id", "n_chars", "edited_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    sizes = dict(con.sql(r"SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT FROM documents GROUP BY source").fetchall())
+    wanted = targets(sizes)
+    for r in llm.queries()["op7_subset_sum_mixing"](spark, SF).join(table(spark, SF, "documents").select("doc_id", "source"), "doc_id").collect():
+        assert r.source_size == sizes[r.source] and abs(r.target - wanted[r.source]) < 1e-6 and 0 <= r.taken <= 2 * r["size"]
