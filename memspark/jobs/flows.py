@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from memspark.functions import classify, text as tx
 from memspark.jobs.catalog import _DF, _IN_ORDER, _STATE, CORRECTIONS, DECISIONS, INVESTIGATIONS, TOK, _any, _clip, _messages, _outcomes, _topic, query
 from memspark.operators import capture, health, prompts, relevance, telemetry
-from memspark.session import materialize, table
+from memspark.session import materialize, scratch_path, table
 from memspark.sources import readers
 
 NOW = "2024-02-01 00:00:00"
@@ -390,3 +390,42 @@ def a12_report(spark: SparkSession, sf: str) -> DataFrame:
     topics = telemetry.top_topics(e.withColumn("topics", F.to_json(F.array("event_type"))), "topics", "event_id")
     statuses = e.groupBy(F.col("event_type").alias("component")).agg(F.bool_or(F.col("value") > 400).alias("warn"))
     return telemetry.report_lines(summary, topics, statuses)
+
+
+@query(f"""WITH {_OUT}, t AS (SELECT c_custkey AS thread_id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'open' ELSE 'closed' END AS state, c_acctbal AS u FROM customer), f AS (SELECT *, row_number() OVER (ORDER BY u DESC, thread_id) AS place FROM t WHERE state = 'open' QUALIFY place <= 20)
+SELECT place, thread_id, name, (SELECT count(*) FROM o WHERE o.thread_id = f.thread_id) AS n_outcomes FROM f""")
+def k18_open_threads(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "customer").select(F.col("c_custkey").alias("thread_id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, "open").otherwise("closed").alias("state"), F.col("c_acctbal").alias("last_updated"))
+    return capture.open_threads(t, _outcomes(spark, sf))
+
+
+@query("""WITH i AS (SELECT count(*) AS n, sum(strlen(url)) AS b FROM pages), s AS (SELECT p_brand AS title, count(*) AS n FROM part GROUP BY p_brand), l AS (SELECT url AS link, count(*) AS n FROM pages GROUP BY url HAVING count(*) > 1),
+o AS (SELECT p_name || p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45))
+SELECT 0 AS part, 0 AS place, 'budget: ' || n || ' lines (max 20), ' || b || ' bytes (max 90000)' || CASE WHEN n > 20 OR b > 90000 THEN ' OVER' ELSE ' OK' END AS line FROM i
+UNION ALL SELECT 1, row_number() OVER (ORDER BY s.n DESC, title) AS p, s.n || ' lines  ' || title FROM s, i WHERE i.n > 20 OR b > 90000 QUALIFY p <= 5
+UNION ALL SELECT 2, row_number() OVER (ORDER BY n DESC, link) AS p, link || ' (x' || n || ')' FROM l QUALIFY p <= 20
+UNION ALL SELECT 3, 0, 'not linked: ' || count(*) || ' files' FROM o UNION ALL SELECT 3, row_number() OVER (ORDER BY name) AS p, name FROM o QUALIFY p <= 20
+UNION ALL SELECT 3, 21, 'and ' || (count(*) - 20) || ' more' FROM o HAVING count(*) > 20""")
+def k20_budget_report(spark: SparkSession, sf: str) -> DataFrame:
+    pages, part = table(spark, sf, "pages"), table(spark, sf, "part")
+    index = pages.agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("url")).alias("n_bytes"))
+    linked = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    orphans = part.join(linked, "p_partkey", "left_anti").select(F.concat(F.col("p_name"), F.col("p_partkey").cast("string")).alias("name"))
+    return health.budget_report(index, part.groupBy(F.col("p_brand").alias("title")).agg(F.count("*").alias("n_lines")), pages.groupBy(F.col("url").alias("link")).agg(F.count("*").alias("n")), orphans, 20)
+
+
+@query("SELECT 'health_gate' AS hook, 1 AS ok, 'red: ' || string_agg(event_type, ', ' ORDER BY event_type) AS detail FROM (SELECT event_type FROM events GROUP BY event_type HAVING max(value) > 300)")
+def n5_self_heartbeat(spark: SparkSession, sf: str) -> DataFrame:
+    checks = table(spark, sf, "events").groupBy(F.col("event_type").alias("name")).agg((F.max("value") <= 300).alias("ok"))
+    return health.self_heartbeat(checks, F.lit(NOW)).drop("ts")
+
+
+@query("SELECT CASE WHEN turn % 2 = 0 THEN conv_id || '' ELSE 'log-' || conv_id END AS session_id, role AS tool, md5(text) AS prompt, true AS ok FROM conversations UNION ALL SELECT NULL, NULL, NULL, false FROM conversations WHERE turn = 0")
+def a14_hook_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Payloads written as JSON lines, every second without a session id, and a broken line for each conversation."""
+    path = scratch_path(spark, "payloads")
+    c = table(spark, sf, "conversations")
+    sid = F.when(F.col("turn") % 2 == 0, F.col("conv_id").cast("string")).otherwise("")
+    good = F.to_json(F.struct(sid.alias("session_id"), F.concat(F.lit("/logs/log-"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("transcript_path"), F.col("role").alias("tool_name"), F.col("text").alias("prompt")))
+    c.select(good.alias("value")).unionByName(c.where("turn = 0").select(F.lit('{"session_id": ').alias("value"))).write.text(path)
+    return readers.hook_events(spark, path).select("session_id", "tool", F.md5("prompt").alias("prompt"), "ok")

@@ -108,6 +108,14 @@ def thread_lineage(threads: DataFrame, outcomes: DataFrame, thread_id: str, orde
     return threads.join(counts, thread_id, "left").join(per, thread_id, "left").withColumn("n_outcomes", F.coalesce("n_outcomes", F.lit(0)))
 
 
+def open_threads(threads: DataFrame, outcomes: DataFrame, most: int = 20) -> DataFrame:
+    """(place, thread_id, name, n_outcomes): open threads (thread_id, name, state, last_updated), the newest first, at most ``most``."""
+    few = threads.where("state = 'open'").orderBy(F.desc("last_updated"), "thread_id").limit(most)
+    counts = outcomes.join(few.select("thread_id"), "thread_id", "left_semi").groupBy("thread_id").agg(F.count("*").alias("n_outcomes"))
+    rows = few.join(counts, "thread_id", "left").withColumn("place", F.row_number().over(Window.orderBy(F.desc("last_updated"), "thread_id")))
+    return rows.select("place", "thread_id", "name", F.coalesce("n_outcomes", F.lit(0)).alias("n_outcomes"))
+
+
 def stale_lineage(threads: DataFrame, key: str, updated: str) -> DataFrame:
     """Threads whose cached lineage has another key than their last update."""
     return threads.where(F.coalesce(key, F.lit("")) != F.coalesce(updated, F.lit("")))

@@ -182,6 +182,31 @@ def run_gate(spark: SparkSession, checks: dict[str, Callable[[], DataFrame]]) ->
     return gate([spark.createDataFrame(rows, "name string, ok boolean, detail string")])
 
 
+def budget_report(index: DataFrame, sections: DataFrame, links: DataFrame, orphans: DataFrame, most_lines: int = 280, most_bytes: int = 90_000, largest: int = 5, listed: int = 20) -> DataFrame:
+    """(part, place, line): the index's size (n_lines, n_bytes) against its budget, then its largest sections if it is over.
+
+    After that the links (link, n) that occur more than once, and the files (name) that no link
+    names: how many, the first ``listed``, and how many more. All lists are limited before they are ranked.
+    """
+    over = (F.col("n_lines") > most_lines) | (F.col("n_bytes") > most_bytes)
+    head = index.select(F.lit(0).alias("part"), F.lit(0).alias("place"), F.format_string(f"budget: %d lines (max {most_lines}), %d bytes (max {most_bytes})%s", "n_lines", "n_bytes", F.when(over, " OVER").otherwise(" OK")).alias("line"))
+    top = sections.orderBy(F.desc("n_lines"), "title").limit(largest).crossJoin(index.where(over).select(F.lit(1).alias("_o")))
+    top = top.select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy(F.desc("n_lines"), "title")).alias("place"), F.format_string("%d lines  %s", "n_lines", F.substring("title", 1, 90)).alias("line"))
+    twice = links.where("n > 1").orderBy(F.desc("n"), "link").limit(listed)
+    twice = twice.select(F.lit(2).alias("part"), F.row_number().over(Window.orderBy(F.desc("n"), "link")).alias("place"), F.format_string("%s (x%d)", "link", "n").alias("line"))
+    total = orphans.agg(F.count("*").alias("n"))
+    lone = total.select(F.lit(3).alias("part"), F.lit(0).alias("place"), F.format_string("not linked: %d files", "n").alias("line"))
+    names = orphans.orderBy("name").limit(listed).select(F.lit(3).alias("part"), F.row_number().over(Window.orderBy("name")).alias("place"), F.col("name").alias("line"))
+    more = total.where(F.col("n") > listed).select(F.lit(3).alias("part"), F.lit(listed + 1).alias("place"), F.format_string("and %d more", F.col("n") - listed).alias("line"))
+    return reduce(DataFrame.unionByName, [head, top, twice, lone, names, more])
+
+
+def self_heartbeat(gated: DataFrame, ts: Column) -> DataFrame:
+    """The gate's own heartbeat row (ts, hook, ok, detail): it ran, and what it found red."""
+    red = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("name")))), ", ")
+    return gated.agg(red.alias("red")).select(ts.alias("ts"), F.lit("health_gate").alias("hook"), F.lit(1).alias("ok"), F.when(F.col("red") != "", F.substring(F.concat(F.lit("red: "), F.col("red")), 1, 500)).alias("detail"))
+
+
 def duplicate_links(lines: DataFrame, column: str) -> DataFrame:
     """Markdown links that occur more than once: (link, n), most frequent first."""
     each = lines.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(r"\]\(([^)]+)\)"))).alias("link"))

@@ -36,6 +36,17 @@ def messages(spark: SparkSession, path: str) -> DataFrame:
     return r.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("session_id"), "path", F.coalesce("r.message.role", "r.role", "r.type").alias("role"), _content("\n", False).alias("text"), F.col("r.timestamp").alias("ts"))
 
 
+def hook_events(spark: SparkSession, path: str) -> DataFrame:
+    """(session_id, transcript_path, tool, prompt, tool_input, ok) of event payloads, a JSON object for each line.
+
+    A line that can't be read is an empty event; a session without an id takes its transcript's stem.
+    """
+    fields = "session_id string, transcript_path string, tool_name string, prompt string, tool_input string"
+    r = spark.read.text(path).select(F.from_json("value", fields, {"mode": "PERMISSIVE"}).alias("r"), F.get_json_object("value", "$").isNotNull().alias("ok"))
+    stem = F.regexp_replace(F.element_at(F.split(F.col("r.transcript_path"), "[/\\\\]"), -1), r"\.[^.]*$", "")
+    return r.select(F.coalesce(F.nullif("r.session_id", F.lit("")), F.nullif(stem, F.lit(""))).alias("session_id"), "r.transcript_path", F.col("r.tool_name").alias("tool"), "r.prompt", "r.tool_input", "ok")
+
+
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, mtime, text) of text files."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("value").alias("text"))
