@@ -237,18 +237,14 @@ def _tally(a: pd.Series, b: pd.Series) -> pd.Series:
 def _index_pairs(nodes: DataFrame) -> DataFrame:
     """(node, fp) -> pairs (u, v), u > v, that meet in the byte-position index and share WIDE_SHARED bytes.
 
-    All of a list up to MAX_POSTING meet; in a longer one all meet its smallest node, and what that
-    leaves out is found by the prefix filter.
+    All nodes of a list meet its smallest one, so pairs are fewer than postings however long lists
+    are; what that leaves out is found by the prefix filter.
     """
     index = materialize(nodes.select("node", F.explode(_wide_keys("fp")).alias("key")), "wide_index")
     lists = index.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
-    posted = materialize(index.join(lists, "key"), "wide_postings")
-    drop_scratch(index)
-    cold = posted.where(F.col("n") <= MAX_POSTING).select("key", "node")
-    pairs = cold.withColumnRenamed("node", "u").join(cold.withColumnRenamed("node", "v"), "key").where("u > v").select("u", "v")
-    stars = posted.where(F.col("n") > MAX_POSTING).select(F.col("node").alias("u"), F.col("low").alias("v")).where("u > v")
+    pairs = index.join(lists, "key").where("node > low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
     left, right = nodes.toDF("u", "fu"), nodes.toDF("v", "fv")
-    return pairs.union(stars).distinct().join(left, "u").join(right, "v").where(_tally("fu", "fv") >= WIDE_SHARED).select("u", "v")
+    return pairs.join(left, "u").join(right, "v").where(_tally("fu", "fv") >= WIDE_SHARED).select("u", "v")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
