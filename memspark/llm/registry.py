@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memspark.llm import langid, mixing, neighbours, pieces, quality, repeats, sketch, token_files, toxicity
+from memspark.llm import alignment, langid, mixing, neighbours, packing, pieces, quality, repeats, sketch, token_files, toxicity, variants
 from memspark.llm.simhash import near_duplicates
 from memspark.session import table
 
@@ -61,6 +61,18 @@ def op10_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_pair_bitmap_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_trie_frontier_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -73,6 +85,9 @@ def queries() -> dict[str, Query]:
         "op8_token_id_files": op8_token_id_files,
         "op9_weak_label_quality": op9_weak_label_quality,
         "op10_prefix_free_parsing": op10_prefix_free_parsing,
+        "op11_pair_bitmap_alignment": op11_pair_bitmap_alignment,
+        "op12_trie_frontier_variants": op12_trie_frontier_variants,
+        "op13_best_fit_packing": op13_best_fit_packing,
     }
 
 
