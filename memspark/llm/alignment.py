@@ -50,7 +50,7 @@ class PairCoder:
 
         self.a, self.b = byte_coder(byte_path, True), sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.bytes_a = self.a.token_bytes()
-        b = self.b
+        b, self.blank = self.b, self.b.piece_to_id("▁")
         self.bytes_b = [b"" if b.is_control(i) else bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.vocab_size())]
         self.len_a, self.len_b = (np.array([len(x) for x in y], dtype=np.int64) for y in (self.bytes_a, self.bytes_b))
         # Ids as text with what follows them: A's "," or "|", then B's "," or ";".
@@ -76,7 +76,7 @@ class PairCoder:
     def _learn(self, new: list[str]) -> None:
         raw = [b" " + w.encode() for w in new]
         ids_a = [np.frombuffer(x, dtype=self.a.dtype) for x in self.a.ids(new, " ")]
-        ids_b = self.b.encode(new, num_threads=1)
+        ids_b = [x or [self.blank] for x in self.b.encode(new, num_threads=1)]  # the library gives an empty text no blank in front
         size = np.array(list(map(len, raw)), dtype=np.int64)
         n_a, n_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (ids_a, ids_b))
         flat_a = np.concatenate(ids_a).astype(np.int64)
@@ -194,8 +194,8 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _STRUCTURE.split(", ")])
 
-    def batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, schema.field(c).type) for c in names], schema=schema)
+    def batch(size: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, schema.field(c).type) for c in names], schema=schema)
 
     def flush(block: Block) -> Iterator[pa.RecordBatch]:
         for pair, plane, n, cuts, raw in block.rows():
