@@ -165,3 +165,5 @@ TOOL_FIELDS = {
     "Agent": ["subagent_type", "description", "prompt"],
     "NotebookEdit": ["notebook_path", "new_source"],
 }
+# What is read of finished tools besides the response, in order.
+POST_TOOL_FIELDS = {**TOOL_FIELDS, "Grep": ["pattern", "path"]}

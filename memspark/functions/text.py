@@ -174,16 +174,6 @@ def module_of_path(path: Column, roster: list[str], roots: list[str], state_suff
     return F.when(under, F.coalesce(state, F.try_element_at(hit, F.lit(1))))
 
 
-def nested_strings(payload: Column, most: int = 16384) -> Column:
-    """All string values of a JSON payload at any depth, in order, by lines; names, numbers and flags are left out.
-
-    A JSON string stands after a colon, a comma or a bracket and isn't followed by a colon.
-    """
-    each = F.regexp_extract_all(payload, F.lit(r'("(?:[^"\\]|\\.)*")(?=\s*(?:[,\]}]|$))'))
-    plain = F.transform(each, lambda x: F.get_json_object(F.concat(F.lit('{"v":'), x, F.lit("}")), "$.v"))
-    return F.substring(F.array_join(F.filter(plain, lambda x: x.isNotNull() & (x != "")), "\n"), 1, most)
-
-
 def sections(docs: DataFrame, id_col: str, text_col: str, heading: str = r"[^\S\n]*#{2,3} ") -> DataFrame:
     """(id_col, section, raw, first): texts cut before lines that begin with a heading, and the number of each piece's first line.
 

@@ -494,11 +494,11 @@ def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("thread_id"), F.col("o_orderdate").cast("string").alias("date"), state.alias("state"))
 
 
-@query("""SELECT c_custkey AS thread_id, c_name AS name, coalesce(n, 0) AS n_outcomes, titles FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, string_agg(o_orderkey::VARCHAR, ' | ' ORDER BY o_orderdate, o_orderkey) AS titles FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""")
+@query("""SELECT c_custkey AS thread_id, c_name AS name, count(o_orderkey) OVER (PARTITION BY c_custkey) AS n_outcomes, CASE WHEN o_orderkey IS NOT NULL THEN row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate, o_orderkey) END AS place, o_orderkey::VARCHAR AS title FROM customer LEFT JOIN orders ON o_custkey = c_custkey""")
 def f5_lineage(spark: SparkSession, sf: str) -> DataFrame:
     threads = table(spark, sf, "customer").select(F.col("c_custkey").alias("thread_id"), F.col("c_name").alias("name"))
     outcomes = _outcomes(spark, sf).withColumn("title", F.col("id").cast("string"))
-    return capture.thread_lineage(threads, outcomes, "thread_id", ["date", "id"], "title").select("thread_id", "name", "n_outcomes", "titles")
+    return capture.thread_lineage(threads, outcomes, "thread_id", ["date", "id"], "title").select("thread_id", "name", "n_outcomes", "place", "title")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memspark.functions import classify, text as tx
+from memspark.functions import classify, payload, text as tx
 from memspark.jobs.catalog import _DF, _IN_ORDER, _STATE, CORRECTIONS, DECISIONS, INVESTIGATIONS, TOK, _any, _clip, _messages, _outcomes, _topic, query
 from memspark.operators import capture, health, prompts, relevance, telemetry
 from memspark.session import materialize, scratch_path, table
@@ -135,10 +135,28 @@ def k8_post_nudges(spark: SparkSession, sf: str) -> DataFrame:
     return prompts.post_nudges(hits, calls, hits.where("id % 10 = 0").join(calls.select("call_id", "session_id"), "call_id").select("session_id", "id"))
 
 
-@query("SELECT conv_id, turn, md5((role || chr(10) || text)[1:16384]) AS strings FROM conversations")
+_RESPONSE = "chr(10) || role || chr(10) || '}, ' || text || '\", ]' || chr(10) || chr(10) || ':' || role"
+
+
+@query(f"SELECT conv_id, turn, md5(({_RESPONSE})[1:16384]) AS strings FROM conversations")
 def b16_response_text(spark: SparkSession, sf: str) -> DataFrame:
-    payload = F.to_json(F.struct(F.struct(F.col("turn").alias("n"), F.array(F.col("role")).alias("who")).alias("meta"), F.lit(True).alias("flag"), F.array(F.struct(F.col("text").alias("body"))).alias("parts")))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(tx.nested_strings(payload)).alias("strings"))
+    """Strings of a nested response; values begin and end with JSON's own marks."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", _response().alias("response"))
+    return rows.select("conv_id", "turn", F.md5(payload.nested_strings(F.col("response"))).alias("strings"))
+
+
+def _response():
+    body = F.concat(F.lit("}, "), F.col("text"), F.lit('", ]'))
+    return F.to_json(F.struct(F.struct(F.col("turn").alias("n"), F.array(F.col("role")).alias("who")).alias("meta"), F.array(F.struct(body.alias("body"))).alias("parts"), F.lit(True).alias("flag"), F.concat(F.lit(":"), F.col("role")).alias("end")))
+
+
+@query(f"""SELECT conv_id, turn, t.tool, md5((CASE t.tool WHEN 'Edit' THEN role || chr(10) || text || chr(10) WHEN 'Grep' THEN text || chr(10) || role || chr(10) WHEN 'Bash' THEN text || chr(10) ELSE '' END || {_RESPONSE})[1:16384]) AS strings FROM conversations, (VALUES ('Edit'), ('Grep'), ('Bash'), ('Read')) t(tool)""")
+def b16_post_tool_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Input fields of the tool and then the response; fields that are empty or no strings don't count."""
+    given = F.to_json(F.struct(F.col("role").alias("file_path"), F.col("text").alias("old_string"), F.lit("").alias("new_string"), F.col("text").alias("pattern"), F.col("role").alias("path"), F.col("turn").alias("description"), F.col("text").alias("command")))
+    tools = F.explode(F.array(*(F.lit(t) for t in ("Edit", "Grep", "Bash", "Read")))).alias("tool")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", tools, given.alias("given"), _response().alias("response"))
+    return rows.select("conv_id", "turn", "tool", F.md5(payload.post_tool_text(F.col("tool"), F.col("given"), F.col("response"))).alias("strings"))
 
 
 @query("""SELECT conv_id, turn, t.tool, md5(CASE t.tool WHEN 'Edit' THEN role || chr(10) || text || chr(10) || conv_id WHEN 'Write' THEN role || chr(10) || text WHEN 'Bash' THEN conv_id || chr(10) || text WHEN 'Agent' THEN role || chr(10) || conv_id || chr(10) || text WHEN 'NotebookEdit' THEN role || chr(10) || text ELSE '' END) AS payload
@@ -234,16 +252,19 @@ def h8_truncated(spark: SparkSession, sf: str) -> DataFrame:
     return capture.truncate_lines(lines, "doc_id", 5).select("doc_id", "place", F.md5("line").alias("line"))
 
 
-@query("""WITH r AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE (event_id % 5)::VARCHAR END AS session_id, event_type AS hash, floor(value / 50)::BIGINT AS sig, user_id FROM events),
+@query("""WITH r AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE (event_id % 5)::VARCHAR END AS session_id, CASE WHEN event_id % 11 > 0 THEN event_type ELSE '' END AS hash, CASE WHEN value < 50 THEN '' ELSE floor(value / 50)::BIGINT::VARCHAR END AS sig, user_id FROM events WHERE user_id % 10 > 0),
 c AS (SELECT user_id, arg_max({'s': session_id, 'h': hash, 'g': sig}, id) AS now, count(*) AS n FROM r GROUP BY user_id),
 b AS (SELECT user_id, count(*) AS recent, count(session_id) AS named FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS p FROM r) WHERE p BETWEEN 2 AND 4 GROUP BY user_id),
 e AS (SELECT r.user_id, session_id, arg_max(hash, id) AS h, arg_max(sig, id) AS g, max(id) AS id FROM r JOIN c USING (user_id) WHERE session_id IS NOT NULL AND session_id <> now.s GROUP BY r.user_id, session_id),
 l AS (SELECT user_id, count(*) AS k, min(h) AS lo, max(h) AS hi, arg_min(g, id) AS g FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS p FROM e) WHERE p <= 2 GROUP BY user_id),
-x AS (SELECT c.user_id, n, now, now.s IS NULL AND coalesce(recent, 0) >= 3 AND coalesce(named, 0) = 0 AS off, coalesce(k >= 2 AND lo = hi AND lo = now.h, false) AS same, coalesce(k, 0) AS k, g FROM c LEFT JOIN b USING (user_id) LEFT JOIN l USING (user_id))
-SELECT user_id, NOT off AND NOT (same AND g <> now.g) AS ok, CASE WHEN n = 1 THEN 'first observation' WHEN off THEN 'guard disarmed' WHEN now.s IS NULL THEN 'session unknown' WHEN k < 2 THEN 'too few sessions' WHEN same AND g <> now.g THEN 'render frozen' WHEN same THEN 'corpus idle' ELSE 'render follows corpus' END AS detail FROM x""")
+x AS (SELECT u.user_id, n, now, now.s IS NULL AND coalesce(recent, 0) >= 3 AND coalesce(named, 0) = 0 AS off, coalesce(k >= 2 AND lo = hi AND lo = now.h, false) AS same, coalesce(k, 0) AS k, coalesce(g <> '' AND g <> now.g, false) AS moved, n IS NULL OR now.h = '' AS never FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN c USING (user_id) LEFT JOIN b USING (user_id) LEFT JOIN l USING (user_id))
+SELECT user_id, NOT never AND (n = 1 OR NOT off AND NOT (same AND moved)) AS ok, CASE WHEN never THEN 'no render recorded' WHEN n = 1 THEN 'first observation' WHEN off THEN 'guard disarmed' WHEN now.s IS NULL THEN 'session unknown' WHEN k < 2 THEN 'too few sessions' WHEN same AND moved THEN 'render frozen' WHEN same THEN 'corpus idle' ELSE 'render follows corpus' END AS detail FROM x""")
 def k19_9_novelty(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 5).cast("string")).alias("session_id"), F.col("event_type").alias("hash"), F.floor(F.col("value") / 50).alias("corpus_sig"), "user_id")
-    return health.novelty(e, "user_id").select("user_id", "ok", "detail")
+    """Users as projects: some were never rendered, some newest renders have no hash, some signatures are empty."""
+    e = table(spark, sf, "events")
+    sig = F.when(F.col("value") < 50, "").otherwise(F.floor(F.col("value") / 50).cast("string"))
+    r = e.where("user_id % 10 > 0").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 5).cast("string")).alias("session_id"), F.when(F.col("event_id") % 11 > 0, F.col("event_type")).otherwise("").alias("hash"), sig.alias("corpus_sig"), "user_id")
+    return health.novelty(r, "user_id", every=e.select("user_id")).select("user_id", "ok", "detail")
 
 
 @query("""SELECT 'watermark_age' AS name, age <= 259200 AS ok, printf('%.1f days', age / 86400) AS detail FROM (SELECT epoch(TIMESTAMP '2024-02-01') - max(floor(epoch(ts))) AS age FROM events WHERE event_type <> 'view')
@@ -338,15 +359,18 @@ def n4_components(spark: SparkSession, sf: str) -> DataFrame:
     return telemetry.component_rows(probes, F.lit(NOW), 20).select("component", "status")
 
 
-@query(f"""WITH {_OUT}, c AS (SELECT id, CASE WHEN id % 7 = 0 THEN 'attach' WHEN id % 5 = 0 THEN 'supersede' WHEN id % 3 = 0 THEN 'confirm' ELSE 'reject' END AS op, thread_id + 1 AS t FROM o WHERE id % 2 = 1), k AS (SELECT c.*, t IN (SELECT thread_id FROM o) AS there FROM c)
-SELECT o.id, CASE WHEN op = 'attach' AND there THEN t ELSE thread_id END AS thread_id, CASE WHEN op = 'attach' AND there THEN 'new ' || o.id ELSE 'title ' || o.id END AS title, CASE op WHEN 'confirm' THEN 'confirmed' WHEN 'reject' THEN 'rejected' ELSE state END AS state, CASE WHEN op = 'supersede' THEN 'new ' || o.id END AS superseded_by FROM o LEFT JOIN k ON k.id = o.id""")
+# Each second outcome is superseded and then attached to the next customer's thread, or confirmed; the change before that said the opposite.
+_CHANGES = f"""{_OUT}, c AS (SELECT id, CASE WHEN id % 7 = 0 THEN 'attach' WHEN id % 5 = 0 THEN 'supersede' WHEN id % 3 = 0 THEN 'confirm' ELSE 'reject' END AS op, thread_id, thread_id + 1 AS t, (thread_id + 1) IN (SELECT thread_id FROM o) AS there FROM o WHERE id % 2 = 1)"""
+
+
+@query(f"""WITH {_CHANGES} SELECT o.id, CASE WHEN op = 'attach' AND there THEN t ELSE o.thread_id END AS thread_id, CASE WHEN op = 'attach' AND there THEN 'new ' || o.id ELSE 'title ' || o.id END AS title, CASE op WHEN 'confirm' THEN 'confirmed' WHEN 'reject' THEN 'rejected' ELSE state END AS state,
+CASE WHEN op = 'supersede' THEN 'new ' || o.id WHEN op = 'attach' THEN 'old ' || o.id END AS superseded_by, CASE WHEN op = 'confirm' THEN o.id % 9 > 0 END AS approved FROM o LEFT JOIN c USING (id)""")
 def j6_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return _changes(spark, sf)[0]
 
 
-@query(f"""WITH {_OUT}, c AS (SELECT id, CASE WHEN id % 7 = 0 THEN 'attach' WHEN id % 5 = 0 THEN 'supersede' END AS op, thread_id, thread_id + 1 AS t FROM o WHERE id % 2 = 1),
-m AS (SELECT t AS thread_id, max(id) AS b FROM (SELECT t, id FROM c WHERE op = 'attach' UNION ALL SELECT thread_id, id FROM c WHERE op = 'supersede') GROUP BY t)
-SELECT DISTINCT o.thread_id, greatest(100, coalesce(b, 0)) AS last_updated FROM o LEFT JOIN m ON m.thread_id = o.thread_id""")
+@query(f"""WITH {_CHANGES}, m AS (SELECT t, max(id) AS b FROM (SELECT t, id FROM c WHERE op = 'attach' AND there UNION ALL SELECT thread_id, id - 1 FROM c WHERE op = 'attach' UNION ALL SELECT thread_id, id FROM c WHERE op = 'supersede' UNION ALL SELECT c_custkey, c_custkey + 50 FROM customer WHERE c_custkey % 4 = 0) GROUP BY t)
+SELECT DISTINCT o.thread_id, greatest(100, coalesce(b, 0)) AS last_updated, CASE WHEN o.thread_id % 4 = 0 THEN 'summary of ' || c_name ELSE 'none' END AS summary FROM o LEFT JOIN m ON m.t = o.thread_id LEFT JOIN customer ON c_custkey = o.thread_id""")
 def j6_threads(spark: SparkSession, sf: str) -> DataFrame:
     return _changes(spark, sf)[1]
 
@@ -355,11 +379,14 @@ def _changes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     o = _outcomes(spark, sf)
     rows = o.select("id", "thread_id", F.concat(F.lit("title "), F.col("id").cast("string")).alias("title"), "state")
     op = F.when(F.col("id") % 7 == 0, "attach").when(F.col("id") % 5 == 0, "supersede").when(F.col("id") % 3 == 0, "confirm").otherwise("reject")
-    last = o.where("id % 2 = 1").select(F.lit(2).alias("seq"), "id", op.alias("op"), F.concat(F.lit("new "), F.col("id").cast("string")).alias("value"), F.when(op == "attach", F.col("thread_id") + 1).alias("thread_id"), F.col("id").alias("ts"))
-    earlier = last.where("op in ('confirm', 'reject')").select(F.lit(1).alias("seq"), "id", F.when(F.col("op") == "confirm", "reject").otherwise("confirm").alias("op"), "value", "thread_id", "ts")
+    named = F.when(op == "confirm", F.when(F.col("id") % 9 > 0, "true").otherwise("false")).otherwise(F.concat(F.lit("new "), F.col("id").cast("string")))
+    last = o.where("id % 2 = 1").select(F.lit(2).alias("seq"), "id", op.alias("op"), named.alias("value"), F.when(op == "attach", F.col("thread_id") + 1).alias("thread_id"), F.col("id").alias("ts"))
+    opposite = F.when(F.col("op") == "confirm", "reject").when(F.col("op") == "reject", "confirm").otherwise("supersede")
+    earlier = last.where("op <> 'supersede'").select(F.lit(1).alias("seq"), "id", opposite.alias("op"), F.when(F.col("op") == "attach", F.concat(F.lit("old "), F.col("id").cast("string"))).alias("value"), F.lit(None).cast("bigint").alias("thread_id"), (F.col("ts") - 1).alias("ts"))
     unknown = last.withColumn("id", -F.col("id")).limit(5)
-    threads = o.select("thread_id").distinct().withColumn("last_updated", F.lit(100).cast("bigint"))
-    return capture.outcomes_now(rows, last.unionByName(earlier).unionByName(unknown), threads)
+    told = table(spark, sf, "customer").where("c_custkey % 4 = 0").select(F.lit(3).alias("seq"), F.lit(None).cast("bigint").alias("id"), F.lit("summarize").alias("op"), F.concat(F.lit("summary of "), "c_name").alias("value"), F.col("c_custkey").cast("bigint").alias("thread_id"), (F.col("c_custkey") + 50).cast("bigint").alias("ts"))
+    threads = o.select("thread_id").distinct().withColumn("last_updated", F.lit(100).cast("bigint")).withColumn("summary", F.lit("none"))
+    return capture.outcomes_now(rows, last.unionByName(earlier).unionByName(unknown).unionByName(told), threads)
 
 
 @query("SELECT count(*) FILTER (WHERE page_id % 2 = 0) AS scanned, count(*) FILTER (WHERE page_id % 2 = 0 AND regexp_matches(lower(string_split(url, '/')[-1]), '^(p|a)')) AS matched, count(*) FILTER (WHERE page_id % 2 = 0 AND page_id % 3 > 0 AND regexp_matches(lower(string_split(url, '/')[-1]), '^(p|a)')) AS retagged, count(*) FILTER (WHERE page_id % 6 = 0 AND regexp_matches(lower(string_split(url, '/')[-1]), '^(p|a)')) AS already_tagged FROM pages")

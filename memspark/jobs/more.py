@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memspark.functions import classify, embed, text as tx
@@ -262,11 +264,15 @@ def k18_digest(spark: SparkSession, sf: str) -> DataFrame:
     return few.where(((F.col("state") == "confirmed") & (F.col("place") <= 20)) | ((F.col("state") == "pending") & (F.col("place") <= 15)))
 
 
-@query("SELECT CASE WHEN age > 172800 THEN 'stale' WHEN NOT ok THEN 'errored' ELSE 'ok' END AS line FROM (SELECT arg_max(event_type <> 'error', event_id) AS ok, epoch((SELECT max(ts) FROM events)) - epoch(arg_max(ts, event_id)) AS age FROM events)")
+@query("""WITH l AS (SELECT user_id % 50 AS hook, arg_max({'t': ts, 'ok': value <= 300, 'd': event_type}, event_id) AS r FROM events WHERE user_id % 50 > 3 GROUP BY 1), n AS (SELECT max(ts) - INTERVAL 12 HOUR AS now FROM events),
+a AS (SELECT h.hook, r, (epoch(now)::BIGINT - floor(epoch(r.t))::BIGINT) / 86400 AS age_days FROM (SELECT DISTINCT user_id % 50 AS hook FROM events) h LEFT JOIN l USING (hook), n)
+SELECT hook, CASE WHEN r IS NULL THEN 'none' WHEN age_days > 0.1 THEN 'stale' WHEN NOT r.ok THEN 'errored' ELSE 'ok' END AS state, round(age_days, 9) AS age_days, r.d AS detail FROM a""")
 def k21_health_line(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
-    last = e.agg(F.max_by(F.col("event_type") != "error", "event_id").alias("ok"), F.max_by("ts", "event_id").alias("ts"), F.max("ts").alias("now"))
-    return last.select(F.when(health.seconds_since(F.col("ts"), F.col("now")) > 172800, "stale").when(~F.col("ok"), "errored").otherwise("ok").alias("line"))
+    """Users as hooks: some have no run at all, some an old one, some a failed one."""
+    e = table(spark, sf, "events").withColumn("hook", F.col("user_id") % 50)
+    beats = e.where("hook > 3").select(F.col("event_id").alias("id"), "hook", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), (F.col("value") <= 300).alias("ok"), F.col("event_type").alias("detail"))
+    now = e.agg(F.max("ts")).first()[0] - timedelta(hours=12)
+    return health.health_line(beats, F.lit(now), e, 0.1).withColumn("age_days", F.round("age_days", 9))
 
 
 @query("""WITH d AS (SELECT doc_id, regexp_extract_all(text, '([a-z]+tion[a-z]+)', 1) AS a FROM documents WHERE source IN ('src1', 'src2') OR contains(text, '###'))
@@ -288,13 +294,11 @@ def k5_citations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH o AS (SELECT o_custkey AS thread_id, o_orderkey AS id, o_orderdate::DATE::VARCHAR AS date, {_STATE} AS state FROM orders)
-SELECT thread_id, string_agg(date || ' [' || state || '] ' || id, chr(10) ORDER BY date, id) AS oldest_first, string_agg(date || ' [' || state || '] ' || id, chr(10) ORDER BY date DESC, id DESC) AS newest_first FROM o GROUP BY thread_id""")
+SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY date, id) AS place, count(*) OVER (PARTITION BY thread_id) AS n, date || ' [' || state || '] ' || id AS line FROM o""")
 def k14_lineage_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    """Each thread's outcomes as lines, oldest first, and newest first as the fallback."""
-    line = F.format_string("%s [%s] %d", "date", "state", "id")
-    o = _outcomes(spark, sf).withColumn("date", F.substring("date", 1, 10)).withColumn("line", line)
-    told = F.array_sort(F.collect_list(F.struct("date", "id", "line")))
-    return o.groupBy("thread_id").agg(F.array_join(F.transform(told, lambda x: x["line"]), "\n").alias("oldest_first"), F.array_join(F.reverse(F.transform(told, lambda x: x["line"])), "\n").alias("newest_first"))
+    """Each thread's outcomes as lines by place, oldest first; n + 1 - place is the place in the fallback, newest first."""
+    o = _outcomes(spark, sf).withColumn("date", F.substring("date", 1, 10))
+    return capture.lineage_lines(o.withColumn("line", F.format_string("%s [%s] %d", "date", "state", "id")), "thread_id", ["date", "id"], "line")
 
 
 @query()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from memspark.functions import classify, lexicon
 from memspark.functions.text import clip, content_id, derive_aliases, extract_topic, first_sentence, phrase_any, sections, sentences, short_id
+from memspark.operators.ranks import placed
 
 
 def first_by_content(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
@@ -86,7 +87,7 @@ def latest(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return events.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def insert_or_ignore(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def insert_or_ignore(events: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The first event of each key."""
     return events.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
@@ -95,17 +96,20 @@ def counters(events: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.count("*").alias("delivery_count"), F.max(ts).alias("last_delivered"))
 
 
-def thread_lineage(threads: DataFrame, outcomes: DataFrame, thread_id: str, order: list[str], title: str, most: int = 1000) -> DataFrame:
-    """Each thread with the number of its outcomes and the titles of its ``most`` newest, oldest first; threads without any stay.
+def lineage_lines(outcomes: DataFrame, thread_id: str, order: list[str], line: str) -> DataFrame:
+    """(thread_id, place, n, line) of each outcome: its place in its thread from 1, and the thread's number of lines."""
+    lines = placed(outcomes.select(thread_id, *order, line), [thread_id], list(order))
+    return lines.join(outcomes.groupBy(thread_id).agg(F.count("*").alias("n")), thread_id).select(thread_id, "place", "n", line)
 
-    The limit is applied before titles are gathered, so a thread with very many outcomes is no long row.
+
+def thread_lineage(threads: DataFrame, outcomes: DataFrame, thread_id: str, order: list[str], title: str) -> DataFrame:
+    """Each thread with its number of outcomes, once for each of them: ``place`` (oldest first, from 1) and title; a thread without any is one row.
+
+    A thread may hold any part of all outcomes: places come from :func:`ranks.placed`.
     """
-    newest = F.row_number().over(Window.partitionBy(thread_id).orderBy(*(F.desc(c) for c in order)))
-    few = outcomes.select(thread_id, *order, title).withColumn("_r", newest).where(F.col("_r") <= most)
-    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, title))), lambda x: x[title]), " | ")
-    per = few.groupBy(thread_id).agg(told.alias("titles"))
     counts = outcomes.groupBy(thread_id).agg(F.count("*").alias("n_outcomes"))
-    return threads.join(counts, thread_id, "left").join(per, thread_id, "left").withColumn("n_outcomes", F.coalesce("n_outcomes", F.lit(0)))
+    lines = placed(outcomes.select(thread_id, *order, title), [thread_id], list(order)).select(thread_id, "place", title)
+    return threads.join(counts, thread_id, "left").join(lines, thread_id, "left").withColumn("n_outcomes", F.coalesce("n_outcomes", F.lit(0)))
 
 
 def open_threads(threads: DataFrame, outcomes: DataFrame, most: int = 20) -> DataFrame:
@@ -213,25 +217,27 @@ def insert_chunks(stored: DataFrame, rows: DataFrame, order: list[str], embedded
 def backfill_decisions(chunks: DataFrame, limit: int, sources: tuple[str, ...] = ("doc", "memory")) -> tuple[DataFrame, DataFrame]:
     """(pending decisions, counts) from chunks that are tagged as decisions, the heaviest and newest first.
 
-    Decisions (id, title, date, rationale, state); of equal ids one. Counts (matched, dropped).
+    Decisions (id, title, date, rationale, state); of equal ids the heaviest and newest. Counts (matched, dropped).
     """
     own = chunks.where(F.col("is_decision") & F.col("source").isin(*sources))
     counts = own.agg(F.count("*").alias("matched"), F.greatest(F.count("*") - limit, F.lit(0)).alias("dropped"))
     few = own.orderBy(F.desc("signal_weight"), F.desc("ingested_at"), "id").limit(limit)
     title = clip(F.coalesce("content", F.lit("")), 200)
-    rows = few.select("date", title.alias("title"), clip(first_sentence(F.coalesce("content", F.lit(""))), 600).alias("rationale")).where("title <> ''")
-    return rows.select(outcome_id(F.coalesce("date", F.lit("")), F.col("title")).alias("id"), "title", "date", "rationale", F.lit("pending").alias("state")).dropDuplicates(["id"]), counts
+    rows = few.select("date", title.alias("title"), clip(first_sentence(F.coalesce("content", F.lit(""))), 600).alias("rationale"), "signal_weight", "ingested_at", F.col("id").alias("_id")).where("title <> ''")
+    rows = rows.withColumn("id", outcome_id(F.coalesce("date", F.lit("")), F.col("title")))
+    return insert_or_ignore(rows, ["id"], [F.desc("signal_weight"), F.desc("ingested_at"), "_id"]).select("id", "title", "date", "rationale", F.lit("pending").alias("state")), counts
 
 
 def outcomes_now(rows: DataFrame, changes: DataFrame, threads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, threads) after appended changes (seq, id, op, value, thread_id).
+    """(outcomes, threads) after appended changes (seq, id, op, value, thread_id, ts).
 
-    Ops: confirm, reject, attach (to an existing thread; with a value the title too), retitle,
-    supersede. The latest change of each kind wins. Attaching and superseding move the thread's
-    last_updated to the latest such change (``ts``). Changes of unknown ids, and attachments to
-    unknown threads, change nothing.
+    Ops on outcomes: confirm (a value of true or false says whether it was approved), reject, attach
+    (to an existing thread; with a value the title too), retitle, supersede; on threads: summarize
+    (thread_id, value). The latest change of each kind wins. Attaching moves the thread's
+    last_updated to the change's ``ts``, summarizing the same, superseding that of the thread which
+    owned the outcome at that time. Changes of unknown ids, and attachments to unknown threads, change nothing.
     """
-    known = changes.join(rows.select("id").distinct(), "id", "left_semi")
+    known = changes.where("op <> 'summarize'").join(rows.select("id", F.col("thread_id").alias("_first")).distinct(), "id")
     there = threads.select("thread_id").distinct().withColumn("there", F.lit(True))
     known = known.join(there, "thread_id", "left").where("op <> 'attach' or there").drop("there")
 
@@ -239,13 +245,20 @@ def outcomes_now(rows: DataFrame, changes: DataFrame, threads: DataFrame) -> tup
         hit = F.col("op").isin(ops) & F.col(what).isNotNull() if what != "op" else F.col("op").isin(ops)
         return F.max_by(F.when(hit, F.col(what)), F.when(hit, F.col("seq")))
 
-    now = known.groupBy("id").agg(last(["confirm", "reject"], "op").alias("verdict"), last(["attach"], "thread_id").alias("to"), last(["attach", "retitle"], "value").alias("name"), last(["supersede"], "value").alias("by"))
+    now = known.groupBy("id").agg(last(["confirm", "reject"], "op").alias("verdict"), last(["attach"], "thread_id").alias("to"), last(["attach", "retitle"], "value").alias("name"), last(["supersede"], "value").alias("by"), last(["confirm"], "value").alias("yes"))
     out = rows.join(now, "id", "left")
     state = F.when(F.col("verdict") == "confirm", "confirmed").when(F.col("verdict") == "reject", "rejected").otherwise(F.col("state"))
-    out = out.select("id", F.coalesce("to", "thread_id").alias("thread_id"), F.coalesce("name", "title").alias("title"), state.alias("state"), F.col("by").alias("superseded_by"))
-    moved = known.where("op = 'attach'").select("thread_id", "ts").unionByName(known.where("op = 'supersede'").select("id", "ts").join(out.select("id", "thread_id").where("thread_id is not null"), "id").select("thread_id", "ts"))
-    bumped = moved.groupBy("thread_id").agg(F.max("ts").alias("bumped"))
-    return out, threads.join(bumped, "thread_id", "left").withColumn("last_updated", F.greatest("last_updated", "bumped")).drop("bumped")
+    approved = F.coalesce(F.expr("try_cast(yes as boolean)"), F.col("approved") if "approved" in rows.columns else F.lit(None).cast("boolean"))
+    out = out.select("id", F.coalesce("to", "thread_id").alias("thread_id"), F.coalesce("name", "title").alias("title"), state.alias("state"), F.col("by").alias("superseded_by"), approved.alias("approved"))
+    earlier = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    owner = F.coalesce(F.last(F.when(F.col("op") == "attach", F.col("thread_id")), ignorenulls=True).over(earlier), F.col("_first"))
+    touched = known.withColumn("_owner", owner).where("op in ('attach', 'supersede')").select(F.when(F.col("op") == "attach", F.col("thread_id")).otherwise(F.col("_owner")).alias("thread_id"), "ts")
+    told = changes.where("op = 'summarize'").select("thread_id", "seq", "ts", "value")
+    moved = touched.unionByName(told.select("thread_id", "ts")).where("thread_id is not null").groupBy("thread_id").agg(F.max("ts").alias("bumped"))
+    summaries = told.groupBy("thread_id").agg(F.max_by("value", "seq").alias("_told"))
+    after = threads.join(moved, "thread_id", "left").join(summaries, "thread_id", "left").withColumn("last_updated", F.greatest("last_updated", "bumped"))
+    summary = F.coalesce("_told", F.col("summary") if "summary" in threads.columns else F.lit(None).cast("string"))
+    return out, after.withColumn("summary", summary).drop("bumped", "_told")
 
 
 def retag_corrections(chunks: DataFrame, prefixes: list[str] = lexicon.CURATED_PREFIXES) -> tuple[DataFrame, DataFrame]:

@@ -121,32 +121,45 @@ def index_health(index: DataFrame, files: DataFrame, now: Column, header: str, m
     return _row("index_health", one, F.size(problems) == 0, F.when(F.size(problems) == 0, F.format_string("%d lines, %d bytes", "n", "b")).otherwise(F.array_join(problems, ", ")))
 
 
-def novelty(renders: DataFrame, by: str | None = None, others: int = 2, disarmed: int = 3) -> DataFrame:
+def novelty(renders: DataFrame, by: str | None = None, others: int = 2, disarmed: int = 3, every: DataFrame | None = None) -> DataFrame:
     """(by, name, ok, detail): whether the newest render (id, session_id, hash, corpus_sig) still follows the corpus.
 
-    Red if the latest observations of ``others`` other sessions have its hash while the corpus has
-    moved since the older of them, or if none of the last ``disarmed`` observations before a newest
-    one without a session has a session.
+    Red without any render (of the table, or of a key of ``every``) and without a hash of the newest
+    one. Red if the latest observations of ``others`` other sessions have its hash while the corpus
+    has moved since the older of them (an empty signature says nothing of that), or if none of the
+    last ``disarmed`` observations before a newest one without a session has a session.
     """
-    keys = [by] if by else []
-    rows = renders.withColumn("session_id", F.nullif(F.col("session_id").cast("string"), F.lit("")))
-    if not by:
-        rows = rows.withColumn("_all", F.lit(0))
-        keys = ["_all"]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct("id", "session_id", "hash", "corpus_sig"), "id").alias("now"), F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("id")))
-    before = rows.withColumn("place", place).where(F.col("place") <= disarmed + 1).where("place > 1").groupBy(*keys).agg(F.count("*").alias("recent"), F.count("session_id").alias("named"))
-    each = rows.where("session_id is not null").groupBy(*keys, "session_id").agg(F.max_by(F.struct("hash", "corpus_sig"), "id").alias("r"), F.max("id").alias("id"))
-    each = each.join(newest.select(*keys, F.col("now.session_id").alias("current")), keys).where("current is not null and session_id <> current")
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("id")))
-    last = each.withColumn("place", nth).where(F.col("place") <= others).groupBy(*keys).agg(F.count("*").alias("k"), F.min("r.hash").alias("low"), F.max("r.hash").alias("high"), F.min_by("r.corpus_sig", "id").alias("sig"))
-    one = newest.join(before, keys, "left").join(last, keys, "left")
+    key = by or "_all"
+    rows = renders if by else renders.withColumn(key, F.lit(0))
+    rows = rows.withColumns({"session_id": F.nullif(F.col("session_id").cast("string"), F.lit("")), "corpus_sig": F.nullif(F.col("corpus_sig").cast("string"), F.lit(""))})
+    newest = rows.groupBy(key).agg(F.max_by(F.struct("id", "session_id", "hash", "corpus_sig"), "id").alias("now"), F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("id")))
+    before = rows.withColumn("place", place).where(F.col("place") <= disarmed + 1).where("place > 1").groupBy(key).agg(F.count("*").alias("recent"), F.count("session_id").alias("named"))
+    each = rows.where("session_id is not null").groupBy(key, "session_id").agg(F.max_by(F.struct("hash", "corpus_sig"), "id").alias("r"), F.max("id").alias("id"))
+    each = each.join(newest.select(key, F.col("now.session_id").alias("current")), key).where("current is not null and session_id <> current")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("id")))
+    last = each.withColumn("place", nth).where(F.col("place") <= others).groupBy(key).agg(F.count("*").alias("k"), F.min("r.hash").alias("low"), F.max("r.hash").alias("high"), F.min_by("r.corpus_sig", "id").alias("sig"))
+    keys = renders.sparkSession.range(1).select(F.lit(0).alias(key)) if not by else every.select(key).distinct() if every is not None else newest.select(key)
+    one = keys.join(newest, key, "left").join(before, key, "left").join(last, key, "left")
+    never = F.col("n").isNull() | (F.coalesce("now.hash", F.lit("")) == "")
     unknown = F.col("now.session_id").isNull()
     off = unknown & (F.coalesce("recent", F.lit(0)) >= disarmed) & (F.coalesce("named", F.lit(0)) == 0)
     same = F.coalesce((F.col("k") >= others) & (F.col("low") == F.col("high")) & (F.col("low") == F.col("now.hash")), F.lit(False))
-    frozen = same & F.coalesce(F.col("sig") != F.col("now.corpus_sig"), F.lit(False))
-    why = F.when(F.col("n") == 1, "first observation").when(off, "guard disarmed").when(unknown, "session unknown").when(F.coalesce("k", F.lit(0)) < others, "too few sessions").when(frozen, "render frozen").when(same, "corpus idle").otherwise("render follows corpus")
-    return one.select(*([by] if by else []), F.lit("novelty").alias("name"), (~off & ~frozen).alias("ok"), why.alias("detail"))
+    frozen = same & F.col("sig").isNotNull() & ~F.col("sig").eqNullSafe(F.col("now.corpus_sig"))
+    why = F.when(never, "no render recorded").when(F.col("n") == 1, "first observation").when(off, "guard disarmed").when(unknown, "session unknown").when(F.coalesce("k", F.lit(0)) < others, "too few sessions").when(frozen, "render frozen").when(same, "corpus idle").otherwise("render follows corpus")
+    return one.select(*([by] if by else []), F.lit("novelty").alias("name"), (~never & ((F.col("n") == 1) | ~off & ~frozen)).alias("ok"), why.alias("detail"))
+
+
+def health_line(beats: DataFrame, now: Column, hooks: DataFrame, stale_days: float = 2) -> DataFrame:
+    """(hook, state, age_days, detail) of each of ``hooks``: what a session is told of its latest run in ``beats`` (id, hook, ts, ok, detail).
+
+    ``none`` if no run is recorded, ``stale`` if the latest is older than ``stale_days``, ``errored`` if it
+    failed, else ``ok``. A time that can't be read has no age and isn't stale.
+    """
+    last = beats.groupBy("hook").agg(F.max_by(F.struct("ts", "ok", "detail"), "id").alias("run"))
+    age = (F.unix_timestamp(now) - F.unix_timestamp(F.try_to_timestamp(F.col("run.ts").cast("string")))) / 86400
+    state = F.when(F.col("run").isNull(), "none").when(age > stale_days, "stale").when(~F.coalesce("run.ok", F.lit(False)), "errored").otherwise("ok")
+    return hooks.select("hook").distinct().join(last, "hook", "left").select("hook", state.alias("state"), age.alias("age_days"), F.col("run.detail").alias("detail"))
 
 
 def repeated_renders(renders: DataFrame) -> DataFrame:
