@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memspark.functions import classify, text as tx
-from memspark.operators import capture, relevance, search, telemetry
+from memspark.operators import capture, index, relevance, search, telemetry
 from memspark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,17 @@ def _any(col: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(lower({col}), '{w}')" for w in words) + ")"
 
 
+_KEPT: dict[tuple[str, str], index.Index] = {}
+
+
+def kept_index(spark: SparkSession, sf: str) -> index.Index:
+    """The index of ``documents``: built by the first query that asks, in the shared folder, and kept for the application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _KEPT:
+        _KEPT[key] = index.build(_docs(spark, sf))
+    return _KEPT[key]
+
+
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     """documents as chunks: id, content, source, weight surrogate."""
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source", (F.col("n_chars") % 100).cast("int").alias("signal_weight"))
@@ -67,7 +78,7 @@ bm AS (SELECT id, round(sum(times * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 *
 @query(f"WITH {_BM25} SELECT id, score, rank FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM bm) WHERE rank < 10")
 def d3_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     q = spark.createDataFrame([(0, BM25_QUERY)], "query_id int, query string")
-    return search.bm25(_docs(spark, sf), q, 10).select("id", "score", "rank")
+    return index.search(kept_index(spark, sf), q, 10)[0].select("id", "score", "rank")
 
 
 @query(f"""WITH toks AS (SELECT doc_id AS id, {TOK.format(c='text')} AS t FROM documents),
@@ -83,8 +94,14 @@ bm AS (SELECT query_id, id, round(sum(times * idf * tf * 2.2 / (tf + 1.2 * (0.25
 SELECT query_id, id, score, rank FROM (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) - 1 AS rank FROM bm) WHERE rank < 5""")
 def d3_bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    scores = search.bm25_scores(_docs(spark, sf), q).withColumn("score", F.round("score", 6))
-    return search.top_k(scores, 5).select("query_id", "id", "score", "rank")
+    return index.search(kept_index(spark, sf), q, 5, 6)[0].select("query_id", "id", "score", "rank")
+
+
+@query()
+def d3_scored_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """How many postings each batch query's words have, and how many of them its search scored."""
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return index.search(kept_index(spark, sf), q, 5)[1].select("query_id", "postings", "scored")
 
 
 @query("SELECT item_id AS query_id, list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: trim(x, '.,!?;:()[]{}<>')), lambda x: x <> '') AS terms FROM benchmark")
@@ -159,7 +176,8 @@ def d7_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     docs, e, q = _asked(spark, sf)
     docs = docs.join(table(spark, sf, "labels").withColumnRenamed("doc_id", "id"), "id", "left")
     vetted = classify.vetted(F.lit(False), F.col("toxic") == 1, F.col("quality") == 0, F.col("signal_weight"))
-    return search.hybrid(docs, e, q, 10, vetted, ("signal_weight", "toxic", "quality")).select("query_id", "id", "final_score", "rank")
+    text = index.search(kept_index(spark, sf), q.select("query_id", "query"), 30)[0]
+    return search.hybrid(docs, e, q, 10, vetted, ("signal_weight", "toxic", "quality"), text=text).select("query_id", "id", "final_score", "rank")
 
 
 @query(f"WITH {_FUSED} SELECT query_id, fu.id, {_FINAL} FROM fu JOIN documents d ON d.doc_id = fu.id")
@@ -349,7 +367,7 @@ _DF = f"SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({T
 
 @query(_DF)
 def e2_df(spark: SparkSession, sf: str) -> DataFrame:
-    return relevance.document_frequency(table(spark, sf, "documents"), "doc_id", "text")
+    return index.document_frequency(kept_index(spark, sf))
 
 
 @query(f"WITH d AS ({_DF}), n AS (SELECT count(*) AS n FROM documents) SELECT term, round(greatest(ln((n + 1) / (df + 1)::DOUBLE), 0), 9) AS idf FROM d, n")
@@ -374,7 +392,7 @@ def _gate_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Da
     prompts = table(spark, sf, "benchmark").select(F.col("item_id").alias("prompt_id"), F.col("text").alias("prompt"))
     items = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), F.lower("text").alias("item_text"))
     wanted = prompts.select(F.explode(tx.prompt_tokens(F.col("prompt"))).alias("term"))
-    return prompts, items, relevance.token_idf(table(spark, sf, "documents"), wanted, "text")
+    return prompts, items, index.token_idf(kept_index(spark, sf), wanted)
 
 
 @query(f"{_GATE} SELECT prompt_id, item_id, n_matched, round(idf_sum, 6) AS idf_sum, round(max_idf, 6) AS max_idf, passed FROM k1")
@@ -385,7 +403,7 @@ def k1_lineage_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_GATE} SELECT prompt_id, item_id, n_matched, n_distinctive, CASE WHEN n < 50 THEN n_matched ELSE n_distinctive END >= 2 AS passed FROM g")
 def k2_item_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return relevance.item_gate(*_gate_inputs(spark, sf))
+    return relevance.item_gate(*_gate_inputs(spark, sf)).drop("matched")
 
 
 @query(f"{_GATE} SELECT prompt_id, item_id, place, round(idf_sum, 6) AS idf_sum FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY idf_sum DESC, n_matched DESC, item_id) AS place FROM k1 WHERE passed) WHERE place <= 2")

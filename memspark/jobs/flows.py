@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memspark.functions import classify, payload, text as tx
-from memspark.jobs.catalog import _DF, _IN_ORDER, _STATE, CORRECTIONS, DECISIONS, INVESTIGATIONS, TOK, _any, _clip, _messages, _outcomes, _topic, query
-from memspark.operators import capture, health, prompts, relevance, telemetry
+from memspark.jobs.catalog import _DF, _IN_ORDER, _STATE, CORRECTIONS, DECISIONS, INVESTIGATIONS, TOK, _any, _clip, _messages, _outcomes, _topic, kept_index, query
+from memspark.operators import capture, health, index, prompts, relevance, telemetry
 from memspark.session import materialize, scratch_path, table
 from memspark.sources import readers
 
@@ -19,8 +19,9 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     """documents as chunks with all columns that flows read."""
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     none = F.lit(None).cast("string")
+    date = F.when(F.col("doc_id") % 7 > 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 20).cast("int")).cast("string")).otherwise("no date")
     return d.select(
-        F.col("doc_id").alias("id"), F.col("text").alias("content"), "source", F.concat(F.lit("m"), (F.col("doc_id") % 5).cast("string")).alias("module"), none.alias("aliases"), none.alias("file_path"),
+        date.alias("date"), none.alias("ingested_at"), F.col("doc_id").alias("id"), F.col("text").alias("content"), "source", F.concat(F.lit("m"), (F.col("doc_id") % 5).cast("string")).alias("module"), none.alias("aliases"), none.alias("file_path"),
         (F.col("n_chars") % 100).cast("int").alias("signal_weight"), F.lit(False).alias("do_not_rebuild"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("is_correction"), F.coalesce(F.col("quality") == 0, F.lit(False)).alias("is_decision"),
     )
 
@@ -71,15 +72,19 @@ pt AS (SELECT prompt_id, unnest(ts) AS term FROM (SELECT prompt_id, list_filter(
 i AS (SELECT prompt_id, term, n, greatest(ln((n + 1) / (coalesce(df, 0) + 1)::DOUBLE), 0) AS idf FROM pt LEFT JOIN d USING (term), n),
 iw AS (SELECT id, {_WORDS.format(c="lower(concat_ws(' ', nullif(text, ''), module))")} AS term FROM docs WHERE id IN (SELECT id FROM found)),
 ok AS (SELECT prompt_id, id FROM (SELECT DISTINCT prompt_id, id FROM found) JOIN i USING (prompt_id) JOIN iw USING (id, term) GROUP BY prompt_id, id HAVING CASE WHEN max(n) < 50 THEN count(*) ELSE count(*) FILTER (WHERE idf >= 3) END >= 2),
-sh AS (SELECT f.prompt_id, f.leg, f.rank, f.id, docs.module, CASE WHEN source = 'src1' THEN regexp_extract_all(text, '{SYMBOL}', 1) ELSE [] END AS cited FROM found f JOIN ok USING (prompt_id, id) JOIN docs USING (id)),
-per AS (SELECT prompt_id, session_id, count(*) AS n_items, list(module ORDER BY leg, rank) AS modules, len(flatten(list(cited))) > 0 AS cites FROM sh JOIN pr USING (prompt_id) GROUP BY prompt_id, session_id),
+s0 AS (SELECT f.prompt_id, f.leg, f.rank, f.id, docs.module, source, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, CASE WHEN source = 'src1' THEN regexp_extract_all(text, '{SYMBOL}', 1) ELSE [] END AS every FROM found f JOIN ok USING (prompt_id, id) JOIN docs USING (id)),
+sh AS (SELECT *, list_filter(every, lambda x, j: list_position(every, x) = j) AS cited, '  - [' || module || '] ' || {_clip('t', 160)} || '  (' || source || ')' AS line FROM s0),
+per AS (SELECT prompt_id, session_id, count(*) AS n_items, list(module ORDER BY leg, rank) AS modules, len(flatten(list(cited))) > 0 AS cites, string_agg(line, chr(10) ORDER BY leg, rank) AS body,
+string_agg(CASE WHEN len(cited) > 0 THEN '  - [' || CASE WHEN id % 7 > 0 THEN (31 - id % 20)::VARCHAR ELSE '?' END || 'd old] ' || source || ': symbols ' || array_to_string(cited[1:5], ', ') || CASE WHEN len(cited) > 5 THEN ' (+' || (len(cited) - 5) || ' more)' ELSE '' END END, chr(10) ORDER BY leg, rank) AS stale FROM sh JOIN pr USING (prompt_id) GROUP BY prompt_id, session_id),
 reb AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY prompt_id) AS k FROM per QUALIFY session_id IS NULL OR k <= 3),
 sta AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY prompt_id) AS k2 FROM reb WHERE cites QUALIFY session_id IS NULL OR k2 <= 3),
 {_THREAD_WORDS},
 tg AS (SELECT prompt_id, thread_id, count(*) AS m, round(sum(idf), 9) AS s, round(max(idf), 9) AS x, max(n) AS n FROM i JOIN tw USING (term) WHERE prompt_id IN (SELECT prompt_id FROM act WHERE build OR decide) GROUP BY prompt_id, thread_id),
 th AS (SELECT prompt_id, thread_id, row_number() OVER (PARTITION BY prompt_id ORDER BY s DESC, m DESC, thread_id) AS place FROM tg WHERE m >= 2 AND (n < 50 OR (s >= 7 AND x >= 3)) QUALIFY place <= 2),
 lin AS (SELECT prompt_id, session_id, thread_id, row_number() OVER (PARTITION BY session_id, thread_id ORDER BY prompt_id) AS k FROM th JOIN pr USING (prompt_id) QUALIFY session_id IS NULL OR k <= 2),
-blocks AS (SELECT prompt_id, 'rebuild' AS kind, 'dnr' AS item FROM reb UNION ALL SELECT prompt_id, 'stale', 'stale' FROM sta UNION ALL SELECT prompt_id, 'lineage', 'thread:' || thread_id FROM lin),
+blocks AS (SELECT prompt_id, 'rebuild' AS kind, 'dnr' AS item, body FROM reb UNION ALL SELECT prompt_id, 'stale', 'stale', stale FROM sta UNION ALL SELECT prompt_id, 'lineage', 'thread:' || thread_id, 'lineage of ' || thread_id FROM lin),
+mt AS (SELECT prompt_id, 'dnr' AS item, term FROM (SELECT DISTINCT prompt_id, id FROM sh) JOIN i USING (prompt_id) JOIN iw USING (id, term) WHERE idf >= 3 OR n < 50 UNION SELECT lin.prompt_id, 'thread:' || thread_id, term FROM lin JOIN i USING (prompt_id) JOIN tw USING (thread_id, term)),
+ml AS (SELECT prompt_id, list(item || ' ' || terms ORDER BY item) AS matched FROM (SELECT prompt_id, item, string_agg(term, ',' ORDER BY term) AS terms FROM mt GROUP BY prompt_id, item) GROUP BY prompt_id),
 wish AS (SELECT prompt_id, 'dnr' AS item FROM per UNION ALL SELECT prompt_id, 'stale' FROM reb WHERE cites UNION ALL SELECT prompt_id, 'thread:' || thread_id FROM th)"""
 
 
@@ -87,23 +92,27 @@ def _flow(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("prompt_id"), F.when(F.col("item_id") % 5 != 0, F.col("item_id") % 3).alias("session_id"), F.col("item_id").alias("pos"), F.col("text").alias("prompt"), F.lit(None).cast("array<float>").alias("vector"))
     turned = materialize(prompts.turns(b, CORRECTIONS, ["zzz"], INVESTIGATIONS, DECISIONS, ["The "]), "turns")
     wanted = turned.select(F.explode(tx.prompt_tokens(F.col("prompt"))).alias("term"))
-    idfs = materialize(relevance.token_idf(table(spark, sf, "documents"), wanted, "text"), "idfs")
+    kept = kept_index(spark, sf)
+    idfs = materialize(index.token_idf(kept, wanted), "idfs")
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     threads, words = _threads(spark, sf)
-    return prompts.prompt_pipeline(turned, _chunks(spark, sf), vectors, threads, words, idfs, [SYMBOL], ["src1"], [])
+    return prompts.prompt_pipeline(turned, _chunks(spark, sf), vectors, threads, words, idfs, F.lit(NOW).cast("timestamp"), [SYMBOL], ["src1"], [], kept)
 
 
-@query(f"WITH {_PROMPTS} SELECT prompt_id, kind, item FROM blocks")
+@query(f"WITH {_PROMPTS} SELECT prompt_id, kind, item, body FROM blocks")
 def k6_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return _flow(spark, sf)[0].select("prompt_id", "kind", "item")
+    return _flow(spark, sf)[0].select("prompt_id", "kind", "item", "body")
 
 
 @query(f"""WITH {_PROMPTS} SELECT prompt_id, session_id, sha256(prompt) AS prompt_hash, prompt[1:200] AS prompt_truncated, system_turn, build AND NOT system_turn AS build, investigate AND NOT system_turn AS investigate, decide AND NOT system_turn AS decide,
 coalesce((SELECT count(*) FROM found f WHERE f.prompt_id = pr.prompt_id), 0) AS retrieved, coalesce((SELECT list_filter(modules, lambda m, j: list_position(modules, m) = j) FROM per WHERE per.prompt_id = pr.prompt_id), []) AS topics,
 prompt_id IN (SELECT prompt_id FROM reb) AS rebuild_shown, prompt_id IN (SELECT prompt_id FROM sta) AS stale_shown, coalesce((SELECT list(item ORDER BY item) FROM blocks b WHERE b.prompt_id = pr.prompt_id AND kind = 'lineage'), []) AS threads,
-coalesce((SELECT list(item ORDER BY item) FROM wish w WHERE w.prompt_id = pr.prompt_id AND NOT EXISTS (SELECT 1 FROM blocks b WHERE b.prompt_id = w.prompt_id AND b.item = w.item)), []) AS suppressed FROM pr""")
+coalesce((SELECT list(item ORDER BY item) FROM wish w WHERE w.prompt_id = pr.prompt_id AND NOT EXISTS (SELECT 1 FROM blocks b WHERE b.prompt_id = w.prompt_id AND b.item = w.item)), []) AS suppressed,
+CASE WHEN system_turn THEN ['system_turn The '] ELSE coalesce((SELECT matched FROM ml WHERE ml.prompt_id = pr.prompt_id), []) END AS matched FROM pr""")
 def k6_telemetry(spark: SparkSession, sf: str) -> DataFrame:
-    return _flow(spark, sf)[1]
+    """Telemetry rows; matched tokens as ``item token,token``, without their idf."""
+    told = F.transform(F.map_entries("matched"), lambda x: F.concat(x["key"], F.lit(" "), F.coalesce(F.array_join(F.array_sort(F.json_object_keys(x["value"])), ","), x["value"])))
+    return _flow(spark, sf)[1].withColumn("matched", told)
 
 
 def _calls(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,14 +122,23 @@ def _calls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _HITS = f"""pr AS (SELECT item_id AS prompt_id, text AS prompt FROM benchmark), act AS (SELECT * FROM pr WHERE prompt_id % 4 <> 0 AND NOT contains(lower(prompt), 'whtion') AND {_any('prompt', INVESTIGATIONS)}),
-{_PROMPTS[_PROMPTS.index('docs AS ('):_PROMPTS.index('UNION ALL SELECT prompt_id, id, 1, row_number()')].rstrip().replace('QUALIFY rank < 10', 'QUALIFY rank < 5').replace('FROM bm QUALIFY r < 30', 'FROM bm QUALIFY r < 15').replace('0 AS leg,', 'f,')} AND f >= 0.01),
+docs AS (SELECT doc_id AS id, n_chars % 100 AS w, coalesce(toxic = 1, false) AS corr, coalesce(quality = 0, false) AS deci FROM documents LEFT JOIN labels USING (doc_id)),
+toks AS (SELECT doc_id AS id, {TOK.format(c='text')} AS t FROM documents),
+st AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_len FROM toks),
+q AS (SELECT prompt_id, term, count(*) AS times FROM (SELECT prompt_id, unnest({TOK.format(c='prompt')}) AS term FROM act) GROUP BY prompt_id, term),
+tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM toks) WHERE term IN (SELECT term FROM q) GROUP BY id, dl, term),
+dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+wt AS (SELECT term, CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END AS idf FROM dfq, st),
+bm AS (SELECT prompt_id, id, round(sum(times * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len))), 9) AS score FROM tf JOIN wt USING (term) JOIN q USING (term), st GROUP BY prompt_id, id),
+rk AS (SELECT prompt_id, id, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, id) - 1 AS r FROM bm QUALIFY r < 15),
+fin AS (SELECT prompt_id, id, round(round(1.0::DOUBLE / (61 + r), 12) * (1 + CASE WHEN w = 0 THEN 10 ELSE w END / 100.0::DOUBLE), 12) AS f FROM rk JOIN docs USING (id) WHERE corr OR deci OR w >= 50),
+found AS (SELECT prompt_id, id, f, row_number() OVER (PARTITION BY prompt_id ORDER BY f DESC, id) - 1 AS rank FROM fin QUALIFY rank < 5),
 hits AS (SELECT prompt_id AS call_id, id, rank, row_number() OVER (PARTITION BY prompt_id ORDER BY rank) AS place FROM found WHERE f >= 0.01)"""
-_HITS = _HITS.replace(" AND f >= 0.01),\nhits", "),\nhits")
 
 
 def _nudge_hits(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return prompts.nudge_hits(_calls(spark, sf), _chunks(spark, sf), vectors, ["whtion"], intent=classify.investigation_intent(F.col("text"), INVESTIGATIONS))
+    return prompts.nudge_hits(_calls(spark, sf), _chunks(spark, sf), vectors, ["whtion"], intent=classify.investigation_intent(F.col("text"), INVESTIGATIONS), kept=kept_index(spark, sf))
 
 
 @query(f"WITH {_HITS} SELECT call_id, id, place FROM hits WHERE place <= 3")

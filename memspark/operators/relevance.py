@@ -61,13 +61,17 @@ def lineage_gate(prompts: DataFrame, items: DataFrame, idfs: DataFrame) -> DataF
 
 
 def _item_passes(matches: DataFrame) -> DataFrame:
-    pairs = matches.groupBy("prompt_id", "item_id").agg(F.count("*").alias("n_matched"), F.count_if(F.col("idf") >= DISTINCTIVE_IDF).alias("n_distinctive"), _small().alias("small"))
+    # MAX_TOKENS at most: the distinctive ones, in a small corpus all of them (idf says nothing there).
+    told = F.array_sort(F.collect_list(F.when(F.col("idf") >= DISTINCTIVE_IDF, F.struct("term", F.round("idf", 9).alias("idf")))))
+    every = F.array_sort(F.collect_list(F.struct("term", F.lit(0.0).alias("idf"))))
+    pairs = matches.groupBy("prompt_id", "item_id").agg(F.count("*").alias("n_matched"), F.count_if(F.col("idf") >= DISTINCTIVE_IDF).alias("n_distinctive"), _small().alias("small"), told.alias("told"), every.alias("every"))
+    pairs = pairs.withColumn("matched", F.map_from_entries(F.when(F.col("small"), F.col("every")).otherwise(F.col("told")))).drop("told", "every")
     enough = F.when(F.col("small"), F.col("n_matched")).otherwise(F.col("n_distinctive"))
     return pairs.withColumn("passed", enough >= MIN_MATCHES).drop("small")
 
 
 def item_gate(prompts: DataFrame, items: DataFrame, idfs: DataFrame) -> DataFrame:
-    """(prompt_id, item_id, n_matched, n_distinctive, passed): at least two distinctive tokens match."""
+    """(prompt_id, item_id, n_matched, n_distinctive, matched, passed): at least two distinctive tokens match."""
     return _item_passes(_matches(prompts, items, idfs))
 
 

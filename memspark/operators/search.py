@@ -129,17 +129,18 @@ def boost(rows: DataFrame, weight: str = "signal_weight") -> DataFrame:
     return rows.withColumn("final_score", F.round(F.col("fusion_score") * (1 + w / 100.0), 12))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, keep: tuple[str, ...] = ("signal_weight",), text_cols: tuple[str, ...] = ("content",), metric: str = "l2") -> DataFrame:
+def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, keep: tuple[str, ...] = ("signal_weight",), text_cols: tuple[str, ...] = ("content",), metric: str = "l2", text: DataFrame | None = None) -> DataFrame:
     """Both legs fetch 3k; fuse, then filter, then boost, then cut to k: fewer than k may come back.
 
     ``queries``: (query_id, query, vector); a null vector (a failed embedding) leaves the text leg.
+    ``text``: a text leg (query_id, id, rank) from a kept index, of 3k ranks; else the documents are read.
     """
-    return combined(docs, *legs(docs, vectors, queries, k, text_cols, metric), k, where, keep)
+    return combined(docs, *legs(docs, vectors, queries, k, text_cols, metric, text), k, where, keep)
 
 
-def legs(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, text_cols: tuple[str, ...] = ("content",), metric: str = "l2") -> tuple[DataFrame, DataFrame]:
+def legs(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, text_cols: tuple[str, ...] = ("content",), metric: str = "l2", text: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The 3k best of either leg (query_id, id, rank), written once; a search for fewer takes the first ranks of them."""
-    text = bm25(docs, queries, 3 * k, "id", text_cols).select("query_id", "id", "rank")
+    text = (bm25(docs, queries, 3 * k, "id", text_cols) if text is None else text).select("query_id", "id", "rank")
     near = knn(vectors, queries, 3 * k, metric=metric).select("query_id", F.col("chunk_id").alias("id"), "rank")
     return materialize(text, "text_leg"), materialize(near, "vector_leg")
 
