@@ -20,6 +20,8 @@ _MARKS = r"!-&(-/:-@\[-`{-~"
 _PLAIN = re.compile(rf"(?:[{_LETTERS}]+|[0-9]+|[{_MARKS}]+)(?:[{_LETTERS}]+|[0-9]+|[{_MARKS}]+|\n(?=[{_LETTERS}0-9{_MARKS}]))*")
 _TOKENS = re.compile(rf"[{_LETTERS}]+|[0-9]+|[{_MARKS}]+|\n")
 _UNITS = re.compile(r"(?<=\S) ")
+#: White space other than blanks and line feeds.
+_RARE = re.compile(r"[^\S \n]")
 #: Units that a worker remembers (a long one counts for more); a full memory is emptied.
 REMEMBERED = 1_000_000
 _CODERS: dict[tuple[str, bool], ByteCoder] = {}
@@ -34,6 +36,8 @@ def byte_of_char() -> dict[str, int]:
 
 def units(text: str) -> list[str]:
     """A text cut at each blank that follows a non-blank; the blank goes."""
+    if text[:1] != " " and "  " not in text and "\n " not in text and not _RARE.search(text):
+        return text.split(" ")
     return _UNITS.split(text)
 
 
