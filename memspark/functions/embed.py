@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from memspark.session import ship_package
+from memspark.session import materialize, ship_package
 
 #: A text that a provider can't take is cut to its head: first to this many characters, then by halves.
 HEAD_CHARS, LEAST_CHARS = 24_000, 1_000
@@ -94,6 +95,62 @@ def with_embedding(rows: DataFrame, text: str, provider: Embedder) -> DataFrame:
     return rows.withColumn("_e", run(F.col(text))).select(*kept, "_e.embedding", "_e.embed_error")
 
 
+class Circuit:
+    """Whether a worker still asks an endpoint: closed, open after a failure, half open once ``retry_s`` seconds have passed.
+
+    Half open, one call is let through: its success closes the circuit, its failure opens it again.
+    """
+
+    def __init__(self, retry_s: float, clock: Callable[[], float] = time.monotonic) -> None:
+        self.retry_s, self.clock = retry_s, clock
+        self.opened: float | None = None
+        self.reason = ""
+
+    @property
+    def state(self) -> str:
+        return "closed" if self.opened is None else "half open" if self.clock() - self.opened >= self.retry_s else "open"
+
+    def call(self, ask: Callable[[], list[float]]) -> tuple[list[float] | None, str | None, bool]:
+        """(answer, why there is none, whether this failure opened the circuit)."""
+        was = self.state
+        if was == "open":
+            return None, self.reason, False
+        try:
+            answer = ask()
+        except TooLong as e:  # the text's fault, not the endpoint's
+            return None, f"TooLong: {e}"[:500], False
+        except Exception as e:
+            self.opened, self.reason = self.clock(), f"{type(e).__name__}: {e}"[:500]
+            return None, self.reason, was == "closed"
+        self.opened = None
+        return answer, None, False
+
+
+_CIRCUITS: dict[str, Circuit] = {}
+
+
+def guarded_embedding(rows: DataFrame, text: str, provider: Embedder, retry_s: float = 60.0, component: str = "search") -> tuple[DataFrame, DataFrame]:
+    """(rows, degradations): rows with ``embedding`` and ``embed_error`` as :func:`with_embedding`, through a circuit for each worker and endpoint.
+
+    The first failure opens the worker's circuit: the rows after it have a null vector and that
+    failure's reason without another call, so a dead endpoint costs each worker one timeout. Degradations
+    (component, endpoint, reason): one row for each opening. Rows are written once, so that calls
+    aren't repeated.
+    """
+    ship_package(rows.sparkSession)
+    endpoint = str(getattr(provider, "endpoint", "") or type(provider).__name__)
+
+    @F.pandas_udf("embedding array<float>, embed_error string, opened boolean")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        circuit = _CIRCUITS.setdefault(endpoint, Circuit(retry_s))
+        for s in texts:
+            yield pd.DataFrame([circuit.call(lambda t=t: embed_one(provider, t or "")) for t in s], columns=["embedding", "embed_error", "opened"])
+
+    kept = [c for c in rows.columns if c not in ("embedding", "embed_error", "opened")]
+    done = materialize(rows.withColumn("_e", run(F.col(text))).select(*kept, "_e.*"), "embedded")
+    return done.drop("opened"), done.where("opened").select(F.lit(component).alias("component"), F.lit(endpoint).alias("endpoint"), F.col("embed_error").alias("reason"))
+
+
 def backfill(chunks: DataFrame, vectors: DataFrame, text: str, provider: Embedder) -> DataFrame:
     """Vectors of chunks (id, text) that have none yet: a hashed anti-join, then the provider."""
     missing = chunks.join(vectors.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_anti")

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memspark.functions import classify, embed, text as tx
 from memspark.functions.stem import stemmed
-from memspark.jobs.catalog import _STATE, CORRECTIONS, DECISIONS, _any, _docs, _messages, _outcomes, query
+from memspark.jobs.catalog import _ECHO, _STATE, CORRECTIONS, DECISIONS, _any, _clip, _docs, _messages, _outcomes, query
 from memspark.operators import capture, health, search, telemetry
+from memspark.operators.ranks import placed
 from memspark.session import scratch_path, table
 from memspark.sources import readers
-from memspark.streaming import jobs
+from memspark.streaming import jobs, mining
 
 
 #: A line that begins with one of these words stands for a heading.
@@ -330,3 +331,45 @@ def e18_rollup(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH m AS (SELECT conv_id, turn, role, text, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) SELECT count(*) AS n FROM m WHERE role = 'user' AND p = 'assistant'""")
 def f9_adjacent_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return capture.correction_events(_messages(spark, sf), [""], skip_harness=False).agg(F.count("*").alias("n"))
+
+
+#: Conversations as 16 growing logs, in the order of their turns.
+_LOGS = """m AS (SELECT conv_id % 16 AS log, conv_id * 1000 + turn AS pos, role, text FROM conversations)"""
+
+
+def _mined(spark: SparkSession, sf: str) -> DataFrame:
+    """The logs are mined twice: when they have a part of their lines, and when they have all; the second run reads only what came in between."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MINED:
+        folder = mining.state_folder(spark, "mining")
+        c = table(spark, sf, "conversations")
+        record = F.to_json(F.struct(F.struct(F.col("role"), F.col("text").alias("content")).alias("message"), F.lit("2024-01-05T00:00:00").alias("timestamp")))
+        rows = c.select((F.col("conv_id") % 16).alias("log"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), record.alias("line"))
+        middle = 500 * (c.agg(F.max("conv_id")).first()[0] or 0)
+        for part in (rows.where(F.col("pos") < middle), rows):
+            mining.write_logs(part, "log", ["pos"], "line", f"{folder}/logs")
+            found = mining.mine(spark, f"{folder}/logs", f"{folder}/state", {"from": "start", "bytes": str(1 << 40)}, corrections=CORRECTIONS, decisions=DECISIONS, dead_ends=CORRECTIONS)
+        _MINED[key] = found
+    return _MINED[key]
+
+
+_MINED: dict[tuple[str, str], DataFrame] = {}
+
+
+@query(f"""WITH {_LOGS}, p AS (SELECT log, pos, role, text, lag(role) OVER w AS pr, lag(text) OVER w AS context FROM m WINDOW w AS (PARTITION BY log ORDER BY pos)), h AS (SELECT * FROM p WHERE role = 'user' AND pr = 'assistant' AND {_any('text', CORRECTIONS)})
+SELECT log, row_number() OVER (PARTITION BY log ORDER BY pos) AS n, md5(text) AS text, md5(context) AS context FROM h""")
+def l4_mined_corrections(spark: SparkSession, sf: str) -> DataFrame:
+    """Corrections of two runs over growing logs, numbered by their bytes."""
+    found = _mined(spark, sf).where("kind = 'correction'").select(F.col("session_id").cast("int").alias("log"), "tick", F.md5("text").alias("text"), F.md5("context").alias("context"))
+    return placed(found, ["log"], ["tick"], "n").select("log", "n", "text", "context")
+
+
+@query(f"""WITH {_LOGS}, s AS (SELECT log, pos, string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM m),
+x AS (SELECT log, pos, i AS s, ss[i] AS t FROM (SELECT log, pos, ss, unnest(range(1, len(ss) + 1)) AS i FROM s)),
+k AS (SELECT log, pos, s, t, 'decision' AS kind FROM x WHERE {_any('t', DECISIONS)} UNION ALL SELECT log, pos, s, t, 'dead_end' AS kind FROM x WHERE {_any('t', CORRECTIONS)}),
+g AS (SELECT log, pos, s, kind, {_clip('t', 200)} AS title, {_clip('t', 600)} AS rationale FROM k WHERE length({_clip('t', 200)}) >= 40 AND NOT regexp_matches({_clip('t', 200)}, '{_ECHO}')),
+f AS (SELECT *, row_number() OVER (PARTITION BY log, kind, title ORDER BY pos, s) AS r FROM g),
+c AS (SELECT log, kind, row_number() OVER (PARTITION BY log, kind ORDER BY pos, s) AS place, title, md5(rationale) AS rationale FROM f WHERE r = 1) SELECT * FROM c WHERE place <= 25""")
+def l4_mined_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of the same runs."""
+    return _mined(spark, sf).where("kind <> 'correction'").select(F.col("session_id").cast("int").alias("log"), "kind", "place", "title", F.md5("text").alias("rationale"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from memspark.functions import classify, lexicon
 from memspark.functions.text import clip, content_id, derive_aliases, extract_topic, first_sentence, phrase_any, sections, sentences, short_id
+from memspark.operators.patterns import matches
 from memspark.operators.ranks import placed
 
 
@@ -70,13 +71,13 @@ def scan_skips(messages: DataFrame, cues: list[str], text: str = "text", shortes
 def topic_boost(chunks: DataFrame, topics: DataFrame, text: str, weight: str, step: int = 20, most: int = 100, exempt: Column | None = None) -> DataFrame:
     """Weights raised by ``step`` for each topic that a chunk contains (LIKE, any case), at most ``most``.
 
-    ``topics`` (topic), with repeats; ``_`` in a topic matches any character.
+    ``topics`` (topic), with repeats; ``_`` in a topic matches any character. All topics are looked
+    for in one pass over the texts.
     """
-    hit = F.like(F.lower(text), F.concat(F.lit("%"), F.lower("topic"), F.lit("%")))
     raised = F.least(F.lit(most), F.col(weight) + step * F.col("n_boosts"))
-    ids = chunks.select("id", text, weight, *([exempt.alias("_x")] if exempt is not None else []))
-    asked = topics.where("topic <> ''").groupBy("topic").agg(F.count("*").alias("times"))  # a topic may come several times
-    met = ids.join(asked, hit & (~F.col("_x") if exempt is not None else F.lit(True))).groupBy("id").agg(F.sum("times").alias("n_boosts"))
+    asked = topics.where("topic <> ''").groupBy(F.col("topic").alias("pattern")).agg(F.count("*").alias("times"))  # a topic may come several times
+    own = chunks.where(~exempt) if exempt is not None else chunks
+    met = matches(own, asked, "id", text).join(asked, "pattern").groupBy("id").agg(F.sum("times").alias("n_boosts"))
     out = chunks.join(met, "id", "left").withColumn("n_boosts", F.coalesce("n_boosts", F.lit(0)))
     return out.withColumn("boosted", F.when(F.col("n_boosts") > 0, raised).otherwise(F.col(weight)))
 

@@ -32,8 +32,13 @@ def sessions(spark: SparkSession, path: str) -> DataFrame:
 
 def messages(spark: SparkSession, path: str) -> DataFrame:
     """The same files for mining: any block with text, joined by line ends; unusable rows have a null text."""
-    r = _lines(spark, path).withColumn("r", F.from_json("value", _RECORD, {"mode": "PERMISSIVE"}))
-    return r.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("session_id"), "path", F.coalesce("r.message.role", "r.role", "r.type").alias("role"), _content("\n", False).alias("text"), F.col("r.timestamp").alias("ts"))
+    return message_fields(_lines(spark, path).withColumn("session_id", F.regexp_replace("file", r"\.[^.]*$", ""))).select("session_id", "path", "role", "text", "ts")
+
+
+def message_fields(lines: DataFrame) -> DataFrame:
+    """Lines with ``value`` as mining reads them: adds role, text (null if unusable) and ts."""
+    r = lines.withColumn("r", F.from_json("value", _RECORD, {"mode": "PERMISSIVE"}))
+    return r.withColumns({"role": F.coalesce("r.message.role", "r.role", "r.type"), "text": _content("\n", False), "ts": F.col("r.timestamp")}).drop("r")
 
 
 def hook_events(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: damping per key, deduplication by content, late data, resumable mining."""
+"""Structured Streaming jobs: damping per key, novel items of a session, deduplication by content, late data."""
 
 from __future__ import annotations
 
@@ -71,3 +71,40 @@ def damped_stream(rows: DataFrame, keys: list[str], order: str, cap: int) -> Dat
     schema = T.StructType([*rows.schema.fields, T.StructField("delivery", T.IntegerType())])
     capped = rows.where(F.col(keys[0]).isNotNull()).groupBy(*keys).transformWithStateInPandas(Cap(), schema, "append", "none")
     return capped.unionByName(rows.where(F.col(keys[0]).isNull()).withColumn("delivery", F.lit(None).cast("int")))
+
+
+def first_novel_stream(calls: DataFrame, ttl_ms: int) -> DataFrame:
+    """Streamed calls (session_id, pos, call_id, near: array of (rank, id)) -> (session_id, call_id, id): each call's best item that its session wasn't shown.
+
+    What a session was shown is keyed state that expires ``ttl_ms`` after it was shown; until then any
+    split of the calls into batches gives what one fold over them gives. Calls without a session show
+    nothing. Under an availableNow trigger spark.sql.streaming.noDataMicroBatches.enabled must be off: expiry
+    by the clock would ask for batches without data for ever.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+    ship_package(calls.sparkSession)
+    kinds = {f.name: f.dataType for f in calls.schema}
+    item = kinds["near"].elementType["id"].dataType.simpleString()
+
+    class Novel(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.shown = handle.getMapState("shown", f"id {item}", "yes boolean", ttl_ms)
+
+        def handleInputRows(self, key, batches: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+            out = []
+            part = pd.concat(list(batches)).sort_values(["pos", "call_id"])
+            for call, near in zip(part["call_id"], part["near"], strict=True):
+                for x in sorted(near, key=lambda x: x["rank"]):
+                    if not self.shown.containsKey((x["id"],)):
+                        self.shown.updateValue((x["id"],), (True,))
+                        out.append((key[0], call, x["id"]))
+                        break
+            yield pd.DataFrame(out, columns=["session_id", "call_id", "id"])
+
+        def close(self) -> None:
+            pass
+
+    calls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    schema = f"session_id {kinds['session_id'].simpleString()}, call_id {kinds['call_id'].simpleString()}, id {item}"
+    return calls.where("session_id is not null").groupBy("session_id").transformWithStateInPandas(Novel(), schema, "append", "processingTime")

@@ -107,8 +107,8 @@ def test_spans_cut_large_files_and_keep_returns(tmp_path, monkeypatch):
     reader = appended.AppendedReader({"path": str(tmp_path), "from": "start"})
     spans = reader.partitions({}, reader.latestOffset())
     got = [x for s in spans for x in reader.read(s)]
-    assert [v for _, _, v in got] == lines and len(spans) > 5
-    assert [at for _, at, _ in got] == [sum(len(x) + 1 for x in lines[: i + 1]) for i in range(len(lines))]
+    assert [x[2] for x in got] == lines and len(spans) > 5
+    assert [x[1] for x in got] == [sum(len(x) + 1 for x in lines[: i + 1]) for i in range(len(lines))]
 
 
 def test_providers_are_called_by_the_batch(spark):

@@ -141,11 +141,11 @@ def test_appended_lines(spark, tmp_path):
         return [x for p in reader.partitions(start, end) for x in reader.read(p)]
 
     a = reader.latestOffset()
-    assert [(f, v) for f, _, v in lines(reader.initialOffset(), a)] == [("s1", "one"), ("s1", "two")]
+    assert [(f, v) for f, _, v, _ in lines(reader.initialOffset(), a)] == [("s1", "one"), ("s1", "two")]
     with log.open("ab") as f:
         f.write(b"tial\nlast\n")
     b = reader.latestOffset()
-    assert [(e, v) for _, e, v in lines(a, b)] == [(16, "partial"), (21, "last")]
+    assert [(at, e, v) for _, e, v, at in lines(a, b)] == [(8, 16, "partial"), (16, 21, "last")]
     assert lines(b, b) == []
     assert AppendedReader({"path": f"file://{tmp_path}"}).initialOffset() == b
 
