@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memspark.functions import classify, text as tx
+from memspark.functions import classify, embed, text as tx
 from memspark.operators import capture, index, relevance, search, telemetry
 from memspark.session import table
 
@@ -185,12 +185,13 @@ def d6_boost(spark: SparkSession, sf: str) -> DataFrame:
     return search.boost(search.fuse(*_legs(spark, sf, 30)).join(_docs(spark, sf), "id")).select("query_id", "id", "final_score")
 
 
-@query(f"""WITH {_FUSED}, r AS (SELECT query_id, fu.id, d.source AS origin_project, {_FINAL} FROM fu JOIN documents d ON d.doc_id = fu.id)
+@query(f"""WITH {_FUSED}, r AS (SELECT query_id, fu.id, CASE WHEN fu.id % 3 = 0 THEN 'a mirror' ELSE d.source END AS origin_project, {_FINAL} FROM fu JOIN documents d ON d.doc_id = fu.id)
 SELECT query_id, id, origin_project, final_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) - 1 AS rank FROM r) WHERE rank < 10""")
 def d10_cross_project(spark: SparkSession, sf: str) -> DataFrame:
-    """Each source is a project with chunks of its own."""
+    """Each source is a project with chunks of its own; one more project mirrors every third chunk, and comes first."""
     docs, e, q = _asked(spark, sf)
-    return search.cross_project(docs.withColumnRenamed("source", "origin_project"), e, q).select("query_id", "id", "origin_project", "final_score", "rank")
+    mirrored = docs.where("id % 3 = 0").withColumn("source", F.lit("a mirror"))
+    return search.cross_project(docs.unionByName(mirrored).withColumnRenamed("source", "origin_project"), e, q).select("query_id", "id", "origin_project", "final_score", "rank")
 
 
 @query(f"WITH {_ASKED}, a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS r FROM bm QUALIFY r < 30) SELECT query_id, id, round(1.0::DOUBLE / (61 + r), 12) AS fusion_score FROM a")
@@ -202,11 +203,21 @@ def d9_text_leg_only(spark: SparkSession, sf: str) -> DataFrame:
     return search.fuse(search.bm25(docs, asked, 30), near).select("query_id", "id", "fusion_score")
 
 
-@query("SELECT 'search' AS component, vec_id AS query_id, 'endpoint is down' AS detail FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0 AND vec_id % 100 = 0")
+class DeadEndpoint:
+    """A provider whose endpoint doesn't answer."""
+
+    dim, endpoint = 64, "http://127.0.0.1:9/embed"
+
+    def embed(self, text: str) -> list[float]:
+        raise ConnectionError("endpoint is down")
+
+
+@query("SELECT 'search' AS component, vec_id AS query_id, 'ConnectionError: endpoint is down' AS detail FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0 AND vec_id % 100 = 0")
 def d9_degradations(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second query is embedded anew by a dead endpoint, once for each worker; all of them lose their vector."""
     _, _, q = _asked(spark, sf)
-    failed = q.where("query_id % 100 = 0").select("query_id", F.lit("endpoint is down").alias("reason"))
-    return search.without_vectors(q, failed, F.current_timestamp())[1].drop("ts")
+    rows, _ = embed.guarded_embedding(q.where("query_id % 100 = 0").select("query_id", "query"), "query", DeadEndpoint())
+    return search.without_vectors(q, rows.where("embed_error is not null").select("query_id", F.col("embed_error").alias("reason")), F.current_timestamp())[1].drop("ts")
 
 
 @query(f"SELECT d.doc_id AS id, ({_VET}) AS vetted FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -365,6 +376,24 @@ def c23_present_tokens(spark: SparkSession, sf: str) -> DataFrame:
 _DF = f"SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({TOK.format(c='text')})) AS term FROM documents) GROUP BY term"
 
 
+@query(f"SELECT count(*) AS n_terms, sum(df)::BIGINT AS n_postings FROM ({_DF})")
+def d2_index_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Builds the kept index of the documents (again, if there is one): its terms and postings."""
+    _KEPT.pop((spark.sparkContext.applicationId, sf), None)
+    return index.document_frequency(kept_index(spark, sf)).agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
+
+
+_EDITED = "CASE WHEN doc_id % 10 = 0 THEN 'edited zebraword ' || text[200:] ELSE text END"
+
+
+@query(_DF.replace("lower(text)", f"lower({_EDITED})"))
+def d2_index_update(spark: SparkSession, sf: str) -> DataFrame:
+    """Document frequencies after every tenth document was replaced, by a new generation of the index."""
+    docs = _docs(spark, sf).where("id % 10 = 0").select("id", "content")
+    fresh = docs.withColumn("content", F.concat(F.lit("edited zebraword "), F.expr("substring(content, 200)")))
+    return index.document_frequency(index.update(index.build(_docs(spark, sf)), docs, fresh))
+
+
 @query(_DF)
 def e2_df(spark: SparkSession, sf: str) -> DataFrame:
     return index.document_frequency(kept_index(spark, sf))

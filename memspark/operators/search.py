@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from memspark.operators import near
 from memspark.session import materialize
 
 K1, B = 1.2, 0.75
@@ -102,9 +103,13 @@ def distance(a: Column, b: Column, metric: str = "l2") -> Column:
 def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "embedding", metric: str = "l2") -> DataFrame:
     """(query_id, id_col, distance, rank) of the k nearest vectors of each query (query_id, vector).
 
-    Every query meets every vector of its length. Vectors are dealt into as many segments as a
-    shuffle has partitions, and each segment's pairs are cut to k before they are shuffled.
+    L2 distances are exact and pruned by :mod:`near`. By cosine every query meets every vector of
+    its length: vectors are dealt into as many segments as a shuffle has partitions, and each
+    segment's pairs are cut to k before they are shuffled.
     """
+    if metric == "l2":
+        found, _ = near.nearest(vectors, queries, k, id_col, vector_col)
+        return top_k(found.withColumn("distance", F.round("distance", 9)), k, "distance", descending=False).withColumnRenamed("id", id_col)
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("v").isNotNull()).withColumn("segment", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
@@ -141,8 +146,8 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10,
 def legs(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, text_cols: tuple[str, ...] = ("content",), metric: str = "l2", text: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The 3k best of either leg (query_id, id, rank), written once; a search for fewer takes the first ranks of them."""
     text = (bm25(docs, queries, 3 * k, "id", text_cols) if text is None else text).select("query_id", "id", "rank")
-    near = knn(vectors, queries, 3 * k, metric=metric).select("query_id", F.col("chunk_id").alias("id"), "rank")
-    return materialize(text, "text_leg"), materialize(near, "vector_leg")
+    close = knn(vectors, queries, 3 * k, metric=metric).select("query_id", F.col("chunk_id").alias("id"), "rank")
+    return materialize(text, "text_leg"), materialize(close, "vector_leg")
 
 
 def combined(docs: DataFrame, text: DataFrame, near: DataFrame, k: int, where: Column | None = None, keep: tuple[str, ...] = ("signal_weight",)) -> DataFrame:
