@@ -156,6 +156,8 @@ NARRATIVE_PATHS = ["docs/marathon", "memory/checkpoint", "MEMORY.md"]
 # File names of canonical documents and prefixes of curated corrections.
 CANONICAL_DOCS = ["substrate_capability_inventory.md"]
 CURATED_PREFIXES = ["feedback_", "invariant_"]
+# Folders whose files are never ingested.
+SKIPPED_FOLDERS = [".git", "node_modules", "__pycache__", ".venv", "venv"]
 NUDGE_TOOLS = ["Edit", "Write", "Bash", "Agent", "NotebookEdit"]
 # Text fields of each tool's payload, in order.
 TOOL_FIELDS = {

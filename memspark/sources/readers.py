@@ -35,10 +35,10 @@ def messages(spark: SparkSession, path: str) -> DataFrame:
     return message_fields(_lines(spark, path).withColumn("session_id", F.regexp_replace("file", r"\.[^.]*$", ""))).select("session_id", "path", "role", "text", "ts")
 
 
-def message_fields(lines: DataFrame) -> DataFrame:
+def message_fields(lines: DataFrame, joiner: str = "\n", only_text_blocks: bool = False) -> DataFrame:
     """Lines with ``value`` as mining reads them: adds role, text (null if unusable) and ts."""
     r = lines.withColumn("r", F.from_json("value", _RECORD, {"mode": "PERMISSIVE"}))
-    return r.withColumns({"role": F.coalesce("r.message.role", "r.role", "r.type"), "text": _content("\n", False), "ts": F.col("r.timestamp")}).drop("r")
+    return r.withColumns({"role": F.coalesce("r.message.role", "r.role", "r.type"), "text": _content(joiner, only_text_blocks), "ts": F.col("r.timestamp")}).drop("r")
 
 
 def hook_events(spark: SparkSession, path: str) -> DataFrame:

@@ -96,8 +96,8 @@ def mine(spark: SparkSession, folder: str, state: str, options: dict[str, str] |
     return rows.withColumn("topic", F.when(F.col("kind") == "correction", extract_topic(F.concat_ws(" ", "text", "context"))))
 
 
-def write_logs(rows: DataFrame, log: str, order: list[str], line: str, folder: str) -> None:
-    """Write ``{log}.jsonl`` below ``folder`` (a URI that executors share) for each value of ``log``, with its lines in order."""
+def write_logs(rows: DataFrame, log: str, order: list[str], line: str, folder: str, suffix: str = ".jsonl") -> None:
+    """Write ``{log}{suffix}`` below ``folder`` (a URI that executors share) for each value of ``log``, with its lines in order."""
     import pyarrow as pa
     import pyarrow.fs as pafs
 
@@ -110,7 +110,7 @@ def write_logs(rows: DataFrame, log: str, order: list[str], line: str, folder: s
                 if key != name:
                     if out is not None:
                         out.close()
-                    name, out = key, fs.open_output_stream(f"{path}/{key}.jsonl")
+                    name, out = key, fs.open_output_stream(f"{path}/{key}{suffix}")
                 out.write(text.encode() + b"\n")
         if out is not None:
             out.close()
