@@ -307,15 +307,19 @@ def k19_age_checks(spark: SparkSession, sf: str) -> DataFrame:
     return health.run_gate(spark, checks).drop("n_red")
 
 
-@query("""WITH t AS (SELECT string_agg('- [' || url || '](p' || page_id || '.md)', chr(10) ORDER BY page_id) AS t, count(*) AS n FROM pages WHERE page_id < 200)
-SELECT 'index_health' AS name, false AS ok, array_to_string(list_filter([CASE WHEN n + 2 > 100 THEN 'too many lines' END, CASE WHEN strlen(t) + 16 > 90000 THEN 'too many bytes' END, 'anchor old'], lambda x: x IS NOT NULL), ', ') AS detail FROM t""")
+@query("""WITH p AS (SELECT page_id // 120 AS project, page_id, '- [' || url || '](p' || page_id || '.md)' AS l FROM pages),
+t AS (SELECT project, string_agg(l, chr(10) ORDER BY page_id) AS t, count(*) AS n, min(page_id) % 3 AS k FROM p WHERE page_id % 120 >= project % 3 GROUP BY project),
+d AS (SELECT project, n + 2 AS lines, strlen(t) + 18 AS bytes, list_filter([CASE WHEN n + 2 > 119 THEN 'too many lines' END, CASE WHEN strlen(t) + 18 > 90000 THEN 'too many bytes' END, CASE WHEN k = 2 THEN 'anchor missing' WHEN k = 1 THEN 'anchor old' END], lambda x: x IS NOT NULL) AS w FROM t)
+SELECT project, 'index_health' AS name, len(w) = 0 AS ok, CASE WHEN len(w) = 0 THEN lines || ' lines, ' || bytes || ' bytes' ELSE array_to_string(w, ', ') END AS detail FROM d""")
 def k19_8_index_health(spark: SparkSession, sf: str) -> DataFrame:
-    """The pages' links as an index with an anchor below its first line."""
-    p = table(spark, sf, "pages").where("page_id < 200")
-    lines = p.select("page_id", F.concat(F.lit("- ["), "url", F.lit("](p"), F.col("page_id").cast("string"), F.lit(".md)")).alias("l"))
-    text = lines.agg(F.concat(F.lit("# index\n## LATEST\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "l"))), lambda x: x["l"]), "\n")).alias("text"))
-    files = p.select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".md")).alias("name"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("mtime"))
-    return health.index_health(text, files, F.lit(NOW).cast("timestamp"), "## LATEST", 100)
+    """Each 120 pages' links as a project's index with an anchor below its first line; a third of the linked files is new, a third old, a third not there."""
+    p = table(spark, sf, "pages").withColumn("project", F.expr("page_id div 120"))
+    lines = p.where("page_id % 120 >= project % 3").select("project", "page_id", F.concat(F.lit("- ["), "url", F.lit("](p"), F.col("page_id").cast("string"), F.lit(".md)")).alias("l"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "l"))), lambda x: x["l"]), "\n")
+    text = lines.groupBy("project").agg(F.concat(F.lit("# index\n## LATEST\n"), body).alias("text"))
+    old = F.when(F.col("page_id") % 3 == 0, "2024-01-28 00:00:00").otherwise("2024-01-01 00:00:00").cast("timestamp")
+    files = p.where("page_id % 3 < 2").select("project", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".md")).alias("name"), old.alias("mtime"))
+    return health.index_health(text, files, F.lit(NOW).cast("timestamp"), "## LATEST", 119, by="project")
 
 
 _U = f"""u AS (SELECT 'session' AS source, text, 0 AS o, conv_id * 1000 + turn AS n, CASE WHEN role = 'user' THEN CASE WHEN {_any('text', CORRECTIONS)} THEN 100 ELSE 10 END ELSE 20 END AS w FROM conversations

@@ -198,7 +198,9 @@ def k19_3_heartbeats(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH r AS (SELECT event_id AS id, event_type AS hash, event_id % 7 AS session_id, floor(value)::BIGINT AS corpus_sig, user_id AS project FROM events)
 SELECT id, coalesce(lag(hash) OVER w = hash AND lag(session_id) OVER w <> session_id AND lag(corpus_sig) OVER w <> corpus_sig, false) AS flag FROM r WINDOW w AS (PARTITION BY project ORDER BY id)""")
 def k17_repeated_renders(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("hash"), (F.col("event_id") % 7).alias("session_id"), F.floor("value").alias("corpus_sig"), F.col("user_id").alias("project"))
+    """Blocks of an event's type, with a health line that differs in each."""
+    block = F.concat(F.lit("## block\n- "), "event_type", F.lit("\nmemory-health (last run "), F.col("ts").cast("string"), F.lit("): ok\n"))
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), health.stable_hash(block).alias("hash"), (F.col("event_id") % 7).alias("session_id"), F.floor("value").alias("corpus_sig"), F.col("user_id").alias("project"))
     return health.repeated_renders(e).select("id", "flag")
 
 

@@ -145,15 +145,31 @@ def triage(verdicts: DataFrame, decisions: DataFrame, dead_ends: DataFrame) -> D
 def regrade(chunks: DataFrame, module: Column, path_module: Column) -> DataFrame:
     """Re-graded chunks (id, content, role, is_correction, is_decision, signal_weight, module) and what changed.
 
-    Clears corrections that no person made, demotes harness text, fills modules that lack.
+    Clears corrections that no person made, demotes harness text, fills modules that lack. ``lowered``
+    are the demoted rows that weren't at the bottom yet, ``changed`` those that any rule changed.
     """
     harness = classify.harness_reason(F.col("content")).isNotNull()
     cleared = F.coalesce(F.col("is_correction"), F.lit(False)) & (F.coalesce(F.col("role"), F.lit("")) != "user")
     filled = F.when(F.col("module").isNull(), F.coalesce(module, path_module)).otherwise(F.col("module"))
-    out = chunks.withColumn("cleared", cleared).withColumn("demoted", harness).withColumn("new_module", filled)
+    low = F.coalesce((F.col("signal_weight") == 0) & (~F.col("is_correction") | cleared) & ~F.col("is_decision"), F.lit(False))
+    out = chunks.withColumn("cleared", cleared).withColumn("demoted", harness).withColumn("lowered", harness & ~low).withColumn("new_module", filled)
     out = out.withColumn("is_correction", F.when(harness | cleared, False).otherwise(F.col("is_correction"))).withColumn("is_decision", F.when(harness, False).otherwise(F.col("is_decision")))
     out = out.withColumn("signal_weight", F.when(harness, 0).otherwise(F.col("signal_weight")))
-    return out.withColumn("filled", F.col("module").isNull() & F.col("new_module").isNotNull()).withColumn("module", F.col("new_module")).drop("new_module")
+    out = out.withColumn("filled", F.col("module").isNull() & F.col("new_module").isNotNull()).withColumn("module", F.col("new_module")).drop("new_module")
+    return out.withColumn("changed", F.col("cleared") | F.col("lowered") | F.col("filled"))
+
+
+def regrade_counts(regraded: DataFrame) -> DataFrame:
+    """(source, cleared, demoted, filled, unchanged) of re-graded chunks for each source ('' for none), and under a null source for all."""
+    counts = [F.count_if("cleared").alias("cleared"), F.count_if("lowered").alias("demoted"), F.count_if("filled").alias("filled"), F.count_if(~F.col("changed")).alias("unchanged")]
+    return regraded.withColumn("source", F.coalesce("source", F.lit(""))).rollup("source").agg(*counts)
+
+
+def save_version(chunks: DataFrame, folder: str, suffix: str) -> str:
+    """Write a version of a table beside the others; one that exists is never overwritten."""
+    path = f"{folder}.{suffix}"
+    chunks.write.mode("errorifexists").parquet(path)
+    return path
 
 
 def rotation(chunks: DataFrame, keep: Column, k: int) -> DataFrame:

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
-def _row(name: str, frame: DataFrame, ok: Column, detail: Column) -> DataFrame:
-    return frame.select(F.lit(name).alias("name"), F.coalesce(ok, F.lit(False)).alias("ok"), detail.alias("detail"))
+def _row(name: str, frame: DataFrame, ok: Column, detail: Column, keys: list[str] = ()) -> DataFrame:
+    return frame.select(*keys, F.lit(name).alias("name"), F.coalesce(ok, F.lit(False)).alias("ok"), detail.alias("detail"))
 
 
 def seconds_since(ts: Column, now: Column) -> Column:
@@ -101,9 +101,11 @@ def corpus_age(files: DataFrame, now: Column, wired: bool, days: float = 21) ->
     return _row("corpus_age", newest, age <= days, F.coalesce(F.format_string("newest file %.1f days old", age), F.lit("no files")))
 
 
-def index_health(index: DataFrame, files: DataFrame, now: Column, header: str, most_lines: int = 280, most_bytes: int = 90_000, days: float = 7) -> DataFrame:
+def index_health(index: DataFrame, files: DataFrame, now: Column, header: str, most_lines: int = 280, most_bytes: int = 90_000, days: float = 7, by: str | None = None) -> DataFrame:
     """The index file (text) by its lines and bytes, and the age of the first file (name, mtime) linked after the header.
 
+    With ``by`` each of its keys has an index and files of its own, and a row.
+
     ``header`` is the pattern of the line below which the anchor stands. An index that is missing,
     an anchor that is missing, unknown or old, and too many lines or bytes are red.
     """
@@ -111,14 +113,15 @@ def index_health(index: DataFrame, files: DataFrame, now: Column, header: str, m
     lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + F.when(text.endswith("\n") | (text == ""), 0).otherwise(1)
     below = F.regexp_extract(text, rf"(?ms)^{header}.*", 0)
     link = F.nullif(F.regexp_extract(below, r"\]\(([^)\s]+\.md)\)", 1), F.lit(""))
-    one = index.select(lines.alias("n"), F.octet_length(text).alias("b"), F.element_at(F.split(link, "/"), -1).alias("anchor"))
-    one = one.join(files.select(F.col("name").alias("anchor"), "mtime"), "anchor", "left").agg(F.max("n").alias("n"), F.max("b").alias("b"), F.max("anchor").alias("anchor"), F.max("mtime").alias("m"))
+    keys = [by] if by else []
+    one = index.select(*keys, lines.alias("n"), F.octet_length(text).alias("b"), F.element_at(F.split(link, "/"), -1).alias("anchor"))
+    one = one.join(files.select(*keys, F.col("name").alias("anchor"), "mtime"), [*keys, "anchor"], "left").groupBy(*keys).agg(F.max("n").alias("n"), F.max("b").alias("b"), F.max("anchor").alias("anchor"), F.max("mtime").alias("m"))
     age = (F.unix_timestamp(now) - F.unix_timestamp("m")) / 86400
     problems = F.array_compact(F.array(
         F.when(F.col("n").isNull(), "missing"), F.when(F.col("n") > most_lines, "too many lines"), F.when(F.col("b") > most_bytes, "too many bytes"),
         F.when(F.col("n").isNotNull() & F.col("anchor").isNull(), "no anchor").when(F.col("anchor").isNotNull() & F.col("m").isNull(), "anchor missing").when(age > days, "anchor old"),
     ))
-    return _row("index_health", one, F.size(problems) == 0, F.when(F.size(problems) == 0, F.format_string("%d lines, %d bytes", "n", "b")).otherwise(F.array_join(problems, ", ")))
+    return _row("index_health", one, F.size(problems) == 0, keys=keys, detail=F.when(F.size(problems) == 0, F.format_string("%d lines, %d bytes", "n", "b")).otherwise(F.array_join(problems, ", ")))
 
 
 def novelty(renders: DataFrame, by: str | None = None, others: int = 2, disarmed: int = 3, every: DataFrame | None = None) -> DataFrame:
@@ -162,6 +165,13 @@ def health_line(beats: DataFrame, now: Column, hooks: DataFrame, stale_days: flo
     return hooks.select("hook").distinct().join(last, "hook", "left").select("hook", state.alias("state"), age.alias("age_days"), F.col("run.detail").alias("detail"))
 
 
+def stable_hash(block: Column) -> Column:
+    """SHA-256 of a rendered block less its health lines, whose times change with every run."""
+    lines = F.split(block, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)  # a line end ends a line
+    return F.sha2(F.array_join(F.filter(lines, lambda x: ~x.rlike(r"^memory-health\b")), "\n"), 256)
+
+
 def repeated_renders(renders: DataFrame) -> DataFrame:
     """Each render with a flag: same hash as the one before, another session, a moved corpus."""
     w = Window.orderBy("id").partitionBy("project")

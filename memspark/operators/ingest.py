@@ -12,6 +12,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -221,6 +222,70 @@ def run(spark: SparkSession, state: str, sources: list[Files | Logs], roster: li
     return spark.createDataFrame(out, "source string, files_ingested bigint, files_skipped bigint, files_failed bigint, files_left bigint, chunks_added bigint")
 
 
+@dataclass(frozen=True)
+class Project:
+    """Where a project's records lie, as paths that Spark reads; what is None has none."""
+
+    sessions: str | None = None
+    docs: str | None = None
+    memory: str | None = None
+    experiments: str | None = None
+    git: str | None = None
+
+
+def backfill(spark: SparkSession, project: Project, roster: list[str], kept_modules: list[str] = (), corrections: list[str] = lexicon.CORRECTION_PHRASES, decisions: list[str] = lexicon.DECISION_PHRASES, investigations: list[str] = lexicon.INVESTIGATION_PHRASES) -> tuple[DataFrame, DataFrame]:
+    """(chunks, counts) of all that a project has so far: sessions, docs, memory, experiments, git, in this order.
+
+    Of equal contents the first in that order, then by path and place, stays. Harness messages and
+    messages of no weight stay out; counts (source, n_read, n_harness, n_weightless).
+    """
+    found, counts = [], []  # (source, rows), counts
+    if project.sessions:
+        rows = readers.sessions(spark, project.sessions).withColumnRenamed("text", "content")
+        weight = classify.signal_weight(F.col("content"), F.col("role"), corrections, decisions, investigations)
+        rows = rows.withColumns({"_harness": classify.harness_reason(F.col("content")).isNotNull(), "signal_weight": weight})
+        counts.append(rows.agg(F.lit("claude_code").alias("source"), F.count("*").alias("n_read"), F.count_if("_harness").alias("n_harness"), F.count_if(~F.col("_harness") & (F.col("signal_weight") == 0)).alias("n_weightless")))
+        own = rows.where(~F.col("_harness") & (F.col("signal_weight") > 0)).select("content", "role", "session_id", F.col("ts").alias("date"), F.col("path").alias("_path"), "signal_weight", classify.is_correction(F.col("content"), F.col("role"), corrections).alias("is_correction"))
+        found.append(("claude_code", own.withColumns({"_rank": F.lit(0), "_at": F.lit(0).cast("long")})))
+    for rank, name, path in ((1, "doc", project.docs), (2, "memory", project.memory)):
+        if path:
+            own = (readers.markdown_sections if name == "doc" else readers.memory_files)(spark, path).withColumnsRenamed({"text": "content", "path": "file_path"}).drop("meta")
+            weight = classify.doc_signal_weight(F.col("file_path")) if name == "doc" else F.lit(40)
+            curated = classify.is_curated_correction(F.col("file_path")) if name == "memory" else F.lit(False)
+            found.append((name, own.withColumns({"signal_weight": weight, "is_correction": curated, "_rank": F.lit(rank), "_path": F.col("file_path"), "_at": F.col("line_start").cast("long") * 1_000_000 + F.col("part")})))
+    if project.experiments:
+        own = readers.progress_summaries(spark, project.experiments).select(F.col("text").alias("content"), F.col("path").alias("file_path"))
+        found.append(("experiment_summary", own.withColumns({"signal_weight": F.lit(30), "_rank": F.lit(3), "_path": F.col("file_path"), "_at": F.lit(0)})))
+    if project.git:
+        own = readers.git_log(spark, project.git).select(F.col("text").alias("content"), F.concat(F.lit("git:"), F.substring("sha", 1, 12)).alias("file_path"), "date")
+        found.append(("git", own.withColumns({"signal_weight": F.lit(15), "_rank": F.lit(4), "_path": F.col("file_path"), "_at": F.lit(0)})))
+    if not found:
+        raise ValueError("a project without any source")
+    none = F.lit(0).cast("bigint")
+    counts += [f.agg(F.lit(name).alias("source"), F.count("*").alias("n_read"), none.alias("n_harness"), none.alias("n_weightless")) for name, f in found if name != "claude_code"]
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [f.withColumn("source", F.lit(name)) for name, f in found])
+    told = reduce(DataFrame.unionByName, counts)
+    text = F.col("content")
+    module = detect_module(text, list(roster))
+    plain = F.col("source").isin("experiment_summary", "git")
+    tagged = rows.withColumns({
+        "id": content_id(text), "module": F.when(~plain, module), "is_decision": ~plain & classify.is_decision(text, decisions), "aliases": derive_aliases(text),
+        "do_not_rebuild": F.col("source").isin("doc", "memory") & (F.coalesce(module.isin(list(kept_modules)), F.lit(False)) | classify.is_do_not_rebuild(text)),
+    })
+    first = Window.partitionBy("id").orderBy("_rank", "_path", F.coalesce("date", F.lit("")), "_at", "role")
+    chosen = tagged.withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    return _as_chunks(chosen.withColumn("is_correction", F.coalesce("is_correction", F.lit(False))), 0), told
+
+
+def dry_run(chunks: DataFrame, n: int, path: str, head: int = 120) -> DataFrame:
+    """Write the first ``n`` chunks of a backfill as JSON lines (id, source, module, signal_weight, is_correction, head) instead of storing them."""
+    order = F.expr("array_position(array('claude_code', 'doc', 'memory', 'experiment_summary', 'git'), source)")
+    few = chunks.orderBy(order, F.coalesce("file_path", "session_id"), "line_start", "date", "id").limit(n)
+    few = few.select("id", "source", "module", "signal_weight", "is_correction", F.substring("content", 1, head).alias("head"))
+    few.coalesce(1).write.mode("errorifexists").json(path)
+    return few.sparkSession.read.schema(few.schema).json(path)
+
+
 def log(spark: SparkSession, state: str) -> DataFrame:
     """(wave, source, file_path, action, chunks_added, detail) of every reading of a file."""
     return manifest(spark, state).select("wave", "source", "file_path", F.when(F.col("error").isNull(), "ingest").otherwise("read_fail").alias("action"), "chunks_added", F.col("error").alias("detail"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -110,3 +113,66 @@ def report_lines(summary: DataFrame, topics: DataFrame, statuses: DataFrame) ->
     second = topics.select(F.lit(1).alias("section"), F.row_number().over(Window.orderBy(F.desc("n"), "first_seen", "topic")).alias("place"), F.concat(F.lit("- "), "topic", F.lit(": "), F.col("n").cast("string")).alias("line"))
     third = statuses.select(F.lit(2).alias("section"), F.row_number().over(Window.orderBy("component")).alias("place"), F.concat(F.lit("- "), F.col("component").cast("string"), F.when(F.col("warn"), " WARN").otherwise("")).alias("line"))
     return head.unionByName(second).unionByName(third)
+
+
+def weekly_report(calls: DataFrame, beats: DataFrame, degradations: DataFrame | None, now: Column, flags: dict[str, Column], title: str, days: int = 7, k: int = 10) -> DataFrame:
+    """(section, place, line): the Markdown report of the last days, as ordered lines.
+
+    ``calls`` (id, ts, latency_ms, topics as JSON, and what ``flags``, label: condition, read), ``beats``
+    (id, ts, component, status), ``degradations`` (id, ts, reason; None where none are recorded at all).
+    Sections without rows are left out. Every line comes from an aggregate of bounded size but the
+    components', of which a row each is kept.
+    """
+
+    def lately(rows: DataFrame) -> DataFrame:
+        return rows.where(F.col("ts") >= now - F.make_dt_interval(F.lit(days)))
+
+    def lines(rows: DataFrame, section: int, place: Column | int, line: Column | str) -> DataFrame:
+        return rows.select(F.lit(section).alias("section"), (F.lit(place) if isinstance(place, int) else place).cast("int").alias("place"), (F.lit(line) if isinstance(line, str) else line).alias("line"))
+
+    one = calls.sparkSession.range(1)
+    recent, own = lately(calls), lately(beats)
+    head = lines(one, 0, 0, f"# {title}").unionByName(lines(one, 0, 1, F.concat(F.lit(f"Window: last {days} days  |  Generated: "), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss"))))
+    counts = recent.agg(F.count("*").alias("n"), *(F.count_if(c).alias(f"f{i}") for i, c in enumerate(flags.values())))
+    told = [("Wrapper invocations", "n"), *((label, f"f{i}") for i, label in enumerate(flags))]
+    each = counts.select(F.posexplode(F.array(*(F.concat(F.lit(f"- {label}: "), F.col(c).cast("string")) for label, c in told))).alias("place", "line"))
+    wrapper = lines(one, 1, 0, "## Wrapper").unionByName(lines(each, 1, F.col("place") + 1, F.col("line")))
+    ranks = grouped_nearest_rank(recent.withColumn("_all", F.lit(0)), ["_all"], "latency_ms", {"p50": 0.5, "p95": 0.95})
+    wrapper = wrapper.unionByName(lines(ranks, 1, len(told) + 1, F.format_string("- Retrieval latency p50/p95: %s / %s ms", F.col("p50").cast("string"), F.col("p95").cast("string"))))
+    parts = [head, wrapper]
+    if degradations is not None:
+        lost = lately(degradations).agg(F.count("*").alias("n"), F.max_by(F.struct("ts", "reason"), "id").alias("last"))
+        latest = F.concat(F.lit("- WARN: vector leg degraded in window; latest "), F.date_format("last.ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(": "), F.coalesce("last.reason", F.lit("")))
+        parts += [lines(one, 2, 0, "## Embed vector leg"), lines(lost, 2, 1, F.format_string("- Degradation events (search fell back to BM25-only): %d", "n")), lines(lost.where("n > 0"), 2, 2, latest)]
+    topics = top_topics(recent, "topics", "id", k).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "first_seen", "topic")))
+    parts += [lines(topics.where("place = 1"), 3, 0, "## Top topics triggering warnings"), lines(topics, 3, F.col("place"), F.format_string("- %s: %d", "topic", "n"))]
+    health = own.groupBy("component").agg(F.count("*").alias("n"), *(F.count_if(F.col("status") == s).alias(s) for s in ("alive", "degraded", "dead")), F.min("id").alias("first_seen"))
+    health = health.withColumn("place", F.row_number().over(Window.orderBy("first_seen", "component")))
+    warn = F.when((F.col("dead") > 0) | (F.col("degraded") > 0), "  WARN: degraded/dead samples in window").otherwise("")
+    parts += [lines(health.where("place = 1"), 4, 0, "## Component health (heartbeat samples)"), lines(health, 4, F.col("place"), F.concat(F.format_string("- %s: alive=%d/%d degraded=%d dead=%d", "component", "alive", "n", "degraded", "dead"), warn))]
+    nothing = counts.select("n").crossJoin(own.agg(F.count("*").alias("m"))).where("n = 0 and m = 0")
+    parts.append(lines(nothing, 5, 0, "(no telemetry rows in the window)"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def write_weekly(report: DataFrame, folder: str, now: datetime) -> str:
+    """Write a report (section, place, line) as ``{year}-{week}.md`` below a shared folder (a URI); its path.
+
+    Weeks begin on Mondays; a later report of the same week takes the file's place. A report is a few lines and a line for each component.
+    """
+    body, last = [], None
+    for r in report.orderBy("section", "place").collect():
+        if last is not None and r["section"] != last:
+            body.append("")
+        last = r["section"]
+        body.append(r["line"])
+    fs, path = pafs.FileSystem.from_uri(folder)
+    name = f"{now:%Y-%W}.md"
+    fs.create_dir(path, recursive=True)
+    with fs.open_output_stream(f"{path}/{name}.new") as f:
+        f.write("\n".join(body).encode())
+    fs.move(f"{path}/{name}.new", f"{path}/{name}")
+    return f"{folder}/{name}"

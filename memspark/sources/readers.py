@@ -92,6 +92,18 @@ def progress(spark: SparkSession, path: str) -> DataFrame:
     return last.select("path", "line", F.coalesce(F.json_array_length(cover), F.expr("try_cast(get_json_object(line, '$.coverage') AS int)")).alias("coverage"))
 
 
+def progress_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text): what the last record of each progress file says, in one line; a field that lacks is ``?``."""
+    # The fields and their names in the line, in order.
+    fields = [("final_tick", "tick"), ("n_completed_tasks", "n_completed_tasks"), ("coverage_total", "coverage_total"), ("coverage_classes", "coverage_classes"), ("ddx_intents_total", "ddx_intents_total")]
+    values = []
+    for name, key in fields:
+        raw = F.get_json_object("line", f"$.{key}")
+        values += [F.lit(f" {name}="), F.coalesce(F.json_array_length(raw).cast("string") if key == "coverage_classes" else F.lit(None), raw, F.lit("?"))]
+    folder = F.coalesce(F.try_element_at(F.split("path", "/"), F.lit(-2)), F.lit(""))
+    return progress(spark, path).select("path", F.concat(F.lit("Experiment "), folder, F.lit(":"), *values).alias("text"))
+
+
 def git_log(spark: SparkSession, path: str) -> DataFrame:
     """(sha, author, date, text) of a log exported with record separator 0x1e and tabs."""
     rows = spark.read.text(path, lineSep="\x1e").where(F.trim("value") != "")

@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from memspark.jobs import catalog, flows, more  # noqa: F401  register their queries
+from memspark.jobs import catalog, flows, more, stores  # noqa: F401  register their queries
 
 SF = "/root/testdata/sf0.001"
 
