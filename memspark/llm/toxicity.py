@@ -3,10 +3,10 @@
 Two interpolated Kneser-Ney models over the characters of words (order ``ORDER``, word ends
 included), one of toxic and one of ordinary labelled texts. Orders up to ``SHARED`` use counts of
 both classes together, so a rare expression backs off to what both share and tells little, while
-parts of it that one class prefers still count. An expression's evidence is the difference of its
-two log-likelihoods over its length plus ``PAD``, and a text's is the largest of its expressions:
-every word of the text is scored, and an insult in a long text isn't averaged away. A logistic
-curve fitted on training rows that the models haven't seen turns the evidence into a score.
+parts of it that one class prefers still count. A text is compared twice: by the difference of the
+two log-likelihoods of all its words over their length, and by the largest such difference of one of
+its expressions (over its length plus ``PAD``), so that an insult in a long text isn't averaged away.
+A logistic curve of both, fitted on training rows that the models haven't seen, gives the score.
 
 The models are fitted on a sample of labelled rows, about ``MAX_ROWS`` of each class at most,
 chosen by a hash of the id, and counted by Spark. All counts of the sample enter the models; what
@@ -156,11 +156,10 @@ class Model:
             keys, starts = sequence_keys(part)
             unique, at = np.unique(keys, return_inverse=True)
             total = np.add.reduceat(self.difference(unique)[at], starts)
-            length = np.array([len(w) + 1 for w in part])
-            self.known.update(zip(part, (total / (length + PAD)).tolist(), strict=True))
+            self.known.update(zip(part, total.tolist(), strict=True))
 
-    def evidence(self, texts: list[str | None]) -> list[float]:
-        """The largest evidence of each text's expressions; 0 for a text without a letter."""
+    def evidence(self, texts: list[str | None]) -> list[tuple[float, float]]:
+        """Of each text the largest evidence of its expressions, and the evidence of all its words together; zeros without a letter."""
         split = [words_of(t) for t in texts]
         every = set().union(*split)
         new = every.difference(self.known)
@@ -168,7 +167,16 @@ class Model:
             self.known.clear()
             new = every
         self.learn(sorted(new))
-        return [max(map(self.known.__getitem__, w)) if w else 0.0 for w in split]
+        return [self._compared(w) for w in split]
+
+    def _compared(self, words: list[str]) -> tuple[float, float]:
+        if not words:
+            return 0.0, 0.0
+        times = Counter(words)
+        total = np.fromiter(map(self.known.__getitem__, times), np.float64, len(times))
+        length = np.fromiter(map(len, times), np.float64, len(times)) + 1
+        n = np.fromiter(times.values(), np.float64, len(times))
+        return float((total / (length + PAD)).max()), float((total * n).sum() / (length * n).sum())
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}
@@ -181,28 +189,27 @@ def fit_counts(sample: DataFrame) -> Model:
     return Model(got["key"].to_numpy(np.int64).view(np.uint64), got[["n0", "n1"]].to_numpy(np.int64))
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic slope and middle for evidence x and labels y; a plain curve where one class lacks."""
+def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic weights and offset for rows of evidence x and labels y; a plain curve of the first where one class lacks."""
     if len(x) < 10 or y.sum() < 3 or (1 - y).sum() < 3:
-        return 6.0, 1.2
+        return np.array([6.0, 0.0]), -7.2
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
-    mean, scale = float(x.mean()), float(x.std()) or 1.0
-    z, a, b = (x - mean) / scale, 1.0, 0.0
+    mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
+    z = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1)
+    at, penalty = np.array([1.0, 0.0, 0.0]), np.array([0.1, 0.1, 0.0])
     for _ in range(100):  # Newton steps with a light penalty
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        g = np.array([(weight * (p - y) * z).sum() + 0.1 * a, (weight * (p - y)).sum()])
+        p = 1 / (1 + np.exp(-np.clip(z @ at, -30, 30)))
         v = weight * np.maximum(p * (1 - p), 1e-6)
-        hess = np.array([[(v * z * z).sum() + 0.1, (v * z).sum()], [(v * z).sum(), v.sum() + 1e-6]])
-        step = np.linalg.solve(hess, g)
-        a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
+        step = np.linalg.solve((z * v[:, None]).T @ z + np.diag(penalty + 1e-6), z.T @ (weight * (p - y)) + penalty * at)
+        at = at - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    a = max(a, 1e-3)
-    return a / scale, mean - b * scale / a
+    at[:2] = np.maximum(at[:2], [1e-3, 0.0])  # more evidence never lowers a score
+    return at[:2] / scale, float(at[2] - (at[:2] * mean / scale).sum())
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
-    """(id_col, held_out, score, predicted, evidence) of every row.
+    """(id_col, held_out, score, predicted, evidence, text_evidence) of every row.
 
     Null and empty texts and those without a letter have evidence 0. Without usable labels every
     text's evidence is 0. Rows that repeat are scored alike. Other columns are not read.
@@ -211,16 +218,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     sample = materialize(labelled_sample(docs.select(F.col(id_col), F.col(text_col).alias("text")), labels, max_rows, id_col), "sample")
     model = fit_counts(sample.where(F.col("fold") != CURVE_FOLD))
 
-    @F.pandas_udf(T.DoubleType())
-    def evidence(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(T.StructType([T.StructField("evidence", T.DoubleType()), T.StructField("text_evidence", T.DoubleType())]))
+    def evidence(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
-            found: list[float] = []
+            found: list[tuple[float, float]] = []
             for i in range(0, len(s), 256):
                 found += model.evidence(s.iloc[i : i + 256].tolist())
-            yield pd.Series(found, dtype="float64")
-
-    curve = sample.where(F.col("fold") == CURVE_FOLD).select(evidence("text").alias("x"), "y").toPandas()
-    slope, middle = fit_curve(curve["x"].to_numpy(np.float64), curve["y"].to_numpy(np.float64))
-    score = 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), -F.lit(slope) * (F.col("evidence") - F.lit(middle))))))
-    out = docs.select(F.col(id_col), evidence(F.col(text_col)).alias("evidence")).withColumn("score", score)
-    return out.select(id_col, F.coalesce(fold_of(id_col, FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+            yield pd.DataFrame(found, columns=["evidence", "text_evidence"], dtype="float64")
+
+    curve = sample.where(F.col("fold") == CURVE_FOLD).select(evidence("text").alias("x"), "y").select("x.*", "y").toPandas()
+    slopes, offset = fit_curve(curve[["evidence", "text_evidence"]].to_numpy(np.float64), curve["y"].to_numpy(np.float64))
+    height = F.lit(float(slopes[0])) * F.col("evidence") + F.lit(float(slopes[1])) * F.col("text_evidence") + F.lit(offset)
+    score = 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), -height))))
+    out = docs.select(F.col(id_col), evidence(F.col(text_col)).alias("x")).select(id_col, "x.*").withColumn("score", score)
+    return out.select(id_col, F.coalesce(fold_of(id_col, FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "text_evidence")

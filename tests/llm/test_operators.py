@@ -324,6 +324,29 @@ def test_kneser_ney_against_brute_force():
         t = "\x01" * (order - 1) + w + "\x02"
         want += [np.log(p(t[i : i + order], 1, order) / p(t[i : i + order], 0, order)) for i in range(len(w) + 1)]
     assert np.allclose(got, want, atol=1e-4)
+    # A text's two kinds of evidence, from the same sums.
+    texts = ["abca 1 dd, ABCDAB c", "c c c dd", "...", None]
+    totals, at = {}, 0
+    for w in asked:
+        totals[w], at = sum(want[at : at + len(w) + 1]), at + len(w) + 1
+    for text, (peak, whole) in zip(texts, model.evidence(texts), strict=True):
+        said = toxicity.words_of(text)
+        assert abs(peak - max((totals[w] / (len(w) + 1 + toxicity.PAD) for w in said), default=0)) < 1e-4
+        assert abs(whole - (sum(totals[w] for w in said) / sum(len(w) + 1 for w in said) if said else 0)) < 1e-4
+
+
+def test_curve_of_two_kinds_of_evidence():
+    """The fit against plain gradient descent on the same penalised likelihood."""
+    rng = np.random.default_rng(4)
+    y = (rng.random(400) < 0.3).astype(float)
+    x = np.stack([rng.normal(y * 1.5, 1), rng.normal(y * 0.5, 0.2)], axis=1)
+    slopes, offset = toxicity.fit_curve(x, y)
+    z = np.concatenate([(x - x.mean(0)) / x.std(0), np.ones((400, 1))], axis=1)
+    weight, at = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5, np.zeros(3)
+    for _ in range(20_000):
+        at -= 0.005 * (z.T @ (weight * (1 / (1 + np.exp(-z @ at)) - y)) + np.array([0.1, 0.1, 0]) * at)
+    assert np.allclose(x @ slopes + offset, z @ at, atol=1e-2)
+    assert toxicity.fit_curve(x[:5], y[:5])[1] == -7.2
 
 
 # 4 Pieces
