@@ -12,6 +12,9 @@ between levels grow: 1, 2, 4, ... letters.
 
 Words of over ``LONG`` letters are rare and would have that many levels: their gapped hashes meet
 instead (one for each place), and each pair is compared letter by letter.
+
+Both sides of every join grow with the words, and one plan holds all levels: broadcasts of a few MB,
+many of which would be alive at once, fill a driver. So all joins are merged.
 """
 
 from __future__ import annotations
@@ -41,6 +44,11 @@ def word_counts(docs: DataFrame, least_letters: int = LEAST_LETTERS, least_count
     return hashed.select(word.alias("word")).where(F.length("word") >= least_letters).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that is never broadcast, however small a side seems."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _cut(s: str, first: Column, n: Column) -> Column:
     return F.substring(F.col(s), first, n)
 
@@ -54,7 +62,7 @@ def _by_levels(words: DataFrame) -> DataFrame:
     node, letter, following = _cut("s", F.lit(1), F.col("at")), _cut("s", F.col("at") + 1, F.lit(1)), _cut("s", F.col("at") + 2, F.lit(1))
     states = entered.select("word", "size", "back", "s", "at", node.alias("node"), letter.alias("letter"), following.alias("following"))
     edges = states.select("size", "back", "node", F.col("letter").alias("child"), "following").distinct()
-    replaced = states.join(edges, ["size", "back", "node", "following"]).where("child <> letter")
+    replaced = _merged(states, edges, ["size", "back", "node", "following"]).where("child <> letter")
     replaced = replaced.select("word", "back", "size", F.concat("node", "child", _cut("s", F.col("at") + 2, F.col("size"))).alias("reached"), (F.col("at") + 2).alias("at"))
     # A deletion in a run of equal letters is taken at the run's first one only, or at the state's entry.
     first = (F.col("at") == half) | (_cut("s", F.col("at"), F.lit(1)) != F.col("letter"))
@@ -65,7 +73,7 @@ def _by_levels(words: DataFrame) -> DataFrame:
     step, at = 1, 0
     while True:
         depth = F.least(F.col("at") + at, F.col("size"))
-        spent = spent.withColumn("node", _cut("reached", F.lit(1), depth)).join(deep, ["back", "size", "node"], "left_semi")
+        spent = _merged(spent.withColumn("node", _cut("reached", F.lit(1), depth)), deep, ["back", "size", "node"], "left_semi")
         if at > longest // 2 + 1:
             break
         at, step = at + step, 2 * step
@@ -100,7 +108,7 @@ def _of_long_words(words: DataFrame) -> DataFrame:
     keys = _gapped(words)
     whole, less, open_ = (keys.where(F.col("kind") == k).select("word", "key", "size").distinct() for k in range(3))
     near = lambda df: df.select(F.col("word").alias("near"), "key", "size")
-    pairs = less.join(near(whole), ["key", "size"]).select("word", "near").union(open_.join(near(open_), ["key", "size"]).where("word <> near").select("word", "near")).distinct()
+    pairs = _merged(less, near(whole), ["key", "size"]).select("word", "near").union(_merged(open_, near(open_), ["key", "size"]).where("word <> near").select("word", "near")).distinct()
     return pairs.where(F.levenshtein("word", "near", 1) == 1)
 
 
@@ -115,22 +123,22 @@ def near_words(words: DataFrame, long: int = LONG) -> DataFrame:
 def variant_forms(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """Forms and roots of (word, n): adds form, root, n_near, form_n, as :func:`group_variants` says."""
     words = words.select("word", "n")
-    near = near_words(words).join(words.select(F.col("word").alias("near"), F.col("n").alias("m")), "near")
+    near = _merged(near_words(words), words.select(F.col("word").alias("near"), F.col("n").alias("m")), "near")
     best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "near")).alias("best"))
-    found = words.join(best, "word", "left")
+    found = _merged(words, best, "word", "left")
     fits = -F.col("best.m") >= ratio * F.col("n")
     found = materialize(found.select("word", "n", F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"), F.when(fits, F.col("best.near")).alias("form"), F.when(fits, -F.col("best.m")).alias("form_n")), "forms")
     # Each form has ratio times the words' count, so paths are short; their lengths double in each round.
     links = materialize(found.where("form is not null").select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = links.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        moved = materialize(links.join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        moved = materialize(_merged(links, onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         drop_scratch(links)
         links = moved
         if not links.where("moved").limit(1).count():
             break
         links = links.drop("moved")
-    return found.join(links.select("word", "root"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return _merged(found, links.select("word", "root"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def group_variants(docs: DataFrame) -> DataFrame:

@@ -245,6 +245,16 @@ def test_levels_and_gapped_hashes_agree(spark):
     assert pairs[0] == pairs[1] == pairs[2]
 
 
+def test_no_join_of_variants_is_broadcast(spark):
+    """However small its sides seem: with Spark's default threshold many broadcasts at once filled a driver."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "0b")
+    words = variants.word_counts(spark.createDataFrame(made_words(), SCHEMA))
+    for df in (variants.near_words(words), variants.variant_forms(words)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_variants_of_odd_rows(spark, odd, none):
     assert variants_of(odd) == grouped_by_hand(ODD)
     assert variants_of(none) == set()
