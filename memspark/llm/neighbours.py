@@ -11,7 +11,10 @@ are compared by exact cosines of the original vectors.
 Lists grow in number with the rows, so that their length stays the same up to SAMPLE / 8 lists.
 Vectors that many rows share enter once, with as many of their smallest ids as a result can show.
 Long lists are split into segments and the queries of a list into blocks, which meet each other, so
-no group is unbounded. A query that finds fewer vectors than asked for probes all lists.
+no group is unbounded. A query meets its segments in rounds, the nearest ``FIRST`` first and then up
+to ``WIDER`` times as many as it has met, and brings along the bound of what it has found: a round's
+pairs are those that still improve on it, so they don't grow with the number of segments. A query
+that finds fewer vectors than asked for probes all lists.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ LIST_ROWS = 200
 #: A query probes as many lists as hold this share of the sample's own nearest neighbours.
 HELD, MIN_PROBED = 0.98, 8
 SEGMENT, QUERIES = 20_000, 2_000
+#: Segments of a query's first round, and by how much each round at most widens what was met.
+FIRST, WIDER = 8, 8
 BLOCK = 16
 EPSILON = 2.1
 #: Of the pairs of a tile, the share alive below which the scan goes on pair by pair.
@@ -74,17 +79,26 @@ def lists_to_probe(x: np.ndarray, c: np.ndarray, k: int, share: float = HELD, tr
     return int(np.quantile(np.take_along_axis(place, own[near], axis=1), share, method="higher")) + 1
 
 
-def scan(queries: np.ndarray, rows: np.ndarray, want: int, tile: tuple[int, int] = (256, 4096)) -> tuple[np.ndarray, np.ndarray]:
+def round_ends(units: int) -> list[int]:
+    """How many segments a query has met after each round, if it has ``units`` at most."""
+    if units <= FIRST:
+        return [units]
+    more = int(np.ceil(np.log(units / FIRST) / np.log(WIDER) - 1e-9))
+    return [FIRST, *(int(np.ceil(FIRST * (units / FIRST) ** (i / more))) for i in range(1, more)), units]
+
+
+def scan(queries: np.ndarray, rows: np.ndarray, want: int, tile: tuple[int, int] = (256, 4096), bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, row) that survive the adaptive scan of rotated unit vectors.
 
-    A query's bound is the want-th smallest whole distance among the rows seen so far. While most
-    pairs of a tile are alive, a block's distances come from one product; then from the pairs alone.
+    A query's bound is the want-th smallest whole distance among the rows seen so far, ``bounds``
+    before any. While most pairs of a tile are alive, a block's distances come from one product;
+    then from the pairs alone.
     """
     dims, out = queries.shape[1], []
     cuts = list(range(0, dims, BLOCK))
     for q0 in range(0, len(queries), tile[0]):
         q = queries[q0 : q0 + tile[0]]
-        bound = np.full(len(q), np.inf)
+        bound = np.full(len(q), np.inf) if bounds is None else bounds[q0 : q0 + tile[0]].copy()
         best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         for x0 in range(0, len(rows), tile[1]):
             x = rows[x0 : x0 + tile[1]]
@@ -112,7 +126,7 @@ def scan(queries: np.ndarray, rows: np.ndarray, want: int, tile: tuple[int, int]
             first = np.searchsorted(at, np.arange(len(q)))
             place = np.arange(len(at)) - first[at]
             full = np.bincount(at, minlength=len(q)) >= want
-            bound[full] = far[first[full] + want - 1]
+            bound[full] = np.minimum(bound[full], far[first[full] + want - 1])
             keep = (place < want) | (far <= bound[at] + 1e-5)
             best = at[keep], by[keep], far[keep]
         out.append((best[0] + q0, best[1]))
@@ -164,20 +178,27 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
         for v in vs:
             yield pa.array((_units(_matrix(v, dims)).astype(np.float32) @ centroids.T).argmax(1).astype(np.int32))
 
-    def nearest_lists(most: int):
+    index = materialize(distinct.select("h", "one", "v", own_list("v").alias("list")), "index")
+    # One row for each list, SAMPLE / 8 at most.
+    segments = {r.list: -(-r.n // SEGMENT) for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    # Segments are numbered through all lists.
+    sizes_by_list = np.array([segments.get(i, 0) for i in range(lists)], dtype=np.int64)
+    firsts = np.cumsum(sizes_by_list) - sizes_by_list
+    begin, count = (F.create_map(*(F.lit(int(x)) for i in segments for x in (i, by[i])))[F.col("list")] for by in (firsts, segments))
+    index = index.select("h", "one", "v", (begin + F.pmod("h", count)).cast("int").alias("segment"))
+
+    def nearest_segments(most: int):
         @F.arrow_udf("array<int>")
         def probed(vs: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for v in vs:
-                near = np.argsort(-(_units(_matrix(v, dims)).astype(np.float32) @ centroids.T), axis=1, kind="stable")[:, :most].astype(np.int32)
-                yield pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel()))
+                near = np.argsort(-(_units(_matrix(v, dims)).astype(np.float32) @ centroids.T), axis=1, kind="stable")[:, :most]
+                n = sizes_by_list[near]
+                flat, each_n = near.ravel(), n.ravel()
+                numbers = np.repeat(firsts[flat] - (np.cumsum(each_n) - each_n), each_n) + np.arange(each_n.sum())
+                yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n.sum(1))).astype(np.int32)), pa.array(numbers.astype(np.int32)))
 
         return probed
 
-    index = materialize(distinct.select("h", "one", "v", own_list("v").alias("list")), "index")
-    # One row for each list, SAMPLE / 8 at most.
-    segments = {r.list: -(-r.n // SEGMENT) for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    count = F.create_map(*(F.lit(int(x)) for kv in segments.items() for x in kv))
-    index = index.withColumn("segment", F.pmod("h", count[F.col("list")]).cast("int"))
     each = rows.where("q").select(F.col("id").alias("query_id"), "h", "v").distinct()
     asked = materialize(distinct.join(each.select("h", "v").distinct(), ["h", "v"]).select("h", "one", "v"), "queries")
     blocks = -(-asked.count() // QUERIES)
@@ -186,7 +207,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
         found = np.empty(0, np.int64), np.empty(0, np.int64)
         if candidates.num_rows and wanted.num_rows:
             x, q = _matrix(candidates.column("v"), dims), _matrix(wanted.column("v"), dims)
-            found = scan((_units(q) @ turn).astype(np.float32), (_units(x) @ turn).astype(np.float32), k + 1)
+            least = wanted.column("least").to_numpy()
+            bounds = np.where(np.isnan(least), np.inf, 2 - 2 * least)
+            found = scan((_units(q) @ turn).astype(np.float32), (_units(x) @ turn).astype(np.float32), k + 1, bounds=bounds)
             a, b = q[found[0]], x[found[1]]
             score = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
         else:
@@ -196,16 +219,25 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
 
     def meet(some: DataFrame, most: int) -> DataFrame:
         """The k + 1 best vectors of each of some queries in its ``most`` nearest lists."""
-        probing = some.select("h", "one", "v", F.pmod(F.xxhash64("one", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), F.explode(nearest_lists(most)("v")).alias("list")).where(F.col("list").isin(list(segments)))
-        probing = probing.withColumn("segment", F.explode(F.sequence(F.lit(0), (count[F.col("list")] - 1).cast("int"))))
-        present = materialize(probing, "probing")
-        groups = present.select("list", "segment", "block").distinct().toDF("_list", "_segment", "_block")
-        dealt = index.join(groups, [index["list"] == groups["_list"], index["segment"] == groups["_segment"]])
-        pairs = dealt.groupBy("_list", "_segment", "_block").cogroup(present.groupBy("list", "segment", "block")).applyInArrow(within, "qh bigint, qone bigint, h bigint, one bigint, score double")
+        probing = some.select("h", "one", "v", F.pmod(F.xxhash64("one", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), F.posexplode(nearest_segments(most)("v")).alias("near", "segment"))
+        probing = materialize(probing, "probing")
         best = F.row_number().over(Window.partitionBy("qh", "qone").orderBy(F.desc("score"), "one", "h"))
-        return pairs.withColumn("r", best).where(F.col("r") <= k + 1).drop("r")
-
-    found = materialize(meet(asked, probes), "found")
+        met, found = 0, None
+        for end in round_ends(int(np.sort(sizes_by_list)[::-1][:most].sum())):
+            now, met = probing.where((F.col("near") >= met) & (F.col("near") < end)).drop("near"), end
+            if found is None:
+                now = now.withColumn("least", F.lit(float("nan")))
+            else:
+                full = found.groupBy("qh", "qone").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") > k)
+                now = now.join(full.select(F.col("qh").alias("h"), F.col("qone").alias("one"), "least"), ["h", "one"], "left").withColumn("least", F.coalesce("least", F.lit(float("nan"))))
+            groups = now.select("segment", "block").distinct().toDF("_segment", "_block")
+            dealt = index.join(groups, index["segment"] == groups["_segment"])
+            pairs = dealt.groupBy("_segment", "_block").cogroup(now.groupBy("segment", "block")).applyInArrow(within, "qh bigint, qone bigint, h bigint, one bigint, score double")
+            every = pairs if found is None else pairs.unionByName(found)
+            found = materialize(every.withColumn("r", best).where(F.col("r") <= k + 1).drop("r"), "found")
+        return found
+
+    found = meet(asked, probes)
     if probes < lists:
         enough = found.groupBy("qh", "qone").agg(F.count("*").alias("n")).where(F.col("n") > k).select(F.col("qh").alias("h"), F.col("qone").alias("one"))
         short = materialize(asked.join(enough, ["h", "one"], "left_anti"), "short")

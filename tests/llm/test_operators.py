@@ -249,6 +249,54 @@ def test_scan_keeps_what_the_bound_allows():
     at, by = neighbours.scan(q.astype(np.float32), x.astype(np.float32), 6, tile=(7, 500))
     hit = sum(len(set(by[at == i]) & set(np.argsort(-(x @ q[i]))[:6])) for i in range(20))
     assert hit >= 0.95 * 120 and len(at) < 0.05 * 20 * 3000
+    # With bounds from before, only what improves on them comes out, equals included.
+    sixth = np.sort(2 - 2 * (q @ x[:1500].T), axis=1)[:, 5]
+    at, by = neighbours.scan(q.astype(np.float32), x[1500:].astype(np.float32), 6, tile=(7, 500), bounds=sixth)
+    assert all(2 - 2 * x[1500 + j] @ q[i] <= sixth[i] + 2e-5 for i, j in zip(at, by, strict=True))
+    assert neighbours.scan(q.astype(np.float32), x.astype(np.float32), 6, bounds=np.zeros(20))[0].size == 0
+
+
+def test_rounds_reach_all_segments():
+    assert neighbours.round_ends(5) == [5] and neighbours.round_ends(8) == [8] and neighbours.round_ends(64) == [8, 64]
+    for units in range(9, 3000, 7):
+        ends = neighbours.round_ends(units)
+        assert ends[0] == neighbours.FIRST and ends[-1] == units and all(a < b <= neighbours.WIDER * a + 1 for a, b in zip(ends, ends[1:]))
+
+
+def cogrouped_rows(spark, since):
+    """Rows that came out of cogroups in executions after ``since``, and the last execution."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, total, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    runs = store.executionsList()
+    for run in (runs.apply(i) for i in range(runs.size())):
+        if run.executionId() <= since:
+            continue
+        last, values, nodes = max(last, run.executionId()), store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())) if "CoGroups" in node.name() else ():
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    total += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return total, last
+
+
+def test_pairs_of_neighbours_do_not_grow_with_the_lists(spark, monkeypatch):
+    """All of 75 lists are probed: a query's pairs are a few for each round, and the nearest are still found."""
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 4)
+    monkeypatch.setattr(neighbours, "HELD", 1.0)
+    monkeypatch.setattr(neighbours, "MIN_PROBED", 75)
+    x = np.random.default_rng(7).normal(size=(600, 16))
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(3)
+    _, since = cogrouped_rows(spark, -1)
+    got = neighbours.nearest(e, F.col("vec_id") % 50 == 0).collect()
+    pairs, _ = cogrouped_rows(spark, since)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 600, 50):
+        cos = u @ u[q]
+        cos[q] = -2
+        hit += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-cos)[:5].tolist()))
+    assert len(got) == 60 and hit >= 54
+    assert 12 * 6 <= pairs <= 3_000
 
 
 # 3 Toxicity
