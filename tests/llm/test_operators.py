@@ -565,6 +565,46 @@ def test_token_files(spark, odd, none, texts):
     assert token_files.token_table(none, path).count() == 0
 
 
+def test_words_ids_are_the_librarys(monkeypatch):
+    """Also of letters that a normal form joins with the mark after them, and when the memory is emptied all the time."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    texts = ["J\u030cx e\u0301t\u00c9. A\u030angstr\u00f6m", "x\u0130. \u0130\u0130", "Слово, СЛОВО. ёлка!", "\u0149a \u01c5. \u017ft \u212b", "", "a", " \n ", "\t a.b\u00a0c", "Word|> <|endoftext|>. <|ENDOFTEXT|>"]
+    rnd = random.Random(4)
+    pieces = ["a", "B", "é", "É", "ß", "İ", "ĳ", "Σ", "ς", "я", "\u030c", "1", "'s", "'", ".", "%%", "|", "<|", "\t", "\n", " ", " ", " "]
+    texts += ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(60))) for _ in range(3000)]
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    got = token_files.WordCoder(path).encode(texts)
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
+    monkeypatch.setattr(token_files, "CHUNK", 64)
+    monkeypatch.setattr(token_files, "REMEMBERED", 20)
+    assert token_files.WordCoder(path).encode(texts) == got
+
+
+def test_new_words_are_asked_for_together():
+    """Words of letters go to the library joined by blanks, each small spelling once."""
+    coder = token_files.WordCoder(tokenizer_path("word_bpe_49k.json"))
+    asked: list[str] = []
+
+    class Counting:
+        def __init__(self, own):
+            self.own = own
+
+        def encode(self, text, **how):
+            asked.append(text)
+            return self.own.encode(text, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return self.own.encode_batch_fast(texts, **how)
+
+    coder.coder = Counting(coder.coder)
+    coder.encode(["Some words, some WORDS. other Words!", "Other words"])
+    assert [t for t in asked if coder.SEPARATOR not in t] == ["some words other"] and "words" not in asked[-1]
+
+
 def test_token_files_give_equal_sequences(spark, tmp_path):
     import pyarrow.fs as pafs
 
