@@ -1,9 +1,8 @@
 """Ranked retrieval: BM25 with phrases, vector neighbours, reciprocal-rank fusion, filters and boosts.
 
 Everything is batched over a frame of queries. Query terms are written to a small table first, so
-that Spark knows its size and broadcasts it only below its threshold. A corpus is tokenised once:
-postings of the query terms and a row for each document's length are written together, and counts,
-lengths and frequencies come from there.
+that Spark knows its size and broadcasts it only below its threshold. A corpus is read twice: for its words'
+frequencies and lengths, and to be scored in blocks (:mod:`scoring`); no posting is written.
 """
 
 from __future__ import annotations
@@ -12,10 +11,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from memspark.operators import near
+from memspark.operators import near, scoring
+from memspark.operators.scoring import B, K1  # noqa: F401  for the index
 from memspark.session import materialize
 
-K1, B = 1.2, 0.75
 RRF = 60
 MAX_TERMS, MAX_TERM_CHARS = 256, 64
 _NOT_TOKEN = r"[^\p{L}\p{N}\p{Co}\p{M}]+"
@@ -45,42 +44,42 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_c
     frequencies and lengths count over all text columns; phrases don't span columns. A negative
     idf counts as 1e-6; a word that a query repeats counts again. Ties go to the smaller id.
     """
-    return top_k(bm25_scores(docs, queries, id_col, text_cols), k).withColumnRenamed("id", id_col)
+    asked = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("word")).select("query_id", tokens(F.col("word")).alias("p")).where(F.size("p") > 0)
+    asked = materialize(asked.groupBy("query_id", "p").agg(F.count("*").alias("times"), F.size("p").alias("m")).withColumn("term", F.array_join("p", _AFTER)), "asked")
+    texts = _texts(docs, asked.where("m > 1").select("p", "m", "term").distinct(), id_col, text_cols)
+    wanted = asked.select("term").union(asked.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    # Texts have no empty word: the empty one stands for the text itself.
+    each = texts.select("len", F.explode(F.concat(F.array_distinct("t"), F.array(F.lit("")))).alias("term"))
+    counts = each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("len"))).alias("total"))
+    counts = materialize(counts.join(wanted, "term"), "frequencies")
+    n_docs, total = counts.where("term = ''").agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("times") * F.when(idf <= 0, 1e-6).otherwise(idf)
+    own = asked.join(counts, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", weight.alias("weight"))).alias("x"))
+    own = materialize(own.select("query_id", F.col("x.term").alias("words"), F.col("x.weight").alias("weights")), "weighted")
+    found = scoring.best(texts.select("id", "len", F.array_join("t", " ").alias("text")), own, k, n_docs or 1, total)
+    return top_k(found, k).withColumnRenamed("id", id_col)
+
+
+#: Stands between the words of a phrase; no word has it.
+_AFTER = "\x1f"
 
 
 def _placed(tokens_col: Column, i: int) -> Column:
     return F.transform(tokens_col, lambda t, pos: F.struct(F.lit(i).alias("col"), pos.alias("pos"), t.alias("term")))
 
 
-def _postings(docs: DataFrame, terms: DataFrame, id_col: str, text_cols: tuple[str, ...]) -> DataFrame:
-    """(id, len, col, pos, p, m, at): where terms (p, m, at, term) stand, and a row with m = 0 for each document."""
+def _texts(docs: DataFrame, phrases: DataFrame, id_col: str, text_cols: tuple[str, ...]) -> DataFrame:
+    """(id, len, t): the words of documents and, after them, the phrases (p, m, term) that stand in them, as often as they do."""
     own = docs.select(F.col(id_col).alias("id"), *(tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(text_cols)))
-    length = sum((F.size(f"t{i}") for i in range(1, len(text_cols))), F.size("t0"))
-    own = own.withColumn("len", length)
-    # Index tokens are never empty: the empty one at the end of the first column stands for the document.
-    cols = [_placed(F.concat("t0", F.array(F.lit(""))) if not i else F.col(f"t{i}"), i) for i in range(len(text_cols))]
-    each = own.select("id", "len", F.explode(F.concat(*cols) if len(cols) > 1 else cols[0]).alias("x")).select("id", "len", "x.*")
-    return each.join(terms, "term").select("id", "len", "col", "pos", "p", "m", "at")
-
-
-def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_cols: tuple[str, ...] = ("content",)) -> DataFrame:
-    """(query_id, id, score) of every document that has a word of the query."""
-    each = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("word"))
-    phrases = each.groupBy("query_id", "word").agg(F.count("*").alias("times")).withColumn("p", tokens(F.col("word"))).where(F.size("p") > 0).select("query_id", "p", "times")
-    phrases = materialize(phrases, "phrases")
-    terms = phrases.select("p").distinct().select("p", F.size("p").alias("m"), F.posexplode("p").alias("at", "term"))
-    document = terms.sparkSession.createDataFrame([([""], 0, 0, "")], terms.schema)
-    hits = materialize(_postings(docs, materialize(terms.union(document), "terms"), id_col, text_cols), "postings")
-    stats = hits.where("m = 0").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    single = hits.where("m = 1").select("id", "len", "p")
-    several = hits.where("m > 1").groupBy("id", "len", "col", "p", "m", (F.col("pos") - F.col("at")).alias("start")).count().where("count = m").select("id", "len", "p")
-    tf = single.union(several).groupBy("p", "id", "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("p").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = df.crossJoin(stats).select("p", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "avg_len")
-    asked = phrases.join(weight, "p")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-    return tf.join(asked, "p").groupBy("query_id", "id").agg(F.round(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm), 9).alias("score"))
+    own = own.withColumn("t", F.concat(*(f"t{i}" for i in range(len(text_cols))))).withColumn("len", F.size("t"))
+    if not phrases.limit(1).count():
+        return own.select("id", "len", "t")
+    terms = materialize(phrases.select("term", "m", F.posexplode("p").alias("at", "word")), "phrases")
+    each = own.select("id", F.explode(F.concat(*(_placed(F.col(f"t{i}"), i) for i in range(len(text_cols))))).alias("x")).select("id", "x.col", "x.pos", F.col("x.term").alias("word"))
+    starts = each.join(terms, "word").groupBy("id", "col", "term", "m", (F.col("pos") - F.col("at")).alias("start")).count().where("count = m")
+    hits = materialize(starts.groupBy("id").agg(F.collect_list("term").alias("phrases")), "hits")
+    return own.join(hits, "id", "left").select("id", "len", F.concat("t", F.coalesce("phrases", F.array().cast("array<string>"))).alias("t"))
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score", descending: bool = True) -> DataFrame:
@@ -178,10 +177,11 @@ def union_of_projects(projects: dict[str, DataFrame]) -> DataFrame:
 def cross_project(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, keep: tuple[str, ...] = ("signal_weight",)) -> DataFrame:
     """The hybrid search over the chunks and vectors of all projects; rows carry origin_project.
 
-    Equal ids are one chunk: that of the first project by name, mirrored once.
+    Equal ids are one chunk: that of the first project by name, mirrored once. Contents are dealt by id once and written.
     """
-    first = docs.groupBy("id").agg(F.min("origin_project").alias("origin_project"))
-    own = docs.join(first, ["id", "origin_project"]).dropDuplicates(["id"])
+    rest = F.struct(*(c for c in docs.columns if c != "id"))
+    first = docs.groupBy("id").agg(F.min_by(rest, "origin_project").alias("x")).where("x is not null")
+    own = materialize(first.select("id", "x.*"), "chunks")
     return hybrid(own, vectors.dropDuplicates(["chunk_id"]), queries, k, where, (*keep, "origin_project"))
 
 
