@@ -7,15 +7,19 @@ from datetime import datetime
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from memspark.session import materialize
+
 
 def grouped_nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], ranges: int = 64) -> DataFrame:
     """(keys, n, a column for each share): the value at place floor(n * share), 0-based, at most the last, of the sorted non-zero values.
 
     Exact for groups of any size: values are counted, a group's counts are cut into ranges at
-    approximate quantiles, and only the range that holds a place is sorted.
+    approximate quantiles, and only the range that holds a place is sorted. The quantiles are written:
+    computed again they may differ, and places would be looked for in other ranges than were counted.
     """
     counts = rows.where((F.col(value) != 0) & F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("cuts"), F.sum("n").alias("total"))
+    cuts = materialize(cuts, "cuts")
     placed = counts.join(cuts, keys).select(*keys, value, "n", "total", F.size(F.filter("cuts", lambda c: c < F.col(value))).alias("range"))
     per = placed.groupBy(*keys, "range").agg(F.sum("n").alias("m"), F.max("total").alias("total"))
     per = per.withColumn("upto", F.sum("m").over(Window.partitionBy(*keys).orderBy("range")))  # ``ranges`` rows for each group at most
