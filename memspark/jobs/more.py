@@ -21,13 +21,14 @@ HEADING = r"[^\S\n]*(The|Of|In) "
 
 
 def _session_files(spark: SparkSession, sf: str) -> str:
-    """conversations written as session JSONL, a block list for every other message."""
+    """conversations written as session JSONL, a block list for every other message; messages come by conversation and turn, as text, from file to file."""
     path = scratch_path(spark, "sessions")
     c = table(spark, sf, "conversations")
     block = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.substring("text", 1, 10).alias("text")), F.struct(F.lit("image").alias("type"), F.lit("none").alias("text")), F.struct(F.lit("text").alias("type"), F.expr("substring(text, 11)").alias("text"))))
     content = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("text").alias("c")))).otherwise(F.concat(F.lit('{"c":'), block, F.lit("}")))
-    message = F.concat(F.lit('{"timestamp":"'), F.format_string("%d/%d", "conv_id", "turn"), F.lit('","message":{"role":"'), F.col("role"), F.lit('","content":'), F.expr("substring(c, 6, length(c) - 6)"), F.lit("}}"))
-    c.withColumn("c", content).select(message.alias("value")).union(spark.range(1).select(F.lit("{bad json").alias("value"))).write.text(path)
+    message = F.concat(F.lit('{"timestamp":"'), F.col("at"), F.lit('","message":{"role":"'), F.col("role"), F.lit('","content":'), F.expr("substring(c, 6, length(c) - 6)"), F.lit("}}"))
+    told = c.withColumns({"c": content, "at": F.format_string("%d/%d", "conv_id", "turn")}).select("at", message.alias("value"))
+    told.repartitionByRange("at").select("value").union(spark.range(1).select(F.lit("{bad json").alias("value"))).write.text(path)
     return path
 
 
