@@ -173,10 +173,11 @@ _FINAL = "round(fusion_score * (1 + CASE WHEN d.n_chars % 100 = 0 THEN 10 ELSE d
 @query(f"""WITH {_FUSED}, r AS (SELECT query_id, fu.id, {_FINAL} FROM fu JOIN documents d ON d.doc_id = fu.id LEFT JOIN labels l ON l.doc_id = fu.id WHERE {_VET})
 SELECT query_id, id, final_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) - 1 AS rank FROM r) WHERE rank < 10""")
 def d7_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """A query's words are those of a whole document, and the queries grow with the table: the texts are scored in blocks, not looked up in the kept index."""
     docs, e, q = _asked(spark, sf)
+    text = search.bm25(docs, q, 30)
     docs = docs.join(table(spark, sf, "labels").withColumnRenamed("doc_id", "id"), "id", "left")
     vetted = classify.vetted(F.lit(False), F.col("toxic") == 1, F.col("quality") == 0, F.col("signal_weight"))
-    text = index.search(kept_index(spark, sf), q.select("query_id", "query"), 30)[0]
     return search.hybrid(docs, e, q, 10, vetted, ("signal_weight", "toxic", "quality"), text=text).select("query_id", "id", "final_score", "rank")
 
 

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from memspark.jobs import catalog
 from memspark.operators import scoring, search
 
 
@@ -61,3 +62,20 @@ def test_blocks_give_what_one_block_gives(spark, monkeypatch, n):
     for name, value in (("WORDS", 2_000), ("ASKED", 40), ("CELLS", 100), ("ADDED", 50), ("FREQUENT", 3)):
         monkeypatch.setattr(scoring, name, value)
     assert ranked() == whole and len(whole) > 20
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("tables")
+    docs = spark.createDataFrame([(i, t, f"s{i % 4}", len(t)) for i, t in texts(2_000)], "doc_id bigint, text string, source string, n_chars bigint")
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, [float(i % 40), float(i // 40)]) for i in range(2_000)], "vec_id bigint, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(i, i % 3 % 2, i % 5 % 2) for i in range(0, 2_000, 2)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", ["d7_hybrid"])
+def test_queries_write_no_row_for_each_pair(spark, folder, name):
+    got = []
+    n = written(spark, lambda: got.extend(catalog.QUERIES[name](spark, folder).collect()))
+    assert got and n < 30 * 2_000
