@@ -74,7 +74,7 @@ def folder(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["d5_rrf", "d6_boost", "d7_hybrid"])
+@pytest.mark.parametrize("name", ["d5_rrf", "d6_boost", "d7_hybrid", "d9_text_leg_only"])
 def test_queries_write_no_row_for_each_pair(spark, folder, name):
     got = []
     n = written(spark, lambda: got.extend(catalog.QUERIES[name](spark, folder).collect()))
